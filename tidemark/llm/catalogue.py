@@ -19,6 +19,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -34,6 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op9_packing": op9_packing,
 }
@@ -45,4 +52,10 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WINDOW w AS (PARTITION BY norm)""",
+    "op5_warc": """
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest,
+                     min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)""",
 }
