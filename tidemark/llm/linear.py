@@ -64,24 +64,27 @@ def minimise(f, start: np.ndarray, rounds: int = 80, memory: int = 8, tolerance:
 
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept for rows of feature ids; feature j has the value ``scale[j]`` where present."""
-    dims = len(scale)
-    ids = np.concatenate([*rows, np.empty(0, np.int32)])
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    values = scale[ids].astype(np.float32)
-    live = values != 0
-    ids, owner, values = ids[live], owner[live], values[live]
+    used = np.flatnonzero(scale)  # a feature without a value has no weight
+    place = np.full(len(scale), -1, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    rows = [x[x >= 0] for x in (place[r] for r in rows)]
+    kept = scale[used]
     y = np.asarray(labels, dtype=np.float64)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = np.bincount(owner, values * w[ids], minlength=len(rows)) + w[-1]
+        scaled = kept * w[:-1]
+        margin = np.array([scaled[r].sum() for r in rows]) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
         value = (np.logaddexp(0, margin) - y * margin).sum() + l2 / 2 * w[:-1].dot(w[:-1])
-        grad = np.append(np.bincount(ids, values * error[owner], minlength=dims) + l2 * w[:-1], error.sum())
-        return value, grad
+        grad = np.zeros(len(used))
+        for r, e in zip(rows, error, strict=True):
+            grad[r] += e  # a row has no feature twice
+        return value, np.append(grad * kept + l2 * w[:-1], error.sum())
 
-    w = minimise(loss, np.zeros(dims + 1))
-    return w[:-1] * scale, float(w[-1])
+    w = minimise(loss, np.zeros(len(used) + 1))
+    out = np.zeros(len(scale))
+    out[used] = w[:-1] * kept
+    return out, float(w[-1])
 
 
 def sigmoid(margin: float) -> float:

@@ -16,14 +16,15 @@ from .linear import fit_logistic, ngram_ids, sigmoid
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """n-gram lengths, hash bits, training rows taken of each class at most, and smoothing and penalty."""
+    """n-gram lengths, hash bits, training rows taken of each class at most, rows and log ratio that a feature needs, smoothing and penalty."""
 
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
-    rows_per_class: int = 1500
+    rows_per_class: int = 1000
     min_rows: int = 4
+    min_ratio: float = 0.2
     alpha: float = 1.0
-    l2: float = 1.0
+    l2: float = 0.3
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,8 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     """Fit on labelled documents that are not held out, at most ``rows_per_class`` of each class in hash order.
 
     A document with several labels counts as toxic if one says so; null labels and labels without a document
-    teach nothing. Only n-gram hashes of the sampled whole texts reach the driver. Without rows of both classes
+    teach nothing. Scores hold for the classes as sampled, so up to the bound for each class they are not pulled
+    towards the more frequent one. Only n-gram hashes of the sampled whole texts reach the driver. Without rows of both classes
     the model gives every text the share of toxic labels, or 0 without labels.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__y"))
@@ -62,21 +64,23 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["__y"], pa.array(found, pa.binary())], ["doc_id", "y", "ids"])
 
     ship(docs.sparkSession)
-    rows = sorted(texts.mapInArrow(features, "doc_id long, y int, ids binary").collect())
+    rows = texts.mapInArrow(features, "doc_id long, y int, ids binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
     dims = 1 << config.bits
     y = np.array([r["y"] for r in rows])
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(set(y)) < 2:
         return Model(np.zeros(dims), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), config)
     ids = [np.frombuffer(r["ids"], dtype=np.int32) for r in rows]
-    inside, outside = (np.bincount(np.concatenate([x for x, k in zip(ids, y, strict=True) if k == c]), minlength=dims) for c in (1, 0))
+    del rows
+    inside, outside = np.zeros(dims), np.zeros(dims)
+    for x, c in zip(ids, y, strict=True):
+        (inside if c else outside)[x] += 1
     p, q = inside + config.alpha, outside + config.alpha
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[inside + outside < config.min_rows] = 0
+    ratio[(inside + outside < config.min_rows) | (np.abs(ratio) < config.min_ratio)] = 0
     weights, intercept = fit_logistic(ids, y, ratio, config.l2)
-    taken = np.bincount(y, minlength=2)
-    prior = np.log((counts[1] / counts[0]) / (taken[1] / taken[0]))  # the sample has the classes in other shares
-    return Model(weights.astype(np.float32), intercept + float(prior), config)
+    return Model(weights.astype(np.float32), intercept, config)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
