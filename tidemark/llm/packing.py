@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -14,10 +15,15 @@ from pyspark.sql import functions as F
 
 from .durable import durable, ship, text_or_empty
 
-#: Words whose ids a worker keeps, and the longest word that it keeps.
+#: Words whose ids a worker keeps before it drops those not used lately, and the longest word that it keeps.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Control characters that ``str.split`` takes as white space and the tokenizer does not.
-_NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Outside these, lower-casing a text first might differ from what the tokenizer does character by character.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+#: Letters and then ASCII marks, which nothing composes with; an apostrophe may begin a suffix that is a token.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def vocabulary_path() -> str:
@@ -29,7 +35,9 @@ def vocabulary_path() -> str:
 class WordEncoder:
     """Encodes texts word by word; no token of this vocabulary spans white space, so words can be encoded apart.
 
-    ``encode`` gives the ids as little-endian unsigned 32-bit integers. Ids of words are kept, up to a fixed number.
+    ``encode`` gives the ids as little-endian unsigned 32-bit integers. The vocabulary is of lower case, so Latin texts
+    are lower-cased first, and marks after letters are tokens of their own; both make words recur. Ids of recent words
+    are kept, up to a fixed number.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,25 +48,41 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept."""
+        older, known = self._older, self._known
+        found = {w: older[w] for w in words if w in older}
+        split = {w: m.groups() for w in words if w not in found and (m := _MARKED.fullmatch(w)) and m[1].isalpha()}
+        plain = words.difference(found, split)
+        plain.update(x for pair in split.values() for x in pair if x not in known and x not in older)
+        plain = list(plain)
+        fresh = dict(zip(plain, self._fresh(plain), strict=True))
+        found |= fresh
+        for w, pair in split.items():
+            found[w] = b"".join([fresh[x] if x in fresh else known[x] if x in known else older[x] for x in pair])
+        return found
+
     def encode(self, text: str) -> bytes:
-        if not _NOT_SPACE.isdisjoint(text):
+        if _NOT_SPACE.search(text):
             return self._fresh([text])[0]
-        words, known = text.split(), self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, self._fresh(new), strict=True))
-        if len(known) + len(new) > CACHE_WORDS:
-            found |= {w: known[w] for w in set(words) if w in known}
-            known.clear()
-        known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
-        return b"".join([x if (x := known.get(w)) is not None else found[w] for w in words])
+        if not _BEYOND_LATIN.search(text):
+            text = text.lower()
+        words = text.split()
+        ids = list(map(self._known.get, words))
+        if None in ids:
+            places = [k for k, x in enumerate(ids) if x is None]
+            found = self._learn({words[k] for k in places})
+            for k in places:
+                ids[k] = found[words[k]]
+            if len(self._known) + len(found) > CACHE_WORDS:
+                self._older, self._known = self._known, {}
+            self._known.update(found if max(map(len, found)) <= CACHE_CHARS else {w: x for w, x in found.items() if len(w) <= CACHE_CHARS})
+        return b"".join(ids)
 
 
 @cache
