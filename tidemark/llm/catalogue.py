@@ -43,6 +43,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_layout import html_text
+
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
@@ -50,6 +56,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op9_packing": op9_packing,
+    "op10_html_text": op10_html_text,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
