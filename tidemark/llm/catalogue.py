@@ -37,6 +37,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
 }

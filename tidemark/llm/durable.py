@@ -55,17 +55,20 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def look_up(members: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left join of ``members`` with ``groups``, which has one row per string ``key``, without a hot task.
+    """Left join of ``members`` with ``groups``, which has one row per ``key`` (string, binary or long), without a hot task.
 
     Groups of at least ``HOT_SHARE`` of all ``total`` members are at most ``1 / HOT_SHARE`` rows, so they are
-    broadcast; their members then carry a unique stand-in for the key and spread over the shuffle of the rest.
+    broadcast; their members then carry a stand-in for the key and spread over the shuffle of the rest. Should a
+    stand-in equal a key, the broadcast values still win.
     """
     values = [c for c in groups.columns if c != key]
     hot_at = max(1000, int(total * HOT_SHARE))
     hot = groups.filter(F.col(size) >= hot_at).select(F.col(key), *(F.col(c).alias(f"__hot_{c}") for c in values))
     cold = groups.filter(F.col(size) < hot_at).select(F.col(key).alias("__cold"), *(F.col(c).alias(f"__cold_{c}") for c in values))
     out = members.join(F.broadcast(hot), key, "left")
-    spread = F.when(F.col(f"__hot_{size}").isNull(), F.col(key)).otherwise(F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")))
+    other = F.xxhash64(F.monotonically_increasing_id())
+    kind = dict(members.dtypes)[key]
+    spread = F.when(F.col(f"__hot_{size}").isNull(), F.col(key)).otherwise(other if kind == "bigint" else other.cast("string").cast(kind))
     out = out.withColumn("__route", spread)
     out = out.join(cold, out["__route"] == cold["__cold"], "left")
     return out.select(*members.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values))
