@@ -43,6 +43,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_bytes
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
+    "op7_neighbours": op7_neighbours,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
