@@ -72,3 +72,9 @@ def look_up(members: DataFrame, groups: DataFrame, key: str, size: str, total: i
     out = out.withColumn("__route", spread)
     out = out.join(cold, out["__route"] == cold["__cold"], "left")
     return out.select(*members.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values))
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each id in ``ids`` (column id), and all rows without an id: no decision can name those."""
+    named = docs.join(ids.filter("id IS NOT NULL").select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, look_up, text_or_empty
+from .durable import durable, look_up, rows_with_ids, text_or_empty
 
 
 def ascii_lower(text: Column) -> Column:
@@ -51,7 +51,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all columns; rows that repeat a kept id collapse to one."""
-    kept = exact_groups(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    ids = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return ids.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all columns; one of rows that repeat a kept id, and all rows without an id."""
+    return rows_with_ids(docs, exact_groups(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("id")))

@@ -105,3 +105,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     return score(docs, train(docs, labels, config))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't predict to be toxic, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, config))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in b["text"]], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
