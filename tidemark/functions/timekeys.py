@@ -65,7 +65,7 @@ def title(level: str, ts: Column) -> Column:
 def ulid_ms(ulid: Column) -> Column:
     """Milliseconds in the first ten characters of a ULID."""
     digits = F.split(F.substring(F.upper(ulid), 1, 10), "")
-    return F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: a * 32 + F.charindex(c, F.lit(_CROCKFORD)) - 1)
+    return F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: a * 32 + F.position(c, F.lit(_CROCKFORD)) - 1)
 
 
 def parse_range(text: str, now: datetime) -> tuple[datetime, datetime]:
