@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,21 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(edges.select("a", "b").filter("a <> b").distinct())
     seen = None
     while True:
-        now = durable(_stars(_stars(now, larger=True), larger=False))
+        now = durable(_stars(_stars(now, larger=True), larger=False).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
         if state == seen:
             break
         seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def follow(steps: DataFrame, turns: int = 3) -> DataFrame:
+    """node and root, where root is reached from the node in up to 2 ** turns of the ``steps`` node -> root, which have no cycle.
+
+    Nodes of one root are connected, but a component may have several roots: enough to leave out known connections.
+    """
+    now = steps.select("node", "root")
+    for _ in range(turns):
+        after = now.select(F.col("node").alias("root"), F.col("root").alias("__next"))
+        now = durable(now.join(after, "root", "left").select("node", F.coalesce("__next", "root").alias("root")))
+    return now

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group is hot when it holds at least this share of all rows, so there can be at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 0.001
 
+#: Bytes of a batch between the JVM and Python, so that rows with long texts come in small batches.
+BATCH_BYTES = 4 << 20
+
 _shipped: set[str] = set()
+_held: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +41,37 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_state(name: str, make: Callable[[], Any] = dict) -> Any:
+    """What a Python worker keeps from task to task, for one operator at a time: another operator's state goes first."""
+    if name not in _held:
+        _held.clear()
+        _give_back()
+        _held[name] = make()
+    return _held[name]
+
+
+def _give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that begins without what other operators left in the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(f.__module__)
+        _give_back()
+        return f(batches)
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package's code once per application."""
+    """Give executors this package's code once per application, and bound the bytes of a batch unless that is set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[1]

@@ -6,9 +6,10 @@ has a fixed size, so it can be broadcast at any scale, and every text sees the s
 fixed share of N, which means that shingles of few texts all count as equally rare. Texts whose samples agree in a band
 are candidates, and candidates are linked if their weighted Jaccard similarity is at least the threshold.
 
-Buckets are never expanded into all pairs. First each text is compared with one leader of its buckets. Components of
-those links then leave few texts that are apart from others in a bucket; these are compared with all others of it, in
-blocks: signatures first, then those pairs whose signatures don't rule the threshold out.
+Buckets are never expanded into rows of pairs. First each text is compared with one leader of its buckets. Components of
+those links then leave texts that are apart from others in a bucket; these are compared with the others in blocks of
+bounded size, inside the task: signatures first, then the vectors of pairs whose signatures don't rule the threshold
+out, and no pair that links of the block already connect. Only links leave a block.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .durable import durable, look_up, parts, ship, text_or_empty
+from .components import components, follow
+from .durable import durable, look_up, parts, rows_with_ids, ship, text_or_empty, worker_state
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class NearConfig:
     bands: int = 14
     band_samples: int = 4
     sketch_bits: int = 18
-    block: int = 512
+    block: int = 256
     #: Signature agreement below which a pair is not verified: 3 standard deviations under the threshold.
     @property
     def agreement(self) -> float:
@@ -57,23 +58,20 @@ _BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Bytes of text that are hashed at once.
-BATCH_BYTES = 1 << 21
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+BATCH_BYTES = 1 << 20
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for at least n places."""
-    size = max(1 << 22, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    size, tables = max(1 << 21, 1 << (n - 1).bit_length()), worker_state("near dedup")
+    if size not in tables:
+        tables.clear()
         out = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
-        _powers[size] = tuple(out)
-    return _powers[size]
+        tables[size] = tuple(out)
+    return tables[size]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,7 +148,7 @@ def frequencies(vectors: DataFrame, config: NearConfig) -> Frequencies:
                 v = v[np.append(True, v[1:] != v[:-1])]
                 texts += 1
                 for row, cells in zip(rows, _sketch_cells(v, config.sketch_bits), strict=True):
-                    np.add.at(row, cells, 1) if len(cells) < 64 else np.add(row, np.bincount(cells, minlength=size), out=row) if len(cells) > size // 8 else np.add.at(row, cells, 1)
+                    np.add.at(row, cells, 1)
         if texts:
             blobs = [zlib.compress(np.ascontiguousarray(rows[:, k * width : (k + 1) * width]).tobytes(), 1) for k in range(slices)]
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([texts] + [0] * (slices - 1), pa.int64()), pa.array(blobs, pa.binary())], ["slice", "texts", "counts"])
@@ -219,14 +217,28 @@ def signatures(vectors: list[np.ndarray], known: Frequencies, draws: tuple[np.nd
     return out
 
 
+def weighed(vector: np.ndarray, known: Frequencies) -> tuple[np.ndarray, np.ndarray, float]:
+    """Different shingles of a sorted vector, their weights, and the sum of these."""
+    shingle, count = np.unique(vector, return_counts=True)
+    weights = known.weights(shingle, count)
+    return shingle, weights, float(weights.sum())
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard similarity of two weighed vectors."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    (x, of_x, sum_x), (y, of_y, sum_y) = a, b
+    at = np.minimum(y.searchsorted(x), len(y) - 1) if len(y) else np.empty(0, np.int64)
+    same = y[at] == x if len(y) else np.zeros(len(x), bool)
+    shared = float(np.minimum(of_x[same], of_y[at[same]]).sum())
+    whole = sum_x + sum_y - shared
+    return shared / whole if whole else 0.0
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, known: Frequencies) -> float:
     """Weighted Jaccard similarity of two sorted shingle vectors."""
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    of_x, of_y = known.weights(x, n), known.weights(y, m)
-    shared = np.minimum(of_x[at_x], of_y[at_y]).sum()
-    whole = of_x.sum() + of_y.sum() - shared
-    return float(shared / whole) if whole else 0.0
+    return similarity(weighed(a, known), weighed(b, known))
 
 
 def _vectors(docs: DataFrame, config: NearConfig) -> DataFrame:
@@ -249,10 +261,10 @@ def _vectors(docs: DataFrame, config: NearConfig) -> DataFrame:
 
 
 def _signed(vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFrame:
-    """rid, keys (a 64-bit hash for each band) and signature (16 bits of each sample)."""
+    """rid, keys (a 64-bit hash for each band) and signature (32 bits of each sample)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = _draws(config.samples)
+        draws = worker_state("near dedup signatures", lambda: _draws(config.samples))
         for b in batches:
             k = 0
             while k < b.num_rows:
@@ -267,7 +279,7 @@ def _signed(vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFra
                     key = key * _U(_BASE) + found[:, s :: config.band_samples]
                 key = _mix(key + np.arange(config.bands, dtype=np.uint64) * _U(_GOLD)).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * config.bands, pa.int32()), pa.array(key.ravel()))
-                low = found.astype(np.uint16)
+                low = found.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([b["rid"].slice(first, k - first), keys, pa.array([x.tobytes() for x in low], pa.binary())], ["rid", "keys", "signature"])
 
     return vectors.mapInArrow(sign, "rid binary, keys array<long>, signature binary")
@@ -288,51 +300,78 @@ def _verified(pairs: DataFrame, vectors: DataFrame, known: Broadcast, threshold:
     return durable(rows.select("a", "b", "va", "vb").mapInArrow(verify, "a binary, b binary"))
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, config: NearConfig) -> DataFrame:
-    """Pairs of a bucket with different labels whose signatures agree enough, each once.
+def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFrame:
+    """Links a-b between texts of a bucket with different labels, enough to connect all that are linked.
 
     The texts of a bucket that don't have its most frequent label are sent to blocks of all its texts; no text is
-    sent to a block of a bucket whose texts all have one label.
+    sent to a block of a bucket whose texts all have one label. A pair is compared in the first band that it shares.
     """
-    labelled = bands.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    labelled = durable(bands.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")))
     by_label = durable(labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")))
     buckets = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main")).filter("labels > 1").select("key", "size", "main")
     buckets = durable(buckets)
     total = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = look_up(labelled, buckets, "key", "size", total).filter("size IS NOT NULL").join(signed.select("rid", "signature"), "rid")
-    members = durable(members.select("key", "rid", "label", "signature", (F.col("label") != F.col("main")).alias("minor"), F.ceil(F.col("size") / config.block).cast("int").alias("blocks")))
-    own = members.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("sent", F.lit(False))
-    sent = members.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("sent", F.lit(True))
-    rows = own.select("key", "block", "sent", "rid", "label", "signature").unionByName(sent.select("key", "block", "sent", "rid", "label", "signature"))
+    members = durable(look_up(labelled, buckets, "key", "size", total).filter("size IS NOT NULL"))
+    nodes = members.select("rid").distinct()
+    content = signed.select("rid", "signature").join(nodes, "rid").join(vectors, "rid")
+    members = members.join(content, "rid").select("key", "band", "rid", "label", "signature", "vector", (F.col("label") != F.col("main")).alias("minor"), F.ceil(F.col("size") / config.block).cast("int").alias("blocks"))
+    places = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)).cast("array<int>"))
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    # Each text goes to its own block, and one that is apart to every block as well.
+    targets = F.transform(places, lambda x: F.struct(x.alias("block"), F.lit(True).alias("sent")))
+    targets = F.concat(F.array(F.struct(own.alias("block"), F.lit(False).alias("sent"))), F.when(F.col("minor"), targets).otherwise(F.filter(targets, lambda x: F.lit(False))))
+    rows = members.withColumn("t", F.explode(targets)).select("key", "t.block", "t.sent", "band", "rid", "label", "signature", "vector")
     rows = rows.repartition(parts(signed.sparkSession), "key", "block").sortWithinPartitions("key", "block", "sent")
     need = int(np.ceil(config.agreement * config.samples))
+    most = 2048
 
     def compare(held: list[tuple], sent: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rids, labels, marks = zip(*held, strict=True)
-        table = np.frombuffer(b"".join(marks), dtype=np.uint16).reshape(len(held), -1)
+        rids, labels, marks, vectors = zip(*held, strict=True)
+        band = held_band[0]
+        table = np.frombuffer(b"".join(marks), dtype=np.uint32).reshape(len(held), config.bands, config.band_samples)
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
         left, right = [], []
-        for rid, label, mark in sent:
-            mine = np.frombuffer(mark, dtype=np.uint16)
-            for k in np.flatnonzero((table == mine).sum(axis=1) >= need).tolist():
-                if labels[k] != label:
-                    left.append(min(rid, rids[k]))
-                    right.append(max(rid, rids[k]))
+        ready: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray, float]:
+            if k not in ready:
+                ready[k] = weighed(np.frombuffer(vectors[k], dtype=np.uint32), known.value)
+            return ready[k]
+
+        for rid, label, mark, vector in sent:
+            same = table == np.frombuffer(mark, dtype=np.uint32).reshape(config.bands, config.band_samples)
+            agree = same.sum(axis=(1, 2))
+            first = same.all(axis=2).argmax(axis=1) == band
+            near = np.flatnonzero((agree >= need) & first)
+            if not len(near):
+                continue
+            mine = weighed(np.frombuffer(vector, dtype=np.uint32), known.value)
+            for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+                if find(label) != find(labels[k]) and similarity(mine, of(k)) >= config.threshold:
+                    root[find(label)] = find(labels[k])
+                    left.append(rid)
+                    right.append(rids[k])
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
+    held_band = [0]
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, sent = None, [], []
         for b in batches:
-            for key, block, is_sent, *row in zip(*(b[c].to_pylist() for c in ("key", "block", "sent", "rid", "label", "signature")), strict=True):
+            for key, block, is_sent, band, *row in zip(*(b[c].to_pylist() for c in ("key", "block", "sent", "band", "rid", "label", "signature", "vector")), strict=True):
                 if (key, block) != at:
                     if held and sent:
                         yield from compare(held, sent)
-                    at, held, sent = (key, block), [], []
-                if is_sent and len(sent) >= 1 << 14:  # many texts that are apart: compare what is here, keep the block
+                    at, held, sent, held_band[0] = (key, block), [], [], band
+                if is_sent and len(sent) >= most:
                     if held:
                         yield from compare(held, sent)
                     sent = []
@@ -340,7 +379,7 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, config: NearC
         if held and sent:
             yield from compare(held, sent)
 
-    return rows.mapInArrow(blocks, "a binary, b binary").distinct()
+    return durable(rows.mapInArrow(blocks, "a binary, b binary"))
 
 
 def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
@@ -357,18 +396,18 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     vectors = durable(_vectors(texts, config))
     known = spark.sparkContext.broadcast(frequencies(vectors, config))  # 2 * 2 ** sketch_bits numbers
     signed = durable(_signed(vectors, known, config))
-    bands = signed.select("rid", F.explode("keys").alias("key"))
+    bands = signed.select("rid", F.posexplode("keys").alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rid").alias("h"), "rid"))["rid"].alias("leader")).filter("n > 1")
     leaders = durable(leaders)
     total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bands = durable(look_up(bands, leaders, "key", "n", total).filter("n IS NOT NULL"))
     led = bands.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared"))
     # A text is compared with the leader of most of its buckets.
-    first = led.groupBy("rid").agg(F.max(F.struct("shared", "leader"))["leader"].alias("leader"))
-    links = _verified(durable(first.select(*_ordered("rid", "leader"))).distinct(), vectors, known, config.threshold)
-    labels = durable(components(links).select(F.col("node").alias("rid"), F.col("root").alias("label")))
-    pairs = durable(_apart(signed, bands.select("key", "rid"), labels, config))
-    more = _verified(pairs, vectors, known, config.threshold)
+    first = durable(led.groupBy("rid").agg(F.max(F.struct("shared", "leader"))["leader"].alias("leader")))
+    links = _verified(first.select(F.col("rid").alias("a"), F.col("leader").alias("b")), vectors, known, config.threshold)
+    # A leader comes before its texts in hash order, so these links have no cycle.
+    labels = follow(links.select(F.col("a").alias("node"), F.col("b").alias("root"))).select(F.col("node").alias("rid"), F.col("root").alias("label"))
+    more = _apart(signed, bands.select("key", "band", "rid"), labels, vectors, known, config)
     labels = components(links.unionByName(more)).select(F.col("node").alias("rid"), F.col("root").alias("label"))
     ids = texts.select("doc_id", "rid")
     per_text = ids.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
@@ -382,7 +421,5 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """``docs`` with one row of each class of :func:`near_groups`, all columns."""
-    kept = near_groups(docs, config).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    ids = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return ids.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each class of :func:`near_groups`, all columns, and all rows without an id."""
+    return rows_with_ids(docs, near_groups(docs, config).filter("kept").select(F.col("doc_id").alias("id")))

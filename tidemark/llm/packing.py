@@ -6,14 +6,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import durable, ship, text_or_empty
+from .durable import durable, ship, text_or_empty, worker_state
 
 #: Words whose ids a worker keeps before it drops those not used lately, and the longest word that it keeps.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
@@ -85,9 +84,8 @@ class WordEncoder:
         return b"".join(ids)
 
 
-@cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return worker_state(f"words of {path}", lambda: WordEncoder(path))
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:

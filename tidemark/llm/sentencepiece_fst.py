@@ -15,13 +15,12 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .durable import ship
+from .durable import ship, worker_state
 
 SPACE = "▁"
 #: Chunks whose ids a worker keeps before it drops those not used lately, the longest chunk kept, and neighbours kept.
@@ -193,9 +192,8 @@ class Transducer:
         return out.decode("utf-8", "replace")
 
 
-@cache
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    return worker_state(f"transducer of {path}", lambda: Transducer(path))
 
 
 def sentencepiece_table(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:

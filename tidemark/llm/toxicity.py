@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import ship, text_or_empty
+from .durable import ship, text_or_empty, worker_state
 from .linear import fit_logistic, ngram_ids, sigmoid
 
 
@@ -59,6 +59,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for b in batches:
             found = [ngram_ids(t.as_py().lower(), config.sizes, config.bits).tobytes() for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["__y"], pa.array(found, pa.binary())], ["doc_id", "y", "ids"])
@@ -92,6 +93,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         m = shared.value
         for b in batches:
             found = np.array([m.score(t.as_py()) for t in b["text"]], dtype=np.float64)
@@ -112,6 +114,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxi
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, config))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in b["text"]], pa.bool_()))
 
