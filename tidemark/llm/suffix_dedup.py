@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, look_up, parts, ship, text_or_empty
+from .durable import durable, look_up, parts, ship, text_or_empty, tidy
 
 LENGTH = 400
 #: Bytes of the grams that give the keys.
@@ -27,7 +27,7 @@ GRAM = 32
 #: Starts that a region has at most; a longer run of one key (periodic text) is cut.
 REGION_STARTS = 4096
 #: Bytes of text that a suffix array is built over, about; bytes of different regions that one task takes of one key.
-ARRAY_BYTES, KEY_BYTES = 1 << 20, 1 << 22
+ARRAY_BYTES, KEY_BYTES = 1 << 19, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -139,6 +139,15 @@ class SuffixArray:
             same = self._advance(a, b, same, size)
         return same
 
+    def share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes a and b have a common prefix of ``depth`` bytes."""
+        eights, rest = divmod(self.depth, 8)
+        same = self.common_prefix(a, b) >= 8 * eights
+        if rest:
+            shift = np.uint64(8 * (8 - rest))
+            same &= self.words[a + 8 * eights] >> shift == self.words[b + 8 * eights] >> shift
+        return same
+
     def _advance(self, a: np.ndarray, b: np.ndarray, same: np.ndarray, size: int) -> np.ndarray:
         at = np.minimum(same, self.depth)
         h = self.hashes[size]
@@ -216,7 +225,7 @@ def repeated_starts(regions: list[bytes], length: int = LENGTH) -> list[np.ndarr
     np.add.at(mark, begin + sizes, -1)
     owned = np.cumsum(mark[:-1]) == 0  # the last length - 1 bytes of a region start no string of it
     order = array.order[owned[array.order]]
-    same = array.common_prefix(order[:-1], order[1:]) >= length
+    same = array.share(order[:-1], order[1:])
     repeated = np.zeros(len(data), dtype=bool)
     repeated[order[:-1][same]] = True
     repeated[order[1:][same]] = True
@@ -249,10 +258,10 @@ def _regions_of(docs: DataFrame, length: int) -> DataFrame:
             raw, uids = b["raw"], b["uid"]
             k = 0
             while k < b.num_rows:
-                texts, first, held = [], k, 0
-                while k < b.num_rows and (not texts or held < 1 << 22):
+                texts, first, size = [], k, 0
+                while k < b.num_rows and (not texts or size < 1 << 20):
                     texts.append(raw[k].as_py())
-                    held += len(texts[-1])
+                    size += len(texts[-1])
                     k += 1
                 joined = b"".join(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -268,19 +277,19 @@ def _regions_of(docs: DataFrame, length: int) -> DataFrame:
                     ["uid", "key", "content", "first", "size", "recurs"],
                 )
 
-    return docs.select("uid", "raw").mapInArrow(regions, "uid binary, key long, content binary, first long, size long, recurs boolean")
+    return docs.select("uid", "raw").mapInArrow(tidy(regions), "uid binary, key long, content binary, first long, size long, recurs boolean")
 
 
 def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
     """content and spans of regions that share strings; ``regions`` has key, content, bytes, rows of a key adjacent."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
+        some: list[tuple[bytes, bytes]] = []
         weight, last = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
-            for (content, _), which in zip(held, repeated_starts([x for _, x in held], length), strict=True):
+            for (content, _), which in zip(some, repeated_starts([x for _, x in some], length), strict=True):
                 if which.any():
                     rows.append((content, covered_spans(np.flatnonzero(which), length).astype("<i4").tobytes()))
             if rows:
@@ -290,14 +299,14 @@ def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
             for key, content, raw in zip(b["key"].to_pylist(), b["content"].to_pylist(), b["bytes"], strict=True):
                 if key != last and weight >= ARRAY_BYTES:
                     yield from flush()
-                    held, weight = [], 0
+                    some, weight = [], 0
                 last = key
-                held.append((content, raw.as_py()))
-                weight += len(held[-1][1])
-        if held:
+                some.append((content, raw.as_py()))
+                weight += len(some[-1][1])
+        if some:
             yield from flush()
 
-    return regions.select("key", "content", "bytes").mapInArrow(sort, "content binary, spans binary")
+    return regions.select("key", "content", "bytes").mapInArrow(tidy(sort), "content binary, spans binary")
 
 
 def _spans_by_start(regions: DataFrame, length: int) -> DataFrame:
@@ -316,7 +325,7 @@ def _spans_by_start(regions: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["content"], pa.array(spans, pa.binary())], ["content", "spans"])
 
     ship(spark)
-    return starts.mapInArrow(cover, "content binary, spans binary")
+    return starts.mapInArrow(tidy(cover), "content binary, spans binary")
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -397,7 +406,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ship(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return marked.select("doc_id", "raw", "found").mapInArrow(measure, schema)
+    return marked.select("doc_id", "raw", "found").mapInArrow(tidy(measure), schema)
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -413,4 +422,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ship(docs.sparkSession)
     rest = [F.col(c) for c in columns if c != "text"]
-    return marked.select(*rest, F.col("text").isNull().alias("is_null"), "raw", "found").mapInArrow(cut, docs.schema)
+    return marked.select(*rest, F.col("text").isNull().alias("is_null"), "raw", "found").mapInArrow(tidy(cut), docs.schema)
