@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import ship
+from .durable import ship, tidy
 
 # Element names of the HTML standard, by what they do.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -454,5 +454,5 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             yield pa.RecordBatch.from_arrays([b[id_col], pa.array(texts, pa.string())], [id_col, "text"])
 
     ship(pages.sparkSession)
-    out = pages.select(id_col, html_col).mapInArrow(rendered, f"{id_col} {dict(pages.dtypes)[id_col]}, text string")
+    out = pages.select(id_col, html_col).mapInArrow(tidy(rendered), f"{id_col} {dict(pages.dtypes)[id_col]}, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

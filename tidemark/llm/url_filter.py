@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import ship
+from .durable import ship, tidy
 from .exact_dedup import ascii_lower
 from .linear import fit_logistic, ngram_ids, sigmoid
 
@@ -144,7 +144,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_co
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "block_score"])
 
     ship(pages.sparkSession)
-    out = ruled.mapInArrow(scored, f"{id_col} {dict(pages.dtypes)[id_col]}, host string, path string, rule string, block_score double")
+    out = ruled.mapInArrow(tidy(scored), f"{id_col} {dict(pages.dtypes)[id_col]}, host string, path string, rule string, block_score double")
     by_rule = F.lit(None).cast("string")
     for verdict, rule in rules:
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)

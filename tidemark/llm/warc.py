@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import durable, look_up, parts, shared_dir, ship
+from .durable import durable, look_up, parts, shared_dir, ship, tidy
 
 #: Payloads below this size are always written as responses.
 MIN_REVISIT_BYTES = 100
@@ -116,7 +116,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([at], pa.int64())], ["path", "records", "file_bytes"])
 
     ship(chunks.sparkSession)
-    return durable(chunks.mapInArrow(write, "path string, records long, file_bytes long"))
+    return durable(chunks.mapInArrow(tidy(write), "path string, records long, file_bytes long"))
 
 
 def _records(source: pa.NativeFile, chunk_bytes: int) -> Iterator[tuple[dict[str, str], int, bool, bytes]]:
@@ -197,7 +197,7 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, chunk_byte
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
     ship(spark)
     schema = "page_id long, url string, record_type string, refers_to long, chunk_no int, last boolean, payload_bytes long, payload_digest string, data binary"
-    out = files.select("path").repartition(parts(spark)).mapInArrow(read, schema)
+    out = files.select("path").repartition(parts(spark)).mapInArrow(tidy(read), schema)
     return out if with_data else out.drop("data")
 
 
