@@ -46,21 +46,39 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self._ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space. Those of letters only are encoded in one call and parted after the tokens that end a word."""
+        letters = [w for w in words if w.isalpha()]
+        ids = np.asarray(self._tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+        if len(ends) != len(letters):  # a letter that becomes several characters may part a word
+            return self._fresh(words)
+        raw, at = ids.tobytes(), 0
+        found = {}
+        for w, end in zip(letters, ends.tolist(), strict=True):
+            found[w] = raw[at:end]
+            at = end
+        rest = [w for w in words if w not in found]
+        return [*map((found | dict(zip(rest, self._fresh(rest), strict=True))).__getitem__, words)]
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept."""
         older, known = self._older, self._known
         found = {w: older[w] for w in words if w in older}
-        split = {w: m.groups() for w in words if w not in found and (m := _MARKED.fullmatch(w)) and m[1].isalpha()}
+        split = {w: m.groups() for w in words if w not in found and (m := _MARKED.fullmatch(w)) and m[1].isalpha() and m[1].lower().isalpha()}
         plain = words.difference(found, split)
         plain.update(x for pair in split.values() for x in pair if x not in known and x not in older)
         plain = list(plain)
-        fresh = dict(zip(plain, self._fresh(plain), strict=True))
+        fresh = dict(zip(plain, self._fresh_words(plain), strict=True))
         found |= fresh
         for w, pair in split.items():
             found[w] = b"".join([fresh[x] if x in fresh else known[x] if x in known else older[x] for x in pair])
