@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from oracle import connect, same
 
@@ -24,28 +24,67 @@ def test_queries_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
 
 
-def test_pipeline_stages_take_effect(spark, sf):
+def test_pipeline_matches_brute_force(spark, sf):
+    """Every stage against plain Python over what the stage before it kept."""
+    from collections import Counter, defaultdict
+
     import corpus_pipeline
+    import numpy as np
+    from test_exact_and_near import brute_force as near_classes
+
+    from tidemark.llm import toxicity
     from tidemark.llm.durable import durable, table
-    from tidemark.llm.exact_dedup import exact_groups
-    from tidemark.llm.near_dedup import near_groups
-    from tidemark.llm.suffix_dedup import repeated_bytes
-    from tidemark.llm.toxicity import toxicity
+    from tidemark.llm.near_dedup import NearConfig
+    from tidemark.llm.packing import WordEncoder, vocabulary_path
 
     docs = table(spark, sf, "documents")
-    columns = docs.columns
-    verdicts = {r.doc_id for r in toxicity(docs, table(spark, sf, "labels")).filter("predicted = 0").collect()}
-    kept = durable(corpus_pipeline.toxicity(spark, docs, sf))
-    assert {r.doc_id for r in kept.collect()} == verdicts
-    for stage, groups in ((corpus_pipeline.exact_dedup, exact_groups), (corpus_pipeline.near_dedup, near_groups)):
-        stay = {r.doc_id for r in groups(kept).filter("kept").collect()}
-        kept = durable(stage(spark, kept, sf))
-        assert {r.doc_id for r in kept.collect()} == stay
-        assert kept.columns == columns
-    loss = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeated_bytes(kept).collect()}
-    cut = durable(corpus_pipeline.suffix_dedup(spark, kept, sf))
-    assert cut.columns == columns and cut.count() == len(loss)
-    for r in cut.collect():
-        assert r.n_chars == len(r.text)
-        assert loss[r.doc_id][0] - loss[r.doc_id][1] - 12 <= len(r.text.encode()) <= loss[r.doc_id][0] - loss[r.doc_id][1]
-    assert {r.doc_id for r in corpus_pipeline.packing(spark, cut, sf).collect()} == set(loss)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "near_dedup", "suffix_dedup", "packing"]
+    now, texts = docs, {r.doc_id: r.text for r in docs.collect()}
+
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    texts = {i: t for i, t in texts.items() if model.score(t) < 0.5}
+    now = durable(stages["toxicity"](spark, now, sf))
+    assert {r.doc_id: r.text for r in now.collect()} == texts
+
+    groups = defaultdict(list)
+    for i, t in texts.items():
+        groups["".join(c.lower() if c.isascii() else c for c in t)].append(i)
+    texts = {max(ids): texts[max(ids)] for ids in groups.values()}
+    now = durable(stages["exact_dedup"](spark, now, sf))
+    assert {r.doc_id: r.text for r in now.collect()} == texts
+
+    classes = near_classes(texts, NearConfig())
+    texts = {i: t for i, t in texts.items() if classes[i] == i}
+    now = durable(stages["near_dedup"](spark, now, sf))
+    assert {r.doc_id: r.text for r in now.collect()} == texts
+
+    raw = {i: t.encode() for i, t in texts.items()}
+    seen = Counter(b[k : k + 400] for b in raw.values() for k in range(len(b) - 399))
+    for i, b in raw.items():
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        texts[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    now = durable(stages["suffix_dedup"](spark, now, sf))
+    assert now.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in now.collect()} == {i: (t, len(t)) for i, t in texts.items()}
+
+    encoder = WordEncoder(vocabulary_path())
+    lengths = Counter()
+    places = defaultdict(list)
+    for r in stages["packing"](spark, now, sf).collect():
+        lengths[r.doc_id] += r.length
+        places[r.sequence_id].append((r.offset, r.length))
+    assert lengths == {i: len(encoder._fresh([t])[0]) // 4 + 1 for i, t in texts.items()}
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))]
+        assert sum(n for _, n in held) <= 2048
+
+
+def test_pipeline_query_gives_the_last_stage(spark, sf):
+    found = __spark_entry__.queries()["pipeline"](spark, sf)
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert found.count() > 0
