@@ -168,3 +168,28 @@ def any_expected(response: Column, expected: Column) -> Column:
     """Whether the response contains any expected string, in any case."""
     low = F.lower(response)
     return F.exists(expected, lambda e: F.contains(low, F.lower(e)))
+
+
+def bm25_text(title: Column, bullets: Column) -> Column:
+    """What word search indexes of a node."""
+    return F.concat_ws(" ", title, F.array_join(bullets, " "))
+
+
+def vector_text(title: Column, bullets: Column, keywords: Column) -> Column:
+    """What is embedded of a node; null if it is blank."""
+    whole = F.concat_ws(". ", title, F.array_join(bullets, ". "), F.array_join(keywords, ", "))
+    return F.nullif(F.trim(whole), F.lit(""))
+
+
+def searchable_text(title: Column, keywords: Column, bullets: Column) -> Column:
+    """What a federated search looks at."""
+    return F.concat_ws(" ", title, F.array_join(keywords, " "), F.array_join(bullets, " "))
+
+
+def merged_keywords(lists: Column, count: int = 7) -> Column:
+    """The first of the sorted different keywords of several lists."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(lists))), 1, count)
+
+
+def sorted_agents(agents: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(agents, F.lower)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Topics
 from ..functions.scoring import importance
-from ..functions.text import topic_words
+from ..functions.text import keyword_words, topic_words
 from ..functions.vectors import centroids, dot
 
 
@@ -33,6 +33,13 @@ def top_terms(scores: DataFrame, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def frequent_words(docs: DataFrame, key: str, text: str = "text", k: int = 5) -> DataFrame:
+    """key, word, n and rank: the most frequent keyword words of each group."""
+    counts = docs.select(key, F.explode(keyword_words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def labels(scores: DataFrame, key: str, config: Topics = Topics()) -> DataFrame:
     """key, label and keywords (twice as many as a label has)."""
     best = top_terms(scores, key, 2 * config.label_words)

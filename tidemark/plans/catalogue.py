@@ -778,6 +778,40 @@ def topic_graph_status(spark: SparkSession, sf: str) -> DataFrame:
     return topics.graph_status(topics.prune(_topic_table(spark, sf), as_of()), links, topics.cooccurrence_edges(links))
 
 
+_STOP_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(
+    "keyword_top5",
+    f"""WITH w AS (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n FROM w WHERE strlen(word) > 3 AND word NOT IN ({_STOP_SQL}) GROUP BY 1, 2)
+    SELECT conv_id, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 5""",
+)
+def keyword_top5(spark: SparkSession, sf: str) -> DataFrame:
+    return topics.frequent_words(tables.read(spark, sf, "conversations"), "conv_id").select("conv_id", "word", "n", "rank")
+
+
+@query(
+    "node_texts",
+    """WITH n AS (SELECT doc_id AS node_id, substr(text, 1, 60) AS title, [substr(text, 1, 100), substr(text, 101, 100)] AS bullets, list_transform(string_split(text, ' ')[1:3], lambda x: lower(x)) AS keywords FROM documents)
+    SELECT node_id, title || ' ' || array_to_string(bullets, ' ') AS bm25_text, nullif(trim(title || '. ' || array_to_string(bullets, '. ') || '. ' || array_to_string(keywords, ', ')), '') AS vector_text,
+      title || ' ' || array_to_string(keywords, ' ') || ' ' || array_to_string(bullets, ' ') AS searchable_text FROM n""",
+)
+def node_texts(spark: SparkSession, sf: str) -> DataFrame:
+    t, b, k = (F.col(c) for c in ("title", "bullets", "keywords"))
+    return _doc_nodes(spark, sf).select("node_id", text.bm25_text(t, b).alias("bm25_text"), text.vector_text(t, b, k).alias("vector_text"), text.searchable_text(t, k, b).alias("searchable_text"))
+
+
+@query("event_metadata", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type IN ('session_start', 'subagent_start', 'subagent_stop', 'session_end') AS structural, epoch_us(ts) // 1000 AS ts_ms FROM events")
+def event_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.event_to_wire(tables.events(spark, sf), ["click", "view"])
+    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), tables.is_structural(F.col("event_type")).alias("structural"), "ts_ms")
+
+
+@query("activity_of_agent", f"WITH {_EV} SELECT agent, epoch_us(date_trunc('day', ts)) // 1000 AS bucket_ms, count(*) AS n_events FROM ev WHERE agent = 'agent_3' GROUP BY 1, 2")
+def activity_of_agent(spark: SparkSession, sf: str) -> DataFrame:
+    return agents.activity(tables.events(spark, sf), "day", "agent_3").select("agent", ms("bucket").alias("bucket_ms"), "n_events")
+
+
 # Novelty, episodes, life cycle.
 
 
