@@ -18,22 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import durable, parts, ship
+from .durable import durable, ship, tidy
 
 
 @dataclass(frozen=True)
 class GraphConfig:
-    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent, beam width, nodes expanded in a round, and nodes that a search starts from."""
+    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent, beam width, nodes expanded in a round, nodes that a search starts from, and nodes of a partition of the graph."""
 
     neighbours: int = 16
     reverse: int = 12
     block: int = 2048
     orders: int = 2
     rounds: int = 3
-    told: int = 6
-    beam: int = 192
-    step: int = 48
+    told: int = 8
+    beam: int = 448
+    step: int = 128
     entries: int = 1024
+    part_nodes: int = 4096
 
 
 _PART = np.uint64(0x9E3779B97F4A7C15)
@@ -53,6 +54,15 @@ def _floats(x: pa.Scalar) -> np.ndarray:
     return np.empty(0, np.float32) if buffer is None else np.frombuffer(buffer, dtype=np.float32)
 
 
+def _parts(nodes: DataFrame, config: GraphConfig) -> int:
+    """Partitions of the graph: as many as its nodes need, whatever the session's default is for shuffles."""
+    return max(1, -(-nodes.count() // config.part_nodes))
+
+
+def _deal(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    return rows.repartition(n, *keys).coalesce(n)
+
+
 def _sweep(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of rounds that are over."""
     gc.collect()
@@ -85,7 +95,7 @@ def _nodes(rows: DataFrame, ids_kept: int) -> DataFrame:
                 out.append(whole.tobytes())
             yield pa.RecordBatch.from_arrays([b["v"], b["ids"], pa.array(out, pa.binary())], ["v", "ids", "unit"])
 
-    made = nodes.select("v", "ids").mapInArrow(unit, "v array<double>, ids array<long>, unit binary")
+    made = nodes.select("v", "ids").mapInArrow(tidy(unit), "v array<double>, ids array<long>, unit binary")
     return durable(made.withColumn("nid", F.monotonically_increasing_id()))
 
 
@@ -104,9 +114,10 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def _first_graph(nodes: DataFrame, config: GraphConfig) -> DataFrame:
     """nid, ids, scores: the nearest in blocks of rows sorted by nearest pivot and by a projection, over several orders."""
-    spark, found = nodes.sparkSession, []
+    found = []
     for seed in range(config.orders):
-        pivots = np.stack([np.frombuffer(r["unit"], np.float32) for r in _sample(nodes, config.entries, seed)])
+        sample = [np.frombuffer(r["unit"], np.float32) for r in _sample(nodes, config.entries, seed)]
+        pivots = np.stack(sample) if sample else np.empty((0, 1), np.float32)
 
         def cell(batches: Iterator[pa.RecordBatch], pivots: np.ndarray = pivots) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -140,17 +151,17 @@ def _first_graph(nodes: DataFrame, config: GraphConfig) -> DataFrame:
                     scores.append(row[t].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], ["nid", "ids", "scores"])
 
-        placed = nodes.select("nid", "unit").mapInArrow(cell, "nid long, unit binary, cell long, place float")
+        placed = nodes.select("nid", "unit").mapInArrow(tidy(cell), "nid long, unit binary, cell long, place float")
         blocks = max(1, nodes.count() // (2 * config.block))
-        ordered = placed.repartitionByRange(min(blocks, parts(spark)), "cell", "place").sortWithinPartitions("cell", "place")
-        found.append(ordered.select("nid", "unit").mapInArrow(block, "nid long, ids binary, scores binary"))
+        ordered = placed.repartitionByRange(blocks, "cell", "place").coalesce(blocks).sortWithinPartitions("cell", "place")
+        found.append(ordered.select("nid", "unit").mapInArrow(tidy(block), "nid long, ids binary, scores binary"))
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
     return out
 
 
-def _merge_lists(lists: DataFrame, k: int, base: bool) -> DataFrame:
+def _merge_lists(lists: DataFrame, k: int, n: int) -> DataFrame:
     """One row per nid: its k best, and which are new, that is, not from a row with old = true."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +191,16 @@ def _merge_lists(lists: DataFrame, k: int, base: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     names, kinds = ["nid", "ids", "scores", "new"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    rows = lists.repartition(parts(lists.sparkSession), "nid").sortWithinPartitions("nid", "old")
-    return durable(rows.select("nid", "ids", "scores", "old").mapInArrow(merge, "nid long, ids binary, scores binary, new binary"))
+    rows = _deal(lists, n, "nid").sortWithinPartitions("nid", "old")
+    return durable(rows.select("nid", "ids", "scores", "old").mapInArrow(tidy(merge), "nid long, ids binary, scores binary, new binary"))
 
 
 def build_graph(nodes: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     """nid, ids, scores, new: the neighbour graph of ``nodes`` (nid, unit) by NN-descent."""
     spark = nodes.sparkSession
     ship(spark)
-    graph = _merge_lists(_first_graph(nodes, config).withColumn("old", F.lit(False)), config.neighbours, True)
+    n = _parts(nodes, config)
+    graph = _merge_lists(_first_graph(nodes, config).withColumn("old", F.lit(False)), config.neighbours, n)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,15 +253,15 @@ def build_graph(nodes: DataFrame, config: GraphConfig = GraphConfig()) -> DataFr
             yield pa.RecordBatch.from_arrays([b["nid"], pa.array(least, pa.float32()), pa.array(half, pa.binary())], ["member", "least", "half"])
 
     for k in range(config.rounds):
-        forward = graph.select("nid", "ids", "new").mapInArrow(edges, "centre long, member long, new boolean")
+        forward = graph.select("nid", "ids", "new").mapInArrow(tidy(edges), "centre long, member long, new boolean")
         back = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "new")
         order = F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("member", F.lit(k))))
         back = back.withColumn("n", order).filter(F.col("n") <= config.reverse).drop("n")
-        cards = graph.select("nid", "scores").join(nodes.select("nid", "unit"), "nid").select("nid", "scores", "unit").mapInArrow(card, "member long, least float, half binary")
+        cards = graph.select("nid", "scores").join(nodes.select("nid", "unit"), "nid").select("nid", "scores", "unit").mapInArrow(tidy(card), "member long, least float, half binary")
         members = forward.unionByName(back).join(cards, "member")
-        members = members.repartition(parts(spark), "centre").sortWithinPartitions("centre")
-        told = members.select("centre", "member", "new", "least", "half").mapInArrow(meet, "nid long, ids binary, scores binary")
-        graph = _merge_lists(graph.select("nid", "ids", "scores").withColumn("old", F.lit(True)).unionByName(told.withColumn("old", F.lit(False))), config.neighbours, False)
+        members = _deal(members, n, "centre").sortWithinPartitions("centre")
+        told = members.select("centre", "member", "new", "least", "half").mapInArrow(tidy(meet), "nid long, ids binary, scores binary")
+        graph = _merge_lists(graph.select("nid", "ids", "scores").withColumn("old", F.lit(True)).unionByName(told.withColumn("old", F.lit(False))), config.neighbours, n)
         _sweep(spark)
     return graph
 
@@ -262,7 +274,7 @@ def _undirected(graph: DataFrame, reverse: int) -> DataFrame:
             ids = [_longs(x) for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*ids, np.empty(0, np.int64)])), pa.array(np.repeat(np.asarray(b["nid"]), [len(x) for x in ids]))], ["nid", "other"])
 
-    back = graph.select("nid", "ids").mapInArrow(edges, "nid long, other long")
+    back = graph.select("nid", "ids").mapInArrow(tidy(edges), "nid long, other long")
     order = F.row_number().over(Window.partitionBy("nid").orderBy(F.xxhash64("other")))
     back = back.withColumn("n", order).filter(F.col("n") <= reverse).groupBy("nid").agg(F.collect_list("other").alias("back"))
 
@@ -271,7 +283,7 @@ def _undirected(graph: DataFrame, reverse: int) -> DataFrame:
             links = [np.unique(np.concatenate([_longs(x), np.array(y or [], dtype=np.int64)])).tobytes() for x, y in zip(b["ids"], b["back"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["nid"], pa.array(links, pa.binary())], ["nid", "links"])
 
-    return graph.select("nid", "ids").join(back, "nid", "left").select("nid", "ids", "back").mapInArrow(join, "nid long, links binary")
+    return graph.select("nid", "ids").join(back, "nid", "left").select("nid", "ids", "back").mapInArrow(tidy(join), "nid long, links binary")
 
 
 _STATE = "qid long, kind int, unit binary, ids binary, scores binary, done binary, pending binary, frontier binary"
@@ -282,7 +294,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
     """qid and ids (nodes, best first) of the beam that a greedy search ends with, for ``queries`` (qid, unit, start: a node or null)."""
     spark = nodes.sparkSession
     ship(spark)
-    n = parts(spark)
+    n = _parts(nodes, config)  # a query sends at most one message a round to a partition
     sample = _sample(nodes, config.entries, -1)
     entry_ids = np.array([r["nid"] for r in sample], dtype=np.int64)
     entry_units = np.stack([np.frombuffer(r["unit"], np.float32) for r in sample]) if sample else np.empty((0, 1), np.float32)
@@ -292,7 +304,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_part_of(np.asarray(b["nid"]), n)), *(b[c] for c in ("nid", "unit", "links"))], ["part", "nid", "unit", "links"])
 
-    placed = nodes.select("nid", "unit").join(_undirected(graph, config.neighbours), "nid").select("nid", "unit", "links").mapInArrow(where, "part long, nid long, unit binary, links binary")
+    placed = nodes.select("nid", "unit").join(_undirected(graph, config.neighbours), "nid").select("nid", "unit", "links").mapInArrow(tidy(where), "part long, nid long, unit binary, links binary")
     none = lambda kind: F.lit(None).cast(kind)
     placed = durable(placed.select("part", F.lit(0).alias("kind"), "nid", "unit", none("float").alias("least"), F.col("links").alias("score"), none("binary").alias("expand")))
 
@@ -389,14 +401,14 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
         if out:
             yield batch_of(out)
 
-    state = durable(queries.select("qid", "unit", "start").mapInArrow(begin, _STATE))
+    state = durable(_deal(queries.select("qid", "unit", "start"), n, "qid").mapInArrow(tidy(begin), _STATE))
     active = (F.octet_length("pending") > 0) | (F.octet_length("frontier") > 0)
     turn = 0
-    while state.filter(active).limit(1).count():
-        messages = state.filter(active).select("qid", "unit", "scores", "pending", "frontier").mapInArrow(send, "part long, kind int, nid long, unit binary, least float, score binary, expand binary")
-        both = placed.unionByName(messages).repartition(n, "part").sortWithinPartitions("part", "kind")
-        replies = both.mapInArrow(serve, _STATE)
-        state = durable(state.unionByName(replies).repartition(n, "qid").sortWithinPartitions("qid", "kind").mapInArrow(advance, _STATE))
+    while turn % 2 or state.filter(active).limit(1).count():  # a round of nothing is harmless
+        messages = state.filter(active).select("qid", "unit", "scores", "pending", "frontier").mapInArrow(tidy(send), "part long, kind int, nid long, unit binary, least float, score binary, expand binary")
+        both = _deal(placed.unionByName(messages), n, "part").sortWithinPartitions("part", "kind")
+        replies = both.mapInArrow(tidy(serve), _STATE)
+        state = durable(_deal(state.unionByName(replies), n, "qid").sortWithinPartitions("qid", "kind").mapInArrow(tidy(advance), _STATE))
         turn += 1
         if turn % 4 == 0:
             _sweep(spark)
@@ -431,7 +443,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k:
             ids = [_longs(x)[: 4 * k + 4] for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b["qid"]), [len(x) for x in ids])), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], ["qid", "nid"])
 
-    pairs = beams.mapInArrow(unpack, "qid long, nid long")
+    pairs = beams.mapInArrow(tidy(unpack), "qid long, nid long")
     found = pairs.join(nodes.select("nid", "v", "ids"), "nid").join(nodes.select(F.col("nid").alias("qid"), F.col("v").alias("q")), "qid")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +455,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k:
                 scores.append(float(x[:m] @ y[:m] / np.sqrt((x @ x) * (y @ y))))
             yield pa.RecordBatch.from_arrays([b["qid"], b["ids"], pa.array(scores, pa.float64())], ["qid", "ids", "score"])
 
-    scored = found.select("qid", "v", "q", "ids").mapInArrow(cosine, "qid long, ids array<long>, score double")
+    scored = found.select("qid", "v", "q", "ids").mapInArrow(tidy(cosine), "qid long, ids array<long>, score double")
     near = scored.select("qid", "score", F.explode("ids").alias("vec_id"))
     top = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     near = durable(near.withColumn("n", top).filter(F.col("n") <= k + 1).drop("n"))  # one of them may be the query itself
