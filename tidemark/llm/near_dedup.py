@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, follow
@@ -325,9 +325,8 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
     need = int(np.ceil(config.agreement * config.samples))
     most = 2048
 
-    def compare(held: list[tuple], sent: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def compare(held: list[tuple], sent: list[tuple], band: int) -> Iterator[pa.RecordBatch]:
         rids, labels, marks, vectors = zip(*held, strict=True)
-        band = held_band[0]
         table = np.frombuffer(b"".join(marks), dtype=np.uint32).reshape(len(held), config.bands, config.band_samples)
         root: dict[bytes, bytes] = {}
 
@@ -361,23 +360,21 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    held_band = [0]
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, sent = None, [], []
+        at, held, sent, now = None, [], [], 0
         for b in batches:
             for key, block, is_sent, band, *row in zip(*(b[c].to_pylist() for c in ("key", "block", "sent", "band", "rid", "label", "signature", "vector")), strict=True):
                 if (key, block) != at:
                     if held and sent:
-                        yield from compare(held, sent)
-                    at, held, sent, held_band[0] = (key, block), [], [], band
+                        yield from compare(held, sent, now)
+                    at, held, sent, now = (key, block), [], [], band
                 if is_sent and len(sent) >= most:
                     if held:
-                        yield from compare(held, sent)
+                        yield from compare(held, sent, now)
                     sent = []
                 (sent if is_sent else held).append(tuple(row))
         if held and sent:
-            yield from compare(held, sent)
+            yield from compare(held, sent, now)
 
     return durable(rows.mapInArrow(blocks, "a binary, b binary"))
 
