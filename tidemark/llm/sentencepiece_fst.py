@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -60,9 +61,13 @@ class Transducer:
         if self.merges and not all(c in self.ids for c in self.chars):
             raise ValueError("a merge model needs every character of its pieces as a piece")
         # No piece holds a space after another character, so paths part there; characters without a piece part them too.
-        self.parts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         stop = "" if "\n" in self.chars else "\n"
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|{stop}" if stop else "") if self.parts_at_space else r"(?s).+")
+        parts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.chunk = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|{stop}" if stop else "") if parts else r"(?s).+")
+        # Nor does a piece hold one of these marks after a letter.
+        after_letters = {y for p in self.ids for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        marks = re.escape("".join(sorted(set(string.punctuation) - after_letters)))
+        self.marked = re.compile(rf"({SPACE}?[^\W\d_]+)([{marks}]+)" if marks else r"(?!)()()")
         self.out = [self._output(p) for p in model.pieces]
         self._arcs = frozenset(p for p in self.ids if not self.merges or self._merged(p) == [p])
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -177,13 +182,23 @@ class Transducer:
                 if x is None:
                     c = chunks[k]
                     if c not in found:
-                        found[c] = self._older.get(c) or np.asarray(self.path_ids(c), dtype="<u4").tobytes()
+                        found[c] = self._older.get(c) or self._parted(c, found)
                     ids[k] = found[c]
             if len(self._known) + len(found) > CACHE_CHUNKS:
                 self._older, self._known = self._known, {}
             self._known.update((c, x) for c, x in found.items() if len(c) <= CACHE_CHARS)
         return b"".join(ids)
 
+    def _parted(self, chunk: str, found: dict[str, bytes]) -> bytes:
+        """Ids of a chunk; marks at its end are encoded apart from the letters before, which recur without them."""
+        parts = m.groups() if (m := self.marked.fullmatch(chunk)) and m[1][-1].isalpha() else (chunk,)
+        out = []
+        for x in parts:
+            ids = self._known.get(x) or self._older.get(x) or found.get(x) or np.asarray(self.path_ids(x), dtype="<u4").tobytes()
+            out.append(ids)
+            found[x] = ids
+        return b"".join(out)
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: the machine read from its output to its input, without the dummy prefix."""
         out = b"".join(map(self.out.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
