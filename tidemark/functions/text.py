@@ -21,7 +21,8 @@ KIND_PHRASES = (
 #: Kinds that staleness does not touch.
 EXEMPT_KINDS = ("constraint", "definition", "procedure", "preference")
 
-_SEPARATORS = r"[^\p{L}\p{N}]+"
+#: What stands between words.
+SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def contains_ci(text: Column, needle: str | Column) -> Column:
@@ -51,7 +52,7 @@ def term_overlap(text: Column, terms: Sequence[str]) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def topic_words(text: Column) -> Column:

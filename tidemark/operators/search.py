@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rrf_weight
-from ..functions.text import words
+from ..functions.text import SEPARATORS, words
 from ..functions.vectors import cosine, dot, literal
 
 K1, B = 1.2, 0.75
@@ -22,21 +22,27 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return terms, tokens.select(id_col, F.size("w").cast("bigint").alias("dl"))
 
 
+def _among(terms: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*terms)
+
+
 def _equals(term: str) -> Callable[[Column], Column]:
     return lambda w: w == term
 
 
 def bm25(docs: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """id and score of documents with a query term.
+    """id and score, to nine places so that copies tie, of documents with a query term.
 
     Terms are counted inside each row, so no word of the corpus is exploded or shuffled; only one row of corpus
     statistics (texts, mean length, document frequency of each query term) is gathered, and joined back by broadcast.
     A blank query finds nothing.
     """
     terms = list(dict.fromkeys(query.lower().split() if isinstance(query, str) else [t.lower() for t in query]))
-    tokens = docs.select(id_col, *carry, words(F.col(text_col)).alias("__w"))
-    tf = [F.size(F.filter("__w", _equals(t))).alias(f"__tf{k}") for k, t in enumerate(terms)]
-    counted = tokens.select(id_col, *carry, F.size("__w").alias("__dl"), *tf)
+    split = docs.select(id_col, *carry, F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS).alias("__s"))
+    # Only the first and the last part can be empty, so the length needs no pass over the words.
+    empty = (F.element_at("__s", 1) == "").cast("int") + (F.element_at("__s", -1) == "").cast("int")
+    found = split.select(id_col, *carry, F.greatest(F.size("__s") - empty, F.lit(0)).alias("__dl"), F.filter("__s", _among(terms)).alias("__hits"))
+    counted = found.select(id_col, *carry, "__dl", *(F.size(F.filter("__hits", _equals(t))).alias(f"__tf{k}") for k, t in enumerate(terms)))
     if not terms:
         return counted.select(id_col, *carry, F.lit(0.0).alias("score")).filter(F.lit(False))
     stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
@@ -47,7 +53,7 @@ def bm25(docs: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", te
         idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
     hit = reduce(lambda a, b: a | b, (F.col(f"__tf{k}") > 0 for k in range(len(terms))))
-    return joined.filter(hit).select(id_col, *carry, score.alias("score"))
+    return joined.filter(hit).select(id_col, *carry, F.round(score, 9).alias("score"))
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", carry: Sequence[str] = (), where: Column | None = None) -> DataFrame:

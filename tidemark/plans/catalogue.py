@@ -90,7 +90,7 @@ def _bm25_sql(table: str, key: str, terms: str, keep: str = "") -> str:
   st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tk),
   tf AS (SELECT {key}, len(w) AS dl, t, len(list_filter(w, lambda x: x = t)) AS f FROM tk, (SELECT unnest([{words}]) AS t)),
   dfs AS (SELECT t, count(*) FILTER (f > 0) AS df FROM tf GROUP BY t),
-  bm AS (SELECT {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))) AS score
+  bm AS (SELECT {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score
          FROM tf JOIN dfs USING (t), st GROUP BY {key} HAVING sum(f) > 0)"""
 
 
