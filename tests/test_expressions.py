@@ -59,7 +59,7 @@ def test_ids(spark):
     assert value(spark, text.grip_ms(F.lit(good))) == 1706540400000
     assert value(spark, text.grip_ms(F.lit("grip:x:y"))) is None
     assert value(spark, text.event_key_parts(F.lit("evt:0001:01AB")))["ms"] == 1
-    assert value(spark, text.normalise_agent(F.lit("  Claude "))) == "claude"
+    assert value(spark, text.normalise_agent(F.lit("  Alpha "))) == "alpha"
     assert value(spark, text.normalise_agent(F.lit("  "))) is None
 
 
