@@ -86,6 +86,18 @@ def test_samples_agree_as_often_as_sets_are_similar():
         assert (found[0] == found[1]).mean() == pytest.approx(near_dedup.weighted_jaccard(a, b, known), abs=0.07)
 
 
+def test_samples_agree_on_long_texts_with_unequal_counts():
+    known = near_dedup.Frequencies(1, np.ones((2, 1 << 10), dtype=np.int64), 10)
+    rng = np.random.default_rng(2)
+    draws = near_dedup._draws(512)
+    for n, repeated, times in ((20_000, 10, 300), (100_000, 40, 600)):
+        a = np.sort(rng.permutation(1 << 22)[:n].astype(np.uint32) * np.uint32(1021))
+        more = np.arange(1, repeated + 1, dtype=np.uint32) * np.uint32(1021) + np.uint32(1)
+        b = np.sort(np.concatenate([a, np.repeat(more, times)]))
+        found = near_dedup.signatures([a, b], known, draws)
+        assert (found[0] == found[1]).mean() == pytest.approx(near_dedup.weighted_jaccard(a, b, known), abs=0.07)
+
+
 def brute_force(texts: dict[int, str], config: NearConfig) -> dict[int, int]:
     """Largest id of each document's class, by comparing all pairs that share a shingle."""
     different = sorted(set(texts.values()))

@@ -173,23 +173,36 @@ def frequencies(vectors: DataFrame, config: NearConfig) -> Frequencies:
     return Frequencies(sum(r["texts"] for r in found), rows, config.sketch_bits)
 
 
-_DRAWS = 12  # bits of the draw that a shingle takes for a sample
+#: Shingles whose draws are made at once, so that they stay in a core's cache.
+_AT_ONCE = 1 << 14
 
 
-def _draws(samples: int) -> tuple[np.ndarray, ...]:
-    """For each sample, 2**_DRAWS draws of r and c ~ Gamma(2, 1) and beta ~ U(0, 1), as 1/r, r, beta and ln c + r beta - r."""
-    rng = np.random.default_rng(20100417)
-    shape = (samples, 1 << _DRAWS)
-    r, c, beta = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
-    multipliers = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * _U(2) + _U(1)
-    return (multipliers, *(x.astype(np.float32) for x in (1 / r, r, beta, np.log(c) + r * beta - r)))
+def _draws(samples: int) -> np.ndarray:
+    """A 64-bit seed for each sample; a shingle's draws for the sample are hashes of both."""
+    return np.random.default_rng(20100417).integers(0, 1 << 64, samples, dtype=np.uint64)
 
 
-def signatures(vectors: list[np.ndarray], known: Frequencies, draws: tuple[np.ndarray, ...]) -> np.ndarray:
+def _unit(bits: np.ndarray, n: int) -> np.ndarray:
+    """Numbers in (0, 1) from the lowest n <= 23 bits."""
+    return ((bits & _U((1 << n) - 1)).astype(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-n)
+
+
+def _drawn(wide: np.ndarray, log_weight: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """t and ln a of each shingle for the sample of a seed."""
+    one = _mix(wide ^ seed)
+    two = _mix(one + _U(_GOLD))
+    r = -np.log(_unit(one, 21) * _unit(one >> _U(21), 21))
+    beta = _unit(one >> _U(42), 22)
+    log_c = np.log(-np.log(_unit(two, 23)) - np.log(_unit(two >> _U(23), 23)))
+    t = np.floor(log_weight / r + beta)
+    return t, log_c - r * (t - beta + np.float32(1))
+
+
+def signatures(vectors: list[np.ndarray], known: Frequencies, draws: np.ndarray) -> np.ndarray:
     """The samples (rows: texts, columns: samples) as 64-bit hashes of the shingle and its quantised weight.
 
     A sample of a weighted set is the shingle with the least a = c exp(-r (t - beta + 1)), t = floor(ln w / r + beta), with
-    r, c and beta drawn for the shingle; two sets agree in it with the probability of their weighted Jaccard similarity.
+    r, c ~ Gamma(2, 1) and beta ~ U(0, 1) drawn for every shingle; two sets agree in it with the probability of their weighted Jaccard similarity.
     Vectors must be sorted and not empty: the first of equal values counts.
     """
     joined = np.concatenate(vectors)
@@ -204,12 +217,12 @@ def signatures(vectors: list[np.ndarray], known: Frequencies, draws: tuple[np.nd
     sizes = np.diff(np.append(begin, len(places)))
     log_weight = np.log(known.weights(shingle, count)).astype(np.float32)
     wide = _mix(shingle.astype(np.uint64))
-    multipliers, inverse_r, r, beta, offset = draws
-    out = np.empty((len(vectors), len(multipliers)), dtype=np.uint64)
-    for k in range(len(multipliers)):
-        draw = ((wide * multipliers[k]) >> _U(64 - _DRAWS)).astype(np.intp)
-        t = np.floor(log_weight * inverse_r[k].take(draw) + beta[k].take(draw))
-        log_a = offset[k].take(draw) - r[k].take(draw) * t
+    out = np.empty((len(vectors), len(draws)), dtype=np.uint64)
+    t, log_a = np.empty_like(log_weight), np.empty_like(log_weight)
+    for k in range(len(draws)):
+        for at in range(0, len(wide), _AT_ONCE):
+            part = slice(at, at + _AT_ONCE)
+            t[part], log_a[part] = _drawn(wide[part], log_weight[part], draws[k])
         least = np.minimum.reduceat(log_a, begin)
         hits = np.flatnonzero(log_a == np.repeat(least, sizes))
         best = hits[np.searchsorted(hits, begin)]
