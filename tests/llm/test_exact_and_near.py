@@ -135,6 +135,25 @@ def test_near_groups_match_brute_force(spark, sf):
     assert found == brute_force({r.doc_id: r.text for r in docs.collect()}, NearConfig())
 
 
+def test_document_frequencies_are_exact_beyond_a_sketch(spark):
+    """Rare shingles weigh the same however many different ones there are: here four times the cells of a sketch row."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 4004))) for k in range(260)]
+    rows += [(260, "same five words here now " + rows[0][1]), (261, "same five words here now " + rows[1][1]), (262, rows[2][1]), (263, "...")]
+    docs = frame(spark, rows).select("text", F.unhex(F.md5("text")).alias("rid"))
+    vectors = near_dedup._weighed_texts(docs, NearConfig()).collect()
+    different = sorted({t for _, t in rows if t != "..."})
+    assert {bytes(r.rid) for r in vectors} == {hashlib.md5(t.encode()).digest() for t in different}
+    own = {hashlib.md5(t.encode()).digest(): v for t, v in zip(different, near_dedup.shingles(different, 5), strict=True)}
+    df = dict(zip(*np.unique(np.concatenate([np.unique(v) for v in own.values()]), return_counts=True), strict=True))
+    for r in vectors:
+        shingle, count = np.unique(own[bytes(r.rid)], return_counts=True)
+        expected = count * (1 + np.log((1 + len(different)) / (1 + np.array([df[x] for x in shingle]))))
+        _, weights, whole = near_dedup.opened(bytes(r.vector))
+        assert whole == pytest.approx(expected.sum())
+        assert len(weights) < len(expected) or np.allclose(weights, expected)
+
+
 def test_large_groups_are_linked_through_blocks(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]

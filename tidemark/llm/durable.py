@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -83,6 +85,17 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more.
+
+    References from Python go some time after its objects, so Java's garbage is collected again after a while.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,10 @@
 """Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text is the multiset of its shingles, five words each. A shingle weighs its count in the text times its inverse
-document frequency, 1 + ln((1 + N) / (1 + df)), where df comes from a count-min sketch over all different texts. The sketch
-has a fixed size, so it can be broadcast at any scale, and every text sees the same weight for a shingle; its error is a
-fixed share of N, which means that shingles of few texts all count as equally rare. Texts whose samples agree in a band
-are candidates, and candidates are linked if their weighted Jaccard similarity is at least the threshold.
+document frequency, 1 + ln((1 + N) / (1 + df)), where df is the exact number of different texts with the shingle's 56-bit hash.
+Packs of texts send their different hashes to ranges of hashes as arrays; each range adds up the counts and answers each
+pack, so a frequent shingle is one number of each pack and no row. Texts whose samples agree in a band are candidates,
+and candidates are linked if their weighted Jaccard similarity is at least the threshold.
 
 Buckets are never expanded into rows of pairs. First each text is compared with one leader of its buckets. Components of
 those links then leave texts that are apart from others in a bucket; these are compared with the others in blocks of
@@ -20,17 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, follow
-from .durable import durable, look_up, parts, rows_with_ids, ship, text_or_empty, worker_state
+from .durable import durable, look_up, parts, rows_with_ids, ship, sweep, text_or_empty, worker_state
 
 
 @dataclass(frozen=True)
 class NearConfig:
-    """Words of a shingle, similarity of a link, bands and samples of a band, sketch size, and texts of a block."""
+    """Words of a shingle, similarity of a link, bands and samples of a band, bits of a :class:`Frequencies` sketch (not used by the query), and texts of a block."""
 
     words: int = 5
     threshold: float = 0.8
@@ -59,6 +58,9 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Bytes of text that are hashed at once.
 BATCH_BYTES = 1 << 20
+#: Bytes of text in a pack, and shingles of a range of hashes at most, about.
+PACK_BYTES = 8 << 20
+RANGE_SHINGLES = 1 << 21
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for at least n places."""
@@ -81,7 +83,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str], words: int) -> list[np.ndarray]:
-    """The sorted 32-bit hashes of each text's shingles, one for each occurrence.
+    """The sorted 56-bit hashes of each text's shingles, one for each occurrence.
 
     A word is a run of ASCII letters and digits and of characters beyond ASCII, in lower case. A text of fewer words than
     a shingle has is one shingle, and a text without words has none.
@@ -101,7 +103,7 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     state = np.zeros(max(len(word) - words + 1, 0), dtype=np.uint64)
     for k in range(words):
         state = state * _U(_BASE) + word[k : k + len(state)]
-    hashed = (_mix(state) >> _U(32)).astype(np.uint32)
+    hashed = _mix(state) >> _U(8)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= words:
@@ -110,9 +112,9 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
             short = 0
             for w in word[a:b].tolist():
                 short = (short * _BASE + w) & _MASK
-            out.append((_mix(np.array([short ^ b - a], dtype=np.uint64)) >> _U(32)).astype(np.uint32))
+            out.append(_mix(np.array([short ^ b - a], dtype=np.uint64)) >> _U(8))
         else:
-            out.append(np.empty(0, dtype=np.uint32))
+            out.append(np.empty(0, dtype=np.uint64))
     return out
 
 
@@ -123,7 +125,7 @@ def _sketch_cells(shingle: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Frequencies:
-    """The count-min sketch of document frequencies: ``texts`` and two rows of counts."""
+    """A count-min sketch of document frequencies, ``texts`` and two rows of counts, to weigh small sets without a job."""
 
     texts: int
     rows: np.ndarray
@@ -135,42 +137,132 @@ class Frequencies:
         return count * (1 + np.log((1 + self.texts) / (1 + df)))
 
 
-def frequencies(vectors: DataFrame, config: NearConfig) -> Frequencies:
-    """Count every different shingle of every text. Tasks add up their own texts; slices of the sketch are added by key."""
-    size, slices = 1 << config.sketch_bits, 32
-    width = size // slices
+def _packs(docs: DataFrame) -> DataFrame:
+    """pack (the rid of its first text), rids, sizes and texts (UTF-8, compressed) of packs of different texts with words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, texts = np.zeros((2, size), dtype=np.int64), 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rids, texts, held = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            blob = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([rids[0]], pa.binary()), pa.array([b"".join(rids)], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["pack", "rids", "sizes", "texts"])
+
+        for b in batches:
+            for rid, text in zip(b["rid"].to_pylist(), b["text"].to_pylist(), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                if not _WORD[np.frombuffer(data, dtype=np.uint8)].any():
+                    continue
+                rids.append(rid)
+                texts.append(data)
+                held += len(texts[-1])
+                if held >= PACK_BYTES:
+                    yield row()
+                    rids, texts, held = [], [], 0
+        if rids:
+            yield row()
+
+    return docs.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(gather, "pack binary, rids binary, sizes array<long>, texts binary")
+
+
+def _pack_vectors(sizes: list[int], texts: pa.Scalar, words: int) -> list[np.ndarray]:
+    """The shingles of each text of a pack."""
+    data, out, at, k = memoryview(pa.decompress(texts.as_buffer(), sum(sizes), codec="zstd")), [], 0, 0
+    while k < len(sizes):
+        some, held = [], 0
+        while k < len(sizes) and held < BATCH_BYTES:
+            some.append(str(data[at : at + sizes[k]], "utf-8", "surrogatepass"))
+            at, held, k = at + sizes[k], held + sizes[k], k + 1
+        out += shingles(some, words)
+    return out
+
+
+def _once(vectors: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The different shingles of each sorted vector, and how often each occurs in it."""
+    both = [np.unique(v, return_counts=True) for v in vectors]
+    return [x for x, _ in both], [n for _, n in both]
+
+
+def document_frequencies(packs: DataFrame, config: NearConfig, ranges: int) -> DataFrame:
+    """pack and found: the number of texts with each of the pack's different shingles, in their order, as pieces by range."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b["vector"]:
-                v = np.frombuffer(x.as_buffer(), dtype=np.uint32)
-                v = v[np.append(True, v[1:] != v[:-1])]
-                texts += 1
-                for row, cells in zip(rows, _sketch_cells(v, config.sketch_bits), strict=True):
-                    np.add.at(row, cells, 1)
-        if texts:
-            blobs = [zlib.compress(np.ascontiguousarray(rows[:, k * width : (k + 1) * width]).tobytes(), 1) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([texts] + [0] * (slices - 1), pa.int64()), pa.array(blobs, pa.binary())], ["slice", "texts", "counts"])
+            for pack, sizes, texts in zip(b["pack"].to_pylist(), b["sizes"].to_pylist(), b["texts"], strict=True):
+                own, _ = _once(_pack_vectors(sizes, texts, config.words))
+                shingle, count = np.unique(np.concatenate(own), return_counts=True)
+                to = ((shingle >> _U(24)) * _U(ranges)) >> _U(32)
+                cuts = np.searchsorted(to, np.arange(ranges + 1, dtype=np.uint64))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[k], cuts[k + 1])
+                    # Seven bytes of a hash, plane by plane: the planes of high bytes compress.
+                    planes = shingle[part].view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+                    row = [pa.array([k], pa.int32()), pa.array([pack], pa.binary()), pa.array([planes], pa.binary()), pa.array([zlib.compress(count[part].astype(np.int64).tobytes(), 1)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, ["range", "pack", "shingles", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        texts = 0
+        now, held = None, []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            shingle, at = np.unique(np.concatenate([x for _, x, _ in held]), return_inverse=True)
+            df = np.zeros(len(shingle), dtype=np.int64)
+            np.add.at(df, at, np.concatenate([n for _, _, n in held]))
+            df, begin = df[at], 0
+            for pack, x, _ in held:
+                yield pa.RecordBatch.from_arrays([pa.array([pack], pa.binary()), pa.array([now], pa.int32()), pa.array([zlib.compress(df[begin : begin + len(x)].tobytes(), 1)], pa.binary())], ["pack", "range", "df"])
+                begin += len(x)
+
         for b in batches:
-            for k, n, blob in zip(b["slice"].to_pylist(), b["texts"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                found = np.frombuffer(zlib.decompress(blob), dtype=np.int64)
-                sums[k] = sums[k] + found if k in sums else found
-                texts += n
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([texts] + [0] * (len(sums) - 1), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "texts", "counts"])
-
-    schema = "slice int, texts long, counts binary"
-    partial = vectors.select("vector").mapInArrow(count, schema)
-    found = partial.repartition(slices, "slice").mapInArrow(add, schema).collect()  # 2 * 2 ** sketch_bits numbers
-    rows = np.zeros((2, size), dtype=np.int64)
-    for r in found:
-        rows[:, r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64).reshape(2, width)
-    return Frequencies(sum(r["texts"] for r in found), rows, config.sketch_bits)
+            for k, pack, planes, counts in zip(*(b[c].to_pylist() for c in ("range", "pack", "shingles", "counts")), strict=True):
+                if k != now:
+                    if held:
+                        yield from answers()
+                    now, held = k, []
+                whole = np.zeros((len(planes) // 7, 8), dtype=np.uint8)
+                whole[:, :7] = np.frombuffer(planes, dtype=np.uint8).reshape(7, -1).T
+                held.append((pack, whole.view(np.uint64).ravel(), np.frombuffer(zlib.decompress(counts), dtype=np.int64)))
+        if held:
+            yield from answers()
+
+    asked = packs.select("pack", "sizes", "texts").mapInArrow(ask, "range int, pack binary, shingles binary, counts binary")
+    answered = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(add, "pack binary, range int, df binary")
+    return answered.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("range", "df")))["df"].alias("found"))
+
+
+Weighed = tuple[np.ndarray, np.ndarray, float]
+
+
+def packed(shingle: np.ndarray, weights: np.ndarray) -> bytes:
+    """A text's different shingles and their weights as bytes. To compare texts, 32 bits of a hash are kept."""
+    short = (shingle >> _U(24)).astype(np.uint32)
+    first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+    return np.uint32(len(first)).tobytes() + short[first].tobytes() + zlib.compress(np.add.reduceat(weights, first).tobytes(), 1)
+
+
+def opened(data: bytes | pa.Buffer) -> Weighed:
+    """What :func:`packed` was given, and the sum of the weights."""
+    data = memoryview(data)
+    end = 4 + 4 * int(np.frombuffer(data[:4], dtype=np.uint32)[0])
+    weights = np.frombuffer(zlib.decompress(data[end:]), dtype=np.float64)
+    return np.frombuffer(data[4:end], dtype=np.uint32), weights, float(weights.sum())
+
+
+def weights_of(packs: DataFrame, found: DataFrame, texts: int, config: NearConfig) -> DataFrame:
+    """rid and vector (see :func:`packed`) of each of the ``texts`` texts in packs."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rids, sizes, blob, pieces in zip(b["rids"].to_pylist(), b["sizes"].to_pylist(), b["texts"], b["found"].to_pylist(), strict=True):
+                own, counts = _once(_pack_vectors(sizes, blob, config.words))
+                joined = np.concatenate(own)
+                df = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in pieces])
+                weights = np.concatenate(counts) * (1 + np.log((1 + texts) / (1 + df[np.unique(joined, return_inverse=True)[1]])))
+                ends = np.cumsum([len(x) for x in own]).tolist()
+                rows = [(rids[16 * k : 16 * k + 16], packed(x, weights[end - len(x) : end])) for k, (x, end) in enumerate(zip(own, ends, strict=True))]
+                for k in range(0, len(rows), 256):
+                    some = rows[k : k + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.binary()), pa.array([x for _, x in some], pa.binary())], ["rid", "vector"])
+
+    return packs.join(found, "pack").select("rids", "sizes", "texts", "found").mapInArrow(weigh, "rid binary, vector binary")
 
 
 #: Shingles whose draws are made at once, so that they stay in a core's cache.
@@ -214,10 +306,15 @@ def signatures(vectors: list[np.ndarray], known: Frequencies, draws: np.ndarray)
     count = np.diff(np.append(places, len(joined)))
     shingle = joined[places]
     begin = np.searchsorted(places, begin)
-    sizes = np.diff(np.append(begin, len(places)))
-    log_weight = np.log(known.weights(shingle, count)).astype(np.float32)
+    return samples(shingle, known.weights(shingle, count), begin, draws)
+
+
+def samples(shingle: np.ndarray, weights: np.ndarray, begin: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """:func:`signatures` of texts whose different shingles and weights are joined; ``begin`` has the place of each first one."""
+    sizes = np.diff(np.append(begin, len(shingle)))
+    log_weight = np.log(weights).astype(np.float32)
     wide = _mix(shingle.astype(np.uint64))
-    out = np.empty((len(vectors), len(draws)), dtype=np.uint64)
+    out = np.empty((len(begin), len(draws)), dtype=np.uint64)
     t, log_a = np.empty_like(log_weight), np.empty_like(log_weight)
     for k in range(len(draws)):
         for at in range(0, len(wide), _AT_ONCE):
@@ -230,14 +327,14 @@ def signatures(vectors: list[np.ndarray], known: Frequencies, draws: np.ndarray)
     return out
 
 
-def weighed(vector: np.ndarray, known: Frequencies) -> tuple[np.ndarray, np.ndarray, float]:
+def weighed(vector: np.ndarray, known: Frequencies) -> Weighed:
     """Different shingles of a sorted vector, their weights, and the sum of these."""
     shingle, count = np.unique(vector, return_counts=True)
     weights = known.weights(shingle, count)
     return shingle, weights, float(weights.sum())
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+def similarity(a: Weighed, b: Weighed) -> float:
     """Weighted Jaccard similarity of two weighed vectors."""
     if len(a[0]) > len(b[0]):
         a, b = b, a
@@ -254,26 +351,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, known: Frequencies) -> float:
     return similarity(weighed(a, known), weighed(b, known))
 
 
-def _vectors(docs: DataFrame, config: NearConfig) -> DataFrame:
-    """rid (128-bit hash of the text) and vector of every different text with words."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = 0
-            while k < b.num_rows:
-                texts, first, held = [], k, 0
-                while k < b.num_rows and held < BATCH_BYTES:
-                    texts.append(b["text"][k].as_py())
-                    held += len(texts[-1])
-                    k += 1
-                found = [v.tobytes() for v in shingles(texts, config.words)]
-                out = pa.RecordBatch.from_arrays([b["rid"].slice(first, k - first), pa.array(found, pa.binary())], ["rid", "vector"])
-                yield out.filter(pa.array([len(v) > 0 for v in found]))
-
-    return docs.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(hashed, "rid binary, vector binary")
-
-
-def _signed(vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFrame:
+def _signed(vectors: DataFrame, config: NearConfig) -> DataFrame:
     """rid, keys (a 64-bit hash for each band) and signature (32 bits of each sample)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,10 +361,11 @@ def _signed(vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFra
             while k < b.num_rows:
                 texts, first, held = [], k, 0
                 while k < b.num_rows and held < 1 << 19:
-                    texts.append(np.frombuffer(b["vector"][k].as_buffer(), dtype=np.uint32))
-                    held += len(texts[-1]) * 4
+                    texts.append(opened(b["vector"][k].as_buffer()))
+                    held += len(texts[-1][0]) * 4
                     k += 1
-                found = signatures(texts, known.value, draws)
+                sizes = np.array([len(x) for x, _, _ in texts])
+                found = samples(np.concatenate([x for x, _, _ in texts]), np.concatenate([w for _, w, _ in texts]), np.cumsum(sizes) - sizes, draws)
                 key = np.zeros((len(texts), config.bands), dtype=np.uint64)
                 for s in range(config.band_samples):
                     key = key * _U(_BASE) + found[:, s :: config.band_samples]
@@ -298,7 +377,7 @@ def _signed(vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFra
     return vectors.mapInArrow(sign, "rid binary, keys array<long>, signature binary")
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, known: Broadcast, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The pairs a-b whose weighted Jaccard similarity is at least the threshold."""
     nodes = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = durable(vectors.join(nodes, "rid"))
@@ -307,13 +386,13 @@ def _verified(pairs: DataFrame, vectors: DataFrame, known: Broadcast, threshold:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b["va"], b["vb"]
-            good = [weighted_jaccard(np.frombuffer(left[k].as_buffer(), np.uint32), np.frombuffer(right[k].as_buffer(), np.uint32), known.value) >= threshold for k in range(b.num_rows)]
+            good = [similarity(opened(left[k].as_buffer()), opened(right[k].as_buffer())) >= threshold for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return durable(rows.select("a", "b", "va", "vb").mapInArrow(verify, "a binary, b binary"))
 
 
-def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: DataFrame, known: Broadcast, config: NearConfig) -> DataFrame:
+def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: DataFrame, config: NearConfig) -> DataFrame:
     """Links a-b between texts of a bucket with different labels, enough to connect all that are linked.
 
     The texts of a bucket that don't have its most frequent label are sent to blocks of all its texts; no text is
@@ -350,11 +429,11 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
             return x
 
         left, right = [], []
-        ready: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        ready: dict[int, Weighed] = {}
 
-        def of(k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        def of(k: int) -> Weighed:
             if k not in ready:
-                ready[k] = weighed(np.frombuffer(vectors[k], dtype=np.uint32), known.value)
+                ready[k] = opened(vectors[k])
             return ready[k]
 
         for rid, label, mark, vector in sent:
@@ -364,7 +443,7 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
             near = np.flatnonzero((agree >= need) & first)
             if not len(near):
                 continue
-            mine = weighed(np.frombuffer(vector, dtype=np.uint32), known.value)
+            mine = opened(vector)
             for k in near[np.argsort(-agree[near], kind="stable")].tolist():
                 if find(label) != find(labels[k]) and similarity(mine, of(k)) >= config.threshold:
                     root[find(label)] = find(labels[k])
@@ -392,6 +471,19 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
     return durable(rows.mapInArrow(blocks, "a binary, b binary"))
 
 
+def _weighed_texts(texts: DataFrame, config: NearConfig) -> DataFrame:
+    """rid and vector of every different text with words, weighed by exact document frequencies."""
+    spark = texts.sparkSession
+    packs = durable(_packs(texts))
+    sweep(spark)
+    sizes = packs.select(F.explode("sizes").alias("n"))
+    n, held = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # A shingle takes two bytes of text at least, about six in prose.
+    found = durable(document_frequencies(packs, config, max(parts(spark), held // (4 * RANGE_SHINGLES))))
+    sweep(spark)
+    return weights_of(packs, found, n, config)
+
+
 def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, class_id, class_size and kept of every row of ``docs``.
 
@@ -403,9 +495,9 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("rid", F.unhex(F.md5(F.col("text"))))
-    vectors = durable(_vectors(texts, config))
-    known = spark.sparkContext.broadcast(frequencies(vectors, config))  # 2 * 2 ** sketch_bits numbers
-    signed = durable(_signed(vectors, known, config))
+    vectors = durable(_weighed_texts(texts, config))
+    sweep(spark)
+    signed = durable(_signed(vectors, config))
     bands = signed.select("rid", F.posexplode("keys").alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rid").alias("h"), "rid"))["rid"].alias("leader")).filter("n > 1")
     leaders = durable(leaders)
@@ -414,10 +506,10 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     led = bands.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared"))
     # A text is compared with the leader of most of its buckets.
     first = durable(led.groupBy("rid").agg(F.max(F.struct("shared", "leader"))["leader"].alias("leader")))
-    links = _verified(first.select(F.col("rid").alias("a"), F.col("leader").alias("b")), vectors, known, config.threshold)
+    links = _verified(first.select(F.col("rid").alias("a"), F.col("leader").alias("b")), vectors, config.threshold)
     # A leader comes before its texts in hash order, so these links have no cycle.
     labels = follow(links.select(F.col("a").alias("node"), F.col("b").alias("root"))).select(F.col("node").alias("rid"), F.col("root").alias("label"))
-    more = _apart(signed, bands.select("key", "band", "rid"), labels, vectors, known, config)
+    more = _apart(signed, bands.select("key", "band", "rid"), labels, vectors, config)
     labels = components(links.unionByName(more)).select(F.col("node").alias("rid"), F.col("root").alias("label"))
     ids = texts.select("doc_id", "rid")
     per_text = ids.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
