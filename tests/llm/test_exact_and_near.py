@@ -154,6 +154,18 @@ def test_document_frequencies_are_exact_beyond_a_sketch(spark):
         assert len(weights) < len(expected) or np.allclose(weights, expected)
 
 
+def test_pairs_of_a_bucket_are_verified_whatever_their_signatures(spark):
+    config = NearConfig()
+    vector = near_dedup.packed(np.arange(1, 9, dtype=np.uint64) << np.uint64(24), np.ones(8))
+    marks = np.arange(2 * config.samples, dtype=np.uint32).reshape(2, -1)
+    marks[1, : config.band_samples] = marks[0, : config.band_samples]
+    signed = spark.createDataFrame([(b"a", marks[0].tobytes()), (b"b", marks[1].tobytes())], "rid binary, signature binary")
+    vectors = spark.createDataFrame([(b"a", vector), (b"b", vector)], "rid binary, vector binary")
+    bands = spark.createDataFrame([(b"a", 0, 7), (b"b", 0, 7)], "rid binary, band int, key long")
+    labels = spark.createDataFrame([], "rid binary, label binary")
+    assert {frozenset(map(bytes, r)) for r in near_dedup._apart(signed, bands, labels, vectors, config).collect()} == {frozenset([b"a", b"b"])}
+
+
 def test_large_groups_are_linked_through_blocks(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]

@@ -8,8 +8,8 @@ and candidates are linked if their weighted Jaccard similarity is at least the t
 
 Buckets are never expanded into rows of pairs. First each text is compared with one leader of its buckets. Components of
 those links then leave texts that are apart from others in a bucket; these are compared with the others in blocks of
-bounded size, inside the task: signatures first, then the vectors of pairs whose signatures don't rule the threshold
-out, and no pair that links of the block already connect. Only links leave a block.
+bounded size, inside the task: the vectors of every pair, those with the most agreeing samples first, but of no pair that
+links of the block already connect. Only links leave a block.
 """
 
 from __future__ import annotations
@@ -37,11 +37,6 @@ class NearConfig:
     band_samples: int = 4
     sketch_bits: int = 18
     block: int = 256
-    #: Signature agreement below which a pair is not verified: 3 standard deviations under the threshold.
-    @property
-    def agreement(self) -> float:
-        k = self.bands * self.band_samples
-        return self.threshold - 3 * (self.threshold * (1 - self.threshold) / k) ** 0.5
 
     @property
     def samples(self) -> int:
@@ -414,7 +409,6 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
     targets = F.concat(F.array(F.struct(own.alias("block"), F.lit(False).alias("sent"))), F.when(F.col("minor"), targets).otherwise(F.filter(targets, lambda x: F.lit(False))))
     rows = members.withColumn("t", F.explode(targets)).select("key", "t.block", "t.sent", "band", "rid", "label", "signature", "vector")
     rows = rows.repartition(parts(signed.sparkSession), "key", "block").sortWithinPartitions("key", "block", "sent")
-    need = int(np.ceil(config.agreement * config.samples))
     most = 2048
 
     def compare(held: list[tuple], sent: list[tuple], band: int) -> Iterator[pa.RecordBatch]:
@@ -440,7 +434,7 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
             same = table == np.frombuffer(mark, dtype=np.uint32).reshape(config.bands, config.band_samples)
             agree = same.sum(axis=(1, 2))
             first = same.all(axis=2).argmax(axis=1) == band
-            near = np.flatnonzero((agree >= need) & first)
+            near = np.flatnonzero(first)
             if not len(near):
                 continue
             mine = opened(vector)
