@@ -133,3 +133,14 @@ def test_neighbours_edge_cases(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.nearest(lone).collect()] == [(0, 1)]
     assert neighbours.nearest(frame.filter("false")).count() == 0
     assert neighbours.nearest(lone.filter("vec_id = 0")).count() == 0
+
+
+def test_the_beam_widens_until_the_audit_reaches_its_recall(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 24))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    narrow = neighbours.GraphConfig(neighbours=8, reverse=8, block=64, beam=8, step=4, entries=8, part_nodes=500)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(rows, config=narrow).collect()}
+    true = {(q, int(i)) for q in range(0, 1500, 50) for i in np.argsort(-(unit @ unit[q]), kind="stable")[1:6]}
+    assert len(found & true) / len(true) >= 0.9

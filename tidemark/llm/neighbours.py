@@ -4,14 +4,15 @@ Equal vectors are one node of the graph, which keeps the smallest ids that have
 node's list nor a task. The graph begins with the best neighbours inside blocks of a sorted order and improves by
 rounds of joins: each node is joined with its neighbours and a sample of its reverse neighbours, and tells each of them
 of the others that are nearer than what it has. A search expands the best nodes of a beam, round by round, for all
-queries at once: messages go to the partitions that hold the nodes, and answers return to the queries.
+queries at once: messages go to the partitions that hold the nodes, and answers return to the queries. A sample of the
+queries is answered by brute force too, and the beam doubles until the search finds enough of these answers.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .durable import durable, ship, tidy
 
 @dataclass(frozen=True)
 class GraphConfig:
-    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent, beam width, nodes expanded in a round, nodes that a search starts from, and nodes of a partition of the graph."""
+    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent, beam width, nodes expanded in a round, nodes that a search starts from, and nodes of a partition of the graph; the beam widens until a sample of ``audited`` queries reaches ``recall``."""
 
     neighbours: int = 16
     reverse: int = 12
@@ -35,6 +36,8 @@ class GraphConfig:
     step: int = 128
     entries: int = 1024
     part_nodes: int = 4096
+    recall: float = 0.93
+    audited: int = 256
 
 
 _PART = np.uint64(0x9E3779B97F4A7C15)
@@ -412,7 +415,61 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
         turn += 1
         if turn % 4 == 0:
             _sweep(spark)
-    return state.select("qid", "ids")
+    return state.select("qid", "ids", "scores")
+
+
+#: Nodes that a search starts from at most, however wide its beam: they go through the driver.
+_MOST_ENTRIES = 1 << 14
+
+
+def _audit(nodes: DataFrame, queries: DataFrame, k: int, n: int) -> dict[int, np.ndarray]:
+    """The best k scores by brute force, best first, of n of the queries at most, without the query's own node."""
+    sample = queries.select("qid", "unit").orderBy(F.xxhash64("qid", F.lit(-2)), "qid").limit(n).collect()
+    if not sample:
+        return {}
+    qids = np.array([r["qid"] for r in sample])
+    units = np.array([np.frombuffer(r["unit"], np.float32) for r in sample])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(qids), k), -2, dtype=np.float32)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
+                close = units @ np.array([_floats(x) for x in some["unit"]]).T
+                close[qids[:, None] == np.asarray(some["nid"])[None, :]] = -2
+                best = np.sort(np.concatenate([best, close], axis=1), axis=1)[:, -k:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, k)), pa.array(best.ravel())], ["qid", "score"])
+
+    scores = nodes.select("nid", "unit").mapInArrow(tidy(score), "qid long, score float").filter("score > -2")
+    top = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
+    out: dict[int, list[float]] = {int(q): [] for q in qids}
+    for r in scores.withColumn("n", top).filter(F.col("n") <= k).collect():  # n * k rows at most
+        out[r["qid"]].append(r["score"])
+    return {q: np.sort(np.array(x, dtype=np.float32))[::-1] for q, x in out.items() if x}
+
+
+def _recall(beams: DataFrame, audit: dict[int, np.ndarray], kept: int) -> float:
+    """The share of the audited scores that the first ``kept`` nodes of the beams reach; ties count as found."""
+    mine = beams.sparkSession.createDataFrame([(q,) for q in audit], "qid long")
+    hits = 0
+    for r in beams.join(F.broadcast(mine), "qid").collect():
+        ids, scores, best = np.frombuffer(r["ids"], np.int64)[:kept], np.frombuffer(r["scores"], np.float32)[:kept], audit[r["qid"]]
+        hits += min(len(best), int((scores[ids != r["qid"]] >= best[-1] - 1e-5).sum()))
+    return hits / sum(len(x) for x in audit.values())
+
+
+def _searched(nodes: DataFrame, queries: DataFrame, k: int, config: GraphConfig) -> DataFrame:
+    """The beams of the queries, as wide as the audit's recall demands."""
+    nodes = nodes.select("nid", "unit")
+    graph, count = build_graph(nodes, config), nodes.count()
+    audit = _audit(nodes, queries, k, config.audited)
+    while True:
+        beams = search_graph(nodes, graph, queries, config)
+        if not audit or (reached := _recall(beams, audit, 4 * k + 4)) >= config.recall:
+            return beams
+        if config.beam >= count and config.entries >= min(count, _MOST_ENTRIES):
+            raise RuntimeError(f"recall {reached:.3f} of {len(audit)} audited queries is below {config.recall}")
+        config = replace(config, beam=2 * config.beam, step=2 * config.step, entries=max(config.entries, min(2 * config.entries, _MOST_ENTRIES)))
 
 
 def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", config: GraphConfig = GraphConfig()) -> DataFrame:
@@ -435,8 +492,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k:
     at = nodes.select("nid", "unit", F.md5(F.to_json(F.struct("v"))).alias("h"))
     distinct = asked.select("h").distinct().join(at, "h").select(F.col("nid").alias("qid"), "unit", F.col("nid").alias("start"), "h")
     distinct = durable(distinct)
-    graph = build_graph(nodes.select("nid", "unit"), config)
-    beams = search_graph(nodes.select("nid", "unit"), graph, distinct, config)
+    beams = _searched(nodes, distinct, k, config)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
