@@ -7,9 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 class Embedder(Protocol):
     """Vectors of length 1 for texts."""
@@ -46,6 +48,7 @@ class HashingEmbedder:
 def embed(text: Column, embedder: Embedder | None = None) -> Column:
     """The vector of a text, null for blank texts; batches go to the embedder as a whole."""
     chosen = embedder or HashingEmbedder()
+    ship(SparkSession.active())
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

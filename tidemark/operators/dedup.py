@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Dedup
 from ..functions.vectors import dot
+from ..shipping import map_batches
 
 
 def skip_reason(text: Column, embedding: Column, enabled: bool = True, index_ready: bool = True, config: Dedup = Dedup()) -> Column:
@@ -49,7 +50,7 @@ def ring_buffer(rows: DataFrame, key: str, order: str, vector: str, config: Dedu
 
     kinds = dict(rows.dtypes)
     given = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(vector).alias("v"))
-    out = given.repartition("k").sortWithinPartitions("k", "o").mapInPandas(fold, f"k {kinds[key]}, o {kinds[order]}, decision string, similarity double")
+    out = map_batches(given.repartition("k").sortWithinPartitions("k", "o"), fold, f"k {kinds[key]}, o {kinds[order]}, decision string, similarity double")
     return out.select(F.col("k").alias(key), F.col("o").alias(order), "decision", "similarity")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Segmentation
 from ..functions.scoring import token_estimate
 from ..functions.text import cut_bytes
+from ..shipping import map_batches
 
 
 def event_tokens(events: DataFrame, config: Segmentation = Segmentation(), text: str = "text") -> DataFrame:
@@ -50,7 +51,7 @@ def by_gap_and_tokens(events: DataFrame, key: str, config: Segmentation = Segmen
 
     kinds = dict(events.dtypes)
     rows = events.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_millis(ts).alias("ms"), "tokens")
-    folded = rows.repartition("k").sortWithinPartitions("k", "ms", "o").mapInPandas(fold, f"k {kinds[key]}, o {kinds[order]}, segment_no int")
+    folded = map_batches(rows.repartition("k").sortWithinPartitions("k", "ms", "o"), fold, f"k {kinds[key]}, o {kinds[order]}, segment_no int")
     return folded.select(F.col("k").alias(key), F.col("o").alias(order), "segment_no")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Grips
 from ..functions import timekeys
 from ..functions.text import ellipsis, term_overlap
+from ..shipping import map_batches
 from .store import overlaps
 
 #: Minutes that a period must be over before its node is made. Fixed values.
@@ -147,7 +148,7 @@ def grips(bullets: DataFrame, events: DataFrame, key: str, config: Grips = Grips
             yield close()
 
     kind = dict(events.dtypes)[key]
-    folded = rows.repartition("k").sortWithinPartitions("k", "kind", "ms", "id").mapInPandas(fold, f"k {kind}, bullet string, first string, last string, score double")
+    folded = map_batches(rows.repartition("k").sortWithinPartitions("k", "kind", "ms", "id"), fold, f"k {kind}, bullet string, first string, last string, score double")
     return folded.withColumnRenamed("k", key)
 
 

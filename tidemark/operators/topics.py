@@ -12,6 +12,7 @@ from ..config import Topics
 from ..functions.scoring import importance
 from ..functions.text import keyword_words, topic_words
 from ..functions.vectors import centroids, dot
+from ..shipping import ship
 
 
 def term_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -75,6 +76,7 @@ def cluster_by_density(vectors: DataFrame, id_col: str, vector_col: str, block:
         ids = rows["id"].to_numpy()
         return pd.DataFrame({"id": ids, "cluster": np.where(sizes[found] >= config.min_cluster, ids[found], -1)})
 
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(block).alias("b"))
     return rows.groupBy("b").applyInPandas(lambda p: cluster(p[["id", "v"]]), "id bigint, cluster bigint").withColumnRenamed("id", id_col)
 
@@ -179,6 +181,7 @@ def merge_similar(topics: DataFrame, threshold: float = 0.8) -> DataFrame:
                 gone[drop] = keep
         return pd.DataFrame({"topic_id": list(gone), "keeper": list(gone.values())}, dtype="int64")
 
+    ship(topics.sparkSession)
     merged = rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fold, "topic_id bigint, keeper bigint")
     return topics.select(F.col("topic_id").cast("bigint").alias("topic_id")).join(merged, "topic_id", "left").withColumn("keeper", F.coalesce("keeper", "topic_id"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Segmentation
+from ..shipping import ship
 from ..sources.tables import is_structural
 
 
@@ -68,6 +69,7 @@ def segment_stream(events: DataFrame, key: str, config: Segmentation = Segmentat
 
     rows = events.select(F.col(key).alias("key"), "event_id", F.unix_millis("ts").alias("ms"), "tokens")
     kinds = dict(rows.dtypes)
+    ship(events.sparkSession)
     return rows.groupBy("key").applyInPandasWithState(fold, f"key {kinds['key']}, event_id {kinds['event_id']}, segment_no int", "number int, last long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
