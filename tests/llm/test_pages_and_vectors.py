@@ -144,3 +144,55 @@ def test_the_beam_widens_until_the_audit_reaches_its_recall(spark):
     found = {(r.query_id, r.vec_id) for r in neighbours.nearest(rows, config=narrow).collect()}
     true = {(q, int(i)) for q in range(0, 1500, 50) for i in np.argsort(-(unit @ unit[q]), kind="stable")[1:6]}
     assert len(found & true) / len(true) >= 0.9
+
+
+def test_cells_begin_at_their_column():
+    """Every cell's first line stands where its column begins, behind lines of any width; padding stays bounded."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = [[rng.choice("abcdefgh") * rng.choice([1, 2, 5, 39, 40, 41, 90]) + str(k * 10 + c) for c in range(3)] for k in range(5)]
+        text = html_layout.extract_text("<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows) + "</table>")
+        starts = [{next(line.index(r[c]) for line in text.split("\n") if r[c] in line.split()) for r in rows} for c in range(3)]
+        assert [len(s) for s in starts] == [1, 1, 1]
+        assert sorted(text.split()) == sorted(x for r in rows for x in r)
+        assert max(map(len, text.split("\n"))) <= 3 * 42 + 95
+
+
+def test_visible_words_match_a_plain_parser():
+    """Words of random well-formed pages against the standard library's parser, which knows no layout."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += self.hidden > 0 or tag in ("script", "style") or ("hidden", None) in attrs
+
+        def handle_endtag(self, tag):
+            self.hidden -= self.hidden > 0
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    rng = random.Random(8)
+
+    def page(depth):
+        if depth == 0:
+            return "".join(rng.choice([f"w{rng.randrange(99)} ", "a &amp; b ", "é\n"]) for _ in range(rng.randrange(1, 4)))
+        tag = rng.choice(["div", "section", "blockquote", "b", "i", "span", "script", "div hidden"])
+        if tag == "script":
+            return "<script>if (a < b) x()</script>"
+        return "".join(f"<{tag}>{page(depth - 1)}</{tag.split()[0]}> " for _ in range(rng.randrange(1, 3)))
+
+    for _ in range(200):
+        source = page(rng.randrange(1, 6))
+        plain = Plain()
+        plain.feed(source)
+        plain.close()
+        assert html_layout.extract_text(source).split() == plain.words

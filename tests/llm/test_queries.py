@@ -60,12 +60,16 @@ def test_pipeline_matches_brute_force(spark, sf):
     assert {r.doc_id: r.text for r in now.collect()} == texts
 
     raw = {i: t.encode() for i, t in texts.items()}
-    seen = Counter(b[k : k + 400] for b in raw.values() for k in range(len(b) - 399))
+    seen = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
     for i, b in raw.items():
         gone = np.zeros(len(b), dtype=bool)
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(int)))
+        for first, last in edges.reshape(-1, 2):
+            if last - first < 400 and len(b[first:last].split()) < 50:
+                gone[first:last] = False
         texts[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
     now = durable(stages["suffix_dedup"](spark, now, sf))
     assert now.columns == docs.columns
@@ -84,6 +88,33 @@ def test_pipeline_matches_brute_force(spark, sf):
         assert sum(n for _, n in held) <= 2048
 
 
+def test_stages_bear_nulls_repeats_clashing_columns_and_empty_tables(spark, sf):
+    """Each stage over rows without ids or texts, ids that repeat with other texts, repeated rows and odd columns."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randrange(2, 9))) for _ in range(n))
+    one, two, three, passage = prose(80), prose(80), prose(80), prose(60)
+    near = one + " extra"
+    rows = [(1, one), (2, one), (2, two), (None, one), (None, three), (None, three), (3, None), (None, None), (4, ""), (5, near), (5, near), (6, prose(20) + " " + passage), (7, prose(20) + " " + passage), (8, "x" * 300_000)]
+    docs = spark.createDataFrame([(i, t, k, "n", "v") for k, (i, t) in enumerate(rows)], "doc_id long, text string, uid int, rid string, key string")
+    stages = dict(corpus_pipeline.STAGES)
+    exact = {(r.doc_id, r.text or "") for r in stages["exact_dedup"](spark, docs, sf).collect()}
+    assert exact == {(2, one), (2, two), (None, three), (4, ""), (5, near), *((i, t) for i, t in rows[11:])}
+    kept = stages["near_dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(5, near), (2, two), (0, three), (4, ""), *rows[11:]])
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.count() == len(rows) and clean.columns == docs.columns
+    cut = {(r.doc_id, r.uid): r.text for r in stages["suffix_dedup"](spark, docs, sf).collect()}
+    assert len(cut) == len(rows) and cut[3, 6] is None and cut[4, 8] == "" and cut[2, 2] == two
+    assert all(passage not in cut[x] and len(cut[x]) > 50 for x in ((6, 11), (7, 12)))
+    assert stages["packing"](spark, docs, sf).select("doc_id").distinct().count() == 9
+    for stage in stages.values():
+        assert stage(spark, docs.filter("false"), sf).count() == 0
+
+
 def test_pipeline_query_gives_the_last_stage(spark, sf):
     found = __spark_entry__.queries()["pipeline"](spark, sf)
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

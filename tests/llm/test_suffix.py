@@ -61,8 +61,9 @@ def test_regions_cover_every_start_once_and_equal_strings_share_a_key():
     assert covered == [list(range(max(0, len(t) - 63))) for t in texts]
 
 
-@pytest.mark.parametrize("key_bytes", [1 << 21, 100])
+@pytest.mark.parametrize("key_bytes", [1 << 21, 300, 0])
 def test_repeated_bytes_match_brute_force(spark, monkeypatch, key_bytes):
+    """With keys that are never split, split where long, and all split down to single strings."""
     monkeypatch.setattr(suffix_dedup, "KEY_BYTES", key_bytes)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randrange(40, 90)))
@@ -75,6 +76,53 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, key_bytes):
     assert found == sorted((-1 if i is None else i, *e) for (i, _), e in zip(rows, expected, strict=True))
 
 
+def test_a_passage_in_many_contexts_and_one_very_long_text(spark, monkeypatch):
+    """A passage below the length makes its key hot; a text of megabytes repeats some of it, and a run of one byte repeats itself."""
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 4000)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    passage = noise(70)
+    texts = [noise(60) + passage + noise(60) for _ in range(150)] + [passage, texts_long := noise(300_000), "x" * 5000]
+    texts.append(texts_long[100_000:100_200])
+    rows = list(enumerate(texts))
+    found = sorted(tuple(r) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 96).collect())
+    expected = brute_force([t.encode() for t in texts], 96)
+    assert found == [(i, *e) for (i, _), e in zip(rows, expected, strict=True)]
+
+
+def test_passages_by_words(spark):
+    """Repeats of at least so many words go, whatever their bytes; shorter ones stay, and bytes decide where there are no spaces."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    many = " ".join(word(rng.randrange(3, 7)) for _ in range(51))
+    few = " ".join(word(rng.randrange(10, 14)) for _ in range(20))
+    solid = word(450)
+    fresh = lambda: " ".join(word(7) for _ in range(30))
+    rows = [(k, f"{a} {p} {b}") for k, (a, p, b) in enumerate((fresh(), p, fresh()) for p in (many, few, solid) for _ in range(2))]
+    kept = {r.doc_id: r.text for r in drop_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 400, 50).collect()}
+    for k, t in rows:
+        if k in (2, 3):
+            assert kept[k] == t
+        else:
+            gone = many if k < 2 else solid
+            a, b = t.split(gone)
+            assert len(t) - len(kept[k]) >= len(gone) and kept[k].startswith(a[:-2]) and kept[k].endswith(b[2:])
+
+
+def test_columns_that_clash_with_names_of_the_operator(spark):
+    rows = [(k, "ab" * 40, 1, "r", "u", k) for k in range(2)]
+    out = drop_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string, n int, raw string, uid string, found long"), 48)
+    assert sorted(tuple(r) for r in out.collect()) == [(k, "", 1, "r", "u", k) for k in range(2)]
+
+
+def test_false_hashes_are_found_out(monkeypatch):
+    """Were all hashes equal, bytes would still tell strings apart."""
+    data = np.frombuffer(b"abcdefgh" * 6 + b"abcdefgX" * 6, np.uint8)
+    array = SuffixArray(data, 16)
+    a, b = np.array([0, 8, 40, 3]), np.array([8, 16, 48, 60])
+    assert array._equal_bytes(a, b).tolist() == [bytes(data[x : x + 16]) == bytes(data[y : y + 16]) for x, y in zip(a, b, strict=True)]
+
+
 def test_empty_table_and_cut_texts(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert repeated_bytes(none).count() == 0

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..shipping import ship as ship_code
 
 #: A group is hot when it holds at least this share of all rows, so there can be at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 0.001
@@ -21,15 +23,21 @@ HOT_SHARE = 0.001
 #: Bytes of a batch between the JVM and Python, so that rows with long texts come in small batches.
 BATCH_BYTES = 4 << 20
 
-_shipped: set[str] = set()
 _held: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary folder where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder; a cluster gets an error, as no folder of one machine
+    can be read by the others.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
@@ -74,15 +82,13 @@ def ship(spark: SparkSession) -> None:
     """Give executors this package's code once per application, and bound the bytes of a batch unless that is set."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
+    ship_code(spark)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` for ``f`` run tidily, with the package's code on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(tidy(f), schema)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -124,7 +130,12 @@ def look_up(members: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return out.select(*members.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values))
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each id in ``ids`` (column id), and all rows without an id: no decision can name those."""
-    named = docs.join(ids.filter("id IS NOT NULL").select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+def row_key(id_col: Column, text_hash: Column) -> Column:
+    """What tells a row of one id and text from others, whether ids repeat or are null."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit("")), F.lit(":"), text_hash)
+
+
+def rows_with_keys(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each :func:`row_key` in ``kept`` (column key). Rows that repeat a key are folded map-side first."""
+    keyed = docs.withColumn("__key", key).dropDuplicates(["__key"])
+    return keyed.join(kept.select(F.col("key").alias("__key")), "__key", "left_semi").drop("__key")

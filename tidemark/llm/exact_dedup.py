@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, look_up, rows_with_ids, text_or_empty
+from .durable import durable, look_up, row_key, rows_with_keys, text_or_empty
 
 
 def ascii_lower(text: Column) -> Column:
@@ -51,5 +51,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all columns; one of rows that repeat a kept id, and all rows without an id."""
-    return rows_with_ids(docs, exact_groups(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("id")))
+    """One row of each group of :func:`exact_groups`, with all columns. An id that repeats with another text stands for both texts."""
+    kept = exact_groups(docs, keep=keep).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return rows_with_keys(docs, row_key(F.col("doc_id"), F.sha2(ascii_lower(text_or_empty()), 256)), kept)

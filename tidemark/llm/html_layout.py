@@ -32,7 +32,8 @@ SECTIONS = frozenset("tbody thead tfoot".split())
 SCOPE_ENDS = frozenset("table td th caption template button object marquee applet html".split())
 KEEPS_SPACE = frozenset("listing plaintext pre textarea xmp".split())
 
-#: Cell lines wider than this don't widen their column, so that padding stays in proportion to the text.
+#: A cell line wider than this doesn't widen its column, so that padding stays in proportion to the text; cells after it go on
+#: in the next line, where their column begins, so they are aligned all the same.
 ALIGNED_WIDTH = 40
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])))*+)>""")
@@ -340,9 +341,11 @@ class Grid:
                 line, length = [], 0
                 for begin, lines in cells:
                     if k < len(lines) and lines[k]:
-                        pad = max(begin - length, 2 if length else 0)
-                        line += [" " * pad, lines[k]]
-                        length += pad + len(lines[k])
+                        if length and begin < length + 2:
+                            out.append("".join(line).rstrip(" "))
+                            line, length = [], 0
+                        line += [" " * (begin - length), lines[k]]
+                        length = begin + len(lines[k])
                 out.append("".join(line).rstrip(" "))
         return out
 

@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, follow
-from .durable import durable, look_up, parts, rows_with_ids, ship, sweep, text_or_empty, worker_state
+from .durable import durable, look_up, parts, row_key, rows_with_keys, ship, sweep, text_or_empty, worker_state
 
 
 @dataclass(frozen=True)
@@ -478,14 +478,8 @@ def _weighed_texts(texts: DataFrame, config: NearConfig) -> DataFrame:
     return weights_of(packs, found, n, config)
 
 
-def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row of ``docs``.
-
-    A class holds the texts that links connect, with all their exact copies; its id is its largest doc_id, and one row
-    with that id is kept. Texts without words, null among them, are in a class with their exact copies only. A class
-    whose ids are all null has no id and keeps one row. Rows that repeat an id are members like others. An empty
-    table gives an empty result; columns other than doc_id and text are not read.
-    """
+def _with_classes(docs: DataFrame, config: NearConfig) -> DataFrame:
+    """doc_id, rid (MD5 of the text), class_id, class_size and keeper (the rid of the text that stays) of every row."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("rid", F.unhex(F.md5(F.col("text"))))
@@ -508,14 +502,31 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     ids = texts.select("doc_id", "rid")
     per_text = ids.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
     per_text = durable(per_text.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")))
-    per_class = per_text.groupBy("label").agg(F.sum("n").alias("class_size"), F.max("top").alias("class_id"), F.count(F.lit(1)).alias("texts"))
-    classes = look_up(per_text.select("rid", "label", "n"), per_class, "label", "texts", per_text.count()).select("rid", "n", "class_id", "class_size")
+    per_class = per_text.groupBy("label").agg(F.sum("n").alias("class_size"), F.max(F.struct("top", "rid")).alias("keeper"), F.count(F.lit(1)).alias("texts"))
+    per_class = per_class.select("label", "class_size", F.col("keeper.top").alias("class_id"), F.col("keeper.rid").alias("keeper"), "texts")
+    classes = look_up(per_text.select("rid", "label", "n"), per_class, "label", "texts", per_text.count()).select("rid", "n", "class_id", "class_size", "keeper")
     classes = durable(classes)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = look_up(ids, classes, "rid", "n", total)
-    return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    return look_up(ids, classes, "rid", "n", total).select("doc_id", "rid", "class_id", F.col("class_size").cast("long").alias("class_size"), "keeper")
+
+
+def _kept() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("rid") == F.col("keeper"))
+
+
+def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """doc_id, class_id, class_size and kept of every row of ``docs``.
+
+    A class holds the texts that links connect, with all their exact copies; its id is its largest doc_id, and one row
+    with that id is kept. Texts without words, null among them, are in a class with their exact copies only. A class
+    whose ids are all null has no id and keeps one text. Rows that repeat an id are members like others; where rows of one
+    class have its id and different texts, one text is kept. An empty
+    table gives an empty result; columns other than doc_id and text are not read.
+    """
+    return _with_classes(docs, config).select("doc_id", "class_id", "class_size", _kept().alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """``docs`` with one row of each class of :func:`near_groups`, all columns, and all rows without an id."""
-    return rows_with_ids(docs, near_groups(docs, config).filter("kept").select(F.col("doc_id").alias("id")))
+    """One row of each class of :func:`near_groups`, with all columns."""
+    kept = _with_classes(docs, config).filter(_kept()).select(row_key(F.col("doc_id"), F.hex("rid")).alias("key"))
+    return rows_with_keys(docs, row_key(F.col("doc_id"), F.upper(F.md5(text_or_empty()))), kept)

@@ -6,7 +6,10 @@ one key form a region, which holds the bytes of all strings that start there. A
 has once itself, needs no array. Equal regions are folded into one with a count. Regions of the other keys are concatenated, in chunks
 of whole keys, into texts whose suffix arrays are built by two-stage sorting: suffixes smaller than their successor are
 sorted directly, the rest are induced by one scan over the buckets of first bytes. Neighbours in the array with a common
-prefix of ``length`` bytes are repeats. A key with too many different regions for one task is spread by start instead.
+prefix of ``length`` bytes are repeats, which their bytes confirm. The regions of a key that are too many for one task
+are split again: by the least hashes in the first and in the last quarter of each string, since a passage that makes a
+key common is shorter than a string and leaves one of both ends to the text around it. What is still too much then has
+strings of a few different texts in very many places; these fold string by string.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, look_up, parts, ship, text_or_empty, tidy
+from .durable import durable, in_arrow, look_up, parts, text_or_empty
 
 LENGTH = 400
+#: How often regions are split: by one key, by the keys of both ends, by the whole string.
+LEVELS = 3
 #: Bytes of the grams that give the keys.
 GRAM = 32
 #: Starts that a region has at most; a longer run of one key (periodic text) is cut.
 REGION_STARTS = 4096
-#: Bytes of text that a suffix array is built over, about; bytes of different regions that one task takes of one key.
+#: Bytes of text that a suffix array is built over, about; bytes of different regions of one key above which it is split.
 ARRAY_BYTES, KEY_BYTES = 1 << 19, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
@@ -58,32 +63,51 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def _recurs(hashed: np.ndarray, keys: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each region's least hash occurs twice in it; only then can two of its own strings be equal."""
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), keys, np.zeros(width - 1, np.uint64)])
+def _recurs(hashed: np.ndarray, least: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the least hash at each region's beginning occurs twice in it; only then can two of its own strings be equal."""
+    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     largest = ~least_in_window(~padded, width)  # of the keys of all windows that hold a gram
     places = np.flatnonzero(hashed == largest[: len(hashed)])
     low, high = np.searchsorted(places, begin), np.searchsorted(places, end + width - 1)
     count = high - low
     owner = np.repeat(np.arange(len(begin)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    same = hashed[places[low[owner] + nth]] == keys[begin[owner]]
+    same = hashed[places[low[owner] + nth]] == least[begin[owner]]
     return np.bincount(owner[same], minlength=len(begin)) > 1
 
 
-def find_regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Regions of concatenated texts that begin at ``offsets`` (with the end): text, first start in it, starts, key, and whether the key recurs inside."""
-    gram = min(GRAM, length)
-    while gram & (gram - 1):
-        gram &= gram - 1
+def _power_of_two(most: int) -> int:
+    return 1 << (most.bit_length() - 1)
+
+
+def _string_keys(data: np.ndarray, length: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The key of the string at each start; gram hashes, their least values and the number of grams in a window, which show recurrence."""
+    gram = _power_of_two(min(GRAM, length) if level == 1 else max(1, min(GRAM, length // 8)))
+    span = length if level == 1 else max(gram, length // 4)
     hashed = gram_hashes(data, gram)[gram]
     hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(_BASE)
     hashed ^= hashed >> np.uint64(29)
-    keys = least_in_window(hashed, length - gram + 1)
+    least = least_in_window(hashed, span - gram + 1)
+    if level == 1:
+        return least, hashed, least, span - gram + 1
+    begin, end = least[: max(0, len(data) - length + 1)], least[length - span :]
+    return (begin * np.uint64(_BASE)) ^ (end + (begin >> np.uint64(7))), hashed, least, span - gram + 1
+
+
+def find_regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 1) -> tuple[np.ndarray, ...]:
+    """Regions of concatenated texts that begin at ``offsets`` (with the end): text, first start in it, starts, key, and whether the key recurs inside.
+
+    On the last level each start is a region of its own, with key 0: its content tells all.
+    """
     first, last = offsets[:-1], offsets[1:] - length  # starts of each text
     some = np.flatnonzero(first <= last)
-    if not len(some) or not len(keys):
+    if not len(some):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, bool))
+    if level >= LEVELS:
+        count = last[some] - first[some] + 1
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(some, count), at, np.ones(len(at), np.int64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+    keys, hashed, least, width = _string_keys(data, length, level)
     change = np.empty(len(keys), dtype=bool)
     change[0] = True
     np.not_equal(keys[1:], keys[:-1], out=change[1:])
@@ -100,7 +124,7 @@ def find_regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, end, text = np.repeat(begin, pieces) + nth * REGION_STARTS, np.repeat(end, pieces), np.repeat(text, pieces)
         end = np.minimum(end, begin + REGION_STARTS)
-    return text, begin - offsets[text], end - begin, keys[begin], _recurs(hashed, keys, length - gram + 1, begin, end)
+    return text, begin - offsets[text], end - begin, keys[begin], _recurs(hashed, least, width, begin, end)
 
 
 class SuffixArray:
@@ -140,9 +164,28 @@ class SuffixArray:
         return same
 
     def share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffixes a and b have a common prefix of ``depth`` bytes."""
+        """Whether suffixes a and b, each a once, have a common prefix of ``depth`` bytes: hashes say so and bytes confirm it."""
+        same = self.common_prefix(a, b) >= 8 * (self.depth // 8)
+        same[same] = self._equal_bytes(a[same], b[same])
+        return same
+
+    def _equal_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether ``depth`` bytes at a and b are equal. Where the strings eight bytes on are a pair too, only the first eight need a look."""
+        after = np.full(len(self.words), -1)
+        after[a] = b
+        chained = after[a + 8] == b + 8
+        head = self.words[a] == self.words[b]
+        ends = np.flatnonzero(~chained)
+        good = self._compare(a[ends], b[ends])
+        if good.all() and head[chained].all():
+            return np.ones(len(a), dtype=bool)
+        return self._compare(a, b)  # hashes were wrong somewhere
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         eights, rest = divmod(self.depth, 8)
-        same = self.common_prefix(a, b) >= 8 * eights
+        same = np.ones(len(a), dtype=bool)
+        for k in range(eights):
+            same &= self.words[a + 8 * k] == self.words[b + 8 * k]
         if rest:
             shift = np.uint64(8 * (8 - rest))
             same &= self.words[a + 8 * eights] >> shift == self.words[b + 8 * eights] >> shift
@@ -250,34 +293,36 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]], axis=1)
 
 
-def _regions_of(docs: DataFrame, length: int) -> DataFrame:
-    """uid, key, content, first, size, recurs: where the regions of each text lie and a 128-bit hash of their bytes."""
+def _regions_of(texts: DataFrame, length: int, level: int) -> DataFrame:
+    """uid, n, key, content, first, size, recurs: where the regions of each text lie and a 128-bit hash of their bytes."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, uids = b["raw"], b["uid"]
+            raw, rows = b["raw"], b.select(["uid", "n"])
             k = 0
             while k < b.num_rows:
-                texts, first, size = [], k, 0
-                while k < b.num_rows and (not texts or size < 1 << 20):
-                    texts.append(raw[k].as_py())
-                    size += len(texts[-1])
+                held, first, size = [], k, 0
+                while k < b.num_rows and (not held or size < 1 << 20):
+                    held.append(raw[k].as_py())
+                    size += len(held[-1])
                     k += 1
-                joined = b"".join(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                text, at, starts, keys, recurs = find_regions(np.frombuffer(joined, dtype=np.uint8), offsets, length)
-                if not len(text):
-                    continue
-                begin = offsets[text] + at
-                size = starts + length - 1
-                view = memoryview(joined)
-                content = [hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [uids.take(pa.array(text + first)), pa.array(keys.view(np.int64)), pa.array(content, pa.binary()), pa.array(at), pa.array(size), pa.array(recurs)],
-                    ["uid", "key", "content", "first", "size", "recurs"],
-                )
-
-    return docs.select("uid", "raw").mapInArrow(tidy(regions), "uid binary, key long, content binary, first long, size long, recurs boolean")
+                joined = b"".join(held)
+                offsets = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+                found = find_regions(np.frombuffer(joined, dtype=np.uint8), offsets, length, level)
+                for at in range(0, len(found[0]), 1 << 16):
+                    text, start, starts, keys, recurs = (x[at : at + (1 << 16)] for x in found)
+                    begin, size = offsets[text] + start, starts + length - 1
+                    view = memoryview(joined)
+                    content = [hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), size.tolist(), strict=True)]
+                    if level >= LEVELS:
+                        keys = np.frombuffer(b"".join(content), dtype="<u8")[::2]
+                    owner = rows.take(pa.array(text + first))
+                    yield pa.RecordBatch.from_arrays(
+                        [owner["uid"], owner["n"], pa.array(keys.view(np.int64)), pa.array(content, pa.binary()), pa.array(start), pa.array(size), pa.array(recurs)],
+                        ["uid", "n", "key", "content", "first", "size", "recurs"],
+                    )
+
+    return in_arrow(texts.select("uid", "n", "raw"), regions, "uid binary, n long, key long, content binary, first long, size long, recurs boolean")
 
 
 def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
@@ -306,53 +351,48 @@ def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
         if some:
             yield from flush()
 
-    return regions.select("key", "content", "bytes").mapInArrow(tidy(sort), "content binary, spans binary")
+    return in_arrow(regions.select("key", "content", "bytes"), sort, "content binary, spans binary")
 
 
-def _spans_by_start(regions: DataFrame, length: int) -> DataFrame:
-    """content and spans for keys with too many different regions: strings are counted one by one, in DataFrame functions."""
-    spark = regions.sparkSession
-    each = regions.select("content", "n", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("at"))
-    each = each.select("content", "n", "at", F.md5(F.substring("bytes", F.col("at") + 1, F.lit(length))).alias("string"))
-    counts = durable(each.groupBy("string").agg(F.sum("n").alias("times")).filter("times > 1"))
-    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    found = look_up(each.select("content", "at", "string"), counts, "string", "times", total).filter("times IS NOT NULL")
-    starts = found.groupBy("content").agg(F.collect_list("at").alias("starts"))  # at most REGION_STARTS
+def _spans_of_split(regions: DataFrame, length: int, level: int) -> DataFrame:
+    """content and spans of regions whose key is too common: each is taken as a text, and its strings meet by keys of the next level."""
+    found = _found(regions.select(F.col("content").alias("uid"), "n", F.col("bytes").alias("raw")), length, level)
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [covered_spans(np.sort(np.asarray(x.as_py())), length).astype("<i4").tobytes() for x in b["starts"]]
-            yield pa.RecordBatch.from_arrays([b["content"], pa.array(spans, pa.binary())], ["content", "spans"])
+            spans = [_removed(x).astype("<i4").tobytes() for x in b["found"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["uid"], pa.array(spans, pa.binary())], ["content", "spans"])
 
-    ship(spark)
-    return starts.mapInArrow(tidy(cover), "content binary, spans binary")
+    return in_arrow(found, merge, "content binary, spans binary")
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` (uid and others) with found: a list of (first, spans) of its regions that hold repeats, or null."""
-    regions = durable(_regions_of(docs, length))
-    folded = durable(regions.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("one"), F.max("size").alias("size"), F.max("recurs").alias("recurs")))
+def _found(texts: DataFrame, length: int, level: int = 1) -> DataFrame:
+    """uid and found, a list of (first, size, spans) of the regions that hold repeats; ``texts`` has uid, n (how often it stands for its bytes) and raw."""
+    spark = texts.sparkSession
+    regions = durable(_regions_of(texts, length, level))
+    folded = durable(regions.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first")).alias("one"), F.max("size").alias("size"), F.max("recurs").alias("recurs")))
     keys = folded.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("size").alias("key_bytes"), F.max("recurs").alias("recurs"))
     keys = durable(keys.filter("different > 1 OR recurs").select("key", "different", "key_bytes"))
-    total = keys.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
+    total, largest = keys.agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.max("key_bytes"), F.lit(0))).first()
     shared = look_up(folded, keys, "key", "different", total).filter("different IS NOT NULL")
     wanted = shared.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(F.struct("key", "content", "n", "key_bytes", F.col("one.first").alias("first"), "size")).alias("wanted"))
-    texts = docs.select("uid", "raw").join(wanted, "uid")
     cut = F.transform("wanted", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["n"].alias("n"), r["key_bytes"].alias("key_bytes"), F.substring(F.col("raw"), (r["first"] + 1).cast("int"), r["size"].cast("int")).alias("bytes")))
     # Rows that repeat both id and text have one uid and are cut alike; one of each content is enough.
-    cut = durable(texts.select(F.explode(cut).alias("r")).select("r.*"))
-    small = cut.filter(F.col("key_bytes") <= KEY_BYTES).dropDuplicates(["key", "content"])
-    small = small.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "content")
-    large = cut.filter(F.col("key_bytes") > KEY_BYTES).dropDuplicates(["key", "content"])
-    shared_spans = _spans_by_suffix_array(small, length).unionByName(_spans_by_start(large, length))
+    cut = durable(texts.select("uid", "raw").join(wanted, "uid").select(F.explode(cut).alias("r")).select("r.*"))
+    split = level < LEVELS and largest > KEY_BYTES
+    small = cut.filter(F.col("key_bytes") <= KEY_BYTES) if split else cut
+    small = small.dropDuplicates(["key", "content"]).repartition(parts(spark), "key").sortWithinPartitions("key", "content")
+    shared_spans = _spans_by_suffix_array(small, length)
+    if split:
+        large = cut.filter(F.col("key_bytes") > KEY_BYTES).dropDuplicates(["key", "content"])
+        shared_spans = shared_spans.unionByName(_spans_of_split(large, length, level + 1))
     # A region that occurs twice is a repeat from its first byte to its last.
     whole = folded.filter("n > 1").select("content", "n")
     spans = folded.select("content", "n").join(shared_spans, "content").filter("n = 1").unionByName(whole.withColumn("spans", F.lit(None).cast("binary")))
     spans = durable(spans.select("content", "n", F.coalesce("spans", F.lit(b"")).alias("spans")))
     total = spans.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = look_up(regions.select("uid", "content", "first", "size"), spans, "content", "n", total).filter("n IS NOT NULL")
-    by_text = found.groupBy("uid").agg(F.collect_set(F.struct("first", "size", "spans")).alias("found"))
-    return docs.join(by_text, "uid", "left")
+    return found.groupBy("uid").agg(F.collect_set(F.struct("first", "size", "spans")).alias("found"))
 
 
 def _removed(found: list[dict] | None) -> np.ndarray:
@@ -374,11 +414,12 @@ def _kept(raw: bytes, spans: np.ndarray) -> list[memoryview]:
     return [*out, view[at:]]
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """Rows with a uid of their id and text. Rows that agree in both are one another's repeats and get equal results."""
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with raw, uid and found. Rows that agree in id and text are one another's repeats, have one uid and get equal results."""
     raw = text_or_empty().cast("binary")
     uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"\x00"), raw)))
-    return docs.withColumns({"raw": raw, "uid": uid})
+    marked = docs.withColumns({"raw": raw, "uid": uid})
+    return marked.join(_found(marked.select("uid", F.lit(1).cast("bigint").alias("n"), "raw"), length), "uid", "left")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -389,7 +430,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text, with whatever ids, repeat all its strings. An empty table gives an empty result; columns other than doc_id
     and text are not read.
     """
-    marked = _with_spans(_identified(docs.select("doc_id", "text")).drop("text"), length)
+    marked = _with_spans(docs.select("doc_id", "text"), length).drop("text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,22 +445,38 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    ship(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return marked.select("doc_id", "raw", "found").mapInArrow(tidy(measure), schema)
+    return in_arrow(marked.select("doc_id", "raw", "found"), measure, schema)
+
+
+def _passages(raw: bytes, spans: np.ndarray, words: int, length: int) -> np.ndarray:
+    """The spans of at least ``words`` words or ``length`` bytes."""
+    good = [last - first >= length or len(raw[first:last].split()) >= words for first, last in spans.tolist()]
+    return spans[np.array(good, dtype=bool)]
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated bytes taken out of text; a character that loses some of its bytes goes as a whole. Null text stays null."""
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, words: int | None = None, words_length: int = 200) -> DataFrame:
+    """``docs`` with repeated bytes taken out of text; a character that loses some of its bytes goes as a whole.
+
+    With ``words``, strings of ``words_length`` bytes are compared instead, and a run of repeated bytes goes if it holds
+    at least ``words`` words (separated by white space, parts at its ends counting) or ``length`` bytes: passages whose words are short
+    go as well, and shorter common lines stay. Null text stays null, repeated rows lose the same, an empty table stays
+    empty, and other columns pass through, whatever their names.
+    """
     columns = docs.columns
-    marked = _with_spans(_identified(docs), length)
+    own = {c: f"__{k}_{c}" for k, c in enumerate(columns) if c not in ("doc_id", "text")}  # so that none clashes with those made here
+    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    marked = _with_spans(renamed, length if words is None else words_length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [b"".join(_kept(raw.as_py(), _removed(found.as_py()))).decode("utf-8", "ignore") for raw, found in zip(b["raw"], b["found"], strict=True)]
+            texts = []
+            for raw, found in zip(b["raw"], b["found"], strict=True):
+                raw, spans = raw.as_py(), _removed(found.as_py())
+                if words is not None:
+                    spans = _passages(raw, spans, words, length)
+                texts.append(b"".join(_kept(raw, spans)).decode("utf-8", "ignore"))
             made = pa.array([None if null else t for null, t in zip(b["is_null"].to_pylist(), texts, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([made if c == "text" else b[c] for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([made if c == "text" else b[own.get(c, c)] for c in columns], columns)
 
-    ship(docs.sparkSession)
-    rest = [F.col(c) for c in columns if c != "text"]
-    return marked.select(*rest, F.col("text").isNull().alias("is_null"), "raw", "found").mapInArrow(tidy(cut), docs.schema)
+    return in_arrow(marked.select("doc_id", *own.values(), F.col("text").isNull().alias("is_null"), "raw", "found"), cut, docs.schema)
