@@ -18,29 +18,37 @@ from tidemark.llm.toxicity import drop_toxic
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A passage that repeats goes if it has so many words, or as many bytes as op8 removes.
+PASSAGE_WORDS = 50
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. Null texts count as empty, repeated rows fare alike, and other columns pass through."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (null: empty) one row stays, that of the largest doc_id; rows without an id give way to those with one."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays; texts under five words are near copies of equal ones alone."""
     return drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings go from the texts; n_chars follows. Documents that lose all their text stay, as empty ones."""
-    out = drop_repeated_bytes(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    """Passages of 50 words or 400 bytes that occur twice go from the texts; n_chars, if there, follows.
+
+    Documents that lose all their text stay, as empty ones; null texts stay null.
+    """
+    out = drop_repeated_bytes(docs, words=PASSAGE_WORDS)
+    kinds = dict(docs.dtypes)
+    return out.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; a null or empty text is one piece of one id."""
     return pack(docs)
 
 
