@@ -14,16 +14,26 @@ from tidemark.llm import suffix_dedup
 from tidemark.llm.suffix_dedup import SuffixArray, drop_repeated_bytes, find_regions, repeated_bytes, repeated_starts
 
 
-def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
+def runs(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """Maximal runs of bytes that strings of ``length`` bytes with a second start cover."""
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
     for t in texts:
-        gone = np.zeros(len(t), dtype=bool)
+        gone = np.zeros(len(t) + 2, dtype=int)
         for k in range(len(t) - length + 1):
             if seen[t[k : k + length]] > 1:
-                gone[k : k + length] = True
-        edges = np.diff(np.concatenate([[0], gone.astype(int)]))
-        out.append((len(t), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+                gone[k + 1 : k + length + 1] = 1
+        edges = np.flatnonzero(np.diff(gone))
+        out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
+    return out
+
+
+def brute_force(texts: list[bytes], length: int, short: int, words: int) -> list[tuple[int, int, int, str, int, int]]:
+    out = []
+    for t, long, brief in zip(texts, runs(texts, length), runs(texts, short), strict=True):
+        kept = b"".join(t[a:b] for a, b in zip([0, *(y for _, y in long)], [*(x for x, _ in long), len(t)], strict=True))
+        passages = [(a, b) for a, b in brief if b - a >= length or len(t[a:b].split()) >= words]
+        out.append((len(t), sum(b - a for a, b in long), len(long), hashlib.sha256(kept).hexdigest(), len(passages), sum(b - a for a, b in passages)))
     return out
 
 
@@ -71,8 +81,8 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, key_bytes):
     texts = ["", "short", "z" * 500, "ab" * 100] + ["".join(rng.choice([word(), rng.choice(passages)]) for _ in range(6)) for _ in range(40)]
     texts += texts[5:9]
     rows = [(k, t) for k, t in enumerate(texts)] + [(1000, None), (3, texts[20]), (20, texts[20]), (None, texts[21])]
-    found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit(1)), 48).collect())
-    expected = brute_force([(t or "").encode() for _, t in rows], 48)
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_bytes) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit(1)), 48, 24, 6).collect())
+    expected = brute_force([(t or "").encode() for _, t in rows], 48, 24, 6)
     assert found == sorted((-1 if i is None else i, *e) for (i, _), e in zip(rows, expected, strict=True))
 
 
@@ -85,8 +95,8 @@ def test_a_passage_in_many_contexts_and_one_very_long_text(spark, monkeypatch):
     texts = [noise(60) + passage + noise(60) for _ in range(150)] + [passage, texts_long := noise(300_000), "x" * 5000]
     texts.append(texts_long[100_000:100_200])
     rows = list(enumerate(texts))
-    found = sorted(tuple(r) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 96).collect())
-    expected = brute_force([t.encode() for t in texts], 96)
+    found = sorted(tuple(r) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 96, 50, 9).collect())
+    expected = brute_force([t.encode() for t in texts], 96, 50, 9)
     assert found == [(i, *e) for (i, _), e in zip(rows, expected, strict=True)]
 
 

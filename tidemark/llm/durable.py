@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,7 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage; it survives the loss of any executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return _without_estimates(df.checkpoint())
+
+
+def _without_estimates(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size that its plan was estimated at.
+
+    Spark carries the estimate along and multiplies those of both sides of a join. After a few rounds of joins and
+    checkpoints it is a number of millions of digits, and planning takes minutes. Where this Spark can't do without, it stays.
+    """
+    spark = df.sparkSession
+    try:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+    except Py4JError:
+        return df
+
+
+def durable_by(df: DataFrame, key: str) -> DataFrame:
+    """:func:`durable`, keeping that rows are dealt out and sorted by ``key``, so that joins on it move the other side only.
+
+    Adaptive execution would forget how rows are dealt out, so it pauses for this one write.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shared_dir(spark)
+        return df.repartition(parts(spark), key).sortWithinPartitions(key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def parts(spark: SparkSession) -> int:

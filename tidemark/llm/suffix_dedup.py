@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, in_arrow, look_up, parts, text_or_empty
+from .durable import durable, durable_by, in_arrow, look_up, parts, sweep, text_or_empty
 
 LENGTH = 400
+#: Bytes of the strings that make up passages, and the words that a passage has at least.
+SHORT, WORDS = 200, 50
 #: How often regions are split: by one key, by the keys of both ends, by the whole string.
 LEVELS = 3
 #: Bytes of the grams that give the keys.
@@ -293,36 +295,62 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]], axis=1)
 
 
-def _regions_of(texts: DataFrame, length: int, level: int) -> DataFrame:
-    """uid, n, key, content, first, size, recurs: where the regions of each text lie and a 128-bit hash of their bytes."""
+#: A region as it is kept: 45 bytes, where a row of its own would have over 100.
+_REGION = np.dtype([("key", "<i8"), ("content", "V16"), ("first", "<i8"), ("size", "<i8"), ("recurs", "?")])
+
+
+def _packed_regions(texts: DataFrame, length: int, level: int) -> DataFrame:
+    """uid, n and packed: where the regions of each text lie and a 128-bit hash of their bytes."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, rows = b["raw"], b.select(["uid", "n"])
             k = 0
             while k < b.num_rows:
-                held, first, size = [], k, 0
-                while k < b.num_rows and (not held or size < 1 << 20):
+                held, first, weight = [], k, 0
+                while k < b.num_rows and (not held or weight < 1 << 20):
                     held.append(raw[k].as_py())
-                    size += len(held[-1])
+                    weight += len(held[-1])
                     k += 1
                 joined = b"".join(held)
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in held])])
                 found = find_regions(np.frombuffer(joined, dtype=np.uint8), offsets, length, level)
-                for at in range(0, len(found[0]), 1 << 16):
-                    text, start, starts, keys, recurs = (x[at : at + (1 << 16)] for x in found)
+                for at in range(0, len(found[0]), 1 << 18):
+                    text, start, starts, keys, recurs = (x[at : at + (1 << 18)] for x in found)
                     begin, size = offsets[text] + start, starts + length - 1
                     view = memoryview(joined)
-                    content = [hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), size.tolist(), strict=True)]
-                    if level >= LEVELS:
-                        keys = np.frombuffer(b"".join(content), dtype="<u8")[::2]
-                    owner = rows.take(pa.array(text + first))
-                    yield pa.RecordBatch.from_arrays(
-                        [owner["uid"], owner["n"], pa.array(keys.view(np.int64)), pa.array(content, pa.binary()), pa.array(start), pa.array(size), pa.array(recurs)],
-                        ["uid", "n", "key", "content", "first", "size", "recurs"],
-                    )
+                    content = b"".join(hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), size.tolist(), strict=True))
+                    packed = np.empty(len(text), dtype=_REGION)
+                    packed["key"] = np.frombuffer(content, dtype="<i8")[::2] if level >= LEVELS else keys.view(np.int64)
+                    packed["content"], packed["first"], packed["size"], packed["recurs"] = np.frombuffer(content, dtype="V16"), start, size, recurs
+                    edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text))
+                    owner = rows.take(pa.array(text[edges[:-1]] + first))
+                    pieces = [packed[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([owner["uid"], owner["n"], pa.array(pieces, pa.binary())], ["uid", "n", "packed"])
+
+    return in_arrow(texts.select("uid", "n", "raw"), regions, "uid binary, n long, packed binary")
+
+
+def _regions(packed: DataFrame, keys_only: bool = False) -> DataFrame:
+    """n, key and recurs of each packed region, or all of it: uid, n, key, content, first, size, recurs."""
 
-    return in_arrow(texts.select("uid", "n", "raw"), regions, "uid binary, n long, key long, content binary, first long, size long, recurs boolean")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.frombuffer(x.as_py(), dtype=_REGION) for x in b["packed"]]
+            if not held:
+                continue
+            rows = np.concatenate(held)
+            owner = b.select(["uid", "n"]).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+            key, recurs = pa.array(np.ascontiguousarray(rows["key"])), pa.array(np.ascontiguousarray(rows["recurs"]))
+            if keys_only:
+                yield pa.RecordBatch.from_arrays([owner["n"], key, recurs], ["n", "key", "recurs"])
+                continue
+            content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["content"]).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([owner["uid"], owner["n"], key, content, *(pa.array(np.ascontiguousarray(rows[c])) for c in ("first", "size")), recurs], ["uid", "n", "key", "content", "first", "size", "recurs"])
+
+    if keys_only:
+        return in_arrow(packed, unpack, "n long, key long, recurs boolean")
+    return in_arrow(packed, unpack, "uid binary, n long, key long, content binary, first long, size long, recurs boolean")
 
 
 def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
@@ -367,9 +395,16 @@ def _spans_of_split(regions: DataFrame, length: int, level: int) -> DataFrame:
 
 
 def _found(texts: DataFrame, length: int, level: int = 1) -> DataFrame:
-    """uid and found, a list of (first, size, spans) of the regions that hold repeats; ``texts`` has uid, n (how often it stands for its bytes) and raw."""
+    """uid and found, a list of (first, size, spans) of the regions that hold repeats; ``texts`` has uid, n (how often it stands for its bytes) and raw.
+
+    Regions of a key that no other region has, most of them, go first; only the others travel with their contents.
+    """
     spark = texts.sparkSession
-    regions = durable(_regions_of(texts, length, level))
+    packed = durable(_packed_regions(texts, length, level))
+    times = _regions(packed, keys_only=True).groupBy("key").agg(F.sum("n").alias("times"), F.max("recurs").alias("recurs"))
+    times = durable(times.filter("times > 1 OR recurs").select("key", "times"))
+    total = times.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    regions = durable(look_up(_regions(packed), times, "key", "times", total).filter("times IS NOT NULL"))
     folded = durable(regions.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first")).alias("one"), F.max("size").alias("size"), F.max("recurs").alias("recurs")))
     keys = folded.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("size").alias("key_bytes"), F.max("recurs").alias("recurs"))
     keys = durable(keys.filter("different > 1 OR recurs").select("key", "different", "key_bytes"))
@@ -377,14 +412,15 @@ def _found(texts: DataFrame, length: int, level: int = 1) -> DataFrame:
     shared = look_up(folded, keys, "key", "different", total).filter("different IS NOT NULL")
     wanted = shared.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(F.struct("key", "content", "n", "key_bytes", F.col("one.first").alias("first"), "size")).alias("wanted"))
     cut = F.transform("wanted", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["n"].alias("n"), r["key_bytes"].alias("key_bytes"), F.substring(F.col("raw"), (r["first"] + 1).cast("int"), r["size"].cast("int")).alias("bytes")))
-    # Rows that repeat both id and text have one uid and are cut alike; one of each content is enough.
     cut = durable(texts.select("uid", "raw").join(wanted, "uid").select(F.explode(cut).alias("r")).select("r.*"))
+    if level == 1:
+        sweep(spark)
     split = level < LEVELS and largest > KEY_BYTES
     small = cut.filter(F.col("key_bytes") <= KEY_BYTES) if split else cut
-    small = small.dropDuplicates(["key", "content"]).repartition(parts(spark), "key").sortWithinPartitions("key", "content")
+    small = small.repartition(parts(spark), "key").sortWithinPartitions("key", "content")
     shared_spans = _spans_by_suffix_array(small, length)
     if split:
-        large = cut.filter(F.col("key_bytes") > KEY_BYTES).dropDuplicates(["key", "content"])
+        large = cut.filter(F.col("key_bytes") > KEY_BYTES)
         shared_spans = shared_spans.unionByName(_spans_of_split(large, length, level + 1))
     # A region that occurs twice is a repeat from its first byte to its last.
     whole = folded.filter("n > 1").select("content", "n")
@@ -414,39 +450,48 @@ def _kept(raw: bytes, spans: np.ndarray) -> list[memoryview]:
     return [*out, view[at:]]
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with raw, uid and found. Rows that agree in id and text are one another's repeats, have one uid and get equal results."""
-    raw = text_or_empty().cast("binary")
-    uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"\x00"), raw)))
-    marked = docs.withColumns({"raw": raw, "uid": uid})
-    return marked.join(_found(marked.select("uid", F.lit(1).cast("bigint").alias("n"), "raw"), length), "uid", "left")
+def _uid() -> Column:
+    """What rows that agree in id and text have in common; they are one another's repeats and fare alike."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"\x00"), text_or_empty().cast("binary"))))
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
+def _texts(docs: DataFrame) -> DataFrame:
+    """uid, n and raw of the different rows of ``docs``, folded map-side, and dealt out by uid for all that follows."""
+    rows = docs.select(_uid().alias("uid"), text_or_empty().cast("binary").alias("raw"))
+    texts = durable_by(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw")), "uid")
+    sweep(docs.sparkSession)
+    return texts
 
-    Every byte of a ``length``-byte string that starts at two places, in one text or two, counts as removed; strings
-    are judged on the input. Null text is empty, texts below ``length`` bytes lose nothing, and rows that repeat a
-    text, with whatever ids, repeat all its strings. An empty table gives an empty result; columns other than doc_id
-    and text are not read.
+
+def _long_runs(marked: DataFrame, length: int) -> DataFrame:
+    """The repeated runs of at least ``length`` bytes as texts of their own: uid (with the place of the run), n and raw.
+
+    A string of ``length`` bytes that repeats lies in such a run, as all shorter strings in it repeat too.
     """
-    marked = _with_spans(docs.select("doc_id", "text"), length).drop("text")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for raw, found in zip(b["raw"], b["found"], strict=True):
-                raw, spans = raw.as_py(), _removed(found.as_py())
-                digest = hashlib.sha256()
-                for piece in _kept(raw, spans):
-                    digest.update(piece)
-                rows.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest()))
+            for uid, n, raw, found in zip(b["uid"], b["n"], b["raw"], b["found"], strict=True):
+                text = raw.as_py()
+                rows += [(uid.as_py() + first.to_bytes(8, "big"), n.as_py(), text[first:last]) for first, last in _removed(found.as_py()).tolist() if last - first >= length]
             if rows:
-                cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kinds = [pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n", "raw"])
+
+    return durable_by(in_arrow(marked.filter("found IS NOT NULL").select("uid", "n", "raw", "found"), runs, "uid binary, n long, raw binary"), "uid")
+
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return in_arrow(marked.select("doc_id", "raw", "found"), measure, schema)
+def _in_texts(found: DataFrame) -> DataFrame:
+    """uid and removed, the spans to remove of each text, from what was found in its runs."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(x[:16], (_removed(f) + int.from_bytes(x[16:], "big")).astype("<i8").tobytes()) for x, f in zip(b["uid"].to_pylist(), b["found"].to_pylist(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["uid", "spans"])
+
+    return in_arrow(found, place, "uid binary, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("removed"))
 
 
 def _passages(raw: bytes, spans: np.ndarray, words: int, length: int) -> np.ndarray:
@@ -455,28 +500,69 @@ def _passages(raw: bytes, spans: np.ndarray, words: int, length: int) -> np.ndar
     return spans[np.array(good, dtype=bool)]
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, words: int | None = None, words_length: int = 200) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and passage_bytes of every row of ``docs``.
+
+    Every byte of a ``length``-byte string that starts at two places, in one text or two, counts as removed; strings
+    are judged on the input. Passages are the runs of bytes covered by repeated strings of ``short`` bytes that have at
+    least ``words`` words or ``length`` bytes; they are counted but, below ``length``, not removed. Null text is empty,
+    texts below ``short`` bytes lose nothing, and rows that repeat a text, with whatever ids, repeat all its strings. An
+    empty table gives an empty result; columns other than doc_id and text are not read.
+    """
+    docs = docs.select("doc_id", "text")
+    texts = _texts(docs)
+    marked = durable(texts.select("uid").join(_found(texts, short), "uid"))  # spans only: texts stay where they are
+    sweep(docs.sparkSession)
+    with_found = texts.join(marked, "uid", "left")
+    removed = _in_texts(_found(_long_runs(with_found, length), length))
+    both = with_found.join(removed, "uid", "left")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for raw, found, removed in zip(b["raw"], b["found"], b["removed"], strict=True):
+                text = raw.as_py()
+                spans = merged_spans(np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in removed.as_py() or [b""]]))
+                passages = _passages(text, _removed(found.as_py()), words, length)
+                digest = hashlib.sha256()
+                for piece in _kept(text, spans):
+                    digest.update(piece)
+                rows.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest(), len(passages), int((passages[:, 1] - passages[:, 0]).sum())))
+            if rows:
+                cols = [pa.array(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([b["uid"], b["n"], *cols], ["uid", "n", *measures])
+
+    measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
+    per_text = in_arrow(both.select("uid", "n", "raw", "found", "removed"), measure, "uid binary, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
+    per_text = durable(per_text)
+    sweep(docs.sparkSession)
+    total = per_text.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return look_up(docs.select("doc_id", _uid().alias("uid")), per_text, "uid", "n", total).select("doc_id", *measures)
+
+
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, words: int | None = None, short: int = SHORT) -> DataFrame:
     """``docs`` with repeated bytes taken out of text; a character that loses some of its bytes goes as a whole.
 
-    With ``words``, strings of ``words_length`` bytes are compared instead, and a run of repeated bytes goes if it holds
+    With ``words``, strings of ``short`` bytes are compared instead, and a run of repeated bytes goes if it holds
     at least ``words`` words (separated by white space, parts at its ends counting) or ``length`` bytes: passages whose words are short
     go as well, and shorter common lines stay. Null text stays null, repeated rows lose the same, an empty table stays
     empty, and other columns pass through, whatever their names.
     """
     columns = docs.columns
-    own = {c: f"__{k}_{c}" for k, c in enumerate(columns) if c not in ("doc_id", "text")}  # so that none clashes with those made here
-    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    marked = _with_spans(renamed, length if words is None else words_length)
+    texts = _texts(docs)
+    marked = texts.join(_found(texts, length if words is None else short), "uid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
+            made = []
             for raw, found in zip(b["raw"], b["found"], strict=True):
-                raw, spans = raw.as_py(), _removed(found.as_py())
+                text, spans = raw.as_py(), _removed(found.as_py())
                 if words is not None:
-                    spans = _passages(raw, spans, words, length)
-                texts.append(b"".join(_kept(raw, spans)).decode("utf-8", "ignore"))
-            made = pa.array([None if null else t for null, t in zip(b["is_null"].to_pylist(), texts, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([made if c == "text" else b[own.get(c, c)] for c in columns], columns)
-
-    return in_arrow(marked.select("doc_id", *own.values(), F.col("text").isNull().alias("is_null"), "raw", "found"), cut, docs.schema)
+                    spans = _passages(text, spans, words, length)
+                made.append(b"".join(_kept(text, spans)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([b["uid"], pa.array(made, pa.string())], ["__uid", "__kept"])
+
+    kept = in_arrow(marked.select("uid", "raw", "found"), cut, "__uid binary, __kept string")
+    rows = docs.withColumns({"__uid": _uid(), "__null": F.col("text").isNull()}).drop("text")
+    out = rows.join(kept, "__uid").withColumn("text", F.when(~F.col("__null"), F.col("__kept")))
+    return out.select(*(F.col(f"`{c}`") for c in columns))
