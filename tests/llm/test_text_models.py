@@ -201,3 +201,52 @@ def test_url_split_needs_no_scheme(parts):
     host, path = url_filter.split_url(url)
     assert not set(host) & set("/?#")
     assert not set(path) & set("?#")
+
+
+def test_character_maps_normalise_like_the_library():
+    """A compiled character map, white space and prefix against the library's own normaliser, for each of its built-in rules."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(4)
+    alphabet = [chr(c) for c in (*range(32, 127), *range(0xC0, 0x180), *range(0x1E00, 0x1E80), *range(0xFB00, 0xFB10), *range(0xFF01, 0xFF30), *range(0x3040, 0x3100))] + ["ﬁ", "①", "㍿", "ｶﾞ", "é", "é", " ", "　", "\t", "  ", "…", "½"]
+    texts = ["", " ", "  a  b ", "\t\n", "ﬁ①㍿ ｶﾞ", *("".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(400))]
+    for rule in ("nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"):
+        for options in ({}, {"add_dummy_prefix": True, "escape_whitespaces": True, "remove_extra_whitespaces": True}):
+            library = sentencepiece.SentencePieceNormalizer(rule_name=rule, **options)
+            model = pb.ModelProto()
+            model.ParseFromString(library.serialized_model_proto())
+            mine = sentencepiece_fst.Normaliser(model.normalizer_spec)
+            assert len(sentencepiece_fst.character_map(model.normalizer_spec.precompiled_charsmap)) > 3000
+            assert [mine(t) for t in texts] == [library.normalize(t) for t in texts], (rule, options)
+
+
+def test_shortest_path_of_a_unigram_model_is_the_least_sum(fst):
+    """Best-first search against the least sum over all segmentations."""
+    import copy
+    import math
+    import random
+
+    rng = random.Random(2)
+    machine = copy.copy(fst)
+    machine.merges, machine.chars, machine.longest = False, frozenset("abc"), 4
+    machine.scores = {"".join(rng.choices("abc", k=k)): -rng.uniform(0.1, 9) for k in (1, 2, 2, 3, 3, 3, 4, 4, 4, 4) for _ in range(3)}
+    machine.ids = {p: k for k, p in enumerate(machine.scores)}
+    machine._arcs, machine.fallback = frozenset(machine.ids), 10 - min(machine.scores.values())
+
+    def least(text):
+        best = [0.0] + [math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - 4), end):
+                piece = text[start:end]
+                weight = -machine.scores[piece] if piece in machine.ids else machine.fallback if len(piece) == 1 else math.inf
+                best[end] = min(best[end], best[start] + weight)
+        return best[-1]
+
+    for _ in range(300):
+        text = "".join(rng.choices("abcz", k=rng.randrange(1, 25)))
+        path = machine.shortest_path(text)
+        assert "".join(path) == text
+        assert abs(sum(-machine.scores[p] if p in machine.ids else machine.fallback for p in path) - least(text)) < 1e-9

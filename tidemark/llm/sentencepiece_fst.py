@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer over the tropical semiring.
 
-Three machines are compiled from a model: the normaliser (a dummy prefix and an escape for spaces), the pieces with a
-byte fallback for characters that no piece has, and an acceptor of neighbouring pieces. In a merge model the
+Three machines are compiled from a model: the normaliser (its character map as a trie, the handling of white space, a
+dummy prefix and an escape for spaces), the pieces with a byte fallback for characters that no piece has, and an
+acceptor of neighbouring pieces. They are composed with each text as far as the search for the shortest path goes: it
+takes states by weight, and of equal weights the furthest first. In a merge model the
 score of a piece is its merge priority and not a cost, so the sum of scores doesn't choose the segmentation; what a merge
 model forbids is two neighbours that its merges would have joined or cut differently. The acceptor therefore gives
 a pair of neighbours weight 0 if merging their joint text leaves exactly these two, else infinity. Each text has one
@@ -11,6 +13,7 @@ scores are the weights.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import string
@@ -36,6 +39,72 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Normaliser:
+    """The first machine: it rewrites the longest match of the character map at each place and copies what has none, then treats white space."""
+
+    def __init__(self, spec) -> None:
+        self.rules: dict = {}  # a trie: character to (rules that go on, replacement or None)
+        for source, target in character_map(spec.precompiled_charsmap).items():
+            node = self.rules
+            for c in source[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[source[-1]] = (node.get(source[-1], ({}, None))[0], target)
+        self.first = re.compile(f"[{re.escape(''.join(self.rules))}]") if self.rules else None
+        self.tidy, self.escape = spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.prefix = (SPACE if self.escape else " ") if spec.add_dummy_prefix else ""
+
+    def _rewrite(self, text: str) -> str:
+        out, at = [], 0
+        while found := self.first.search(text, at):
+            out.append(text[at : found.start()])
+            at = found.start()
+            node, end, best, target = self.rules, at, at + 1, text[at]
+            while end < len(text) and (arc := node.get(text[end])):
+                node, end = arc[0], end + 1
+                if arc[1] is not None:
+                    best, target = end, arc[1]
+            out.append(target)
+            at = best
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        if self.first:
+            text = self._rewrite(text)
+        if self.tidy:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        if not text:
+            return ""
+        return self.prefix + (text.replace(" ", SPACE) if self.escape else text)
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rewriting rules of a compiled character map: a double-array trie of UTF-8 strings, and their replacements one after another.
+
+    A unit of the array has a label, an offset to its children and a mark whether a value hangs on it; all units of
+    one depth are read at once.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64)
+    texts = blob[4 + size :]
+    offset = (units >> 10) << ((units & (1 << 9)) >> 6)
+    labels = np.arange(1, 256)
+    nodes, keys, out = np.array([offset[0]]), [b""], {}
+    while len(nodes):
+        at = nodes[:, None] ^ labels[None, :]
+        inside = at < len(units)
+        child = inside & ((units[np.where(inside, at, 0)] & 0x800000FF) == labels[None, :])
+        row, column = np.nonzero(child)
+        place = at[row, column]
+        keys = [keys[r] + bytes([c]) for r, c in zip(row.tolist(), labels[column].tolist(), strict=True)]
+        nodes = place ^ offset[place]
+        for k in np.flatnonzero((units[place] >> 8) & 1).tolist():
+            begin = int(units[nodes[k]] & 0x7FFFFFFF)
+            out[keys[k].decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+    return out
+
+
 class Transducer:
     """The machines of one model. ``encode`` composes them with a text and follows the shortest path."""
 
@@ -48,10 +117,11 @@ class Transducer:
         normaliser, kinds = model.normalizer_spec, {p.type for p in model.pieces}
         if model.trainer_spec.model_type not in (UNIGRAM, MERGES) or not model.trainer_spec.byte_fallback:
             raise ValueError("only unigram and merge models with byte fallback are compiled")
-        if normaliser.precompiled_charsmap or normaliser.remove_extra_whitespaces or not normaliser.escape_whitespaces or kinds & {USER, UNUSED}:
-            raise ValueError("only the identity normaliser and models without user-defined or unused pieces are compiled")
+        if kinds & {USER, UNUSED} or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models with user-defined or unused pieces, or with spaces behind words, are not compiled")
+        self.normalise = Normaliser(normaliser)
         self.merges = model.trainer_spec.model_type == MERGES
-        self.prefix = SPACE if normaliser.add_dummy_prefix else ""
+        self.prefix = self.normalise.prefix
         self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
@@ -69,6 +139,7 @@ class Transducer:
         marks = re.escape("".join(sorted(set(string.punctuation) - after_letters)))
         self.marked = re.compile(rf"({SPACE}?[^\W\d_]+)([{marks}]+)" if marks else r"(?!)()()")
         self.out = [self._output(p) for p in model.pieces]
+        self.fallback = 10 - min(self.scores.values())  # 10 more than the heaviest piece, as in the library
         self._arcs = frozenset(p for p in self.ids if not self.merges or self._merged(p) == [p])
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, bytes] = {}
@@ -107,8 +178,17 @@ class Transducer:
 
     # Composition and shortest path.
 
+    def shortest_path(self, text: str) -> list[str]:
+        """The pieces on the path of least weight through the machines composed with a normalised text.
+
+        Weights add along a path and the least of several counts. The search takes states by weight and composes the
+        machines only where it goes. All finite weights of a merge model are 0, so its queue has one priority and is a
+        stack; there the state is a place and the piece before it, else a place.
+        """
+        return self._merge_path(text) if self.merges else self._unigram_path(text)
+
     def _merge_path(self, text: str) -> list[str]:
-        """Arcs of the path of finite weight, found depth first with the longest arcs first.
+        """The search with one priority: arcs of a state come longest first, and the stack holds the path to the state at hand.
 
         A position is reached by one path of finite weight at most, so one from which no arc leads on is never entered
         again, and the search is linear in the text.
@@ -140,28 +220,41 @@ class Transducer:
                 raise ValueError(f"{text!r} has no path of finite weight")
         return out
 
+    def _weighed_arcs(self, text: str, at: int) -> list[tuple[float, str]]:
+        """The arcs that leave a place, by weight."""
+        found = [(-self.scores[text[at:end]], text[at:end]) for end in range(at + 1, min(len(text), at + self.longest) + 1) if text[at:end] in self.ids]
+        return sorted(found if text[at] in self.ids else [*found, (self.fallback, text[at])])
+
     def _unigram_path(self, text: str) -> list[str]:
-        """The path of least weight; a fallback weighs 10 more than the heaviest piece, as in the library."""
-        ids, scores, longest, n = self.ids, self.scores, self.longest, len(text)
-        fallback = 10 - min(scores.values())
-        best, last = [0.0] + [math.inf] * n, [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = text[start:end]
-                weight = -scores[piece] if piece in ids else fallback if start == end - 1 else math.inf
-                if best[start] + weight < best[end]:
-                    best[end], last[end] = best[start] + weight, piece
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
+        """The search by weight: a place's next arc waits in the queue, so that arcs are taken one at a time."""
+        n = len(text)
+        reached: dict[int, tuple[int, str] | None] = {0: None}
+        waiting: list[tuple[float, int, int, str, float, Iterator[tuple[float, str]]]] = []
+        at, weight = 0, 0.0
+        while at < n:
+            arcs = iter(self._weighed_arcs(text, at))
+            first = next(arcs)
+            heapq.heappush(waiting, (weight + first[0], -at - len(first[1]), at, first[1], weight, arcs))
+            while True:
+                total, end, source, piece, base, arcs = waiting[0]
+                if following := next(arcs, None):
+                    heapq.heapreplace(waiting, (base + following[0], -source - len(following[1]), source, following[1], base, arcs))
+                else:
+                    heapq.heappop(waiting)
+                if -end not in reached:
+                    break
+            at, weight = -end, total
+            reached[at] = (source, piece)
+        out = []
+        while step := reached[at]:
+            at = step[0]
+            out.append(step[1])
         return out[::-1]
 
     def path_ids(self, text: str) -> list[int]:
         """Ids of the shortest path through the machines composed with a normalised text."""
-        arcs = self._merge_path(text) if self.merges else self._unigram_path(text)
         out: list[int] = []
-        for piece in arcs:
+        for piece in self.shortest_path(text):
             found = self.ids.get(piece)
             if found is None:
                 out += [self.bytes[x] for x in piece.encode("utf-8", "surrogatepass")]
@@ -169,9 +262,6 @@ class Transducer:
                 out.append(found)
         return out
 
-    def normalise(self, text: str) -> str:
-        return (self.prefix + text).replace(" ", SPACE) if text else ""
-
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; those of recent chunks are kept."""
         chunks = self.chunk.findall(self.normalise(text))
