@@ -78,7 +78,7 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, key_bytes):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randrange(40, 90)))
     passages = [word() for _ in range(4)]
-    texts = ["", "short", "z" * 500, "ab" * 100] + ["".join(rng.choice([word(), rng.choice(passages)]) for _ in range(6)) for _ in range(40)]
+    texts = ["", "short", "z" * 500, "ab" * 100, "abcdefghijklmnopq" * 30, "q" + "abcdefghijklmnopq" * 9, "abcdefghijklmnopq" * 3 + "x"] + ["".join(rng.choice([word(), rng.choice(passages)]) for _ in range(6)) for _ in range(40)]
     texts += texts[5:9]
     rows = [(k, t) for k, t in enumerate(texts)] + [(1000, None), (3, texts[20]), (20, texts[20]), (None, texts[21])]
     found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_bytes) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit(1)), 48, 24, 6).collect())

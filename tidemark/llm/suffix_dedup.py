@@ -66,7 +66,7 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _recurs(hashed: np.ndarray, least: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether the least hash at each region's beginning occurs twice in it; only then can two of its own strings be equal."""
+    """How far the second place of the least hash at each region's beginning is from its first, or 0: only where there is one can two of the region's strings be equal."""
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     largest = ~least_in_window(~padded, width)  # of the keys of all windows that hold a gram
     places = np.flatnonzero(hashed == largest[: len(hashed)])
@@ -74,8 +74,14 @@ def _recurs(hashed: np.ndarray, least: np.ndarray, width: int, begin: np.ndarray
     count = high - low
     owner = np.repeat(np.arange(len(begin)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    same = hashed[places[low[owner] + nth]] == least[begin[owner]]
-    return np.bincount(owner[same], minlength=len(begin)) > 1
+    at = places[low[owner] + nth]
+    same = hashed[at] == least[begin[owner]]
+    at, owner = at[same], owner[same]
+    out = np.zeros(len(begin), dtype=np.int64)
+    again = np.flatnonzero(owner[1:] == owner[:-1])
+    again = again[::-1]  # so that the first two of a region are written last
+    out[owner[again]] = at[again + 1] - at[again]
+    return out
 
 
 def _power_of_two(most: int) -> int:
@@ -97,18 +103,18 @@ def _string_keys(data: np.ndarray, length: int, level: int) -> tuple[np.ndarray,
 
 
 def find_regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 1) -> tuple[np.ndarray, ...]:
-    """Regions of concatenated texts that begin at ``offsets`` (with the end): text, first start in it, starts, key, and whether the key recurs inside.
+    """Regions of concatenated texts that begin at ``offsets`` (with the end): text, first start in it, starts, key, and after how many bytes the key recurs inside, or 0.
 
     On the last level each start is a region of its own, with key 0: its content tells all.
     """
     first, last = offsets[:-1], offsets[1:] - length  # starts of each text
     some = np.flatnonzero(first <= last)
     if not len(some):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, bool))
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     if level >= LEVELS:
         count = last[some] - first[some] + 1
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(some, count), at, np.ones(len(at), np.int64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+        return np.repeat(some, count), at, np.ones(len(at), np.int64), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
     keys, hashed, least, width = _string_keys(data, length, level)
     change = np.empty(len(keys), dtype=bool)
     change[0] = True
@@ -199,11 +205,26 @@ class SuffixArray:
         return same + size * ((h[a + at] == h[b + at]) & (same < self.depth))
 
     def _sort_directly(self) -> np.ndarray:
-        """Suffixes smaller than their successor, sorted: by eight bytes, then groups of equals by the next eight after what all members share."""
+        """Suffixes smaller than their successor, sorted. Those with equal ``depth`` bytes are sorted as one."""
         self.direct = self._smaller_than_next()
         places = np.flatnonzero(self.direct)
         if not len(places):
             return places
+        h = self.hashes[self.longest]  # of the first and of the last bytes of the depth, which overlap
+        whole = h[places] * np.uint64(_BASE) + h[places + self.depth - self.longest] if self.depth >= self.longest else h[places]
+        order = np.argsort(whole, kind="stable")
+        first = np.flatnonzero(np.append(True, whole[order[1:]] != whole[order[:-1]]))
+        count = np.diff(np.append(first, len(order)))
+        one = places[order[first]]
+        at = np.empty(self.n, dtype=np.int64)
+        at[one] = np.arange(len(one))
+        rank = at[self._sort_different(one)]
+        begin = np.cumsum(count[rank]) - count[rank]
+        nth = np.arange(len(places)) - np.repeat(begin, count[rank])
+        return places[order[np.repeat(first[rank], count[rank]) + nth]]
+
+    def _sort_different(self, places: np.ndarray) -> np.ndarray:
+        """Suffixes sorted by eight bytes, then groups of equals by the next eight after what all members share."""
         places = places[np.argsort(self.words[places], kind="stable")]
         words = self.words[places]
         group = np.cumsum(np.append(True, words[1:] != words[:-1])) - 1
@@ -295,12 +316,21 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]], axis=1)
 
 
-#: A region as it is kept: 45 bytes, where a row of its own would have over 100.
-_REGION = np.dtype([("key", "<i8"), ("content", "V16"), ("first", "<i8"), ("size", "<i8"), ("recurs", "?")])
+#: A region as it is kept, where a row of its own would have over 100 bytes: ``size`` bytes of a text, told by ``length`` of them.
+_REGION = np.dtype([("key", "<i8"), ("content", "V16"), ("first", "<u4"), ("size", "<u4"), ("length", "<u4"), ("recurs", "?"), ("twice", "?")])
+
+
+def _periodic(joined: bytes, begin: int, size: int, starts: int, period: int) -> bool:
+    """Whether a region goes on after ``period`` bytes as it began, for so long that each of its strings is there twice."""
+    return 0 < 2 * period <= starts and joined[begin : begin + size - period] == joined[begin + period : begin + size]
 
 
 def _packed_regions(texts: DataFrame, length: int, level: int) -> DataFrame:
-    """uid, n and packed: where the regions of each text lie and a 128-bit hash of their bytes."""
+    """uid, n and packed: where the regions of each text lie and a 128-bit hash of their bytes.
+
+    All strings of a periodic region repeat inside it, and one period of them is all there are: it is told by its
+    beginning and counts twice, and no array is needed to find its repeats.
+    """
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,11 +348,16 @@ def _packed_regions(texts: DataFrame, length: int, level: int) -> DataFrame:
                 for at in range(0, len(found[0]), 1 << 18):
                     text, start, starts, keys, recurs = (x[at : at + (1 << 18)] for x in found)
                     begin, size = offsets[text] + start, starts + length - 1
+                    told, twice = size.copy(), np.zeros(len(text), bool)
+                    for x in np.flatnonzero((recurs > 0) & (2 * recurs <= starts)).tolist():
+                        if _periodic(joined, int(begin[x]), int(size[x]), int(starts[x]), int(recurs[x])):
+                            told[x], twice[x] = recurs[x] + length - 1, True
                     view = memoryview(joined)
-                    content = b"".join(hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), size.tolist(), strict=True))
+                    content = b"".join(hashlib.blake2b(view[x : x + s], digest_size=16).digest() for x, s in zip(begin.tolist(), told.tolist(), strict=True))
                     packed = np.empty(len(text), dtype=_REGION)
                     packed["key"] = np.frombuffer(content, dtype="<i8")[::2] if level >= LEVELS else keys.view(np.int64)
-                    packed["content"], packed["first"], packed["size"], packed["recurs"] = np.frombuffer(content, dtype="V16"), start, size, recurs
+                    packed["content"], packed["first"], packed["size"], packed["length"] = np.frombuffer(content, dtype="V16"), start, size, told
+                    packed["recurs"], packed["twice"] = (recurs > 0) & ~twice, twice
                     edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text))
                     owner = rows.take(pa.array(text[edges[:-1]] + first))
                     pieces = [packed[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
@@ -332,25 +367,26 @@ def _packed_regions(texts: DataFrame, length: int, level: int) -> DataFrame:
 
 
 def _regions(packed: DataFrame, keys_only: bool = False) -> DataFrame:
-    """n, key and recurs of each packed region, or all of it: uid, n, key, content, first, size, recurs."""
+    """n, key and recurs of each packed region, or all of it: uid, n, key, content, first, size, length, recurs."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [np.frombuffer(x.as_py(), dtype=_REGION) for x in b["packed"]]
             if not held:
                 continue
-            rows = np.concatenate(held)
-            owner = b.select(["uid", "n"]).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+            rows, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            n = pa.array(np.asarray(b["n"])[owner] * (1 + rows["twice"]))
             key, recurs = pa.array(np.ascontiguousarray(rows["key"])), pa.array(np.ascontiguousarray(rows["recurs"]))
             if keys_only:
-                yield pa.RecordBatch.from_arrays([owner["n"], key, recurs], ["n", "key", "recurs"])
+                yield pa.RecordBatch.from_arrays([n, key, recurs], ["n", "key", "recurs"])
                 continue
             content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["content"]).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([owner["uid"], owner["n"], key, content, *(pa.array(np.ascontiguousarray(rows[c])) for c in ("first", "size")), recurs], ["uid", "n", "key", "content", "first", "size", "recurs"])
+            numbers = (pa.array(rows[c].astype(np.int64)) for c in ("first", "size", "length"))
+            yield pa.RecordBatch.from_arrays([b["uid"].take(pa.array(owner)), n, key, content, *numbers, recurs], ["uid", "n", "key", "content", "first", "size", "length", "recurs"])
 
     if keys_only:
         return in_arrow(packed, unpack, "n long, key long, recurs boolean")
-    return in_arrow(packed, unpack, "uid binary, n long, key long, content binary, first long, size long, recurs boolean")
+    return in_arrow(packed, unpack, "uid binary, n long, key long, content binary, first long, size long, length long, recurs boolean")
 
 
 def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
@@ -405,13 +441,13 @@ def _found(texts: DataFrame, length: int, level: int = 1) -> DataFrame:
     times = durable(times.filter("times > 1 OR recurs").select("key", "times"))
     total = times.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     regions = durable(look_up(_regions(packed), times, "key", "times", total).filter("times IS NOT NULL"))
-    folded = durable(regions.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first")).alias("one"), F.max("size").alias("size"), F.max("recurs").alias("recurs")))
-    keys = folded.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("size").alias("key_bytes"), F.max("recurs").alias("recurs"))
+    folded = durable(regions.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "first")).alias("one"), F.max("length").alias("length"), F.max("recurs").alias("recurs")))
+    keys = folded.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("length").alias("key_bytes"), F.max("recurs").alias("recurs"))
     keys = durable(keys.filter("different > 1 OR recurs").select("key", "different", "key_bytes"))
     total, largest = keys.agg(F.coalesce(F.sum("different"), F.lit(0)), F.coalesce(F.max("key_bytes"), F.lit(0))).first()
     shared = look_up(folded, keys, "key", "different", total).filter("different IS NOT NULL")
-    wanted = shared.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(F.struct("key", "content", "n", "key_bytes", F.col("one.first").alias("first"), "size")).alias("wanted"))
-    cut = F.transform("wanted", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["n"].alias("n"), r["key_bytes"].alias("key_bytes"), F.substring(F.col("raw"), (r["first"] + 1).cast("int"), r["size"].cast("int")).alias("bytes")))
+    wanted = shared.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(F.struct("key", "content", "n", "key_bytes", F.col("one.first").alias("first"), "length")).alias("wanted"))
+    cut = F.transform("wanted", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["n"].alias("n"), r["key_bytes"].alias("key_bytes"), F.substring(F.col("raw"), (r["first"] + 1).cast("int"), r["length"].cast("int")).alias("bytes")))
     cut = durable(texts.select("uid", "raw").join(wanted, "uid").select(F.explode(cut).alias("r")).select("r.*"))
     if level == 1:
         sweep(spark)
@@ -451,12 +487,12 @@ def _kept(raw: bytes, spans: np.ndarray) -> list[memoryview]:
 
 
 def _uid() -> Column:
-    """What rows that agree in id and text have in common; they are one another's repeats and fare alike."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"\x00"), text_or_empty().cast("binary"))))
+    """What rows with one text have in common; they are one another's repeats and fare alike."""
+    return F.unhex(F.md5(text_or_empty().cast("binary")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """uid, n and raw of the different rows of ``docs``, folded map-side, and dealt out by uid for all that follows."""
+    """uid, n and raw of the different texts of ``docs``, folded map-side, and dealt out by uid for all that follows."""
     rows = docs.select(_uid().alias("uid"), text_or_empty().cast("binary").alias("raw"))
     texts = durable_by(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw")), "uid")
     sweep(docs.sparkSession)
