@@ -45,14 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage; it survives the loss of any executor."""
     shared_dir(df.sparkSession)
-    return _without_estimates(df.checkpoint())
+    return df.checkpoint()
 
 
-def _without_estimates(df: DataFrame) -> DataFrame:
+def without_estimates(df: DataFrame) -> DataFrame:
     """A checkpoint without the size that its plan was estimated at.
 
-    Spark carries the estimate along and multiplies those of both sides of a join. After a few rounds of joins and
-    checkpoints it is a number of millions of digits, and planning takes minutes. Where this Spark can't do without, it stays.
+    Spark carries the estimate along and multiplies those of both sides of a join. After dozens of joins, as when an
+    operator calls itself, it is a number of millions of digits, and planning takes minutes. Where this Spark can't do without, it stays.
     """
     spark = df.sparkSession
     try:
@@ -61,7 +61,7 @@ def _without_estimates(df: DataFrame) -> DataFrame:
         return df
 
 
-def durable_by(df: DataFrame, key: str) -> DataFrame:
+def durable_by(df: DataFrame, key: str, number: int | None = None) -> DataFrame:
     """:func:`durable`, keeping that rows are dealt out and sorted by ``key``, so that joins on it move the other side only.
 
     Adaptive execution would forget how rows are dealt out, so it pauses for this one write.
@@ -71,7 +71,7 @@ def durable_by(df: DataFrame, key: str) -> DataFrame:
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         shared_dir(spark)
-        return df.repartition(parts(spark), key).sortWithinPartitions(key).checkpoint()
+        return df.repartition(number or parts(spark), key).sortWithinPartitions(key).checkpoint()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable, durable_by, in_arrow, look_up, parts, sweep, text_or_empty
+from .durable import durable, durable_by, in_arrow, look_up, parts, sweep, text_or_empty, without_estimates
 
 LENGTH = 400
 #: Bytes of the strings that make up passages, and the words that a passage has at least.
@@ -420,7 +420,8 @@ def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
 
 def _spans_of_split(regions: DataFrame, length: int, level: int) -> DataFrame:
     """content and spans of regions whose key is too common: each is taken as a text, and its strings meet by keys of the next level."""
-    found = _found(regions.select(F.col("content").alias("uid"), "n", F.col("bytes").alias("raw")), length, level)
+    texts = regions.select(F.col("content").alias("uid"), "n", F.col("bytes").alias("raw"))
+    found = _found(without_estimates(texts), length, level)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -547,7 +548,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, short: int = SHORT, wo
     """
     docs = docs.select("doc_id", "text")
     texts = _texts(docs)
-    marked = durable(texts.select("uid").join(_found(texts, short), "uid"))  # spans only: texts stay where they are
+    marked = without_estimates(durable(texts.select("uid").join(_found(texts, short), "uid")))  # spans only: texts stay where they are
     sweep(docs.sparkSession)
     with_found = texts.join(marked, "uid", "left")
     removed = _in_texts(_found(_long_runs(with_found, length), length))
