@@ -19,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import durable, ship, tidy
+from .durable import durable, durable_by, ship, tidy
 
 
 @dataclass(frozen=True)
 class GraphConfig:
-    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent, beam width, nodes expanded in a round, nodes that a search starts from, and nodes of a partition of the graph; the beam widens until a sample of ``audited`` queries reaches ``recall``."""
+    """Neighbours of a node, reverse neighbours that a round samples, rows of a first block, orders, rounds of descent at most and the share of changed neighbours that ends it before, beam width, nodes expanded in a round, nodes that a search starts from, and nodes of a partition of the graph; the beam widens until a sample of ``audited`` queries reaches ``recall``."""
 
     neighbours: int = 16
     reverse: int = 12
     block: int = 2048
     orders: int = 2
-    rounds: int = 3
+    rounds: int = 12
+    settled: float = 0.1
     told: int = 8
     beam: int = 448
     step: int = 128
@@ -43,8 +44,16 @@ class GraphConfig:
 _PART = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _part_of(nids: np.ndarray, n: int) -> np.ndarray:
-    return ((nids.astype(np.uint64) * _PART) >> np.uint64(33)).astype(np.int64) % n
+def _part_of(nids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return labels[((nids.astype(np.uint64) * _PART) >> np.uint64(33)).astype(np.int64) % len(labels)]
+
+
+def _labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n names of graph partitions that Spark's hash deals out evenly to n partitions: a row a partition goes to the driver."""
+    rows = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    free = iter(range(64 * n, 65 * n))
+    found = {r["at"]: r["id"] for r in rows}
+    return np.array([found[k] if k in found else next(free) for k in range(n)], dtype=np.int64)
 
 
 def _longs(x: pa.Scalar) -> np.ndarray:
@@ -165,7 +174,7 @@ def _first_graph(nodes: DataFrame, config: GraphConfig) -> DataFrame:
 
 
 def _merge_lists(lists: DataFrame, k: int, n: int) -> DataFrame:
-    """One row per nid: its k best, and which are new, that is, not from a row with old = true."""
+    """One row per nid: its k best, which of them are new, that is, not from a row with old = true, and how many."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, scores, old = None, [], [], np.empty(0, np.int64)
@@ -173,7 +182,8 @@ def _merge_lists(lists: DataFrame, k: int, n: int) -> DataFrame:
 
         def close() -> None:
             kept, score = _best(np.concatenate(ids), np.concatenate(scores), k)
-            out.append((now, kept.tobytes(), score.tobytes(), (~np.isin(kept, old)).tobytes()))
+            new = ~np.isin(kept, old)
+            out.append((now, kept.tobytes(), score.tobytes(), new.tobytes(), int(new.sum())))
 
         for b in batches:
             for nid, i, s, o in zip(b["nid"].to_pylist(), b["ids"], b["scores"], b["old"].to_pylist(), strict=True):
@@ -193,13 +203,13 @@ def _merge_lists(lists: DataFrame, k: int, n: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    names, kinds = ["nid", "ids", "scores", "new"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names, kinds = ["nid", "ids", "scores", "new", "fresh"], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
     rows = _deal(lists, n, "nid").sortWithinPartitions("nid", "old")
-    return durable(rows.select("nid", "ids", "scores", "old").mapInArrow(tidy(merge), "nid long, ids binary, scores binary, new binary"))
+    return durable(rows.select("nid", "ids", "scores", "old").mapInArrow(tidy(merge), "nid long, ids binary, scores binary, new binary, fresh long"))
 
 
 def build_graph(nodes: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """nid, ids, scores, new: the neighbour graph of ``nodes`` (nid, unit) by NN-descent."""
+    """nid, ids, scores, new, fresh (how many of them are new): the neighbour graph of ``nodes`` (nid, unit) by NN-descent."""
     spark = nodes.sparkSession
     ship(spark)
     n = _parts(nodes, config)
@@ -255,7 +265,10 @@ def build_graph(nodes: DataFrame, config: GraphConfig = GraphConfig()) -> DataFr
             half = [np.frombuffer(x.as_buffer(), np.float32).astype(np.float16).tobytes() for x in b["unit"]]
             yield pa.RecordBatch.from_arrays([b["nid"], pa.array(least, pa.float32()), pa.array(half, pa.binary())], ["member", "least", "half"])
 
+    entries = nodes.count() * config.neighbours
     for k in range(config.rounds):
+        if k and graph.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0] <= config.settled * entries:
+            break
         forward = graph.select("nid", "ids", "new").mapInArrow(tidy(edges), "centre long, member long, new boolean")
         back = forward.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "new")
         order = F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("member", F.lit(k))))
@@ -298,6 +311,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
     spark = nodes.sparkSession
     ship(spark)
     n = _parts(nodes, config)  # a query sends at most one message a round to a partition
+    labels = _labels(spark, n)
     sample = _sample(nodes, config.entries, -1)
     entry_ids = np.array([r["nid"] for r in sample], dtype=np.int64)
     entry_units = np.stack([np.frombuffer(r["unit"], np.float32) for r in sample]) if sample else np.empty((0, 1), np.float32)
@@ -305,11 +319,14 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_part_of(np.asarray(b["nid"]), n)), *(b[c] for c in ("nid", "unit", "links"))], ["part", "nid", "unit", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(_part_of(np.asarray(b["nid"]), labels)), *(b[c] for c in ("nid", "unit", "links"))], ["part", "nid", "unit", "links"])
 
     placed = nodes.select("nid", "unit").join(_undirected(graph, config.neighbours), "nid").select("nid", "unit", "links").mapInArrow(tidy(where), "part long, nid long, unit binary, links binary")
     none = lambda kind: F.lit(None).cast(kind)
-    placed = durable(placed.select("part", F.lit(0).alias("kind"), "nid", "unit", none("float").alias("least"), F.col("links").alias("score"), none("binary").alias("expand")))
+    placed = placed.select("part", F.lit(0).alias("kind"), "nid", "unit", none("float").alias("least"), F.col("links").alias("score"), none("binary").alias("expand"))
+    # The graph is dealt out once; a union with messages that are dealt out alike keeps it where it is.
+    placed = durable_by(placed, "part", n)
+    stays = spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
 
     def state_row(qid: int, unit: bytes, ids: np.ndarray, scores: np.ndarray, done: np.ndarray, pending: np.ndarray) -> tuple:
         """Choose the next nodes to expand and mark them."""
@@ -338,7 +355,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
             for qid, unit, scores, pending, frontier in zip(b["qid"].to_pylist(), b["unit"].to_pylist(), b["scores"], b["pending"], b["frontier"], strict=True):
                 pending, frontier, scores = _longs(pending), _longs(frontier), _floats(scores)
                 least = float(scores[-1]) if len(scores) == config.beam else -2.0
-                to_score, to_expand = _part_of(pending, n), _part_of(frontier, n)
+                to_score, to_expand = _part_of(pending, labels), _part_of(frontier, labels)
                 targets = np.unique(np.concatenate([to_score, to_expand]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(targets), pa.array([1] * len(targets), pa.int32()), pa.array([qid] * len(targets), pa.int64()), pa.array([unit] * len(targets), pa.binary()), pa.array([least] * len(targets), pa.float32()), pa.array([pending[to_score == t].tobytes() for t in targets], pa.binary()), pa.array([frontier[to_expand == t].tobytes() for t in targets], pa.binary())],
@@ -409,8 +426,8 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
     turn = 0
     while turn % 2 or state.filter(active).limit(1).count():  # a round of nothing is harmless
         messages = state.filter(active).select("qid", "unit", "scores", "pending", "frontier").mapInArrow(tidy(send), "part long, kind int, nid long, unit binary, least float, score binary, expand binary")
-        both = _deal(placed.unionByName(messages), n, "part").sortWithinPartitions("part", "kind")
-        replies = both.mapInArrow(tidy(serve), _STATE)
+        both = placed.unionByName(messages.repartition(n, "part")) if stays else placed.unionByName(messages).repartition(n, "part")
+        replies = both.sortWithinPartitions("part", "kind").mapInArrow(tidy(serve), _STATE)
         state = durable(_deal(state.unionByName(replies), n, "qid").sortWithinPartitions("qid", "kind").mapInArrow(tidy(advance), _STATE))
         turn += 1
         if turn % 4 == 0:
@@ -496,7 +513,11 @@ def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [_longs(x)[: 4 * k + 4] for x in b["ids"]]
+            ids = []
+            for x, y in zip(b["ids"], b["scores"], strict=True):
+                scores = _floats(y)  # what 32 bits can't tell from the k-th goes on too
+                close = int((scores >= scores[min(k, len(scores) - 1)] - 1e-5).sum()) if len(scores) else 0
+                ids.append(_longs(x)[: max(4 * k + 4, close)])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b["qid"]), [len(x) for x in ids])), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], ["qid", "nid"])
 
     pairs = beams.mapInArrow(tidy(unpack), "qid long, nid long")
