@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from oracle import connect, same
 
-from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -124,9 +124,11 @@ def test_sequential_execution_falls_back(spark):
     strong = spark.createDataFrame([(2, 0.9)], "doc_id int, score double")
     empty = weak.filter("false")
     layers = {"bm25": lambda q: weak, "hybrid": lambda q: empty, "vector": lambda q: strong}
-    rows, tried, used = router.execute("q", layers, ["bm25", "hybrid", "vector"], "sequential")
+    done = router.execute("q", layers, ["bm25", "hybrid", "vector"], "sequential")
+    rows, tried, used = done.rows, list(done.tried), list(done.used)
     assert ([r.doc_id for r in rows.collect()], tried, used) == ([2], ["bm25", "hybrid", "vector"], ["vector"])
-    rows, tried, used = router.execute("q", {"bm25": lambda q: weak}, ["bm25"], "sequential", StopConditions())
+    done = router.execute("q", {"bm25": lambda q: weak}, ["bm25"], "sequential", StopConditions())
+    rows, tried, used = done.rows, list(done.tried), list(done.used)
     assert ([r.doc_id for r in rows.collect()], used) == ([1], ["bm25"])
 
 

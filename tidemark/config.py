@@ -75,10 +75,28 @@ class Episodes:
 class StopConditions:
     max_layers: int = 3
     max_nodes: int = 100
+    max_depth: int = 5
+    max_calls: int = 20
+    max_tokens: int = 4000
+    timeout_ms: int = 5000
     beam_width: int = 1
     sufficient: float = 0.3
     min_confidence: float = 0.0
 
+    @classmethod
+    def time_boxed(cls, timeout_ms: int) -> StopConditions:
+        return cls(timeout_ms=timeout_ms, max_depth=3, max_nodes=50, max_calls=10)
+
+    @classmethod
+    def exploration(cls) -> StopConditions:
+        return cls(max_depth=7, max_nodes=200, max_calls=30, max_tokens=8000, timeout_ms=10_000, beam_width=3)
+
+    def with_beam(self, width: int) -> StopConditions:
+        return replace(self, beam_width=min(max(width, 1), 5))
+
+    def with_confidence(self, least: float) -> StopConditions:
+        return replace(self, min_confidence=min(max(least, 0.0), 1.0))
+
 
 @dataclass(frozen=True)
 class Retention:
@@ -87,6 +105,11 @@ class Retention:
     day: int = 365
     week: int = 1825
 
+    @classmethod
+    def words(cls) -> Retention:
+        """What the word index keeps; vectors are kept by the defaults."""
+        return cls(day=180)
+
 
 @dataclass(frozen=True)
 class Settings:

@@ -45,5 +45,21 @@ def penalise_superseded(results: DataFrame, found: DataFrame, config: Staleness
     return out.withColumn("score", F.when(F.col("newer").isNotNull(), F.col("score") * (1 - config.supersession_penalty)).otherwise(F.col("score")))
 
 
+def stale_filter(results: DataFrame, embeddings: DataFrame | None = None, config: Staleness = Staleness(), key: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Time decay, then one penalty for what a newer similar result replaces, best first; nothing if staleness is off.
+
+    ``embeddings`` has id and embedding of the results, which are a limited list. With ``key``, only results that agree
+    in it are compared.
+    """
+    if not config.enabled:
+        return results
+    out = decay(results, config)
+    if embeddings is not None:
+        bounded = out.join(embeddings, id_col)
+        found = superseded(bounded.withColumn("__all", F.lit(0)), key or "__all", config, id_col)
+        out = penalise_superseded(out, found, config, id_col).drop("newer")
+    return out.orderBy(F.desc("score"), id_col)
+
+
 def combine(results: DataFrame, config: Ranking = Ranking()) -> DataFrame:
     return results.withColumn("score", combined_rank(F.col("score"), F.col("salience_score"), F.col("access_count"), config))

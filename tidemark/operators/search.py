@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rrf_weight
-from ..functions.text import SEPARATORS, words
+from ..functions.text import SEPARATORS, searchable_text, term_overlap, words
 from ..functions.vectors import cosine, dot, literal
 
 K1, B = 1.2, 0.75
@@ -30,6 +30,16 @@ def _equals(term: str) -> Callable[[Column], Column]:
     return lambda w: w == term
 
 
+def bm25_score(terms: int) -> Column:
+    """The score of a row with __n, __avg and __dl, and __df and __tf of each of ``terms`` terms."""
+    score = F.lit(0.0)
+    for k in range(terms):
+        df, f = F.col(f"__df{k}"), F.col(f"__tf{k}")
+        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
+    return score
+
+
 def bm25(docs: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """id and score, to nine places so that copies tie, of documents with a query term.
 
@@ -47,11 +57,7 @@ def bm25(docs: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", te
         return counted.select(id_col, *carry, F.lit(0.0).alias("score")).filter(F.lit(False))
     stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
     joined = counted.crossJoin(F.broadcast(stats))  # stats is one row
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        df, f = F.col(f"__df{k}"), F.col(f"__tf{k}")
-        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
+    score = bm25_score(len(terms))
     hit = reduce(lambda a, b: a | b, (F.col(f"__tf{k}") > 0 for k in range(len(terms))))
     return joined.filter(hit).select(id_col, *carry, F.round(score, 9).alias("score"))
 
@@ -62,6 +68,46 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_i
     return top(rows.select(id_col, *carry, cosine(F.col(vector_col), literal(query)).alias("score")), k, id_col)
 
 
+def with_metadata(found: DataFrame, metadata: DataFrame, vector_col: str = "vec_id") -> DataFrame:
+    """Results of a vector search with their documents; results without metadata are dropped."""
+    return found.join(metadata, vector_col)
+
+
+def embeddings_of(found: DataFrame, metadata: DataFrame, vectors: DataFrame, id_col: str = "doc_id", vector_col: str = "vec_id") -> DataFrame:
+    """id and embedding of the results whose document has a vector. Results are limited, so they are sent to the tables."""
+    mine = metadata.join(F.broadcast(found.select(id_col)), id_col, "left_semi").select(id_col, vector_col)
+    return vectors.join(F.broadcast(mine), vector_col).select(id_col, "embedding")
+
+
+def result_metadata(results: DataFrame) -> DataFrame:
+    """Results with metadata, a map of timestamp_ms, agent and memory_kind where they are known."""
+    known = F.map_from_arrays(
+        F.array(F.lit("timestamp_ms"), F.lit("agent"), F.lit("memory_kind")),
+        F.array(F.unix_millis("ts").cast("string"), F.col("agent"), F.col("memory_kind")),
+    )
+    return results.withColumn("metadata", F.map_filter(known, lambda k, v: v.isNotNull()))
+
+
+def metadata_number(metadata: Column, key: str, default: float) -> Column:
+    """A number out of a metadata map; the default where it is missing or no number."""
+    return F.coalesce(F.try_element_at(metadata, F.lit(key)).try_cast("double"), F.lit(default))
+
+
+def composite(lists: Sequence[DataFrame], k: int, id_col: str) -> DataFrame:
+    """The k best of several indexes' results, each document once at its best score: what a recent buffer and a store find together."""
+    both = reduce(DataFrame.unionByName, (rows.select(id_col, "score") for rows in lists))
+    return top(both.groupBy(id_col).agg(F.max("score").alias("score")), k, id_col)
+
+
+def federated_nodes(stores: Mapping[str, DataFrame], terms: Sequence[str], k: int) -> DataFrame:
+    """The best segment nodes over stores by the share of terms in their title, keywords and bullets."""
+    scored = {}
+    for name, nodes in stores.items():
+        text = searchable_text(F.col("title"), F.col("keywords"), F.col("bullets"))
+        scored[name] = nodes.filter("level = 'segment'").select("node_id", term_overlap(text, terms).alias("score")).filter("score IS NOT NULL")
+    return federated(scored, k, "node_id")
+
+
 def top(rows: DataFrame, k: int, id_col: str, score: str = "score") -> DataFrame:
     return rows.orderBy(F.desc(score), id_col).limit(k)
 
@@ -72,11 +118,11 @@ def ranked(rows: DataFrame, id_col: str, score: str = "score") -> DataFrame:
 
 
 def rrf(lists: Mapping[str, DataFrame], id_col: str, weights: Mapping[str, float] | None = None, k: int = 60) -> DataFrame:
-    """id, score and n_lists: reciprocal-rank fusion of short ranked lists, as a union and one aggregate instead of outer joins."""
+    """id, score (to twelve places, so that equal ranks tie) and n_lists: reciprocal-rank fusion of short ranked lists, as a union and one aggregate instead of outer joins."""
     weights = weights or {}
     parts = [ranked(rows, id_col).select(F.col(id_col), rrf_weight(F.col("rank"), weights.get(name, 1.0), k).alias("w"), F.lit(name).alias("list")) for name, rows in sorted(lists.items())]
     both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy(id_col).agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n_lists"))
+    return both.groupBy(id_col).agg(F.round(F.sum("w"), 12).alias("score"), F.count(F.lit(1)).alias("n_lists"))
 
 
 def merge_layers(layers: Mapping[str, DataFrame], id_col: str) -> DataFrame:

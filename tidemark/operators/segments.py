@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Segmentation
+from ..functions import timekeys
 from ..functions.scoring import token_estimate
 from ..functions.text import cut_bytes
 from ..shipping import map_batches
+from .toc import mock_summary
 
 
 def event_tokens(events: DataFrame, config: Segmentation = Segmentation(), text: str = "text") -> DataFrame:
@@ -60,6 +62,24 @@ def summarise_segments(events: DataFrame, key: str, ts: str = "ts") -> DataFrame
     return events.groupBy(key, "segment_no").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n_events"), F.sum("tokens").alias("tokens"))
 
 
+def segment_nodes(events: DataFrame, key: str, ts: str = "ts", order: str = "event_id", text: str = "text") -> DataFrame:
+    """A node for each segment of ``events`` (with segment_no): a fixed id, bounds, parent, and the summary of its events."""
+    rows = events.withColumn("__seg", F.concat_ws("-", F.col(key).cast("string"), F.col("segment_no").cast("string")))
+    bounds = rows.groupBy("__seg").agg(F.min(ts).alias("start_time"), F.max(ts).alias("end_time"))
+    nodes = mock_summary(rows.withColumn("__order", F.struct(ts, order)), "__seg", text, "__order").join(bounds, "__seg")
+    s = F.col("start_time")
+    return nodes.select(
+        timekeys.node_id("segment", s, F.col("__seg")).alias("node_id"),
+        F.lit("segment").alias("level"),
+        timekeys.parent_id("segment", s).alias("parent_id"),
+        "title",
+        "start_time",
+        "end_time",
+        F.array("bullet_first", "bullet_last", "bullet_total").alias("bullets"),
+        "keywords",
+    )
+
+
 def overlap(events: DataFrame, key: str, config: Segmentation = Segmentation(), ts: str = "ts", order: str = "event_id") -> DataFrame:
     """The events of each segment that the next one gets as context: from its end back, inside the time and token limits."""
     back = Window.partitionBy(key, "segment_no").orderBy(F.desc(ts), F.desc(order))

@@ -32,6 +32,44 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
+def delete(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Stored rows without those of the given keys."""
+    return stored.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def with_index_flag(events: DataFrame, duplicates: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events to store, with indexed: what the novelty gate found to be a duplicate is kept but not put into the outbox."""
+    return events.join(duplicates.select(key, F.lit(True).alias("__dup")), key, "left").withColumn("indexed", F.col("__dup").isNull()).drop("__dup")
+
+
+def outbox_of(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """The outbox entries that storing events makes."""
+    return events.filter("indexed").select(F.col(key).alias("seq"), F.col(key).alias("doc_id"), F.lit("add").alias("action"))
+
+
+def node_index(grips: DataFrame) -> DataFrame:
+    """The secondary index of grips: node and grip, for those that belong to a node."""
+    return grips.filter("toc_node_id IS NOT NULL").select("toc_node_id", "grip_id").distinct()
+
+
+def grips_of_nodes(grips: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The grips of some nodes (node_id), by node and time."""
+    return grips.join(nodes.select(F.col("node_id").alias("toc_node_id")), "toc_node_id", "left_semi").orderBy("toc_node_id", "ts", "grip_id")
+
+
+def newest_first(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Rows by falling key: the newest, where keys begin with the time."""
+    return rows.orderBy(F.desc(key)).limit(limit)
+
+
+def vectors_of_type(metadata: DataFrame, kind: str) -> DataFrame:
+    return metadata.filter(F.col("doc_type") == kind)
+
+
+def vectors_of_document(metadata: DataFrame, doc_id: object) -> DataFrame:
+    return metadata.filter(F.col("doc_id") == F.lit(doc_id))
+
+
 def latest_versions(rows: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The row of the largest version of each key: an aggregate, which combines map-side, not a window."""
     others = [c for c in rows.columns if c not in (key, version)]

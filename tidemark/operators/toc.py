@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import Grips
 from ..functions import timekeys
-from ..functions.text import ellipsis, term_overlap
+from ..functions.text import bm25_text, ellipsis, merged_keywords, term_overlap
 from ..shipping import map_batches
 from .store import overlaps
+from .topics import frequent_words
 
 #: Minutes that a period must be over before its node is made. Fixed values.
 MIN_AGE_MINUTES = {"day": 60, "week": 1440, "month": 1440, "year": 10080}
@@ -64,15 +65,63 @@ def closed(nodes: DataFrame, as_of: Column) -> DataFrame:
 
 
 def mock_summary(texts: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """The deterministic summary of each group: title, bullets for the first and last message and the number, and keywords."""
+    """The deterministic summary of each group: title, bullets for the first and last message and the number, and its five most frequent words."""
     first, last = F.min_by(text, order), F.max_by(text, order)
     n = F.count(F.lit(1))
-    return texts.groupBy(key).agg(
+    best = frequent_words(texts, key, text)
+    keywords = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    made = texts.groupBy(key).agg(
         F.concat(F.lit("Summary of "), n.cast("string"), F.lit(" events")).alias("title"),
         F.concat(F.lit("First message: "), ellipsis(first, 50)).alias("bullet_first"),
         F.concat(F.lit("Last message: "), ellipsis(last, 50)).alias("bullet_last"),
         F.concat(F.lit("Total events: "), n.cast("string")).alias("bullet_total"),
     )
+    return made.join(keywords, key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+
+
+def summarise_children(children: DataFrame, parent: str = "parent_id", order: str = "start_time") -> DataFrame:
+    """The deterministic summary of each parent: title, the first bullet of its first five children, and seven keywords of all."""
+    some = F.array_sort(F.collect_list(F.struct(order, "node_id", F.try_element_at("bullets", F.lit(1)).alias("bullet"))))
+    folded = children.groupBy(parent).agg(F.count(F.lit(1)).alias("__n"), some.alias("__c"), merged_keywords(F.collect_list("keywords")).alias("keywords"))
+    bullets = F.slice(F.filter(F.transform("__c", lambda c: c["bullet"]), lambda b: b.isNotNull()), 1, 5)
+    return folded.select(parent, F.concat(F.lit("Summary of "), F.col("__n").cast("string"), F.lit(" child summaries")).alias("title"), bullets.alias("bullets"), "keywords")
+
+
+def rollup(below: DataFrame, level: str, as_of: Column, after: Column | None = None) -> DataFrame:
+    """Nodes of a level from those of the level below (with bullets and keywords), for periods that closed long enough ago.
+
+    ``after`` is the checkpoint, the end of the last period done: later periods only. Periods without children have
+    no node. The largest end_time of the result is the next checkpoint.
+    """
+    ts_of = F.col("start_time") if level != "month" else F.date_add(F.date_trunc("week", "start_time").cast("date"), 3).cast("timestamp")
+    start = timekeys.period_start(level, ts_of)
+    rows = below.withColumns({"__start": start, "__parent": timekeys.node_id(level, start)})
+    summary = summarise_children(rows.withColumn("parent_id", F.col("__parent")))
+    bounds = rows.groupBy(F.col("__parent").alias("parent_id")).agg(F.min("__start").alias("start_time"))
+    s = F.col("start_time")
+    nodes = summary.join(bounds, "parent_id").select(
+        F.col("parent_id").alias("node_id"), F.lit(level).alias("level"), timekeys.parent_id(level, s).alias("parent_id"), "title", "start_time", timekeys.period_end(level, s).alias("end_time"), "bullets", "keywords"
+    )
+    done = closed(nodes, as_of)
+    return done if after is None else done.filter(F.col("end_time") > after)
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """Year nodes, newest first."""
+    return nodes.filter("level = 'year'").orderBy(F.desc("start_time"))
+
+
+def node_to_wire(nodes: DataFrame) -> DataFrame:
+    """Nodes as they are sent: bullets joined to a summary, null if there are none, and times as milliseconds."""
+    summary = F.nullif(F.array_join("bullets", " "), F.lit(""))
+    return nodes.select("node_id", "level", "title", summary.alias("summary"), F.unix_millis("start_time").alias("start_ms"), F.unix_millis("end_time").alias("end_ms"))
+
+
+def everything(nodes: DataFrame, grip_rows: DataFrame) -> DataFrame:
+    """All that a rebuild indexes: doc_id, doc_type and text of nodes of every level and of grips."""
+    a = nodes.select(F.col("node_id").alias("doc_id"), F.lit("toc_node").alias("doc_type"), bm25_text(F.col("title"), F.col("bullets")).alias("text"))
+    b = grip_rows.select(F.col("grip_id").alias("doc_id"), F.lit("grip").alias("doc_type"), F.col("excerpt").alias("text"))
+    return a.unionByName(b)
 
 
 def node_search(nodes: DataFrame, terms: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Topics
+from ..functions.density import density_clusters
 from ..functions.scoring import importance
-from ..functions.text import keyword_words, topic_words
-from ..functions.vectors import centroids, dot
-from ..shipping import ship
+from ..functions.text import clean_label, keyword_words, label_confidence, label_from_keywords, topic_words
+from ..functions.vectors import centroids, cosine, dot
+from ..shipping import map_batches, ship
 
 
 def term_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -49,38 +52,59 @@ def labels(scores: DataFrame, key: str, config: Topics = Topics()) -> DataFrame:
 
 
 def cluster_by_density(vectors: DataFrame, id_col: str, vector_col: str, block: str, config: Topics = Topics()) -> DataFrame:
-    """id and cluster (-1: noise): inside each block, links of at least the similarity, and components of enough members.
+    """id and cluster (the least id in it; -1: noise) by hierarchical density clustering inside each block.
 
-    This is the threshold graph that density clustering cuts at a fixed level; the block bounds the comparisons.
+    A task holds one block, and clusters don't cross blocks; a block with fewer rows than the smallest cluster is noise.
     """
+    least = config.min_cluster
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows = rows.sort_values("id", ignore_index=True)
-        x = np.stack(rows["v"].to_numpy())
-        root = np.arange(len(rows))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for a in range(0, len(x), 512):
-            for i, j in zip(*np.nonzero(x[a : a + 512] @ x.T >= config.similarity), strict=True):
-                p, q = find(i + a), find(j)
-                root[max(p, q)] = min(p, q)
-        found = np.array([find(k) for k in range(len(rows))])
-        sizes = np.bincount(found, minlength=len(rows))
         ids = rows["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": np.where(sizes[found] >= config.min_cluster, ids[found], -1)})
+        found = density_clusters(np.stack(rows["v"].to_numpy()), least)
+        first = {c: ids[found == c].min() for c in set(found.tolist()) - {-1}}
+        return pd.DataFrame({"id": ids, "cluster": [first.get(c, -1) for c in found.tolist()]})
 
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(block).alias("b"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(block).alias("b")).filter("v IS NOT NULL")
     return rows.groupBy("b").applyInPandas(lambda p: cluster(p[["id", "v"]]), "id bigint, cluster bigint").withColumnRenamed("id", id_col)
 
 
+class TopicLabeler(Protocol):
+    """A model that names a cluster."""
+
+    def label(self, texts: list[str]) -> str: ...
+
+
+def label_clusters(docs: DataFrame, key: str, labeler: TopicLabeler | None = None, config: Topics = Topics(), text: str = "text", sample: int = 20) -> DataFrame:
+    """key, label, keywords and confidence: the labeler's cleaned answer at 0.85, else the keywords' label.
+
+    A labeler sees ``sample`` texts of a cluster, by hash. Where it fails or answers blank, keywords name the cluster.
+    """
+    best = top_terms(term_scores(docs, key, text), key, 2 * config.label_words)
+    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "score"))).alias("t"))
+    words, scores = F.transform("t", lambda x: x["term"]), F.transform("t", lambda x: x["score"])
+    named = lists.select(key, label_from_keywords(words, config.label_words, config.label_chars).alias("label"), words.alias("keywords"), label_confidence(scores).alias("confidence"))
+    if labeler is None:
+        return named
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            answers = []
+            for texts in b["texts"]:
+                try:
+                    answers.append(labeler.label(list(texts)))
+                except Exception:  # the keywords' label stands in
+                    answers.append(None)
+            yield pd.DataFrame({"k": b["k"], "answer": answers})
+
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))
+    some = docs.withColumn("__nth", nth).filter(F.col("__nth") <= sample).groupBy(F.col(key).alias("k")).agg(F.collect_list(text).alias("texts"))
+    asked = map_batches(some, ask, f"k {dict(docs.dtypes)[key]}, answer string").select(F.col("k").alias(key), clean_label(F.col("answer"), config.label_chars).alias("__answer"))
+    good = F.coalesce(F.col("__answer") != "", F.lit(False))
+    return named.join(asked, key, "left").select(key, F.when(good, F.col("__answer")).otherwise(F.col("label")).alias("label"), "keywords", F.when(good, 0.85).otherwise(F.col("confidence")).alias("confidence"))
+
+
 def semantic_edges(topics: DataFrame, threshold: float = 0.75) -> DataFrame:
     """source, target and strength of topics with similar centroids. Topics are clusters, so they are few; the smaller side is sent around."""
     a = topics.select(F.col("topic_id").alias("source_id"), F.col("embedding").alias("__a"))
@@ -114,6 +138,69 @@ def strengthen(edges: DataFrame, more: DataFrame) -> DataFrame:
     return both.groupBy("source_id", "target_id").agg(F.sum("strength").alias("strength"), F.count(F.lit(1)).alias("evidence")).withColumn("strength", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "strength")))
 
 
+def has_edge(edges: DataFrame, source: object, target: object) -> DataFrame:
+    """One row: whether there is an edge."""
+    return edges.agg(F.coalesce(F.bool_or((F.col("source_id") == F.lit(source)) & (F.col("target_id") == F.lit(target))), F.lit(False)).alias("has_edge"))
+
+
+def update_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with the strengths of ``changes`` (source_id, target_id, strength), clamped; changes of edges that aren't there are ignored."""
+    new = changes.select("source_id", "target_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "strength")).alias("__s"))
+    return edges.join(new, ["source_id", "target_id"], "left").withColumn("strength", F.coalesce("__s", "strength")).drop("__s")
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti")
+
+
+def save_links(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Links with incoming ones in place of those of the same topic and node."""
+    return stored.join(incoming.select("topic_id", "node_id"), ["topic_id", "node_id"], "left_anti").unionByName(incoming)
+
+
+def links_of_topic(links: DataFrame, topic: object) -> DataFrame:
+    """A topic's links, most relevant first."""
+    return links.filter(F.col("topic_id") == F.lit(topic)).orderBy(F.desc("relevance"), "node_id")
+
+
+def links_of_node(links: DataFrame, node: object) -> DataFrame:
+    return links.filter(F.col("node_id") == F.lit(node)).orderBy(F.desc("relevance"), "topic_id")
+
+
+def distances(topics: DataFrame) -> DataFrame:
+    """a, b and 1 - cosine of all pairs of topics, which are clusters and few."""
+    a = topics.select(F.col("topic_id").alias("a"), F.col("embedding").alias("__a"))
+    b = topics.select(F.col("topic_id").alias("b"), F.col("embedding").alias("__b"))
+    return a.join(b, F.lit(True)).select("a", "b", (1 - cosine(F.col("__a"), F.col("__b"))).alias("distance"))
+
+
+def lifecycle_stats(topics: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: active and archived topics, and relationships."""
+    t = topics.agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") != "active").alias("archived"))
+    return t.crossJoin(edges.agg(F.count(F.lit(1)).alias("relationships")))
+
+
+def merged(topics: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Topics after a merge (topic_id, keeper): node counts added, missing keywords appended, the latest mention kept."""
+    rows = topics.join(keepers, "topic_id")
+    first = F.max_by(F.struct("label", "embedding", "keywords", "status", "importance_score"), F.col("topic_id") == F.col("keeper"))
+    more = F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords"))))
+    out = rows.groupBy(F.col("keeper").alias("topic_id")).agg(first.alias("k"), F.sum("node_count").alias("node_count"), F.max("last_mentioned_at").alias("last_mentioned_at"), more.alias("__more"))
+    return out.select("topic_id", "k.label", "k.embedding", F.array_union("k.keywords", "__more").alias("keywords"), "k.status", "k.importance_score", "node_count", "last_mentioned_at")
+
+
+def extraction_cycle(docs: DataFrame, as_of: Column, id_col: str, block: str, vector_col: str = "embedding", text: str = "text", labeler: TopicLabeler | None = None, config: Topics = Topics()) -> tuple[DataFrame, DataFrame]:
+    """Topics and links out of documents with vectors and times: cluster, centre, name, weigh and link."""
+    clustered = docs.join(cluster_by_density(docs, id_col, vector_col, block, config), id_col).filter("cluster <> -1")
+    made = extract_topics(clustered, "cluster", vector_col)
+    seen = clustered.groupBy(F.col("cluster").alias("topic_id")).agg(F.max("ts").alias("last_mentioned_at"))
+    names = label_clusters(clustered, "cluster", labeler, config, text).withColumnRenamed("cluster", "topic_id")
+    rows = made.join(seen, "topic_id").join(names, "topic_id", "left").withColumns({"status": F.lit("active"), "importance_score": F.lit(0.0), "label": F.coalesce("label", F.lit("Unknown Topic"))})
+    centres = made.select(F.col("topic_id").alias("cluster"), F.col("embedding").alias("__centre"))
+    links = clustered.join(centres, "cluster").select(F.col("cluster").alias("topic_id"), F.col(id_col).alias("node_id"), cosine(F.col(vector_col), F.col("__centre")).alias("relevance"))
+    return refresh_importance(rows, as_of, config), links
+
+
 def _has(term: str) -> Callable[[Column], Column]:
     return lambda text: F.contains(F.lower(text), F.lit(term))
 

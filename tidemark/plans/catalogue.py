@@ -5,6 +5,8 @@ Scores are rounded to six places on both sides, times are epoch milliseconds, an
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import Dedup, Grips, Ranking, Segmentation
 from ..functions import scoring, text, timekeys, vectors
+from ..functions.embedding import HashingEmbedder
 from ..operators import agents, dedup, episodes, evaluate, lifecycle, ranking, search, segments, store, toc, topics
+from ..operators.indexes import WordIndex
 from ..sources import tables
 from . import router
 
@@ -50,7 +54,11 @@ def as_of() -> Column:
 
 def doc_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as stored nodes: level, time, kind, pin and accesses follow from id and label."""
-    docs, labels = tables.read(spark, sf, "documents"), tables.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return _doc_facts(tables.read(spark, sf, "documents"), tables.read(spark, sf, "labels"))
+
+
+def _doc_facts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     level = F.element_at(F.array(*(F.lit(x) for x in lifecycle.ORDER)), (F.col("doc_id") % 6 + 1).cast("int"))
     rows = docs.join(labels, "doc_id", "left")
     return rows.select(
@@ -300,16 +308,9 @@ def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return segments.overlap(rows, "user_id").select("user_id", "segment_no", "event_id")
 
 
-@query("grip_extract")
-def grip_extract(spark: SparkSession, sf: str) -> DataFrame:
-    t = tables.turns(spark, sf)
-    bullets = t.filter("turn = 0").select("session_id", F.regexp_extract("text", r"^((?:\S+\s+){0,11}\S+)", 1).alias("bullet"))
-    return toc.grips(bullets, t, "session_id")
-
-
 @query(
     "grip_expand_context",
-    f"""WITH {_EV}, g AS (SELECT event_id AS grip_id, user_id, ts AS ts_start, ts AS ts_end FROM ev WHERE event_id % 97 = 0),
+    f"""WITH {_EV}, g AS (SELECT event_id AS grip_id, user_id, ts AS ts_start, ts AS ts_end FROM ev),
     n AS (SELECT g.grip_id, e.event_id, CASE WHEN e.ts < ts_start THEN 'before' WHEN e.ts > ts_end THEN 'after' ELSE 'excerpt' END AS place, abs(epoch_us(e.ts) - epoch_us(ts_start)) AS away
       FROM g JOIN ev e ON e.user_id = g.user_id AND e.ts BETWEEN ts_start - INTERVAL 10 HOUR AND ts_end + INTERVAL 10 HOUR),
     r AS (SELECT *, row_number() OVER (PARTITION BY grip_id, place ORDER BY away, CASE WHEN place = 'before' THEN -event_id ELSE event_id END) AS nth FROM n)
@@ -317,7 +318,7 @@ def grip_extract(spark: SparkSession, sf: str) -> DataFrame:
 )
 def grip_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.events(spark, sf)
-    g = e.filter("event_id % 97 = 0").select(F.col("event_id").alias("grip_id"), "user_id", F.col("ts").alias("ts_start"), F.col("ts").alias("ts_end"))
+    g = e.select(F.col("event_id").alias("grip_id"), "user_id", F.col("ts").alias("ts_start"), F.col("ts").alias("ts_end"))
     return toc.grip_context(g, e, Grips(window_minutes=600), key="user_id")
 
 
@@ -333,10 +334,13 @@ def term_overlap_search(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", r6(text.term_overlap(F.col("text"), _TERMS)).alias("score")).filter("score IS NOT NULL")
 
 
-def _doc_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def doc_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as nodes: the first sentence is the title and gives the keywords, and all sentences are bullets."""
     d = tables.read(spark, sf, "documents")
-    words = F.split("text", " ")
-    return d.select(F.col("doc_id").alias("node_id"), F.col("source").alias("parent_id"), F.substring("text", 1, 60).alias("title"), F.array(F.substring("text", 1, 100), F.substring("text", 101, 100)).alias("bullets"), F.transform(F.slice(words, 1, 3), F.lower).alias("keywords"))
+    sentences = F.split("text", r"\. ")
+    rows = d.select(F.col("doc_id").alias("node_id"), F.col("source").alias("parent_id"), sentences.alias("bullets"))
+    first = F.element_at("bullets", 1)
+    return rows.select("node_id", "parent_id", first.alias("title"), "bullets", F.split(F.lower(first), " ").alias("keywords"))
 
 
 def _overlap_sql(column: str) -> str:
@@ -344,7 +348,9 @@ def _overlap_sql(column: str) -> str:
     return f"round(({hits}) / {float(len(_TERMS))}, 6)"
 
 
-_NODE_MATCHES = f"""n AS (SELECT doc_id AS node_id, source AS parent_id, substr(text, 1, 60) AS title, [substr(text, 1, 100), substr(text, 101, 100)] AS bullets, list_transform(string_split(text, ' ')[1:3], lambda x: lower(x)) AS keywords FROM documents),
+NODES = """n AS (SELECT doc_id AS node_id, source AS parent_id, bullets[1] AS title, bullets, string_split(lower(bullets[1]), ' ') AS keywords
+    FROM (SELECT doc_id, source, string_split(text, '. ') AS bullets FROM documents))"""
+_NODE_MATCHES = f"""{NODES},
   m AS (SELECT node_id, parent_id, 'title' AS field, {_overlap_sql("title")} AS score FROM n
     UNION ALL SELECT node_id, parent_id, 'summary', {_overlap_sql("array_to_string(bullets, ' ')")} FROM n
     UNION ALL SELECT node_id, parent_id, 'bullets', {_overlap_sql("b")} FROM (SELECT node_id, parent_id, unnest(bullets) AS b FROM n)
@@ -353,12 +359,12 @@ _NODE_MATCHES = f"""n AS (SELECT doc_id AS node_id, source AS parent_id, substr(
 
 @query("node_field_search", f"WITH {_NODE_MATCHES} SELECT node_id, field, CAST(score AS DOUBLE) AS score FROM m WHERE score > 0")
 def node_field_search(spark: SparkSession, sf: str) -> DataFrame:
-    return toc.node_search(_doc_nodes(spark, sf), _TERMS).select("node_id", "field", r6("score").alias("score"))
+    return toc.node_search(doc_nodes(spark, sf), _TERMS).select("node_id", "field", r6("score").alias("score"))
 
 
 @query("search_children_relevance", f"WITH {_NODE_MATCHES} SELECT node_id, round(avg(score), 5) AS relevance, count(*) AS n_matches FROM m WHERE score > 0 AND parent_id = 'src0' GROUP BY node_id ORDER BY avg(score) DESC, node_id LIMIT 10")
 def search_children_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    return toc.children_relevance(_doc_nodes(spark, sf), "src0", _TERMS).withColumn("relevance", F.round("relevance", 5))
+    return toc.children_relevance(doc_nodes(spark, sf), "src0", _TERMS).withColumn("relevance", F.round("relevance", 5))
 
 
 # Scores.
@@ -449,11 +455,11 @@ def bm25_doc_type_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "bm25_postings",
     """WITH tk AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents)
-    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tk GROUP BY term HAVING count(DISTINCT doc_id) >= 20""",
+    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tk GROUP BY term""",
 )
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
     terms, _ = search.postings(tables.read(spark, sf, "documents"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).filter("df >= 20")
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(
@@ -487,8 +493,30 @@ _TWO_LISTS = f"""{_bm25_sql("documents", "doc_id", SEARCH)}, {_VEC},
   l2 AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS r FROM v, q QUALIFY r <= 20)"""
 
 
+_indexes: dict[tuple[str, str], WordIndex] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share: under ``spark.checkpoint.dir``, or a temporary one where that is unset and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+def word_index(spark: SparkSession, sf: str) -> WordIndex:
+    """The word index of the documents of a folder, built once per application."""
+    held = (spark.sparkContext.applicationId, sf)
+    if held not in _indexes:
+        index = WordIndex(spark, scratch(spark, "words"))
+        index.add(tables.read(spark, sf, "documents").select("doc_id", "text"))
+        index.commit()
+        _indexes[held] = index
+    return _indexes[held]
+
+
 def _two_lists(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    words = search.top(search.bm25(tables.read(spark, sf, "documents"), SEARCH), 20, "doc_id")
+    words = search.top(word_index(spark, sf).search(SEARCH), 20, "doc_id")
     near = search.knn(tables.read(spark, sf, "embeddings"), _query_vector(spark, sf), 20).withColumnRenamed("vec_id", "doc_id")
     return {"bm25": words, "vector": near}
 
@@ -579,14 +607,18 @@ def context_builder(spark: SparkSession, sf: str) -> DataFrame:
     return router.context(found).withColumn("confidence", r6("confidence"))
 
 
-def _layers(spark: SparkSession, sf: str) -> dict[str, router.Layer]:
+EMBEDDER = HashingEmbedder(64)
+
+
+def layers(spark: SparkSession, sf: str) -> dict[str, router.Layer]:
+    """Words by the index, vectors by the query's embedding, both fused, and shared terms."""
     docs, near = tables.read(spark, sf, "documents"), tables.read(spark, sf, "embeddings")
 
     def by_words(asked: str) -> DataFrame:
-        return search.top(search.bm25(docs, asked), 50, "doc_id")
+        return search.top(word_index(spark, sf).search(asked), 50, "doc_id")
 
     def by_vector(asked: str) -> DataFrame:
-        return search.knn(near, _query_vector(spark, sf), 50).withColumnRenamed("vec_id", "doc_id")
+        return search.knn(near, EMBEDDER.embed([asked])[0].tolist(), 50).withColumnRenamed("vec_id", "doc_id")
 
     def hybrid(asked: str) -> DataFrame:
         return search.rrf({"bm25": by_words(asked), "vector": by_vector(asked)}, "doc_id", {"bm25": 0.5, "vector": 0.5}).select("doc_id", "score")
@@ -598,32 +630,79 @@ def _layers(spark: SparkSession, sf: str) -> dict[str, router.Layer]:
     return {"bm25": by_words, "vector": by_vector, "hybrid": hybrid, "agentic": agentic}
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
+def _layers_sql(tag: str, asked: str) -> str:
+    """bm25, vector, hybrid and agentic lists of a query: bm_, ve_, hy_ and ag_ with the tag."""
+    words = _bm25_sql("documents", "doc_id", asked)
+    vector = ", ".join(repr(float(x)) for x in EMBEDDER.embed([asked])[0])
+    terms = text.query_terms(asked)
+    hits = " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in terms)
+    return f"""bm_{tag} AS (WITH {words} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 50),
+      ve_{tag} AS (SELECT vec_id AS doc_id, s AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS r
+        FROM (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), [{vector}]) AS s FROM embeddings) QUALIFY r <= 50),
+      hy_{tag} AS (SELECT doc_id, round(sum(0.5 / (60 + r)), 12) AS score FROM (SELECT doc_id, r FROM bm_{tag} UNION ALL SELECT doc_id, r FROM ve_{tag}) GROUP BY doc_id),
+      ag_{tag} AS (SELECT doc_id, ({hits}) / {float(len(terms))} AS score FROM documents WHERE ({hits}) > 0 ORDER BY score DESC, doc_id LIMIT 50)"""
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
     f = doc_facts(spark, sf)
     return f.select("doc_id", scoring.salience(F.col("text"), F.col("memory_kind"), F.col("is_pinned")).alias("salience_score"), "memory_kind", "access_count", "ts")
 
 
-@query("route_query")
+def facts_of(spark: SparkSession, sf: str) -> router.Facts:
+    """Facts made for the documents of a short list only."""
+    docs, labels = tables.read(spark, sf, "documents"), tables.read(spark, sf, "labels")
+
+    def made(ids: DataFrame) -> DataFrame:
+        few = F.broadcast(ids.distinct())  # a limited list
+        f = _doc_facts(docs.join(few, "doc_id", "left_semi"), labels.join(few, "doc_id", "left_semi"))
+        return f.select("doc_id", scoring.salience(F.col("text"), F.col("memory_kind"), F.col("is_pinned")).alias("salience_score"), "memory_kind", "access_count", "ts")
+
+    return made
+
+
+_EXEMPT = ", ".join(f"'{k}'" for k in text.EXEMPT_KINDS)
+
+
+def _routed_sql(rows: str, select: str) -> str:
+    """The re-scored best ten of a list ``rows`` (doc_id, score, source_layer)."""
+    return f"""b AS (SELECT * FROM {rows} ORDER BY score DESC, doc_id LIMIT 100),
+    e AS (SELECT b.doc_id, b.score, source_layer, coalesce(memory_kind, 'observation') AS memory_kind, ms, CASE WHEN fx.doc_id IS NULL THEN 0.5 ELSE {_SALIENCE} END AS sal FROM b LEFT JOIN fx ON fx.doc_id = b.doc_id),
+    d AS (SELECT *, score * CASE WHEN ms IS NULL OR memory_kind IN ({_EXEMPT}) THEN 1.0 ELSE 1 - 0.3 * (1 - exp(-((max(ms) OVER () - ms) / 86400000.0) / 14.0)) END AS s FROM e),
+    f AS (SELECT doc_id, greatest(s * (0.55 + 0.45 * sal), 0.5 * s) AS score, source_layer, memory_kind FROM d)
+    SELECT {select} FROM f ORDER BY f.score DESC, doc_id LIMIT 10"""
+
+
+_MERGED = """m AS (SELECT doc_id, score, source_layer FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS n
+      FROM (SELECT doc_id, score, 'hybrid' AS source_layer, 0 AS k FROM hy_a UNION ALL SELECT doc_id, score, 'bm25', 1 FROM bm_a)) WHERE n = 1)"""
+_ASKED = "how did the nation explain the"
+
+
+@query("route_query", f"WITH {_layers_sql('a', _ASKED)}, {_MERGED}, {_FACTS}, {_routed_sql('m', 'doc_id, round(score, 6) AS score, source_layer, memory_kind')}")
 def route_query(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = router.route("how did the nation explain the", _layers(spark, sf), _facts(spark, sf))
+    out, _ = router.route(_ASKED, layers(spark, sf), facts_of(spark, sf))
     return out.withColumn("score", r6("score"))
 
 
 @query(
     "route_query_keyword",
-    f"""WITH {_bm25_sql("documents", "doc_id", "find the exact nation")}, {_FACTS}, b AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50),
-    d AS (SELECT doc_id, memory_kind, score * CASE WHEN memory_kind IN ('constraint', 'definition', 'procedure', 'preference') THEN 1.0 ELSE 1 - 0.3 * (1 - exp(-((max(ms) OVER () - ms) / 86400000.0) / 14.0)) END AS s, {_SALIENCE} AS sal FROM b JOIN fx USING (doc_id)),
-    f AS (SELECT doc_id, greatest(s * (0.55 + 0.45 * sal), 0.5 * s) AS score, memory_kind FROM d)
-    SELECT doc_id, round(score, 6) AS score, 'bm25' AS source_layer, memory_kind FROM f ORDER BY f.score DESC, doc_id LIMIT 10""",
+    f"WITH {_layers_sql('a', 'find the exact nation')}, m AS (SELECT doc_id, score, 'bm25' AS source_layer FROM bm_a), {_FACTS}, {_routed_sql('m', 'doc_id, round(score, 6) AS score, source_layer, memory_kind')}",
 )
 def route_query_keyword(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = router.route("find the exact nation", {"bm25": _layers(spark, sf)["bm25"]}, _facts(spark, sf))
+    out, _ = router.route("find the exact nation", {"bm25": layers(spark, sf)["bm25"]}, facts_of(spark, sf))
     return out.withColumn("score", r6("score"))
 
 
-@query("orchestrated_query")
+_ORCHESTRATED = "What explains the nation"
+_VARIANTS = text.expand_query(_ORCHESTRATED)
+_ALL_LISTS = " UNION ALL ".join(f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {layer}_{n} QUALIFY r <= 20" for n in range(len(_VARIANTS)) for layer in ("bm", "ve", "hy", "ag"))
+
+
+@query(
+    "orchestrated_query",
+    f"WITH {', '.join(_layers_sql(str(n), v) for n, v in enumerate(_VARIANTS))}, l AS ({_ALL_LISTS}), o AS (SELECT doc_id, round(sum(1.0 / (60 + r)), 12) AS score, count(*) AS n_lists FROM l GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score, n_lists FROM o ORDER BY o.score DESC, doc_id LIMIT 10",
+)
 def orchestrated_query(spark: SparkSession, sf: str) -> DataFrame:
-    return router.orchestrate("What explains the nation", _layers(spark, sf)).withColumn("score", r6("score"))
+    return router.orchestrate(_ORCHESTRATED, layers(spark, sf)).withColumn("score", r6("score"))
 
 
 # Agents and metrics.
@@ -649,7 +728,7 @@ for _unit in ("day", "week"):
 
 @query("ranking_metrics", f"WITH {_FACTS} SELECT round(avg({_SALIENCE}), 6) AS avg_salience, count(*) FILTER ({_SALIENCE} > 0.5) AS high_salience, CAST(sum(access_count) AS BIGINT) AS total_access, round(avg(1.0 / (1 + 0.15 * access_count)), 6) AS avg_penalty FROM fx")
 def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    out = agents.ranking_metrics(_facts(spark, sf))
+    out = agents.ranking_metrics(facts(spark, sf))
     return out.withColumns({"avg_salience": r6("avg_salience"), "avg_penalty": r6("avg_penalty")})
 
 
@@ -756,22 +835,6 @@ def topic_prune(spark: SparkSession, sf: str) -> DataFrame:
     return topics.prune(_topic_table(spark, sf), as_of()).select("topic_id", "status")
 
 
-@query("topic_labels")
-def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
-    out = topics.labels(topics.term_scores(tables.read(spark, sf, "conversations"), "conv_id"), "conv_id")
-    return out.select("conv_id", "label", F.array_join("keywords", ",").alias("keywords"))
-
-
-@query("topic_merge")
-def topic_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.merge_similar(topics.refresh_importance(_topic_table(spark, sf), as_of()), 0.05)
-
-
-@query("topic_clusters")
-def topic_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.cluster_by_density(tables.read(spark, sf, "embeddings"), "vec_id", "embedding", "label")
-
-
 @query("topic_graph_status", f"WITH {_LINKS} SELECT (SELECT count(DISTINCT label) FROM embeddings WHERE label * 13 <= 90) AS active, (SELECT count(DISTINCT label) FROM embeddings WHERE label * 13 > 90) AS pruned, count(*) AS links, (SELECT count(*) FROM (SELECT DISTINCT a.topic_id, b.topic_id FROM ln a JOIN ln b ON a.node_id = b.node_id AND a.topic_id < b.topic_id)) AS relationships FROM ln")
 def topic_graph_status(spark: SparkSession, sf: str) -> DataFrame:
     links = _links(spark, sf)
@@ -792,13 +855,13 @@ def keyword_top5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "node_texts",
-    """WITH n AS (SELECT doc_id AS node_id, substr(text, 1, 60) AS title, [substr(text, 1, 100), substr(text, 101, 100)] AS bullets, list_transform(string_split(text, ' ')[1:3], lambda x: lower(x)) AS keywords FROM documents)
+    f"""WITH {NODES}
     SELECT node_id, title || ' ' || array_to_string(bullets, ' ') AS bm25_text, nullif(trim(title || '. ' || array_to_string(bullets, '. ') || '. ' || array_to_string(keywords, ', ')), '') AS vector_text,
       title || ' ' || array_to_string(keywords, ' ') || ' ' || array_to_string(bullets, ' ') AS searchable_text FROM n""",
 )
 def node_texts(spark: SparkSession, sf: str) -> DataFrame:
     t, b, k = (F.col(c) for c in ("title", "bullets", "keywords"))
-    return _doc_nodes(spark, sf).select("node_id", text.bm25_text(t, b).alias("bm25_text"), text.vector_text(t, b, k).alias("vector_text"), text.searchable_text(t, k, b).alias("searchable_text"))
+    return doc_nodes(spark, sf).select("node_id", text.bm25_text(t, b).alias("bm25_text"), text.vector_text(t, b, k).alias("vector_text"), text.searchable_text(t, k, b).alias("searchable_text"))
 
 
 @query("event_metadata", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type IN ('session_start', 'subagent_start', 'subagent_stop', 'session_end') AS structural, epoch_us(ts) // 1000 AS ts_ms FROM events")
@@ -815,12 +878,6 @@ def activity_of_agent(spark: SparkSession, sf: str) -> DataFrame:
 # Novelty, episodes, life cycle.
 
 
-@query("dedup_ring_buffer")
-def dedup_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dedup.ring_buffer(tables.read(spark, sf, "embeddings"), "label", "vec_id", "embedding", Dedup(threshold=0.3, buffer=16))
-    return rows.withColumn("similarity", r6("similarity"))
-
-
 @query(
     "dedup_top1_global",
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT a.label, a.vec_id, round(max(list_inner_product(a.e, b.e)), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY 1, 2",
