@@ -11,19 +11,32 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Settings
+from .config import Retention, Settings
 from .functions import scoring, text
 from .functions.embedding import Embedder, HashingEmbedder
-from .operators import agents, dedup, episodes, lifecycle, search, store, toc, topics
+from .operators import agents, dedup, episodes, indexing, lifecycle, search, store, toc, topics
+from .operators.indexes import VectorIndex, WordIndex
 from .plans import router
+from .plans.jobs import Jobs
 
 
 class Engine:
     """Tables by name: events, nodes, grips, documents, vectors, topics, links, edges, episodes, usage."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], as_of: Column, settings: Settings = Settings(), embedder: Embedder | None = None) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        tables: Mapping[str, DataFrame],
+        as_of: Column,
+        settings: Settings = Settings(),
+        embedder: Embedder | None = None,
+        words: WordIndex | None = None,
+        vectors: VectorIndex | None = None,
+        jobs: Jobs | None = None,
+    ) -> None:
+        """Searches read the word and vector indexes where they are given, else the tables."""
         self.spark, self.tables, self.as_of, self.settings = spark, dict(tables), as_of, settings
-        self.embedder = embedder or HashingEmbedder()
+        self.embedder, self.words, self.vectors, self.jobs = embedder or HashingEmbedder(), words, vectors, jobs or Jobs()
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, names: Sequence[str], as_of: Column, **more) -> Engine:
@@ -71,6 +84,8 @@ class Engine:
     # Search.
 
     def teleport_search(self, query: str, limit: int = 10, doc_type: str | None = None, agent: str | None = None) -> DataFrame:
+        if self.words is not None and doc_type is None and agent is None:
+            return search.top(self.words.search(query), min(limit, 100), "doc_id")
         docs = self._of("documents")
         for column, value in (("doc_type", doc_type), ("agent", agent)):
             docs = docs if value is None else docs.filter(F.col(column) == value)
@@ -78,6 +93,8 @@ class Engine:
 
     def vector_teleport(self, query: str, k: int = 10, min_score: float = 0.0, where: Column | None = None) -> DataFrame:
         vector = self.embedder.embed([query])[0]
+        if self.vectors is not None and where is None:
+            return self.vectors.search(vector.tolist(), k).withColumnRenamed(self.vectors.id_col, "doc_id").filter(F.col("score") >= min_score)
         return search.knn(self._of("vectors"), vector.tolist(), k, "doc_id", where=where).filter(F.col("score") >= min_score)
 
     def hybrid_search(self, query: str, limit: int = 10, words: float = 0.5, vectors: float = 0.5) -> DataFrame:
@@ -154,6 +171,14 @@ class Engine:
     def similar_episodes(self, task: str, k: int = 5, min_score: float = 0.0) -> DataFrame:
         return episodes.similar(self._of("episodes"), self.embedder.embed([task])[0].tolist(), k, min_score, self.settings.episodes.max_episodes)
 
+    def start_episodes(self, tasks: DataFrame) -> DataFrame:
+        """New episodes from (episode_id, task); a blank task is an error."""
+        return tasks.select(*episodes.start(F.col("episode_id"), F.col("task"), self.as_of))
+
+    def record_actions(self, actions: DataFrame) -> DataFrame:
+        """The episodes with actions (episode_id, ts, action_type, input, status) in time order."""
+        return episodes.with_actions(self._of("episodes"), actions)
+
     def complete_episodes(self, outcomes: DataFrame) -> DataFrame:
         return episodes.complete(self._of("episodes"), outcomes, self.settings.episodes.midpoint)
 
@@ -162,10 +187,43 @@ class Engine:
 
     # Administration.
 
-    def prune(self, dry_run: bool = True) -> DataFrame:
+    def prune(self, dry_run: bool = True, retention: Retention | None = None) -> DataFrame:
         """What a prune would remove by level, or the documents that stay."""
-        docs = self._of("documents")
-        return lifecycle.prune_counts(docs, self.as_of, self.settings.retention) if dry_run else lifecycle.kept(docs, self.as_of, self.settings.retention)
+        docs, kept = self._of("documents"), retention or self.settings.retention
+        return lifecycle.prune_counts(docs, self.as_of, kept) if dry_run else lifecycle.kept(docs, self.as_of, kept)
+
+    def prune_bm25(self, dry_run: bool = True) -> DataFrame:
+        """The word index's prune: without ``dry_run`` its expired documents are removed from the index, too."""
+        if not dry_run and self.words is not None:
+            self.words.remove(lifecycle.expired(self._of("documents"), self.as_of, Retention.words()))
+            self.words.commit()
+        return self.prune(dry_run, Retention.words())
+
+    def prune_vectors(self, dry_run: bool = True) -> DataFrame:
+        if not dry_run and self.vectors is not None:
+            self.vectors.remove(lifecycle.expired(self._of("documents"), self.as_of, self.settings.retention).withColumnRenamed("doc_id", self.vectors.id_col))
+            self.vectors.commit()
+        return self.prune(dry_run)
+
+    def vector_index_status(self) -> DataFrame:
+        """One row: whether there is a vector index, its vectors and its segments."""
+        held = self.vectors.manifest if self.vectors is not None else {"segments": [], "stats": {}}
+        return self.spark.createDataFrame([(self.vectors is not None, held["stats"].get("n", 0), len(held["segments"]))], "ready boolean, vectors bigint, segments int")
+
+    def rebuild_words(self, least: str | None = None) -> tuple[int, int]:
+        """The word index made anew from documents with levels; documents and errors."""
+        if self.words is None:
+            raise LookupError("no word index")
+        return indexing.rebuild(self._of("documents").select("doc_id", "text", "level"), self.words, least=least)
+
+    def scheduler_status(self) -> DataFrame:
+        return self.jobs.status(self.spark)
+
+    def pause_job(self, name: str) -> None:
+        self.jobs.pause(name)
+
+    def resume_job(self, name: str) -> None:
+        self.jobs.pause(name, False)
 
     def rebuild_toc(self) -> DataFrame:
         """The hierarchy made anew from events."""

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Engine
+from .functions.text import normalise_agent
 from .functions.timekeys import parse_range, parse_time
-from .sources.tables import envelope
+from .sources.tables import envelope, event_type_for
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,7 +20,13 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--as-of", required=True, help="the time that counts as now: epoch milliseconds or a date")
     commands = out.add_subparsers(dest="command", required=True)
     for name in ("search", "context", "recall", "teleport", "topics"):
-        commands.add_parser(name).add_argument("query")
+        asked = commands.add_parser(name)
+        asked.add_argument("query")
+        asked.add_argument("--top", type=int, default=10)
+    add = commands.add_parser("add")
+    add.add_argument("--content", required=True)
+    add.add_argument("--kind", default="user_message")
+    add.add_argument("--agent")
     timeline = commands.add_parser("timeline")
     timeline.add_argument("--range", default="7d")
     timeline.add_argument("--entity")
@@ -34,13 +41,16 @@ def answer(spark: SparkSession, args: argparse.Namespace, names: Sequence[str])
     engine = Engine.open(spark, args.store, names, F.lit(now))
     match args.command:
         case "search" | "recall":
-            return engine.hybrid_search(args.query)
+            return engine.hybrid_search(args.query, args.top)
         case "context":
-            return engine.orchestrate(args.query)
+            return engine.orchestrate(args.query, args.top)
         case "teleport":
-            return engine.teleport_search(args.query)
+            return engine.teleport_search(args.query, args.top)
         case "topics":
-            return engine.topics_by_query(args.query)
+            return engine.topics_by_query(args.query, args.top)
+        case "add":
+            entry = spark.createDataFrame([(args.content, args.kind, args.agent)], "text string, kind string, agent string")
+            return entry.select(F.lit(now).alias("ts"), event_type_for(F.col("kind")).alias("event_type"), "text", normalise_agent(F.col("agent")).alias("agent"))
         case "timeline" | "summary":
             start, end = (F.lit(t) for t in parse_range(args.range, now))
             return engine.timeline(start, end, args.entity) if args.command == "timeline" else engine.range_summary(start, end)

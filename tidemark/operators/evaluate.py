@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_nearest(rows: DataFrame, value: str, p: float) -> DataFrame:
-    """The value at rank round(p / 100 x (n - 1)).
+def percentile_nearest(rows: DataFrame, value: str, p: float, buckets: int = 4096) -> DataFrame:
+    """The value at rank round(p / 100 x (n - 1)) of those that aren't null.
 
-    Equal values are counted first, so the running sum runs over distinct values.
+    Values are counted by bucket of equal width; only the bucket that the rank lies in is put in order.
     """
-    counts = rows.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
-    place = F.round(F.lit(p / 100.0) * (F.col("total") - 1))
-    return upto.crossJoin(F.broadcast(total)).filter(F.col("upto") > place).agg(F.min("value").alias("value"))
+    values = rows.select(F.col(value).alias("value")).filter("value IS NOT NULL")
+    ends = F.broadcast(values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))  # one row
+    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).crossJoin(ends).withColumns({"bucket": bucket, "place": F.round(F.lit(p / 100.0) * (F.col("total") - 1))})
+    per = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("place").alias("place"))
+    upto = per.withColumn("upto", F.sum("n").over(Window.orderBy("bucket")))  # a row a bucket
+    hit = upto.filter(F.col("upto") > F.col("place")).orderBy("bucket").limit(1).select("bucket", (F.col("upto") - F.col("n")).alias("before"))
+    inside = counts.join(F.broadcast(hit), "bucket")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("value")))
+    return inside.filter(F.col("upto") > F.col("place")).agg(F.min("value").alias("value"))
 
 
 def percentiles_linear(rows: DataFrame, value: str) -> DataFrame:

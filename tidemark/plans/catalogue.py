@@ -442,7 +442,7 @@ def topic_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_search", f"WITH {_bm25_sql('documents', 'doc_id', SEARCH)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.top(search.bm25(tables.read(spark, sf, "documents"), SEARCH), 20, "doc_id")
+    found = search.top(word_index(spark, sf).search(SEARCH), 20, "doc_id")
     return found.select("doc_id", r6("score").alias("score"))
 
 

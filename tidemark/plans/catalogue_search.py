@@ -10,11 +10,11 @@ from ..config import Settings, StopConditions, Topics
 from ..functions import text
 from ..functions.embedding import HashingEmbedder, embed, index_missing
 from ..operators import ranking, search, topics
-from ..operators.indexes import VectorIndex
+from ..operators.indexes import VectorIndex, WordIndex
 from ..sources import tables
 from . import router
 from .catalogue import (
-    _CENTROIDS, _COS, _EV, _FACTS, _LINKS, _MERGED, _SALIENCE, _TERMS, _TOPICS, _VEC, NODES, SEARCH, _bm25_sql, _layers_sql, _links, _overlap_sql, _query_vector, _routed_sql, _topic_table,
+    _ASOF_MS, _CENTROIDS, _COS, _EV, _FACTS, _LINKS, _MERGED, _SALIENCE, _TERMS, _TOPICS, _VEC, NODES, SEARCH, _bm25_sql, _layers_sql, _links, _overlap_sql, _query_vector, _routed_sql, _topic_table,
     as_of, doc_facts, doc_nodes, facts_of, layers, ms, query, r6, scratch, word_index,
 )
 
@@ -372,3 +372,67 @@ def api_ranking_status(spark: SparkSession, sf: str) -> DataFrame:
 def supersession_penalty(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding", F.timestamp_millis(F.col("vec_id") * 1000).alias("ts"), F.lit(1.0).alias("score"))
     return ranking.penalise_superseded(rows, ranking.superseded(rows, "label")).select("doc_id", r6("score").alias("score"))
+
+
+class _Half:
+    """Words are up, vectors and topics are down."""
+
+    def ready(self, layer: str) -> bool:
+        return layer == "bm25"
+
+
+@query("layer_status", "SELECT 'keyword' AS tier, 'bm25' AS first_layer")
+def layer_status(spark: SparkSession, sf: str) -> DataFrame:
+    tier = router.tier_of(_Half())
+    return spark.createDataFrame([(tier, router.chain("locate", tier)[0])], "tier string, first_layer string")
+
+
+@query("adapted_events", "SELECT 's' || user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'hooked' END AS agent, 'user_message' AS event_type, event_type AS text FROM events")
+def adapted_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of an agent that names itself now and then, by the adapter that knows them."""
+
+    class Deaf(tables.HookAdapter):
+        def detects(self, lines: DataFrame) -> bool:
+            return False
+
+    fields = F.struct(F.lit("UserPromptSubmit").alias("hook_event_name"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("message"), F.when(F.col("event_id") % 2 == 0, F.lit("OWN")).alias("agent"))
+    lines = tables.events(spark, sf).select(F.to_json(fields).alias("value"))
+    return tables.adapted(lines, [Deaf("deaf"), tables.HookAdapter("Hooked")]).select("session_id", "agent", "event_type", "text")
+
+
+@query("api_episodes", "SELECT doc_id AS episode_id, 'Task ' || doc_id AS task, 'in_progress' AS status, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_actions FROM documents")
+def api_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    d = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), F.concat(F.lit("Task "), F.col("doc_id").cast("string")).alias("task"))
+    begun = _engine(spark, sf).start_episodes(d)
+    acts = d.filter("episode_id % 2 = 0").select("episode_id", as_of().alias("ts"), F.lit("tool").alias("action_type"), F.lit("x").alias("input"), F.lit("success").alias("status"))
+    found = Engine(spark, {"episodes": begun}, as_of()).record_actions(acts)
+    return found.select("episode_id", "task", "status", F.coalesce(F.when(F.col("actions").isNotNull(), F.size("actions")), F.lit(0)).alias("n_actions"))
+
+
+@query("api_indexed_engine", f"WITH {_FACTS}, k AS (SELECT * FROM fx WHERE NOT coalesce(ms < {_ASOF_MS} - CAST(CASE level WHEN 'segment' THEN 30 WHEN 'grip' THEN 30 WHEN 'day' THEN 180 WHEN 'week' THEN 1825 END AS BIGINT) * 86400000, false)), {_bm25_sql('k', 'doc_id', SEARCH)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def api_indexed_engine(spark: SparkSession, sf: str) -> DataFrame:
+    """An engine with a word index, rebuilt and then pruned by the index's own retention, and a search in it."""
+    engine = Engine(spark, {"documents": doc_facts(spark, sf)}, as_of(), words=WordIndex(spark, scratch(spark, "engine"), buckets=4))
+    engine.rebuild_words()
+    engine.prune_bm25(dry_run=False)
+    return engine.teleport_search(SEARCH).select("doc_id", r6("score").alias("score"))
+
+
+@query("api_scheduler", "SELECT * FROM (VALUES ('a', 1, 0, false), ('b', 0, 1, true)) AS t(name, run_count, skipped, is_paused)")
+def api_scheduler(spark: SparkSession, sf: str) -> DataFrame:
+    engine = Engine(spark, {}, as_of())
+    for name in ("a", "b"):
+        engine.jobs.add(name, lambda: None)
+        engine.pause_job(name)
+    engine.resume_job("a")
+    engine.jobs.start("a")
+    engine.jobs.start("b")
+    return engine.scheduler_status().select("name", "run_count", "skipped", "is_paused")
+
+
+@query("api_vector_status", "SELECT true AS ready, count(*) AS vectors, 1 AS segments FROM embeddings")
+def api_vector_status(spark: SparkSession, sf: str) -> DataFrame:
+    index = VectorIndex(spark, scratch(spark, "vectors"), cells=2)
+    index.add(tables.read(spark, sf, "embeddings").select("vec_id", "embedding"))
+    index.commit()
+    return Engine(spark, {}, as_of(), vectors=index).vector_index_status()

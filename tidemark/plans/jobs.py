@@ -10,17 +10,22 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Jobs of a deployment: name, cron expression and what it calls. Fixed values; an external scheduler reads them.
-SCHEDULE = (
-    ("indexing", "* * * * *", "streaming.ingest.run_to_end"),
-    ("rollup_day", "0 1 * * *", "operators.toc.hierarchy"),
-    ("rollup_week", "0 2 * * 0", "operators.toc.hierarchy"),
-    ("rollup_month", "0 3 1 * *", "operators.toc.hierarchy"),
-    ("rollup_year", "0 4 1 1 *", "operators.toc.hierarchy"),
-    ("prune", "0 3 * * *", "operators.lifecycle.kept"),
-    ("rebuild", "0 4 * * 0", "operators.lifecycle.at_or_above"),
-    ("compaction", "0 4 * * 0", "operators.lifecycle.compact"),
+from ..operators import indexes, indexing, lifecycle, toc
+
+#: Jobs of a deployment: name, cron expression, and what it calls with the caller's tables. Fixed values; an external scheduler reads them.
+SCHEDULE: tuple[tuple[str, str, Callable], ...] = (
+    ("indexing", "* * * * *", indexing.catch_up),
+    ("index_commit", "* * * * *", indexes.WordIndex.commit),
+    ("rollup_day", "0 1 * * *", toc.rollup),
+    ("rollup_week", "0 2 * * 0", toc.rollup),
+    ("rollup_month", "0 3 1 * *", toc.rollup),
+    ("prune_words", "0 3 * * *", lifecycle.kept),
+    ("prune_vectors", "0 3 * * *", lifecycle.kept),
+    ("rebuild", "0 4 * * 0", indexing.rebuild),
+    ("compaction", "0 4 * * 0", lifecycle.compact),
 )
+#: Seconds that a start is put off at most, and that a run may take.
+JITTER_S, TIMEOUT_S = 300, 1800
 
 
 @dataclass

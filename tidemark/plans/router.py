@@ -81,6 +81,16 @@ def tier(topics: bool, vector: bool, bm25: bool) -> str:
     return "semantic" if vector else "keyword" if bm25 else "agentic"
 
 
+class LayerStatus(Protocol):
+    """Which layers can answer now."""
+
+    def ready(self, layer: str) -> bool: ...
+
+
+def tier_of(status: LayerStatus) -> str:
+    return tier(*(status.ready(x) for x in ("topics", "vector", "bm25")))
+
+
 def chain(intent: str, tier_name: str, limit: int = 3) -> list[str]:
     """The layers to try, in order. A time-boxed query tries the tier's best layer and then the agentic one."""
     if intent == "time_boxed":

@@ -6,6 +6,7 @@ import json
 import tomllib
 from collections.abc import Sequence
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,38 @@ def hook_events(lines: DataFrame) -> DataFrame:
     return h.select("session_id", F.col("timestamp").alias("ts"), mapped(0).alias("event_type"), mapped(1).alias("role"), content.alias("text"), meta.alias("metadata"), agent.alias("agent"))
 
 
+class AgentAdapter(Protocol):
+    """Turns what one agent writes into events."""
+
+    name: str
+
+    def detects(self, lines: DataFrame) -> bool: ...
+
+    def normalise(self, lines: DataFrame) -> DataFrame: ...
+
+
+class HookAdapter:
+    """JSON hook payloads, one a line, of an agent that names itself or not."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def detects(self, lines: DataFrame) -> bool:
+        """Whether a line is a payload."""
+        return not hook_events(lines).limit(1).isEmpty()
+
+    def normalise(self, lines: DataFrame) -> DataFrame:
+        return hook_events(lines).withColumn("agent", F.coalesce("agent", F.lit(self.name.lower())))
+
+
+def adapted(lines: DataFrame, adapters: Sequence[AgentAdapter]) -> DataFrame:
+    """Events by the first adapter that knows the lines; none is an error."""
+    for adapter in adapters:
+        if adapter.detects(lines):
+            return adapter.normalise(lines)
+    raise ValueError("no adapter knows these lines")
+
+
 def is_structural(event_type: Column) -> Column:
     return event_type.isin(*STRUCTURAL)
 
