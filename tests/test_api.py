@@ -19,7 +19,7 @@ def engine(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "text").withColumn("level", F.lit("segment")).withColumn("ts", F.lit("2020-01-01").cast("timestamp"))
     vectors = docs.filter("doc_id < 50").select("doc_id", embed(F.col("text")).alias("embedding"))
     events = tables.events(spark, sf).withColumn("session_id", F.col("user_id"))
-    made = {"documents": docs, "vectors": vectors, "events": events, "facts": catalogue._facts(spark, sf)}
+    made = {"documents": docs, "vectors": vectors, "events": events, "facts": catalogue.facts(spark, sf)}
     found = Engine(spark, made, catalogue.as_of())
     found.tables["nodes"] = found.rebuild_toc().withColumns({"bullets": F.array("title"), "keywords": F.array(F.lit("the"))})
     return found

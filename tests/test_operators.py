@@ -85,8 +85,10 @@ def test_greedy_merge_keeps_the_more_important(spark):
 
 
 def test_density_clusters_leave_noise(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "id int, v array<double>").withColumn("b", F.lit(0))
-    assert {(r.id, r.cluster) for r in topics.cluster_by_density(rows, "id", "v", "b").collect()} == {(1, 1), (2, 1), (3, 1), (4, -1)}
+    points = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02], [0.0, 1.0], [0.01, 1.0], [0.02, 1.0], [-5.0, -5.0]]
+    rows = spark.createDataFrame([(k + 1, v, "a") for k, v in enumerate(points)] + [(8, points[0], "b"), (9, None, "a")], "id int, v array<double>, b string")
+    found = {(r.id, r.cluster) for r in topics.cluster_by_density(rows, "id", "v", "b").collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, -1), (8, -1)}
 
 
 def test_retention_spares_protected_levels_and_missing_times(spark):
