@@ -35,11 +35,12 @@ def test_toxicity_model_by_definition(spark):
     """Features, log-count ratios and the optimum of the penalised loss, all worked out anew; and the scores that follow."""
     rng = random.Random(6)
     word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(3, 7)))
-    docs = {k: " ".join(word("abcde" if rng.random() < 0.8 else "vwxyz") for _ in range(12)) for k in range(120)}
+    clean, foul = [word("abcdefgh") for _ in range(60)], [word("stuvwxyz") for _ in range(12)]  # words recur, as in any language
+    docs = {k: " ".join(rng.choice(clean if rng.random() < 0.95 else foul) for _ in range(12)) for k in range(120)}
     labels = {k: int(k % 3 == 0) for k in docs}
     for k, y in labels.items():
         if y:
-            docs[k] += " " + " ".join(word("vwxyz") for _ in range(4))
+            docs[k] += " " + " ".join(rng.choice(foul) for _ in range(4))
     config = toxicity.ToxicityConfig(bits=14)
     taught = {k for k in docs if zlib.crc32(str(k).encode()) % 5 != 0}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
