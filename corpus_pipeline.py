@@ -33,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays; texts under five words are near copies of equal ones alone."""
+    """One document of each class of near copies stays; texts without words are in a class with their exact copies only."""
     return drop_near_copies(docs)
 
 
