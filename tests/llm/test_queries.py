@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, sf, name):
 def test_queries_are_registered():
     found = __spark_entry__.queries()
     assert set(QUERIES) | {"pipeline"} <= set(found)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_matches_brute_force(spark, sf):
