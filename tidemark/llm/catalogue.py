@@ -98,6 +98,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_baskets": op11_baskets,
     "op12_resampling": op12_resampling,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 
@@ -180,4 +181,16 @@ ORACLE_SQL = {
             SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r, 25 * sum(enough::INT) OVER () // 100 AS drawn FROM scores
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= drawn THEN r END AS rank FROM ranks""",
+    "op13_embedding_dedup": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reached AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+        FROM embeddings LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = vec_id
+        LEFT JOIN (SELECT a, min(b) AS low FROM reached GROUP BY a) m ON m.a = vec_id""",
 }
