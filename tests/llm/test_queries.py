@@ -29,8 +29,8 @@ def test_pipeline_matches_brute_force(spark, sf):
     from collections import Counter, defaultdict
 
     import corpus_pipeline
-    import numpy as np
     from test_exact_and_near import brute_force as near_classes
+    from test_suffix import without_passages
 
     from tidemark.llm import toxicity
     from tidemark.llm.durable import durable, table
@@ -59,18 +59,8 @@ def test_pipeline_matches_brute_force(spark, sf):
     now = durable(stages["near_dedup"](spark, now, sf))
     assert {r.doc_id: r.text for r in now.collect()} == texts
 
-    raw = {i: t.encode() for i, t in texts.items()}
-    seen = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
-    for i, b in raw.items():
-        gone = np.zeros(len(b), dtype=bool)
-        for k in range(len(b) - 199):
-            if seen[b[k : k + 200]] > 1:
-                gone[k : k + 200] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(int)))
-        for first, last in edges.reshape(-1, 2):
-            if last - first < 400 and len(b[first:last].split()) < 50:
-                gone[first:last] = False
-        texts[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    ids = list(texts)
+    texts = dict(zip(ids, without_passages([texts[i].encode() for i in ids], 400, 50), strict=True))
     now = durable(stages["suffix_dedup"](spark, now, sf))
     assert now.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in now.collect()} == {i: (t, len(t)) for i, t in texts.items()}

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .durable import durable, durable_by, in_arrow, look_up, parts, sweep, text_or_empty, without_estimates
 
 LENGTH = 400
-#: Bytes of the strings that make up passages, and the words that a passage has at least.
-SHORT, WORDS = 200, 50
+#: Bytes of the strings that passages by words are looked for with; shorter passages, of very short words, are looked for one by one.
+SHORT = 200
 #: How often regions are split: by one key, by the keys of both ends, by the whole string.
 LEVELS = 3
 #: Bytes of the grams that give the keys.
@@ -37,6 +37,8 @@ REGION_STARTS = 4096
 ARRAY_BYTES, KEY_BYTES = 1 << 19, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
+#: Joins two hashes; were it a power of the base, terms of overlapping strings would cancel out.
+_JOIN = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -211,7 +213,7 @@ class SuffixArray:
         if not len(places):
             return places
         h = self.hashes[self.longest]  # of the first and of the last bytes of the depth, which overlap
-        whole = h[places] * np.uint64(_BASE) + h[places + self.depth - self.longest] if self.depth >= self.longest else h[places]
+        whole = h[places] * np.uint64(_JOIN) + h[places + self.depth - self.longest] if self.depth >= self.longest else h[places]
         order = np.argsort(whole, kind="stable")
         first = np.flatnonzero(np.append(True, whole[order[1:]] != whole[order[:-1]]))
         count = np.diff(np.append(first, len(order)))
@@ -489,7 +491,7 @@ def _kept(raw: bytes, spans: np.ndarray) -> list[memoryview]:
 
 def _uid() -> Column:
     """What rows with one text have in common; they are one another's repeats and fare alike."""
-    return F.unhex(F.md5(text_or_empty().cast("binary")))
+    return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -524,54 +526,87 @@ def _in_texts(found: DataFrame) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(x[:16], (_removed(f) + int.from_bytes(x[16:], "big")).astype("<i8").tobytes()) for x, f in zip(b["uid"].to_pylist(), b["found"].to_pylist(), strict=True)]
+            rows = [(x[:-8], (_removed(f) + int.from_bytes(x[-8:], "big")).astype("<i8").tobytes()) for x, f in zip(b["uid"].to_pylist(), b["found"].to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["uid", "spans"])
 
     return in_arrow(found, place, "uid binary, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("removed"))
 
 
-def _passages(raw: bytes, spans: np.ndarray, words: int, length: int) -> np.ndarray:
-    """The spans of at least ``words`` words or ``length`` bytes."""
-    good = [last - first >= length or len(raw[first:last].split()) >= words for first, last in spans.tolist()]
-    return spans[np.array(good, dtype=bool)]
+def word_windows(raw: bytes, words: int) -> np.ndarray:
+    """First and last-plus-one bytes of every ``words`` consecutive words, which white space separates, as an n x 2 array."""
+    data = np.frombuffer(raw, np.uint8)
+    letter = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    return np.stack([edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]], axis=1)
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and passage_bytes of every row of ``docs``.
+def _windows(marked: DataFrame, words: int, short: int) -> DataFrame:
+    """uid, n, first, last and hash (128 bits of the bytes) of the strings of ``words`` words that may repeat.
+
+    One of at least ``short`` bytes can repeat only inside a run of repeated strings of ``short`` bytes; shorter ones all may.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, n, raw, found in zip(b["uid"], b["n"], b["raw"], b["found"], strict=True):
+                text, runs = raw.as_py(), _removed(found.as_py())
+                spans = word_windows(text, words)
+                at = np.searchsorted(runs[:, 0], spans[:, 0], "right") - 1
+                inside = (runs[at, 1] >= spans[:, 1]) & (at >= 0) if len(runs) else np.zeros(len(spans), bool)
+                spans = spans[inside | (spans[:, 1] - spans[:, 0] < short)]
+                view = memoryview(text)
+                for k in range(0, len(spans), 1 << 15):
+                    some = spans[k : k + (1 << 15)]
+                    told = [hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(some)), pa.repeat(n, len(some)), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(told, pa.binary())], ["uid", "n", "first", "last", "hash"])
+
+    return durable(in_arrow(marked.select("uid", "n", "raw", "found"), windows, "uid binary, n long, first long, last long, hash binary"))
+
+
+def _passages(marked: DataFrame, words: int, short: int) -> DataFrame:
+    """uid and passages: first and last-plus-one bytes of strings of ``words`` words that start anywhere else, too.
+
+    A longer passage that repeats is the union of such strings, so each match is judged by its own words, never by runs
+    that matches of different places form together. Strings fold by their hash, map-side.
+    """
+    windows = _windows(marked, words, short)
+    again = durable(windows.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1"))
+    total = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    known = look_up(windows.select("uid", "first", "last", "hash"), again, "hash", "times", total).filter("times IS NOT NULL")
+    return known.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
+
+
+def _joined(*spans: np.ndarray) -> np.ndarray:
+    return merged_spans(np.concatenate([np.empty((0, 2), dtype=np.int64), *spans]))
+
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
     Every byte of a ``length``-byte string that starts at two places, in one text or two, counts as removed; strings
-    are judged on the input. Passages are the runs of bytes covered by repeated strings of ``short`` bytes that have at
-    least ``words`` words or ``length`` bytes; they are counted but, below ``length``, not removed. Null text is empty,
-    texts below ``short`` bytes lose nothing, and rows that repeat a text, with whatever ids, repeat all its strings. An
-    empty table gives an empty result; columns other than doc_id and text are not read.
+    are judged on the input. Null text is empty, texts below ``length`` bytes lose nothing, and rows that repeat a text,
+    with whatever ids, repeat all its strings. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
     texts = _texts(docs)
-    marked = without_estimates(durable(texts.select("uid").join(_found(texts, short), "uid")))  # spans only: texts stay where they are
-    sweep(docs.sparkSession)
-    with_found = texts.join(marked, "uid", "left")
-    removed = _in_texts(_found(_long_runs(with_found, length), length))
-    both = with_found.join(removed, "uid", "left")
+    both = texts.join(_found(texts, length), "uid", "left")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for raw, found, removed in zip(b["raw"], b["found"], b["removed"], strict=True):
-                text = raw.as_py()
-                spans = merged_spans(np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in removed.as_py() or [b""]]))
-                passages = _passages(text, _removed(found.as_py()), words, length)
+            for raw, found in zip(b["raw"], b["found"], strict=True):
+                text, spans = raw.as_py(), _removed(found.as_py())
                 digest = hashlib.sha256()
                 for piece in _kept(text, spans):
                     digest.update(piece)
-                rows.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest(), len(passages), int((passages[:, 1] - passages[:, 0]).sum())))
+                rows.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest()))
             if rows:
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([b["uid"], b["n"], *cols], ["uid", "n", *measures])
 
-    measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
-    per_text = in_arrow(both.select("uid", "n", "raw", "found", "removed"), measure, "uid binary, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
-    per_text = durable(per_text)
+    measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    per_text = durable(in_arrow(both.select("uid", "n", "raw", "found"), measure, "uid binary, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     sweep(docs.sparkSession)
     total = per_text.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return look_up(docs.select("doc_id", _uid().alias("uid")), per_text, "uid", "n", total).select("doc_id", *measures)
@@ -580,26 +615,35 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, short: int = SHORT, wo
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, words: int | None = None, short: int = SHORT) -> DataFrame:
     """``docs`` with repeated bytes taken out of text; a character that loses some of its bytes goes as a whole.
 
-    With ``words``, strings of ``short`` bytes are compared instead, and a run of repeated bytes goes if it holds
-    at least ``words`` words (separated by white space, parts at its ends counting) or ``length`` bytes: passages whose words are short
-    go as well, and shorter common lines stay. Null text stays null, repeated rows lose the same, an empty table stays
+    Every ``length``-byte string that starts anywhere else goes. With ``words``, so does every string of that many
+    whole words, separated by white space, that starts anywhere else, whatever its bytes; a match of fewer words and
+    bytes stays even where it touches another. Null text stays null, repeated rows lose the same, an empty table stays
     empty, and other columns pass through, whatever their names.
     """
     columns = docs.columns
     texts = _texts(docs)
-    marked = texts.join(_found(texts, length if words is None else short), "uid", "left")
+    if words is None:
+        marked = texts.join(_found(texts, length).withColumnRenamed("found", "bytes"), "uid", "left").withColumn("passages", F.lit(None).cast("array<struct<first: bigint, last: bigint>>"))
+        marked = marked.withColumn("removed", F.lit(None).cast("array<binary>"))
+    else:
+        found = without_estimates(durable(texts.select("uid").join(_found(texts, short), "uid")))  # spans only: texts stay where they are
+        sweep(docs.sparkSession)
+        runs = texts.join(found, "uid", "left")
+        marked = runs.drop("found").join(_passages(runs, words, short), "uid", "left").join(_in_texts(_found(_long_runs(runs, length), length)), "uid", "left")
+        marked = marked.withColumn("bytes", F.lit(None).cast(found.schema["found"].dataType))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for raw, found in zip(b["raw"], b["found"], strict=True):
-                text, spans = raw.as_py(), _removed(found.as_py())
-                if words is not None:
-                    spans = _passages(text, spans, words, length)
-                made.append(b"".join(_kept(text, spans)).decode("utf-8", "ignore"))
+            for raw, found, passages, removed in zip(b["raw"], b["bytes"], b["passages"], b["removed"], strict=True):
+                spans = _removed(found.as_py())
+                if removed.is_valid or passages.is_valid:
+                    told = [(p["first"], p["last"]) for p in passages.as_py() or []]
+                    spans = _joined(spans, *([np.array(told, dtype=np.int64)] if told else []), *(np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in removed.as_py() or []))
+                made.append(b"".join(_kept(raw.as_py(), spans)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([b["uid"], pa.array(made, pa.string())], ["__uid", "__kept"])
 
-    kept = in_arrow(marked.select("uid", "raw", "found"), cut, "__uid binary, __kept string")
+    kept = in_arrow(marked.select("uid", "raw", "bytes", "passages", "removed"), cut, "__uid binary, __kept string")
     rows = docs.withColumns({"__uid": _uid(), "__null": F.col("text").isNull()}).drop("text")
     out = rows.join(kept, "__uid").withColumn("text", F.when(~F.col("__null"), F.col("__kept")))
     return out.select(*(F.col(f"`{c}`") for c in columns))
