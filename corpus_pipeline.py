@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or 400 bytes that occur twice go from the texts; n_chars, if there, follows.
+    """Strings of 50 whole words, or of 400 bytes, that start at two places go from the texts; n_chars, if there, follows.
 
-    Documents that lose all their text stay, as empty ones; null texts stay null.
+    Each match is judged for itself: shorter ones stay, also side by side, and words of one letter count like others. Documents that lose all their text stay, as empty ones; null texts stay null.
     """
     out = drop_repeated_bytes(docs, words=PASSAGE_WORDS)
     kinds = dict(docs.dtypes)
