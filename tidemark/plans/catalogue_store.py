@@ -185,17 +185,18 @@ def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("status", "query", F.col("meta.count").alias("n"), F.array_max(F.transform("results", lambda r: r["score"])).alias("best"))
 
 
-_SCORED = "SELECT role AS metric, round(sum(CAST(contains(lower(text), 'the') AS INT)) / count(*), 6) AS ours FROM conversations GROUP BY role"
+@query("competitor_report", "SELECT role AS metric, round(sum(CAST(contains(lower(text), 'the') AS INT)) / count(*), 6) AS ours, round(sum(CAST(contains(lower(text), 'a') AS INT)) / count(*), 6) AS rival FROM conversations GROUP BY role")
+def competitor_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON report of scores beside a rival's, written and read back by Spark, and rounded once, at its end."""
+    turns = tables.read(spark, sf, "conversations")
 
+    def scores(word: str) -> DataFrame:
+        return evaluate.by_type(turns, "role", text.any_expected(F.col("text"), F.array(F.lit(word)))).filter("role <> 'all'")
 
-@query("competitor_report", f"SELECT metric, ours, round(ours / 2, 6) AS rival FROM ({_SCORED})")
-def competitor_report(spark: SparkSession, sf: str) -> DataFrame:
-    """A JSON report of scores beside a rival's, read back."""
-    found = evaluate.by_type(tables.read(spark, sf, "conversations"), "role", text.any_expected(F.col("text"), F.array(F.lit("the")))).filter("role <> 'all'")
-    scores = {r["role"]: r["score"] for r in found.collect()}  # a row a role
-    held = json.loads(tables.report(scores, {"rival": {k: v / 2 for k, v in scores.items()}}, markdown=False))
-    rows = [(k, round(v, 6), round(held["rivals"]["rival"][k], 6)) for k, v in held["scores"].items()]
-    return spark.createDataFrame(rows, "metric string, ours double, rival double")
+    beside = scores("the").select("role", F.col("score").alias("ours")).join(scores("a").select("role", F.col("score").alias("rival")), "role")
+    told = beside.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("role", F.struct("ours", "rival"))))).alias("report"))  # a row a role
+    read = told.select(F.explode(F.from_json("report", "map<string, struct<ours: double, rival: double>>")).alias("metric", "s"))
+    return read.select("metric", F.round("s.ours", 6).alias("ours"), F.round("s.rival", 6).alias("rival"))
 
 
 @query("regression_gate", "SELECT * FROM (VALUES ('a', 'ok'), ('b', 'warning'), ('c', 'severe'), ('d', 'severe'), ('e', 'warning')) AS t(step, verdict)")
