@@ -423,14 +423,22 @@ def _spans_by_suffix_array(regions: DataFrame, length: int) -> DataFrame:
 def _spans_of_split(regions: DataFrame, length: int, level: int) -> DataFrame:
     """content and spans of regions whose key is too common: each is taken as a text, and its strings meet by keys of the next level."""
     texts = regions.select(F.col("content").alias("uid"), "n", F.col("bytes").alias("raw"))
-    found = _found(without_estimates(texts), length, level)
+    return _merged(_found(without_estimates(texts), length, level)).withColumnRenamed("uid", "content")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """uid and spans: the runs of bytes to remove of each text, four bytes a number."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [_removed(x).astype("<i4").tobytes() for x in b["found"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["uid"], pa.array(spans, pa.binary())], ["content", "spans"])
+            yield pa.RecordBatch.from_arrays([b["uid"], pa.array(spans, pa.binary())], ["uid", "spans"])
+
+    return in_arrow(found, merge, "uid binary, spans binary")
 
-    return in_arrow(found, merge, "content binary, spans binary")
+
+def _numbers(spans: bytes | None) -> np.ndarray:
+    return np.frombuffer(spans or b"", dtype="<i4").reshape(-1, 2).astype(np.int64)
 
 
 def _found(texts: DataFrame, length: int, level: int = 1) -> DataFrame:
@@ -511,26 +519,27 @@ def _long_runs(marked: DataFrame, length: int) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for uid, n, raw, found in zip(b["uid"], b["n"], b["raw"], b["found"], strict=True):
-                text = raw.as_py()
-                rows += [(uid.as_py() + first.to_bytes(8, "big"), n.as_py(), text[first:last]) for first, last in _removed(found.as_py()).tolist() if last - first >= length]
+            for uid, n, raw, spans in zip(b["uid"], b["n"], b["raw"], b["spans"], strict=True):
+                long = [(x, y) for x, y in _numbers(spans.as_py()).tolist() if y - x >= length]
+                text = raw.as_py() if long else b""
+                rows += [(uid.as_py() + x.to_bytes(8, "big"), n.as_py(), text[x:y]) for x, y in long]
             if rows:
                 kinds = [pa.binary(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "n", "raw"])
 
-    return durable_by(in_arrow(marked.filter("found IS NOT NULL").select("uid", "n", "raw", "found"), runs, "uid binary, n long, raw binary"), "uid")
+    return durable_by(in_arrow(marked.filter("spans IS NOT NULL").select("uid", "n", "raw", "spans"), runs, "uid binary, n long, raw binary"), "uid")
 
 
 def _in_texts(found: DataFrame) -> DataFrame:
-    """uid and removed, the spans to remove of each text, from what was found in its runs."""
+    """uid and spans, the bytes to remove of each text, from what was found in its runs."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(x[:-8], (_removed(f) + int.from_bytes(x[-8:], "big")).astype("<i8").tobytes()) for x, f in zip(b["uid"].to_pylist(), b["found"].to_pylist(), strict=True)]
+            rows = [(x[:-8], (_removed(f) + int.from_bytes(x[-8:], "big")).astype("<i4").tobytes()) for x, f in zip(b["uid"].to_pylist(), b["found"].to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["uid", "spans"])
 
-    return in_arrow(found, place, "uid binary, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("removed"))
+    return in_arrow(found, place, "uid binary, spans binary")
 
 
 def word_windows(raw: bytes, words: int) -> np.ndarray:
@@ -549,8 +558,8 @@ def _windows(marked: DataFrame, words: int, short: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, n, raw, found in zip(b["uid"], b["n"], b["raw"], b["found"], strict=True):
-                text, runs = raw.as_py(), _removed(found.as_py())
+            for uid, n, raw, found in zip(b["uid"], b["n"], b["raw"], b["spans"], strict=True):
+                text, runs = raw.as_py(), _numbers(found.as_py())
                 spans = word_windows(text, words)
                 at = np.searchsorted(runs[:, 0], spans[:, 0], "right") - 1
                 inside = (runs[at, 1] >= spans[:, 1]) & (at >= 0) if len(runs) else np.zeros(len(spans), bool)
@@ -561,24 +570,26 @@ def _windows(marked: DataFrame, words: int, short: int) -> DataFrame:
                     told = [hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in some.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.repeat(uid, len(some)), pa.repeat(n, len(some)), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(told, pa.binary())], ["uid", "n", "first", "last", "hash"])
 
-    return durable(in_arrow(marked.select("uid", "n", "raw", "found"), windows, "uid binary, n long, first long, last long, hash binary"))
+    return durable(in_arrow(marked.select("uid", "n", "raw", "spans"), windows, "uid binary, n long, first long, last long, hash binary"))
 
 
-def _passages(marked: DataFrame, words: int, short: int) -> DataFrame:
-    """uid and passages: first and last-plus-one bytes of strings of ``words`` words that start anywhere else, too.
+def _passages(windows: DataFrame) -> DataFrame:
+    """uid and spans: the strings of words that start anywhere else, too, joined where they overlap.
 
     A longer passage that repeats is the union of such strings, so each match is judged by its own words, never by runs
     that matches of different places form together. Strings fold by their hash, map-side.
     """
-    windows = _windows(marked, words, short)
     again = durable(windows.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1"))
     total = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     known = look_up(windows.select("uid", "first", "last", "hash"), again, "hash", "times", total).filter("times IS NOT NULL")
-    return known.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
+    of_texts = known.groupBy("uid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [merged_spans(np.stack([x.values.to_numpy(), y.values.to_numpy()], axis=1)).astype("<i4").tobytes() for x, y in zip(b["first"], b["last"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["uid"], pa.array(spans, pa.binary())], ["uid", "spans"])
 
-def _joined(*spans: np.ndarray) -> np.ndarray:
-    return merged_spans(np.concatenate([np.empty((0, 2), dtype=np.int64), *spans]))
+    return in_arrow(of_texts, join, "uid binary, spans binary")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -623,27 +634,24 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, words: int | None
     columns = docs.columns
     texts = _texts(docs)
     if words is None:
-        marked = texts.join(_found(texts, length).withColumnRenamed("found", "bytes"), "uid", "left").withColumn("passages", F.lit(None).cast("array<struct<first: bigint, last: bigint>>"))
-        marked = marked.withColumn("removed", F.lit(None).cast("array<binary>"))
+        spans = _merged(_found(texts, length))
     else:
-        found = without_estimates(durable(texts.select("uid").join(_found(texts, short), "uid")))  # spans only: texts stay where they are
+        runs = without_estimates(durable(_merged(_found(texts, short))))  # texts stay where they are
         sweep(docs.sparkSession)
-        runs = texts.join(found, "uid", "left")
-        marked = runs.drop("found").join(_passages(runs, words, short), "uid", "left").join(_in_texts(_found(_long_runs(runs, length), length)), "uid", "left")
-        marked = marked.withColumn("bytes", F.lit(None).cast(found.schema["found"].dataType))
+        with_runs = texts.join(runs, "uid")
+        brief = _windows(texts.join(runs, "uid", "left"), words, short)
+        spans = _passages(brief).unionByName(_in_texts(_found(_long_runs(with_runs, length), length)))
+    marked = texts.join(spans.groupBy("uid").agg(F.collect_list("spans").alias("removed")), "uid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for raw, found, passages, removed in zip(b["raw"], b["bytes"], b["passages"], b["removed"], strict=True):
-                spans = _removed(found.as_py())
-                if removed.is_valid or passages.is_valid:
-                    told = [(p["first"], p["last"]) for p in passages.as_py() or []]
-                    spans = _joined(spans, *([np.array(told, dtype=np.int64)] if told else []), *(np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in removed.as_py() or []))
-                made.append(b"".join(_kept(raw.as_py(), spans)).decode("utf-8", "ignore"))
+            for raw, removed in zip(b["raw"], b["removed"], strict=True):
+                gone = merged_spans(np.concatenate([_numbers(x) for x in removed.as_py() or [b""]]))
+                made.append(b"".join(_kept(raw.as_py(), gone)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([b["uid"], pa.array(made, pa.string())], ["__uid", "__kept"])
 
-    kept = in_arrow(marked.select("uid", "raw", "bytes", "passages", "removed"), cut, "__uid binary, __kept string")
+    kept = in_arrow(marked.select("uid", "raw", "removed"), cut, "__uid binary, __kept string")
     rows = docs.withColumns({"__uid": _uid(), "__null": F.col("text").isNull()}).drop("text")
     out = rows.join(kept, "__uid").withColumn("text", F.when(~F.col("__null"), F.col("__kept")))
     return out.select(*(F.col(f"`{c}`") for c in columns))
