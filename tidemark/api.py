@@ -207,8 +207,8 @@ class Engine:
 
     def vector_index_status(self) -> DataFrame:
         """One row: whether there is a vector index, its vectors and its segments."""
-        held = self.vectors.manifest if self.vectors is not None else {"segments": [], "stats": {}}
-        return self.spark.createDataFrame([(self.vectors is not None, held["stats"].get("n", 0), len(held["segments"]))], "ready boolean, vectors bigint, segments int")
+        held, n = ([], 0) if self.vectors is None else (self.vectors.manifest["segments"], self.vectors.size)
+        return self.spark.createDataFrame([(self.vectors is not None, n, len(held))], "ready boolean, vectors bigint, segments int")
 
     def rebuild_words(self, least: str | None = None) -> tuple[int, int]:
         """The word index made anew from documents with levels; documents and errors."""

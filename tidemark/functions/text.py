@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +57,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def query_words(query: str) -> list[str]:
+    """:func:`words` of a query: the same runs of letters and digits that texts are split into."""
+    runs = groupby(query.lower(), lambda c: unicodedata.category(c)[0] in "LN")
+    return ["".join(run) for good, run in runs if good]
+
+
 def topic_words(text: Column) -> Column:
     """Words for TF-IDF: over one byte, no stop word, not all digits."""
     return F.filter(words(text), lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$"))

@@ -1,13 +1,16 @@
 """Indexes that searches read: postings of words in buckets, and vectors in cells, both kept as segments of Parquet.
 
 A commit adds one segment and then a manifest that names it; readers see whole commits only. A document that comes again
-lives in its newest segment, and a removal is a row without content there, so nothing is rewritten until ``compact``.
+or is removed is told by a row of a delete vector, and segments are rewritten only when several of one size are merged.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -15,11 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import query_words, words
 from ..functions.vectors import as_doubles
 from ..shipping import map_batches
 from . import search
 from .journal import Journal
+from .wordquery import Boolean, Phrase, any_of, parsed, phrases
 
 
 class Updater(Protocol):
@@ -33,17 +37,29 @@ class Updater(Protocol):
 
 
 class _Segments:
-    """Segments, live rows and pending changes of one index."""
+    """Segments, live rows and pending changes of one index.
 
-    #: Column that tells a row with content from a removal.
-    content = ""
+    A commit writes one segment and, for each document of it that an older segment holds, a row of a delete vector.
+    Older segments are only looked into if their ids overlap with the new ones; counts of a segment stand in the
+    manifest and shrink by what is deleted. Once ``fanout`` segments of about one size are there they are merged into
+    one, so a document is rewritten a logarithmic number of times. Folders of merged segments go with the commit after
+    the merge, when searches begun before it are over.
+    """
+
+    #: Column that tells a row with content from a removal, columns whose sums a segment keeps, and the table in buckets.
+    content, summed, table = "", (), ""
 
-    def __init__(self, spark: SparkSession, folder: str, id_col: str) -> None:
-        self.spark, self.folder, self.id_col = spark, folder, id_col
+    def __init__(self, spark: SparkSession, folder: str, id_col: str, fanout: int = 8) -> None:
+        self.spark, self.folder, self.id_col, self.fanout = spark, folder, id_col, fanout
         self.journal = Journal(spark, folder)
-        self.manifest = self.journal.get("manifest") or {"segments": [], "stats": {}}
         self._added: list[DataFrame] = []
         self._removed: list[DataFrame] = []
+        self.reload()
+
+    def reload(self) -> None:
+        """See the newest commit, which another writer may have made."""
+        self.version, held = self.journal.newest("manifest")
+        self.manifest = held or {"last": 0, "segments": [], "deletes": {}, "retired": []}
 
     def add(self, rows: DataFrame) -> None:
         """Rows for the next commit; each id once, and ids that are there are replaced."""
@@ -54,24 +70,88 @@ class _Segments:
         self._removed.append(ids.select(self.id_col))
 
     def commit(self) -> int:
-        """Write pending changes as one segment and return its number; the last commit's number if nothing is pending."""
-        last = max((s["number"] for s in self.manifest["segments"]), default=0)
+        """Write pending changes as one segment and return its number; the last commit's number if nothing is pending.
+
+        Of two writers that commit at once one gets a :class:`~tidemark.operators.journal.Conflict`, keeps its pending
+        changes and can ``reload`` and commit again.
+        """
         if not self._added and not self._removed:
-            return last
-        number = last + 1
-        entries = self._write(number, self._pending())
+            return self.manifest["last"]
+        number = self.manifest["last"] + 1
+        name = self._name(number)
+        buckets = self._write(name, self._pending())
+        entry = self._entry(name, buckets)
+        older, deletes = self._delete(entry)
+        self._publish([*older, entry], number, deletes)
         self._added, self._removed = [], []
-        segments = [*self.manifest["segments"], {"number": number, "buckets": entries}]
-        self._publish(segments)
+        while due := self._due():
+            self._merge(due)
         return number
 
-    def _publish(self, segments: list[dict]) -> None:
-        self.manifest = {"segments": segments, "stats": {}}
-        self.manifest["stats"] = self._stats()
-        self.journal.put("manifest", self.manifest)
+    @staticmethod
+    def _name(number: int) -> str:
+        return f"s{number}-{uuid.uuid4().hex[:12]}"
+
+    def _entry(self, name: str, buckets: list[int]) -> dict:
+        """The manifest's entry of a segment: live rows, sums, and the least and largest id that it writes or removes."""
+        has = F.col(self.content).isNotNull()
+        sums = [F.coalesce(F.sum(F.when(has, F.col(c))), F.lit(0)).alias(c) for c in self.summed]
+        r = self.spark.read.parquet(f"{self.folder}/documents/segment={name}").agg(F.count_if(has).alias("__n"), F.min(self.id_col).alias("__low"), F.max(self.id_col).alias("__high"), *sums).first()
+        return {"name": name, "buckets": buckets, "live": r["__n"], "low": r["__low"], "high": r["__high"], "sums": {c: r[c] for c in self.summed}}
+
+    def _delete(self, entry: dict) -> tuple[list[dict], dict]:
+        """Older segments with less live rows, and the delete vectors with one for what ``entry`` replaces or removes."""
+        old, deletes = [dict(s) for s in self.manifest["segments"]], dict(self.manifest["deletes"])
+        near = [s["name"] for s in old if s["live"] and entry["low"] is not None and s["low"] <= entry["high"] and entry["low"] <= s["high"]]
+        if not near:
+            return old, deletes
+        ids = self.spark.read.parquet(f"{self.folder}/documents/segment={entry['name']}").select(self.id_col)
+        within = self._documents(near).filter(F.col(self.id_col).between(entry["low"], entry["high"]) & F.col(self.content).isNotNull())
+        dead = self._alive(within).join(ids, self.id_col, "left_semi").select(self.id_col, "segment", *self.summed)
+        path = f"{self.folder}/deleted/segment={entry['name']}"
+        dead.withColumnRenamed("segment", "dead_in").write.mode("overwrite").parquet(path)
+        rows = self.spark.read.parquet(path).groupBy("dead_in").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in self.summed)).collect()  # a row a segment
+        for r in rows:
+            hit = next(s for s in old if s["name"] == r["dead_in"])
+            hit["live"] -= r["n"]
+            hit["sums"] = {c: hit["sums"][c] - r[c] for c in self.summed}
+        return old, deletes | ({entry["name"]: [r["dead_in"] for r in rows]} if rows else {})
+
+    def _publish(self, segments: list[dict], number: int, deletes: dict, retired: Sequence[str] = ()) -> None:
+        """Put the manifest; only then the folders that the one before last needed go."""
+        gone, names = self.manifest["retired"], {s["name"] for s in segments}
+        manifest = {"last": number, "segments": segments, "deletes": {k: v for k, v in deletes.items() if names & set(v)}, "retired": list(retired)}
+        self.version = self.journal.put("manifest", manifest, self.version + 1)
+        self.manifest = manifest
+        for name in gone:
+            for table in ("documents", self.table):
+                self.journal.delete(f"{table}/segment={name}")
+
+    def _due(self) -> list[str] | None:
+        """Segments of one size class, if there are ``fanout`` of them."""
+        tiers: dict[int, list[str]] = {}
+        for s in self.manifest["segments"]:
+            tiers.setdefault(int(math.log(max(s["live"], 1), self.fanout)), []).append(s["name"])
+        return next((t for t in tiers.values() if len(t) >= self.fanout), None)
+
+    def _merge(self, names: Sequence[str]) -> None:
+        """One segment of the live rows of some."""
+        number = self.manifest["last"] + 1
+        name = self._name(number)
+        self._alive(self._documents(names)).filter(F.col(self.content).isNotNull()).drop("segment").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
+        rows = self._buckets(None, names)
+        if rows is not None:
+            self._deal(self._alive(rows).drop("segment")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{self.table}/segment={name}")
+        entry = self._entry(name, self._written_buckets(name))
+        self._publish([*(s for s in self.manifest["segments"] if s["name"] not in names), entry], number, self.manifest["deletes"], names)
+
+    def compact(self) -> None:
+        """Merge all segments into one."""
+        if len(self.manifest["segments"]) > 1:
+            self._merge([s["name"] for s in self.manifest["segments"]])
 
     def clear(self) -> None:
-        self._publish([])
+        self._publish([], self.manifest["last"], {}, [s["name"] for s in self.manifest["segments"]])
 
     def _pending(self) -> DataFrame:
         """New rows, and removals with null content."""
@@ -88,109 +168,159 @@ class _Segments:
             return gone.withColumns(self._nothing())
         return rows.unionByName(gone.join(rows.select(self.id_col), self.id_col, "left_anti").withColumns(self._nothing()), allowMissingColumns=True)
 
-    def _documents(self, after: int = 0) -> DataFrame | None:
-        """The rows per document of segments after a number, with segment."""
-        paths = [f"{self.folder}/documents/segment={s['number']}" for s in self.manifest["segments"] if s["number"] > after]
+    def _documents(self, names: Sequence[str] | None = None) -> DataFrame | None:
+        """The rows per document of some segments (all: None), with segment."""
+        paths = [f"{self.folder}/documents/segment={s['name']}" for s in self.manifest["segments"] if names is None or s["name"] in names]
         return self.spark.read.option("basePath", f"{self.folder}/documents").parquet(*paths) if paths else None
 
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows (with segment) that no later commit has deleted; where nothing is deleted, there is no join."""
+        if not self.manifest["deletes"]:
+            return rows
+        dead = self.spark.read.parquet(*(f"{self.folder}/deleted/segment={n}" for n in self.manifest["deletes"]))
+        return rows.join(dead.select(self.id_col, F.col("dead_in").alias("segment")), [self.id_col, "segment"], "left_anti")
+
     def live(self) -> DataFrame:
-        """Each document that is in the index, from its newest segment."""
+        """Each document that is in the index."""
         docs = self._documents()
         if docs is None:
             raise LookupError(f"nothing is indexed in {self.folder}")
-        others = [c for c in docs.columns if c != self.id_col]
-        newest = docs.groupBy(self.id_col).agg(F.max_by(F.struct(*others), F.col("segment")).alias("r")).select(self.id_col, "r.*")
-        return newest.filter(F.col(self.content).isNotNull())
-
-    def _live_rows(self, rows: DataFrame) -> DataFrame:
-        """Rows (with segment) whose document has no newer segment. Only ids of later segments are looked at."""
-        first = min((s["number"] for s in self.manifest["segments"]), default=0)
-        later = self._documents(first)
-        if later is None:
-            return rows
-        newest = later.groupBy(self.id_col).agg(F.max("segment").alias("__newest"))
-        return rows.join(newest, self.id_col, "left").filter(F.col("__newest").isNull() | (F.col("__newest") == F.col("segment"))).drop("__newest")
+        return self._alive(docs).filter(F.col(self.content).isNotNull()).drop("segment")
 
-    def _buckets(self, wanted: Sequence[int] | None, table: str) -> DataFrame | None:
-        """The rows of some buckets of all segments, read by path, so that no other folder is listed."""
-        paths = [f"{self.folder}/{table}/segment={s['number']}/bucket={b}" for s in self.manifest["segments"] for b in s["buckets"] if wanted is None or b in wanted]
-        return self.spark.read.option("basePath", f"{self.folder}/{table}").parquet(*paths) if paths else None
+    @property
+    def size(self) -> int:
+        """Live documents, from the manifest."""
+        return sum(s["live"] for s in self.manifest["segments"])
+
+    def _buckets(self, wanted: Sequence[int] | None, names: Sequence[str] | None = None) -> DataFrame | None:
+        """The rows of some buckets of some segments, read by path, so that no other folder is listed."""
+        paths = [f"{self.folder}/{self.table}/segment={s['name']}/bucket={b}" for s in self.manifest["segments"] if names is None or s["name"] in names for b in s["buckets"] if wanted is None or b in wanted]
+        return self.spark.read.option("basePath", f"{self.folder}/{self.table}").parquet(*paths) if paths else None
 
     def _nothing(self) -> dict[str, Column]:
         raise NotImplementedError
 
-    def _write(self, number: int, pending: DataFrame) -> list[int]:
+    def _write(self, name: str, pending: DataFrame) -> list[int]:
         raise NotImplementedError
 
-    def _stats(self) -> dict:
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        """Rows with bucket, dealt out and sorted as they are written."""
         raise NotImplementedError
 
-    def _written_buckets(self, table: str, number: int) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/segment={number}")
+    def _written_buckets(self, name: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.table}/segment={name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
 
 
 class WordIndex(_Segments):
-    """BM25 over postings. A search reads the buckets of its terms only.
+    """BM25 over postings with positions, of one or several fields. A search reads the buckets of its terms only.
 
     ``buckets`` bounds the folders; ``spread`` is the number of files of a bucket, so that the postings of a word that
-    every document has are written by several tasks.
+    every document has are written by several tasks. ``fields`` are the columns that are indexed; a document without
+    any of them is not in the index.
     """
 
-    content = "dl"
+    content, table = "dl", "postings"
 
-    def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32, spread: int = 2) -> None:
-        super().__init__(spark, folder, id_col)
-        self.text_col, self.buckets, self.spread = text_col, buckets, spread
+    def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32, spread: int = 2, fields: Sequence[str] | None = None, fanout: int = 8) -> None:
+        self.fields, self.buckets, self.spread = tuple(fields or (text_col,)), buckets, spread
+        self.summed = tuple(f"dl{k}" for k in range(len(self.fields)))
+        super().__init__(spark, folder, id_col, fanout)
 
     def _bucket(self, term: str) -> int:
         return zlib.crc32(term.encode()) % self.buckets
 
     def _nothing(self) -> dict[str, Column]:
-        return {self.text_col: F.lit(None).cast("string")}
-
-    def _write(self, number: int, pending: DataFrame) -> list[int]:
-        tokens = pending.select(self.id_col, F.when(F.col(self.text_col).isNotNull(), words(F.col(self.text_col))).alias("w"))
-        tokens.select(self.id_col, F.when(F.col("w").isNotNull(), F.size("w").cast("bigint")).alias("dl")).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={number}")
-        each = tokens.select(self.id_col, F.size("w").cast("bigint").alias("dl"), F.explode("w").alias("term"))
-        counts = each.groupBy("term", self.id_col, "dl").agg(F.count(F.lit(1)).alias("tf"))
-        dealt = counts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
-        dealt = dealt.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
-        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={number}")
-        return self._written_buckets("postings", number)
-
-    def _stats(self) -> dict:
-        if not self.manifest["segments"]:
-            return {"n": 0, "total": 0}
-        n, total = self.live().agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return {"n": n, "total": total}
-
-    def search(self, query: str | Sequence[str]) -> DataFrame:
-        """id and score, to nine places, of live documents with a query term; a blank query finds nothing."""
-        terms = list(dict.fromkeys(query.lower().split() if isinstance(query, str) else [t.lower() for t in query]))
-        n, total = self.manifest["stats"].get("n", 0), self.manifest["stats"].get("total", 0)
-        rows = self._buckets({self._bucket(t) for t in terms}, "postings") if terms else None
+        return {f: F.lit(None).cast("string") for f in self.fields}
+
+    def _write(self, name: str, pending: DataFrame) -> list[int]:
+        """Texts are split once; documents and postings are written from the words."""
+        staged = f"{self.folder}/staged/{name}"
+        split = {f"w{k}": F.when(F.col(f).isNotNull(), words(F.col(f))) for k, f in enumerate(self.fields)}
+        pending.select(self.id_col, *(c.alias(w) for w, c in split.items())).write.mode("overwrite").parquet(staged)
+        held = self.spark.read.parquet(staged)
+        lengths = [F.when(F.col(w).isNotNull(), F.size(w).cast("bigint")) for w in split]
+        whole = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)) for n in lengths))
+        sized = held.select(self.id_col, F.when(F.coalesce(*lengths).isNotNull(), whole).alias("dl"), *(F.coalesce(n, F.lit(0)).alias(c) for n, c in zip(lengths, self.summed)))
+        sized.sort(self.id_col).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
+        each = [held.select(self.id_col, F.lit(k).alias("field"), F.size(w).cast("bigint").alias("dl"), F.posexplode(w).alias("at", "term")) for k, w in enumerate(split)]
+        placed = reduce(DataFrame.unionByName, each).withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread))).repartition(self.buckets * self.spread, "bucket", "part")
+        # grouped where the rows are: the keys hold those that they were dealt by
+        counts = placed.groupBy("bucket", "part", "term", self.id_col, "field", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions")).drop("part")
+        counts.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
+        self.journal.delete(f"staged/{name}")
+        return self._written_buckets(name)
+
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread))).sortWithinPartitions("bucket", "term")
+
+    def _query(self, query: str | Sequence[str] | Phrase | Boolean) -> Phrase | Boolean:
+        if isinstance(query, str):
+            return parsed(query, self.fields)
+        if isinstance(query, (Phrase, Boolean)):
+            return query
+        return any_of(*(Phrase((w,)) for part in query for w in query_words(part)))
+
+    def search(self, query: str | Sequence[str] | Phrase | Boolean) -> DataFrame:
+        """id and score, to nine places, of live documents that the query fits; a query that asks for nothing finds nothing.
+
+        Words and phrases that count in favour score by BM25, each field for itself with its own mean length; a phrase
+        weighs as much as its words together and its frequency is that of the phrase. An exclusion alone finds nothing.
+        """
+        asked = self._query(query)
+        leaves = {p: None for p in phrases(asked)}
+        at = {f: k for k, f in enumerate(self.fields)}
+        unknown = {p.field for p in leaves if p.field is not None and p.field not in at}
+        if unknown:
+            raise ValueError(f"no such fields: {sorted(unknown)}")
+        terms = sorted({w for p in leaves for w in p.words})
+        rows = self._buckets({self._bucket(t) for t in terms}) if terms else None
         if rows is None:
             docs = self.spark.createDataFrame([], f"{self.id_col} bigint, score double")
             return docs if not self.manifest["segments"] else self.live().select(self.id_col, F.lit(0.0).alias("score")).filter(F.lit(False))
-        hits = self._live_rows(rows.filter(F.col("term").isin(*terms)).select("term", self.id_col, "dl", "tf", "segment"))
-        counted = hits.groupBy(self.id_col).agg(F.max("dl").alias("__dl"), *(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"__tf{k}") for k, t in enumerate(terms)))
-        stats = counted.agg(*(F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(terms))))
-        joined = counted.crossJoin(F.broadcast(stats)).withColumns({"__n": F.lit(n), "__avg": F.lit(total / n if n else 1.0)})  # stats is one row
-        return joined.select(self.id_col, F.round(search.bm25_score(len(terms)), 9).alias("score"))
-
-    def compact(self) -> None:
-        """Write live postings as one segment."""
-        rows = self._buckets(None, "postings")
-        if rows is None or len(self.manifest["segments"]) < 2:
-            return
-        number = max(s["number"] for s in self.manifest["segments"]) + 1
-        self.live().select(self.id_col, "dl").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={number}")
-        kept = self._live_rows(rows).drop("segment").repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
-        kept.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={number}")
-        self._publish([{"number": number, "buckets": self._written_buckets("postings", number)}])
+        spots = {(p, k): None for p in leaves for k in range(len(self.fields)) if p.field is None or at[p.field] == k}
+        single = {(w, k): f"__{n}" for n, (w, k) in enumerate(dict.fromkeys((w, k) for p, k in spots for w in p.words))}
+        placed = {(w, k) for p, k in spots if len(p.words) > 1 for w in p.words}
+        hits = self._alive(rows.filter(F.col("term").isin(*terms)).select("term", self.id_col, "field", "dl", "positions", "segment"))
+
+        def here(w: str, k: int) -> Column:
+            return (F.col("term") == w) & (F.col("field") == k)
+
+        counted = hits.groupBy(self.id_col).agg(
+            *(F.coalesce(F.max(F.when(F.col("field") == k, F.col("dl"))), F.lit(0)).alias(f"__dl{k}") for k in range(len(self.fields))),
+            *(F.sum(F.when(here(w, k), F.size("positions")).otherwise(0)).alias(f"{c}n") for (w, k), c in single.items()),
+            *(F.coalesce(F.first(F.when(here(w, k), F.col("positions")), ignorenulls=True), F.array().cast("array<int>")).alias(f"{single[w, k]}p") for w, k in sorted(placed)),
+        )
+        stats = counted.agg(*(F.count_if(F.col(f"{c}n") > 0).alias(f"{c}df") for c in single.values()))
+        joined = counted.crossJoin(F.broadcast(stats))  # stats is one row
+
+        def begins(positions: str, n: int) -> Column:
+            """Where a phrase would begin that has the word n words on."""
+            return F.transform(positions, lambda x: x - n)
+
+        def frequency(p: Phrase, k: int) -> Column:
+            if len(p.words) == 1:
+                return F.col(f"{single[p.words[0], k]}n")
+            return F.size(reduce(F.array_intersect, (begins(f"{single[w, k]}p", n) for n, w in enumerate(p.words))))
+
+        def fits(q: Phrase | Boolean) -> Column:
+            if isinstance(q, Phrase):
+                return reduce(lambda a, b: a | b, (frequency(q, k) > 0 for k in range(len(self.fields)) if (q, k) in spots), F.lit(False))
+            good = reduce(lambda a, b: a & b, map(fits, q.must)) if q.must else reduce(lambda a, b: a | b, map(fits, q.should), F.lit(False))
+            return reduce(lambda a, b: a & ~b, map(fits, q.without), good)
+
+        n = self.size
+        score = F.lit(0.0)
+        for p in dict.fromkeys(phrases(asked, scoring=True)):
+            for k in (k for q, k in spots if q == p):
+                mean = sum(s["sums"][f"dl{k}"] for s in self.manifest["segments"]) / n if n else 1.0
+                f = frequency(p, k)
+                idf = reduce(lambda a, b: a + b, (F.log(1 + (F.lit(n) - F.col(f"{single[w, k]}df") + 0.5) / (F.col(f"{single[w, k]}df") + 0.5)) for w in p.words))
+                score = score + idf * f * (search.K1 + 1) / (f + search.K1 * (1 - search.B + search.B * F.col(f"__dl{k}") / F.lit(mean or 1.0)))
+        return joined.filter(fits(asked)).select(self.id_col, F.round(score, 9).alias("score"))
 
 
 class VectorIndex(_Segments):
@@ -200,10 +330,11 @@ class VectorIndex(_Segments):
     vector is indexed. Vectors that are null, zero or not finite are left out.
     """
 
-    content = "embedding"
+    content, table = "embedding", "vectors"
 
-    def __init__(self, spark: SparkSession, folder: str, id_col: str = "vec_id", cells: int = 16, sample: int = 20_000) -> None:
-        super().__init__(spark, folder, id_col)
+    def __init__(self, spark: SparkSession, folder: str, id_col: str = "vec_id", cells: int = 16, sample: int = 20_000, spread: int = 2, fanout: int = 8) -> None:
+        super().__init__(spark, folder, id_col, fanout)
+        self.spread = spread
         self.cells, self.sample = cells, sample
         held = self.journal.get("centroids")
         self.centroids = None if held is None else np.array(held["rows"])
@@ -224,12 +355,12 @@ class VectorIndex(_Segments):
             centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
         return centres
 
-    def _write(self, number: int, pending: DataFrame) -> list[int]:
+    def _write(self, name: str, pending: DataFrame) -> list[int]:
         rows = pending.withColumn("embedding", as_doubles(F.col("embedding")))
         sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
         rows = rows.withColumn("embedding", F.when(sound, F.col("embedding")))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/documents/segment={number}")
-        stored = self.spark.read.parquet(f"{self.folder}/documents/segment={number}").filter("embedding IS NOT NULL")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
+        stored = self.spark.read.parquet(f"{self.folder}/documents/segment={name}").filter("embedding IS NOT NULL")
         if stored.isEmpty():
             return []
         if self.centroids is None:
@@ -243,21 +374,20 @@ class VectorIndex(_Segments):
                     yield pd.DataFrame({id_col: b[id_col], "bucket": (np.stack(b["embedding"].to_numpy()) @ centres.T).argmax(axis=1).astype(np.int32)})
 
         placed = map_batches(stored.select(id_col, "embedding"), cell, f"{id_col} {dict(stored.dtypes)[id_col]}, bucket int")
-        full = stored.join(placed, id_col)
-        full.repartition(len(centres), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/vectors/segment={number}")
-        return self._written_buckets("vectors", number)
+        self._deal(stored.join(placed, id_col)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/vectors/segment={name}")
+        return self._written_buckets(name)
 
-    def _stats(self) -> dict:
-        return {"n": self.live().count()} if self.manifest["segments"] else {"n": 0}
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.cells * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
         """id and score of the k nearest live vectors in the ``probes`` nearest cells (all: None)."""
         q = np.asarray(query, dtype=np.float64)
         order = None if probes is None or self.centroids is None else np.argsort(-(self.centroids @ q), kind="stable")[:probes].tolist()
-        rows = self._buckets(order, "vectors")
+        rows = self._buckets(order)
         if rows is None:
             return self.spark.createDataFrame([], f"{self.id_col} bigint, score double")
-        return search.knn(self._live_rows(rows), q.tolist(), k, self.id_col, where=where)
+        return search.knn(self._alive(rows), q.tolist(), k, self.id_col, where=where)
 
     def get(self, ids: Sequence[object]) -> DataFrame:
         """Stored rows of ids; ids that aren't there give none."""

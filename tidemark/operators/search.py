@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rrf_weight
-from ..functions.text import SEPARATORS, searchable_text, term_overlap, words
+from ..functions.text import SEPARATORS, query_words, searchable_text, term_overlap, words
 from ..functions.vectors import cosine, dot, literal
 
 K1, B = 1.2, 0.75
@@ -45,9 +45,9 @@ def bm25(docs: DataFrame, query: str | Sequence[str], id_col: str = "doc_id", te
 
     Terms are counted inside each row, so no word of the corpus is exploded or shuffled; only one row of corpus
     statistics (texts, mean length, document frequency of each query term) is gathered, and joined back by broadcast.
-    A blank query finds nothing.
+    A query is split into words as texts are, so ``north-west`` asks for two. A blank query finds nothing.
     """
-    terms = list(dict.fromkeys(query.lower().split() if isinstance(query, str) else [t.lower() for t in query]))
+    terms = list(dict.fromkeys(w for part in ([query] if isinstance(query, str) else query) for w in query_words(part)))
     split = docs.select(id_col, *carry, F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS).alias("__s"))
     # Only the first and the last part can be empty, so the length needs no pass over the words.
     empty = (F.element_at("__s", 1) == "").cast("int") + (F.element_at("__s", -1) == "").cast("int")

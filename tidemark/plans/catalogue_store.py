@@ -16,7 +16,7 @@ from ..operators.journal import Journal
 from ..sources import tables
 from ..streaming import ingest
 from . import jobs, router
-from .catalogue import _ASOF_MS, _EV, _FACTS, _SALIENCE, _SEGMENTS, _TOKENS, _TURNS, _VEC, AS_OF, SEARCH, _bm25_sql, _query_vector, as_of, doc_facts, doc_nodes, facts, ms, query, r6, scratch
+from .catalogue import _ASOF_MS, _EV, _FACTS, _SALIENCE, _SEGMENTS, _TOKENS, _TURNS, _VEC, AS_OF, SEARCH, _bm25_sql, _query_vector, as_of, doc_facts, doc_nodes, facts, ms, query, r6, scratch, word_index
 
 # Grips and documents of a store.
 
@@ -358,6 +358,86 @@ def bm25_index_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.top(WordIndex(spark, folder, buckets=8).search(SEARCH), 20, "doc_id").withColumn("score", r6("score"))
 
 
+_SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _weighed(words: str, f: str, dl: str = "dl", mean: str = "a") -> str:
+    """BM25 in SQL of one word or phrase, whose words have document frequencies df_<word>."""
+    idf = " + ".join(f"ln(1 + (n - df_{w} + 0.5) / (df_{w} + 0.5))" for w in words.split())
+    return f"({idf}) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * {dl} / {mean}))"
+
+
+def _words_sql(words: str, pairs: str = "") -> str:
+    """CTEs in SQL: t has doc_id, dl, f_<word> and f_<word>_<word> (side by side); s has n, a and df_<word>."""
+    f = [f"len(list_filter(w, lambda x: x = '{x}')) AS f_{x}" for x in words.split()]
+    f += [f"len(list_filter(range(1, len(w)), lambda i: w[i] = '{a}' AND w[i + 1] = '{b}')) AS f_{a}_{b}" for a, b in (p.split("_") for p in pairs.split())]
+    df = ", ".join(f"count(*) FILTER (f_{x} > 0) AS df_{x}" for x in words.split())
+    return f"t AS (SELECT doc_id, len(w) AS dl, {', '.join(f)} FROM (SELECT doc_id, {_SPLIT.format('text')} AS w FROM documents)), s AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM t)"
+
+
+def _asked(spark: SparkSession, sf: str, asked: str) -> DataFrame:
+    """All documents that fit a query of the word index of whole texts."""
+    return word_index(spark, sf).search(asked).withColumn("score", r6("score"))
+
+
+@query("bm25_punctuated", f"WITH {_bm25_sql('documents', 'doc_id', 'north the thereen nation s idiot and')} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25_punctuated(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a query are what texts are split into, hyphens, commas and apostrophes or not."""
+    return _asked(spark, sf, "North-the, thereen nation's (idiot)/and")
+
+
+@query("bm25_punctuated_scan", f"WITH {_bm25_sql('documents', 'doc_id', 'north the thereen nation s idiot and')} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25_punctuated_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return search.bm25(tables.read(spark, sf, "documents"), "North-the, thereen nation's (idiot)/and").withColumn("score", r6("score"))
+
+
+@query("word_phrases", f"WITH {_words_sql('is of the nation', 'of_the is_the')} SELECT doc_id, round({_weighed('of the', 'f_of_the')} + {_weighed('is the', 'f_is_the')} + {_weighed('nation', 'f_nation')}, 6) AS score FROM t, s WHERE f_of_the > 0 OR f_is_the > 0 OR f_nation > 0")
+def word_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases, found by positions, beside a single word."""
+    return _asked(spark, sf, '"of the" "Is, the" nation')
+
+
+@query("word_phrase_needed", f"WITH {_words_sql('in the and nation', 'in_the')} SELECT doc_id, round({_weighed('in the', 'f_in_the')} + {_weighed('and', 'f_and')}, 6) AS score FROM t, s WHERE f_in_the > 0 AND f_nation = 0")
+def word_phrase_needed(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase that must be there, a word that may, and one that must not."""
+    return _asked(spark, sf, '+"in the" and -nation')
+
+
+@query("word_operators", f"WITH {_words_sql('the of nation in thereen', 'in_the')} SELECT doc_id, round({_weighed('the', 'f_the')} + {_weighed('of', 'f_of')} + {_weighed('nation', 'f_nation')} + {_weighed('thereen', 'f_thereen')}, 6) AS score FROM t, s WHERE (f_the > 0 AND (f_of > 0 OR f_nation > 0) AND f_in_the = 0) OR f_thereen > 0")
+def word_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """AND before OR, parentheses, and a phrase that is excluded."""
+    return _asked(spark, sf, 'the AND (of OR nation) AND NOT "in the" OR thereen')
+
+
+_FIELDS = f"""f AS (SELECT doc_id, {_SPLIT.format('text')} AS w, {_SPLIT.format('lang')} AS v FROM documents),
+  t AS (SELECT doc_id, len(w) AS dl, len(v) AS dv, len(list_filter(w, lambda x: x = 'der')) AS f_der, len(list_filter(v, lambda x: x = 'de')) AS f_de, len(list_filter(w, lambda x: x = 'en')) AS f_en, len(list_filter(v, lambda x: x = 'en')) AS f_env FROM f),
+  s AS (SELECT count(*) AS n, avg(dl) AS a, avg(dv) AS av, count(*) FILTER (f_der > 0) AS df_der, count(*) FILTER (f_de > 0) AS df_de, count(*) FILTER (f_en > 0) AS df_en, count(*) FILTER (f_env > 0) AS df_env FROM t)"""
+
+
+@query("word_fields", f"WITH {_FIELDS} SELECT doc_id, round({_weighed('der', 'f_der')} + {_weighed('de', 'f_de', 'dv', 'av')} + {_weighed('en', 'f_en')} + {_weighed('env', 'f_env', 'dv', 'av')}, 6) AS score FROM t, s WHERE (f_der > 0 AND f_de > 0) OR f_en > 0 OR f_env > 0")
+def word_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Two fields with statistics of their own: terms of one field, and a word that either may have."""
+    index = WordIndex(spark, scratch(spark, "fields"), buckets=8, fields=["text", "lang"])
+    index.add(tables.read(spark, sf, "documents").select("doc_id", "text", "lang"))
+    index.commit()
+    return index.search("(text:der AND lang:de) en").withColumn("score", r6("score"))
+
+
+@query("index_growth", f"WITH {_CHANGED}, {_bm25_sql('ch', 'doc_id', SEARCH)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
+def index_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten commits that merge by tiers, with documents replaced and removed on the way."""
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text")
+    index = WordIndex(spark, scratch(spark, "growth"), buckets=4, spread=1, fanout=3)
+    for k in range(8):
+        index.add(docs.filter(F.col("doc_id") % 8 == k))
+        index.commit()
+    index.add(docs.filter("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" nation nation"))))
+    index.commit()
+    index.remove(docs.filter("doc_id % 10 = 3"))
+    index.commit()
+    return search.top(index.search(SEARCH), 50, "doc_id").withColumn("score", r6("score"))
+
+
 @query("index_rebuild", f"WITH {_FACTS}, n AS (SELECT level, count(*) AS n FROM fx WHERE level IN ('day', 'week', 'month', 'year') GROUP BY level) SELECT level, CAST(sum(n) OVER (ORDER BY CASE level WHEN 'day' THEN 0 WHEN 'week' THEN 1 WHEN 'month' THEN 2 ELSE 3 END) AS INT) AS done, 0 AS errors FROM n")
 def index_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """The word index of days and above made anew, with the progress that was told."""
