@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.api import Engine
 from tidemark.config import Dedup, Segmentation, StopConditions
 from tidemark.operators import dedup, evaluate, lifecycle, ranking, search, segments, store, toc, topics
 from tidemark.plans import router
@@ -176,3 +177,37 @@ def test_percentile_and_regression(spark):
     assert evaluate.percentile_nearest(rows, "v", 90).first().value == 9.0
     assert evaluate.percentile_nearest(rows.filter("false"), "v", 90).first().value is None
     assert evaluate.regression({"a": 160, "b": 126, "c": 100.0}, {"a": 100, "b": 100, "c": 100}) == {"a": "severe", "b": "warning", "c": "ok"}
+
+
+def test_throughput_is_judged_by_its_loss(spark):
+    shape = "step string, ms double, throughput double"
+    base = spark.createDataFrame([("a", 100.0, 100.0), ("b", 100.0, 100.0), ("c", 10.0, 100.0), ("d", None, None), ("old", 1.0, 1.0)], shape)
+    now = spark.createDataFrame([("a", 110.0, 90.0), ("b", 126.0, 85.0), ("c", 13.5, 70.0), ("d", 5.0, 5.0), ("new", 1.0, 1.0)], shape)
+    assert sorted(map(tuple, evaluate.regressions(now, base).collect())) == [("a", "ok", "ok"), ("b", "warning", "warning"), ("c", "severe", "severe"), ("d", None, None)]
+
+
+def test_stop_presets():
+    held = [StopConditions(), StopConditions.time_boxed(800), StopConditions.exploration(), StopConditions().with_beam(9)]
+    assert [(s.max_depth, s.max_nodes, s.max_calls, s.max_tokens, s.timeout_ms, s.beam_width) for s in held] == [(5, 100, 20, 4000, 5000, 1), (3, 50, 10, 4000, 800, 1), (7, 200, 30, 8000, 10000, 3), (5, 100, 20, 4000, 5000, 5)]
+
+
+def test_chains_and_tiers_of_columns(spark):
+    from itertools import product
+
+    ready = spark.createDataFrame(list(product([True, False], repeat=3)), "t boolean, v boolean, b boolean")
+    for r in ready.withColumn("tier", router.tier_column(F.col("t"), F.col("v"), F.col("b"))).collect():
+        assert r.tier == router.tier(r.t, r.v, r.b)
+    pairs = spark.createDataFrame(list(product([*router.CHAINS, "time_boxed"], router.TIER_LAYERS)), "intent string, tier string")
+    for r in pairs.withColumn("chain", router.chain_column(F.col("intent"), F.col("tier"))).collect():
+        assert r.chain == router.chain(r.intent, r.tier)
+
+
+def test_job_status(spark):
+    engine = Engine(spark, {}, F.lit(0))
+    for name in ("a", "b"):
+        engine.jobs.add(name, lambda: None)
+        engine.pause_job(name)
+    engine.resume_job("a")
+    engine.jobs.start("a")
+    engine.jobs.start("b")
+    assert [tuple(r) for r in engine.scheduler_status().select("name", "run_count", "skipped", "is_paused").collect()] == [("a", 1, 0, False), ("b", 0, 1, True)]

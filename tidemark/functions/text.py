@@ -138,6 +138,14 @@ def expand_query(query: str) -> list[str]:
     return out
 
 
+def expanded(query: Column) -> Column:
+    """The variants of :func:`expand_query` of a column, as an array."""
+    low = F.lower(query)
+    bare = F.trim(F.regexp_replace(low, "^(what )*(how )*(why )*(when )*(where )*(did we )*(do we )*", ""))
+    kept = F.filter(F.array(query, low, bare), lambda v: v != "")
+    return F.filter(kept, lambda v, k: (k == 0) | (F.try_element_at(kept, F.greatest(k, F.lit(1))) != v))
+
+
 def extract_json(text: Column) -> Column:
     """The JSON in a model's answer: a fenced json block, a fenced block, what lies between braces, or the text."""
     fenced_json = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)

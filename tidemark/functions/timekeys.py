@@ -86,6 +86,20 @@ def parse_time(text: str) -> datetime:
     return datetime.fromisoformat(text).replace(tzinfo=UTC)
 
 
+def range_days(argument: Column) -> Column:
+    """Days of a range argument, as :func:`parse_range` reads it."""
+    low = F.lower(F.trim(argument))
+    count = F.regexp_extract(low, r"^(\d+)[dw]$", 1).try_cast("int")
+    name = F.regexp_replace(F.regexp_replace(low, "^last ", ""), "^this ", "")
+    named = F.when(name.isin("today", "yesterday"), 1).when(name == "month", 30).when(name == "year", 365).otherwise(7)
+    return F.greatest(F.coalesce(F.when(F.endswith(low, F.lit("w")), count * 7).otherwise(count), named), F.lit(1))
+
+
+def time_ms(argument: Column) -> Column:
+    """Epoch milliseconds of a time given as such or as a date, as :func:`parse_time` reads it; null where it is neither."""
+    return F.when(argument.rlike(r"^-?\d+$"), argument.try_cast("bigint")).otherwise(F.unix_millis(F.try_to_timestamp(argument)))
+
+
 def lookback_days(query: Column) -> Column:
     """Days that a time phrase in a query looks back, or null."""
     low = F.lower(query)

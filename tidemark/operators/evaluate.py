@@ -61,3 +61,16 @@ def regression(now: dict[str, float], base: dict[str, float]) -> dict[str, str]:
         more, share = ms - base[step], ms / base[step] - 1 if base[step] else 0.0
         out[step] = "severe" if more >= 50 or share >= 0.30 else "warning" if more >= 25 or share >= 0.15 else "ok"
     return out
+
+
+def regressions(now: DataFrame, base: DataFrame, step: str = "step") -> DataFrame:
+    """step, ms_verdict and throughput_verdict of the steps that both tables have (step, ms, throughput; each a number or null).
+
+    Milliseconds are judged as by :func:`regression`; a throughput by its loss, severe from 30 % and a warning from 15 %.
+    """
+    both = now.select(step, F.col("ms").alias("__ms"), F.col("throughput").alias("__rate")).join(base.select(step, F.col("ms").alias("__ms0"), F.col("throughput").alias("__rate0")), step)
+    more, share = F.col("__ms") - F.col("__ms0"), F.coalesce(F.try_divide(F.col("__ms"), F.col("__ms0")) - 1, F.lit(0.0))
+    slower = F.when(more.isNull(), None).when((more >= 50) | (share >= 0.30), "severe").when((more >= 25) | (share >= 0.15), "warning").otherwise("ok")
+    loss = 1 - F.try_divide(F.col("__rate"), F.col("__rate0"))
+    less = F.when(loss.isNull(), None).when(loss >= 0.30, "severe").when(loss >= 0.15, "warning").otherwise("ok")
+    return both.select(step, slower.alias("ms_verdict"), less.alias("throughput_verdict"))

@@ -580,25 +580,56 @@ _TIERS = "(VALUES " + ", ".join(f"('{t}', [{', '.join(f"'{x}'" for x in has)}])"
 _CHAINS = "(VALUES " + ", ".join(f"('{t}', [{', '.join(f"'{x}'" for x in has)}])" for t, has in router.CHAINS.items()) + ") AS c(intent, layers)"
 
 
-@query("tier_matrix", f"SELECT tier, layer, list_contains(has, layer) AS supported FROM {_TIERS}, (SELECT unnest(['topics', 'hybrid', 'vector', 'bm25', 'agentic']) AS layer)")
+_STORES = """st AS (SELECT source, bool_or(coalesce(q, 0) = 1) AS topics, bool_or(vec_id IS NOT NULL) AS vector, bool_or(text IS NOT NULL) AS bm25
+    FROM documents LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON vec_id = doc_id LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) l USING (doc_id) GROUP BY source),
+  tr AS (SELECT *, CASE WHEN vector AND bm25 THEN CASE WHEN topics THEN 'full' ELSE 'hybrid' END WHEN vector THEN 'semantic' WHEN bm25 THEN 'keyword' ELSE 'agentic' END AS tier FROM st)"""
+
+
+def stores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source of documents with the layers that are ready there, and its tier."""
+    vectors = tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("__vector")).distinct()
+    good = tables.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("__q"))
+    docs = tables.read(spark, sf, "documents").select("doc_id", "source", "text").join(vectors, "doc_id", "left").join(good, "doc_id", "left")
+    ready = docs.groupBy("source").agg(F.bool_or(F.coalesce("__q", F.lit(0)) == 1).alias("topics"), F.bool_or(F.col("__vector").isNotNull()).alias("vector"), F.bool_or(F.col("text").isNotNull()).alias("bm25"))
+    return ready.withColumn("tier", router.tier_column(F.col("topics"), F.col("vector"), F.col("bm25")))
+
+
+@query("tier_matrix", f"WITH {_STORES} SELECT source, layer, list_contains(has, layer) AS supported FROM tr JOIN {_TIERS} USING (tier), (SELECT unnest(['topics', 'hybrid', 'vector', 'bm25', 'agentic']) AS layer)")
 def tier_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return router.tier_matrix(spark)
+    """Which layers each source supports by its tier."""
+    layers = F.explode(F.array(*map(F.lit, router.TIER_LAYERS["full"])))
+    held = stores(spark, sf).select("source", router.layers_of(F.col("tier")).alias("has"), layers.alias("layer"))
+    return held.select("source", "layer", F.array_contains("has", F.col("layer")).alias("supported"))
 
 
 @query(
     "fallback_chain",
-    f"""WITH x AS (SELECT intent, tier, unnest(layers) AS layer, generate_subscripts(layers, 1) AS k, has FROM {_CHAINS}, {_TIERS}),
-    y AS (SELECT intent, tier, layer, row_number() OVER (PARTITION BY intent, tier ORDER BY k) - 1 AS position FROM x WHERE list_contains(has, layer)) SELECT intent, tier, CAST(position AS INT) AS position, layer FROM y WHERE position < 3""",
+    f"""WITH {_STORES}, s AS (SELECT doc_id, source, {", ".join(f"{_intent_sql(w)} AS {k}_score" for k, w in router.INTENT_KEYWORDS.items())} FROM documents), b AS (SELECT *, greatest(explore_score, answer_score, locate_score) AS best FROM s),
+    i AS (SELECT source, CASE WHEN best < 0.3 THEN 'answer' WHEN explore_score = best THEN 'explore' WHEN locate_score = best THEN 'locate' ELSE 'answer' END AS intent FROM b),
+    g AS (SELECT intent, tier, count(*) AS n FROM i JOIN tr USING (source) GROUP BY intent, tier),
+    x AS (SELECT g.intent, g.tier, n, unnest(layers) AS layer, generate_subscripts(layers, 1) AS k, has FROM g JOIN {_CHAINS} ON c.intent = g.intent JOIN {_TIERS} ON t.tier = g.tier),
+    y AS (SELECT intent, tier, n, layer, row_number() OVER (PARTITION BY intent, tier ORDER BY k) - 1 AS position FROM x WHERE list_contains(has, layer)) SELECT intent, tier, n, CAST(position AS INT) AS position, layer FROM y WHERE position < 3""",
 )
 def fallback_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return router.chains(spark)
+    """The layers to try for the texts as queries, by their intent and their source's tier, and for how many."""
+    asked = router.classify(tables.read(spark, sf, "documents"), "text").select("source", "intent")
+    groups = asked.join(stores(spark, sf).select("source", "tier"), "source").groupBy("intent", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select("intent", "tier", "n", F.posexplode(router.chain_column(F.col("intent"), F.col("tier"))).alias("position", "layer"))
 
 
-@query("query_expansion", "SELECT * FROM (VALUES (0, 0, 'What how Did we FIX it'), (0, 1, 'what how did we fix it'), (0, 2, 'fix it'), (1, 0, 'where is the config'), (1, 1, 'is the config')) AS t(query_id, position, variant)")
+@query(
+    "query_expansion",
+    """WITH a AS (SELECT conv_id, turn, text AS q, lower(text) AS low, trim(regexp_replace(lower(text), '^(what )*(how )*(why )*(when )*(where )*(did we )*(do we )*', '')) AS bare
+      FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'What How did we ' || text WHEN 1 THEN 'where ' || lower(text) WHEN 2 THEN lower(text) ELSE text END AS text FROM conversations)),
+    v AS (SELECT conv_id, turn, unnest(list_filter([CASE WHEN q <> '' THEN q END, CASE WHEN low <> '' AND low <> q THEN low END, CASE WHEN bare <> '' AND bare <> low THEN bare END], lambda x: x IS NOT NULL)) AS variant FROM a)
+    SELECT conv_id, turn, variant, count(*) AS n FROM v GROUP BY 1, 2, 3""",
+)
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    asked = ["What how Did we FIX it", "where is the config"]
-    rows = [(q, k, v) for q, x in enumerate(asked) for k, v in enumerate(text.expand_query(x))]
-    return spark.createDataFrame(rows, "query_id int, position int, variant string")
+    """Variants of turns as questions, without neighbours that repeat."""
+    low = F.lower("text")
+    asked = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("What How did we "), "text")).when(F.col("turn") % 4 == 1, F.concat(F.lit("where "), low)).when(F.col("turn") % 4 == 2, low).otherwise(F.col("text"))
+    variants = tables.read(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.expanded(asked)).alias("variant"))
+    return variants.groupBy("conv_id", "turn", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("context_builder", f"WITH {_bm25_sql('documents', 'doc_id', SEARCH)}, b AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT count(*) AS n_results, CAST(floor(sum(length(text)) * 0.75 + 50) AS BIGINT) AS tokens_estimated, round(max(score), 6) AS confidence FROM b JOIN documents USING (doc_id)")

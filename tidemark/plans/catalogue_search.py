@@ -14,8 +14,39 @@ from ..operators.indexes import VectorIndex, WordIndex
 from ..sources import tables
 from . import router
 from .catalogue import (
-    _ASOF_MS, _CENTROIDS, _COS, _EV, _FACTS, _LINKS, _MERGED, _SALIENCE, _TERMS, _TOPICS, _VEC, NODES, SEARCH, _bm25_sql, _layers_sql, _links, _overlap_sql, _query_vector, _routed_sql, _topic_table,
-    as_of, doc_facts, doc_nodes, facts_of, layers, ms, query, r6, scratch, word_index,
+    _ASOF_MS,
+    _CENTROIDS,
+    _COS,
+    _EV,
+    _FACTS,
+    _LINKS,
+    _MERGED,
+    _SALIENCE,
+    _STORES,
+    _TERMS,
+    _TOPICS,
+    _VEC,
+    _bm25_sql,
+    _intent_sql,
+    _layers_sql,
+    _links,
+    _overlap_sql,
+    _query_vector,
+    _routed_sql,
+    _topic_table,
+    NODES,
+    SEARCH,
+    as_of,
+    doc_facts,
+    doc_nodes,
+    facts_of,
+    layers,
+    ms,
+    query,
+    r6,
+    scratch,
+    stores,
+    word_index,
 )
 
 # Vector index.
@@ -108,13 +139,6 @@ def route_executions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "run string, tried string, used string, fallback boolean, bounds string")
 
 
-@query("stop_presets", "SELECT * FROM (VALUES ('default', 5, 100, 20, 4000, 5000, 1), ('time_boxed', 3, 50, 10, 4000, 800, 1), ('exploration', 7, 200, 30, 8000, 10000, 3), ('wide', 5, 100, 20, 4000, 5000, 5)) AS t(preset, depth, nodes, calls, tokens, ms, beam)")
-def stop_presets(spark: SparkSession, sf: str) -> DataFrame:
-    held = {"default": StopConditions(), "time_boxed": StopConditions.time_boxed(800), "exploration": StopConditions.exploration(), "wide": StopConditions().with_beam(9)}
-    rows = [(n, s.max_depth, s.max_nodes, s.max_calls, s.max_tokens, s.timeout_ms, s.beam_width) for n, s in held.items()]
-    return spark.createDataFrame(rows, "preset string, depth int, nodes int, calls int, tokens int, ms int, beam int")
-
-
 @query(
     "token_budget",
     f"WITH {_bm25_sql('documents', 'doc_id', SEARCH)}, t AS (SELECT doc_id, score, sum(greatest(strlen(text) // 4, 1)) OVER (ORDER BY score DESC, doc_id) AS upto, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 20) JOIN documents USING (doc_id)) SELECT doc_id, round(score, 6) AS score FROM t WHERE upto <= 4000 OR k = 1",
@@ -130,22 +154,22 @@ def explanation_payload(spark: SparkSession, sf: str) -> DataFrame:
     return told.payload(out).select("intent", "tier", "mode", "winner", "fallback", "result_count", F.size("grip_ids").alias("n_grips"))
 
 
-@query("skill_check", "SELECT * FROM (VALUES ('bare', 'error', 'description'), ('bare', 'warning', 'triggers'), ('bare', 'warning', 'retrieval'), ('bare', 'warning', 'fallback'), ('half', 'warning', 'fallback')) AS t(skill, severity, field)")
-def skill_check(spark: SparkSession, sf: str) -> DataFrame:
-    skills = {"bare": {"name": "x"}, "half": {"name": "x", "description": "y", "triggers": ["a"], "retrieval": "z"}, "full": dict.fromkeys(router.SKILL_FIELDS, "x")}
-    return spark.createDataFrame([(n, s, f) for n, d in skills.items() for s, f in router.check_skill(d)], "skill string, severity string, field string")
-
-
-@query("tier_detection", "SELECT * FROM (VALUES (true, true, true, 'full'), (true, true, false, 'semantic'), (true, false, true, 'keyword'), (true, false, false, 'agentic'), (false, true, true, 'hybrid'), (false, true, false, 'semantic'), (false, false, true, 'keyword'), (false, false, false, 'agentic')) AS t(topics, vector, bm25, tier)")
+@query("tier_detection", f"WITH {_STORES} SELECT source, topics, vector, bm25, tier FROM tr")
 def tier_detection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(t, v, b, router.tier(t, v, b)) for t in (True, False) for v in (True, False) for b in (True, False)]
-    return spark.createDataFrame(rows, "topics boolean, vector boolean, bm25 boolean, tier string")
+    """What each source of documents can answer with: labelled topics, vectors, words."""
+    return stores(spark, sf)
 
 
-@query("timed_classification", "SELECT * FROM (VALUES ('how did we fix it', 'answer', 'time_boxed'), ('find the exact line', 'locate', 'time_boxed'), ('show me recurring themes', 'explore', 'time_boxed'), ('well', 'answer', 'time_boxed')) AS t(asked, intent, boxed)")
+@query(
+    "timed_classification",
+    f"""WITH s AS (SELECT conv_id, turn, {", ".join(f"{_intent_sql(w)} AS {k}_score" for k, w in router.INTENT_KEYWORDS.items())} FROM conversations), b AS (SELECT *, greatest(explore_score, answer_score, locate_score) AS best FROM s)
+    SELECT conv_id, turn, CASE WHEN best < 0.3 THEN 'answer' WHEN explore_score = best THEN 'explore' WHEN locate_score = best THEN 'locate' ELSE 'answer' END AS intent, 'time_boxed' AS boxed, round(best, 6) AS confidence FROM b""",
+)
 def timed_classification(spark: SparkSession, sf: str) -> DataFrame:
-    asked = ["how did we fix it", "find the exact line", "show me recurring themes", "well"]
-    return spark.createDataFrame([(a, router.classify_text(a)[0], router.classify_text(a, 500)[0]) for a in asked], "asked string, intent string, boxed string")
+    """Turns classified with and without a timeout."""
+    turns = tables.read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    free = router.classify(turns, "text").select("conv_id", "turn", "text", F.col("intent").alias("free"))
+    return router.classify(free, "text", timeout_ms=500).select("conv_id", "turn", F.col("free").alias("intent"), F.col("intent").alias("boxed"), r6("confidence").alias("confidence"))
 
 
 @query("heuristic_rerank", f"WITH {_bm25_sql('documents', 'doc_id', SEARCH)}, r AS (SELECT doc_id, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 12) AS score FROM bm) SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 10")
@@ -374,17 +398,10 @@ def supersession_penalty(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.penalise_superseded(rows, ranking.superseded(rows, "label")).select("doc_id", r6("score").alias("score"))
 
 
-class _Half:
-    """Words are up, vectors and topics are down."""
-
-    def ready(self, layer: str) -> bool:
-        return layer == "bm25"
-
-
-@query("layer_status", "SELECT 'keyword' AS tier, 'bm25' AS first_layer")
+@query("layer_status", f"WITH {_STORES} SELECT source, tier, CASE WHEN bm25 THEN 'bm25' WHEN vector THEN 'vector' ELSE 'agentic' END AS first_layer FROM tr")
 def layer_status(spark: SparkSession, sf: str) -> DataFrame:
-    tier = router.tier_of(_Half())
-    return spark.createDataFrame([(tier, router.chain("locate", tier)[0])], "tier string, first_layer string")
+    """The first layer that a query for a place would try in each source."""
+    return stores(spark, sf).select("source", "tier", F.element_at(router.chain_column(F.lit("locate"), F.col("tier")), 1).alias("first_layer"))
 
 
 @query("adapted_events", "SELECT 's' || user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'hooked' END AS agent, 'user_message' AS event_type, event_type AS text FROM events")
@@ -418,18 +435,6 @@ def api_indexed_engine(spark: SparkSession, sf: str) -> DataFrame:
     return engine.teleport_search(SEARCH).select("doc_id", r6("score").alias("score"))
 
 
-@query("api_scheduler", "SELECT * FROM (VALUES ('a', 1, 0, false), ('b', 0, 1, true)) AS t(name, run_count, skipped, is_paused)")
-def api_scheduler(spark: SparkSession, sf: str) -> DataFrame:
-    engine = Engine(spark, {}, as_of())
-    for name in ("a", "b"):
-        engine.jobs.add(name, lambda: None)
-        engine.pause_job(name)
-    engine.resume_job("a")
-    engine.jobs.start("a")
-    engine.jobs.start("b")
-    return engine.scheduler_status().select("name", "run_count", "skipped", "is_paused")
-
-
 @query("api_vector_status", "SELECT true AS ready, count(*) AS vectors, 1 AS segments FROM embeddings")
 def api_vector_status(spark: SparkSession, sf: str) -> DataFrame:
     index = VectorIndex(spark, scratch(spark, "vectors"), cells=2)

@@ -67,14 +67,16 @@ def keyed_delete(spark: SparkSession, sf: str) -> DataFrame:
     return store.delete(c, c.filter("c_nationkey = 3"), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("checkpoint_records", "SELECT * FROM (VALUES ('bm25', 41, 20), ('vector', 17, 9)) AS t(name, last_sequence, processed_count)")
+@query("checkpoint_records", "SELECT event_type AS name, max(event_id) AS last_sequence, count(*) AS processed_count FROM events GROUP BY event_type")
 def checkpoint_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A checkpoint for each kind of event, put twice by a job that went on, and read back."""
+    e = tables.read(spark, sf, "events")
     j = Journal(spark, scratch(spark, "journal"))
-    for name, last, n in (("bm25", 5, 5), ("vector", 17, 9), ("bm25", 41, 20), ("gone", 1, 1)):
-        j.put(name, {"last_sequence": last, "processed_count": n})
-    j.delete("gone")
-    rows = [(name, held["last_sequence"], held["processed_count"]) for name in ("bm25", "vector", "gone") if (held := j.get(name))]
-    return spark.createDataFrame(rows, "name string, last_sequence bigint, processed_count bigint")
+    for part in (e.filter("event_id % 2 = 0"), e):
+        for r in part.groupBy("event_type").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n")).collect():  # a row a kind
+            j.put(r["event_type"], {"last_sequence": r["last"], "processed_count": r["n"]})
+    names = [r[0] for r in e.select("event_type").distinct().collect()]
+    return spark.createDataFrame([(n, held["last_sequence"], held["processed_count"]) for n in names if (held := j.get(n))], "name string, last_sequence bigint, processed_count bigint")
 
 
 _METADATA = "md AS (SELECT vec_id, vec_id * 3 AS doc_id, CASE WHEN label % 2 = 0 THEN 'toc_node' ELSE 'grip' END AS doc_type FROM embeddings WHERE vec_id % 7 <> 0)"
@@ -199,10 +201,23 @@ def competitor_report(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("metric", F.round("s.ours", 6).alias("ours"), F.round("s.rival", 6).alias("rival"))
 
 
-@query("regression_gate", "SELECT * FROM (VALUES ('a', 'ok'), ('b', 'warning'), ('c', 'severe'), ('d', 'severe'), ('e', 'warning')) AS t(step, verdict)")
+_LOADS = "SELECT event_type AS step, avg(value) FILTER ({0}) AS ms, count(*) FILTER ({0}) AS throughput FROM events GROUP BY event_type"
+
+
+@query(
+    "regression_gate",
+    f"""WITH a AS ({_LOADS.format("event_id % 3 = 0")}), b AS ({_LOADS.format("event_id % 3 <> 0")})
+    SELECT step, CASE WHEN a.ms - b.ms >= 50 OR a.ms / b.ms - 1 >= 0.30 THEN 'severe' WHEN a.ms - b.ms >= 25 OR a.ms / b.ms - 1 >= 0.15 THEN 'warning' ELSE 'ok' END AS ms_verdict,
+      CASE WHEN 1 - a.throughput / b.throughput >= 0.30 THEN 'severe' WHEN 1 - a.throughput / b.throughput >= 0.15 THEN 'warning' ELSE 'ok' END AS throughput_verdict FROM a JOIN b USING (step)""",
+)
 def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
-    found = evaluate.regression({"a": 101.0, "b": 126.0, "c": 151.0, "d": 13.5, "e": 11.6, "new": 1.0}, {"a": 100.0, "b": 100.0, "c": 100.0, "d": 10.0, "e": 10.0})
-    return spark.createDataFrame(sorted(found.items()), "step string, verdict string")
+    """Kinds of events as steps: every third event against the others, by mean value and by number."""
+
+    def loads(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("event_type").alias("step")).agg(F.avg("value").alias("ms"), F.count(F.lit(1)).alias("throughput"))
+
+    e = tables.read(spark, sf, "events")
+    return evaluate.regressions(loads(e.filter("event_id % 3 = 0")), loads(e.filter("event_id % 3 <> 0")))
 
 
 # Wire rows.

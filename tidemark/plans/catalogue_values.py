@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,22 +91,21 @@ def ulid_times(spark: SparkSession, sf: str) -> DataFrame:
     return tables.events(spark, sf).select("event_id", timekeys.ulid_ms(F.lower(ulid)).alias("ms"))
 
 
-_NOW = datetime(2024, 2, 1, tzinfo=UTC)
-
-
-@query("range_arguments", "SELECT * FROM (VALUES ('3d', 3), ('2w', 14), ('today', 1), ('last week', 7), ('this month', 30), ('year', 365), ('0d', 1), ('odd', 7)) AS t(argument, days)")
+@query("range_arguments", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN greatest(event_id % 50, 1) WHEN 1 THEN greatest(event_id % 9 * 7, 1) WHEN 2 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 30 ELSE 7 END AS days FROM events")
 def range_arguments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = []
-    for a in ("3d", "2w", "today", "last week", "this month", "year", "0d", "odd"):
-        first, last = timekeys.parse_range(a, _NOW)
-        rows.append((a, (last - first).days))
-    return spark.createDataFrame(rows, "argument string, days int")
+    """Range arguments that follow from event ids: days, weeks, names, and an odd one."""
+    i = F.col("event_id")
+    argument = F.when(i % 6 == 0, F.concat((i % 50).cast("string"), F.lit("d"))).when(i % 6 == 1, F.concat((i % 9).cast("string"), F.lit("W ")))
+    argument = argument.when(i % 6 == 2, "yesterday").when(i % 6 == 3, "Last week").when(i % 6 == 4, "this month").otherwise("odd")
+    return tables.read(spark, sf, "events").select("event_id", timekeys.range_days(argument).cast("bigint").alias("days"))
 
 
-@query("time_arguments", "SELECT * FROM (VALUES ('1706745600000', 1706745600000), ('2024-02-01', 1706745600000), ('2024-02-01T06:30:00', 1706769000000)) AS t(argument, ms)")
+@query("time_arguments", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 1 THEN epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) // 1000 WHEN event_id % 4 = 2 THEN epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) // 1000 ELSE epoch_us(CAST(ts AS TIMESTAMP)) // 1000 END AS ms FROM events")
 def time_arguments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(a, int(timekeys.parse_time(a).timestamp() * 1000)) for a in ("1706745600000", "2024-02-01", "2024-02-01T06:30:00")]
-    return spark.createDataFrame(rows, "argument string, ms bigint")
+    """Times of events as arguments: milliseconds, dates, dates with a time, and what is none."""
+    e = tables.events(spark, sf)
+    argument = F.when(F.col("event_id") % 4 == 0, F.unix_millis("ts").cast("string")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit("soon"))
+    return e.select("event_id", timekeys.time_ms(argument).alias("ms"))
 
 
 @query(

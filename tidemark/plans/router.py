@@ -52,13 +52,18 @@ def keyword_score(text: Column, words: Sequence[str]) -> Column:
     return F.least(F.lit(1.0), F.least(hits, F.lit(3)) / F.lit(3.0) + 0.1 * long)
 
 
-def classify(queries: DataFrame, text: str = "query") -> DataFrame:
-    """Queries with the score of each intent, the intent and its confidence; ties favour explore, then locate; below 0.3 it is answer at 0.5."""
+def classify(queries: DataFrame, text: str = "query", timeout_ms: int | None = None) -> DataFrame:
+    """Queries with the score of each intent, the intent and its confidence; ties favour explore, then locate; below 0.3 it is answer at 0.5.
+
+    With a timeout every query is time-boxed, at the confidence of its best intent.
+    """
     out = queries.withColumns({f"{k}_score": keyword_score(F.col(text), words) for k, words in INTENT_KEYWORDS.items()})
     best = F.greatest(*(F.col(f"{k}_score") for k in INTENT_KEYWORDS))
     intent = F.when(best < 0.3, "answer")
     for k in PRIORITY:
         intent = intent.when(F.col(f"{k}_score") == best, k)
+    if timeout_ms is not None:
+        return out.withColumn("intent", F.lit("time_boxed")).withColumn("confidence", best)
     return out.withColumn("intent", intent).withColumn("confidence", F.when(best < 0.3, 0.5).otherwise(best))
 
 
@@ -81,6 +86,26 @@ def tier(topics: bool, vector: bool, bm25: bool) -> str:
     return "semantic" if vector else "keyword" if bm25 else "agentic"
 
 
+def tier_column(topics: Column, vector: Column, bm25: Column) -> Column:
+    """:func:`tier` of columns."""
+    return F.when(vector & bm25, F.when(topics, "full").otherwise("hybrid")).when(vector, "semantic").when(bm25, "keyword").otherwise("agentic")
+
+
+def layers_of(tier_name: Column) -> Column:
+    """The layers of a tier, as an array."""
+    return _listed(TIER_LAYERS, tier_name)
+
+
+def chain_column(intent: Column, tier_name: Column, limit: int = 3) -> Column:
+    """:func:`chain` of columns, as an array."""
+    boxed = F.array_distinct(F.array(F.element_at(layers_of(tier_name), 1), F.lit("agentic")))
+    return F.when(intent == "time_boxed", boxed).otherwise(F.slice(F.filter(_listed(CHAINS, intent), lambda x: F.array_contains(layers_of(tier_name), x)), 1, limit))
+
+
+def _listed(lists: dict[str, tuple[str, ...]], key: Column) -> Column:
+    return F.coalesce(*(F.when(key == k, F.array(*map(F.lit, v))) for k, v in lists.items()))
+
+
 class LayerStatus(Protocol):
     """Which layers can answer now."""
 
@@ -99,18 +124,6 @@ def chain(intent: str, tier_name: str, limit: int = 3) -> list[str]:
     return [x for x in CHAINS[intent] if x in TIER_LAYERS[tier_name]][:limit]
 
 
-def tier_matrix(spark) -> DataFrame:
-    """tier, layer and supported for all pairs."""
-    rows = [(t, layer, layer in has) for t, has in TIER_LAYERS.items() for layer in TIER_LAYERS["full"]]
-    return spark.createDataFrame(rows, "tier string, layer string, supported boolean")
-
-
-def chains(spark) -> DataFrame:
-    """intent, tier, position and layer of every chain."""
-    rows = [(i, t, k, layer) for i in CHAINS for t in TIER_LAYERS for k, layer in enumerate(chain(i, t))]
-    return spark.createDataFrame(rows, "intent string, tier string, position int, layer string")
-
-
 @dataclass(frozen=True)
 class Execution:
     """What an execution tried and found; ``rows`` has doc_id, score and source_layer."""
