@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import datetime as dt
+from collections import deque
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import Segmentation
+from tidemark.config import Dedup, Segmentation
 from tidemark.operators import segments
 from tidemark.sources import tables
-from tidemark.streaming import ingest
+from tidemark.streaming import gate, ingest
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +60,52 @@ def test_segments_of_a_stream_match_the_batch(spark, landed, tmp_path):
 def test_gate_passes_structural_and_short_events(spark):
     rows = spark.createDataFrame([("session_start", "x" * 99), ("user_message", "short"), ("user_message", "x" * 99)], "event_type string, text string")
     assert [r.gate for r in ingest.gated(rows).collect()] == ["structural", "short_text", "compare"]
+
+
+def _decided(spark, folder, config, checkpoint, out, **more):
+    schema = "k int, event_id bigint, ts timestamp, event_type string, text string, embedding array<double>"
+    with gate.keyed_state(spark):
+        stream = ingest.read_stream(spark, folder, schema)
+        ingest.run_to_end(gate.ingest(stream, "k", config, **more), ingest.idempotent_sink(out), checkpoint)
+    return {(r.key, r.event_id, r.created): (r.gate, None if r.similarity is None else round(r.similarity, 6), r.deduplicated) for r in spark.read.parquet(out).collect()}
+
+
+def test_gate_in_a_stream_equals_the_fold(spark, tmp_path):
+    """Three triggers, some ids again in a later one, a buffer that forgets, and every reason to pass."""
+    rng = np.random.default_rng(3)
+    config = Dedup(threshold=0.8, min_text_bytes=5, buffer=3)
+    rows, wanted, held = [], {}, {}
+    for n in range(120):
+        v = rng.normal(size=3)
+        v = None if n % 17 == 0 else (v / np.linalg.norm(v)).tolist()
+        kind = "session_start" if n % 11 == 0 else "user_message"
+        rows.append((n % 4, n, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), kind, "abc" if n % 7 == 0 else "abcdef", v))
+    for k, n, _, kind, text, v in rows:
+        reason = "structural" if kind == "session_start" else "short_text" if len(text) < 5 else "no_embedding" if v is None else "compare"
+        score, duplicate = None, False
+        if reason == "compare":
+            buffer = held.setdefault(k, deque(maxlen=3))
+            score = max((float(np.dot(h, v)) for h in buffer), default=None)
+            duplicate = score is not None and score > 0.8
+            if not duplicate:
+                buffer.append(v)
+        wanted[k, n, True] = (reason, None if score is None else round(score, 6), duplicate)
+    folder = str(tmp_path / "in")
+    schema = "k int, event_id bigint, ts timestamp, event_type string, text string, embedding array<double>"
+    for k in range(3):
+        part = rows[40 * k : 40 * (k + 1)] + (rows[35:40] if k == 1 else []) + [(None, 999, rows[0][2], "x", "abcdef", None)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    found = _decided(spark, folder, config, str(tmp_path / "cp"), str(tmp_path / "out"))
+    again = {k for k in found if not k[2]}
+    assert {k: v for k, v in found.items() if k[2]} == wanted
+    assert {n for _, n, _ in again} == set(range(35, 40))
+
+
+def test_idle_keys_lose_their_state(spark, tmp_path):
+    schema = "k int, event_id bigint, ts timestamp, event_type string, text string, embedding array<double>"
+    day = dt.datetime(2024, 1, 1)
+    folder = str(tmp_path / "in")
+    for n, (k, days) in enumerate([(1, 0), (2, 30), (2, 31), (1, 32)]):
+        spark.createDataFrame([(k, n, day + dt.timedelta(days=days), "user_message", "x" * 60, [1.0, 0.0])], schema).coalesce(1).write.mode("append").parquet(folder)
+    found = _decided(spark, folder, Dedup(), str(tmp_path / "cp"), str(tmp_path / "out"))
+    assert {n: v[2] for (_, n, _), v in found.items()} == {0: False, 1: False, 2: True, 3: False}

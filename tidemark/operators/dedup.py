@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Dedup
-from ..functions.vectors import dot
 from ..shipping import map_batches
+from .similarity import most_similar_earlier
 
 
 def skip_reason(text: Column, embedding: Column, enabled: bool = True, index_ready: bool = True, config: Dedup = Dedup()) -> Column:
@@ -55,11 +55,8 @@ def ring_buffer(rows: DataFrame, key: str, order: str, vector: str, config: Dedu
 
 
 def nearest_earlier(rows: DataFrame, key: str, order: str, vector: str) -> DataFrame:
-    """key, order and similarity to the most similar earlier row of the key; ``key`` bounds the comparison."""
-    a = rows.select(F.col(key).alias("__k"), F.col(order).alias("__o"), F.col(vector).alias("__v"))
-    b = rows.select(F.col(key).alias("__k2"), F.col(order).alias("__o2"), F.col(vector).alias("__v2"))
-    pairs = a.join(b, (F.col("__k") == F.col("__k2")) & (F.col("__o2") < F.col("__o")))
-    return pairs.groupBy(F.col("__k").alias(key), F.col("__o").alias(order)).agg(F.max(dot(F.col("__v"), F.col("__v2"))).alias("similarity"))
+    """key, order and similarity to the most similar earlier row of the key."""
+    return most_similar_earlier(rows, key, order, vector)
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

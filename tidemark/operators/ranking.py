@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Ranking, Staleness
 from ..functions.scoring import combined_rank, stale_decay
-from ..functions.vectors import dot
+from .similarity import newest_similar
 
 
 def enrich(results: DataFrame, first: DataFrame, second: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -30,13 +30,9 @@ def decay(results: DataFrame, config: Staleness = Staleness(), newest: Column |
     return results.withColumn("score", stale_decay(F.col("score"), age, F.col("memory_kind"), config)).drop("__newest")
 
 
-def superseded(results: DataFrame, key: str, config: Staleness = Staleness(), id_col: str = "doc_id") -> DataFrame:
-    """id and newer: the newest later result inside ``key`` that is similar enough to each. ``key`` bounds the comparison."""
-    a = results.select(F.col(id_col).alias("__id"), F.col(key).alias("__key"), F.col("ts").alias("__ts"), F.col("embedding").alias("__v"))
-    b = results.select(F.col(id_col).alias("newer"), F.col(key).alias("__key2"), F.col("ts").alias("__ts2"), F.col("embedding").alias("__v2"))
-    pairs = a.join(b, (F.col("__key") == F.col("__key2")) & (F.col("__ts2") > F.col("__ts")))
-    pairs = pairs.filter(dot(F.col("__v"), F.col("__v2")) >= config.supersession_similarity)
-    return pairs.groupBy(F.col("__id").alias(id_col)).agg(F.max_by("newer", F.struct("__ts2", "newer")).alias("newer"))
+def superseded(results: DataFrame, key: str | None = None, config: Staleness = Staleness(), id_col: str = "doc_id") -> DataFrame:
+    """id and newer: the newest later result that is similar enough to each, inside ``key`` if one is given."""
+    return newest_similar(results, config.supersession_similarity, id_col, "embedding", "ts", key)
 
 
 def penalise_superseded(results: DataFrame, found: DataFrame, config: Staleness = Staleness(), id_col: str = "doc_id") -> DataFrame:
@@ -48,15 +44,13 @@ def penalise_superseded(results: DataFrame, found: DataFrame, config: Staleness
 def stale_filter(results: DataFrame, embeddings: DataFrame | None = None, config: Staleness = Staleness(), key: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Time decay, then one penalty for what a newer similar result replaces, best first; nothing if staleness is off.
 
-    ``embeddings`` has id and embedding of the results, which are a limited list. With ``key``, only results that agree
-    in it are compared.
+    ``embeddings`` has id and embedding of the results. With ``key``, only results that agree in it are compared.
     """
     if not config.enabled:
         return results
     out = decay(results, config)
     if embeddings is not None:
-        bounded = out.join(embeddings, id_col)
-        found = superseded(bounded.withColumn("__all", F.lit(0)), key or "__all", config, id_col)
+        found = superseded(out.join(embeddings, id_col), key, config, id_col)
         out = penalise_superseded(out, found, config, id_col).drop("newer")
     return out.orderBy(F.desc("score"), id_col)
 

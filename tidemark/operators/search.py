@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import rrf_weight
 from ..functions.text import SEPARATORS, query_words, searchable_text, term_overlap, words
-from ..functions.vectors import cosine, dot, literal
+from ..functions.vectors import cosine, literal
+from .similarity import pairs
 
 K1, B = 1.2, 0.75
 
@@ -137,8 +138,6 @@ def federated(stores: Mapping[str, DataFrame], k: int, id_col: str) -> DataFrame
     return top(reduce(DataFrame.unionByName, (top(rows, k, id_col).withColumn("project", F.lit(name)) for name, rows in sorted(stores.items()))), k, id_col)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str, id_col: str, vector_col: str) -> DataFrame:
-    """Pairs a < b inside each ``key`` with a cosine of at least the threshold; the key bounds what is compared."""
-    a = vectors.select(F.col(key).alias("__ka"), F.col(id_col).alias("a"), F.col(vector_col).alias("__va"))
-    b = vectors.select(F.col(key).alias("__kb"), F.col(id_col).alias("b"), F.col(vector_col).alias("__vb"))
-    return a.join(b, (F.col("__ka") == F.col("__kb")) & (F.col("a") < F.col("b"))).select("a", "b", dot(F.col("__va"), F.col("__vb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+def similar_pairs(vectors: DataFrame, threshold: float, key: str | None, id_col: str, vector_col: str) -> DataFrame:
+    """Pairs a < b, inside each ``key`` if one is given, with a cosine of at least the threshold."""
+    return pairs(vectors, threshold, id_col, vector_col, key)

@@ -14,8 +14,10 @@ from ..config import Topics
 from ..functions.density import density_clusters
 from ..functions.scoring import importance
 from ..functions.text import clean_label, keyword_words, label_confidence, label_from_keywords, topic_words
-from ..functions.vectors import centroids, cosine, dot
+from ..functions.vectors import centroids, cosine
 from ..shipping import map_batches, ship
+from .rounds import cut
+from .similarity import pairs
 
 
 def term_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -106,10 +108,9 @@ def label_clusters(docs: DataFrame, key: str, labeler: TopicLabeler | None = Non
 
 
 def semantic_edges(topics: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """source, target and strength of topics with similar centroids. Topics are clusters, so they are few; the smaller side is sent around."""
-    a = topics.select(F.col("topic_id").alias("source_id"), F.col("embedding").alias("__a"))
-    b = topics.select(F.col("topic_id").alias("target_id"), F.col("embedding").alias("__b"))
-    return a.join(b, F.col("source_id") < F.col("target_id")).select("source_id", "target_id", dot(F.col("__a"), F.col("__b")).alias("strength")).filter(F.col("strength") >= threshold)
+    """source, target and strength of topics with similar centroids."""
+    found = pairs(topics, threshold, "topic_id", "embedding")
+    return found.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("strength"))
 
 
 def cooccurrence_edges(links: DataFrame, step: float = 0.1) -> DataFrame:
@@ -253,24 +254,33 @@ def resurrect(topics: DataFrame, ids: Sequence[object]) -> DataFrame:
 def merge_similar(topics: DataFrame, threshold: float = 0.8) -> DataFrame:
     """topic_id and keeper after the greedy merge: pairs in order of ids, the more important one stays, merged ones take no further part.
 
-    The fold depends on its order, so the pairs above the threshold, which a join finds, are folded in one task;
-    they are pairs of topics and not of documents.
+    Which topic of a pair would go is known beforehand, so a pair depends only on earlier ones that may take one of its
+    topics away. In each round all pairs without such an earlier one are settled at once, and later pairs of topics that
+    went are dropped; the result is that of the fold in order. Topics without importance count as least important.
     """
-    pairs = semantic_edges(topics, threshold)
-    scores = topics.select("topic_id", "importance_score")
-    rows = pairs.join(scores.select(F.col("topic_id").alias("source_id"), F.col("importance_score").alias("si")), "source_id").join(scores.select(F.col("topic_id").alias("target_id"), F.col("importance_score").alias("ti")), "target_id")
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        for a, b, sa, sb in p.sort_values(["source_id", "target_id"])[["source_id", "target_id", "si", "ti"]].itertuples(index=False):
-            if a not in gone and b not in gone:
-                keep, drop = (a, b) if sa >= sb else (b, a)
-                gone[drop] = keep
-        return pd.DataFrame({"topic_id": list(gone), "keeper": list(gone.values())}, dtype="int64")
-
-    ship(topics.sparkSession)
-    merged = rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fold, "topic_id bigint, keeper bigint")
-    return topics.select(F.col("topic_id").cast("bigint").alias("topic_id")).join(merged, "topic_id", "left").withColumn("keeper", F.coalesce("keeper", "topic_id"))
+    scores = topics.groupBy("topic_id").agg(F.coalesce(F.max("importance_score"), F.lit(float("-inf"))).alias("s"))
+    left = semantic_edges(topics, threshold).select("source_id", "target_id").distinct()
+    for end in ("source", "target"):
+        left = left.join(scores.select(F.col("topic_id").alias(f"{end}_id"), F.col("s").alias(f"{end}_score")), f"{end}_id")
+    stays = F.col("source_score") >= F.col("target_score")
+    left = cut(left.select("source_id", "target_id", F.when(stays, F.col("target_id")).otherwise(F.col("source_id")).alias("topic_id"), F.when(stays, F.col("source_id")).otherwise(F.col("target_id")).alias("keeper")))
+    settled: DataFrame | None = None
+    while not left.isEmpty():
+        turn = F.struct("source_id", "target_id")
+        first = left.groupBy("topic_id").agg(F.min(turn).alias("first"))
+        waits = left
+        for end in ("source", "target"):
+            waits = waits.join(first.select(F.col("topic_id").alias(f"{end}_id"), F.col("first").alias(f"{end}_first")), f"{end}_id", "left")
+        ready = waits.filter((F.col("source_first").isNull() | (F.col("source_first") >= turn)) & (F.col("target_first").isNull() | (F.col("target_first") >= turn)))
+        now = cut(ready.select("topic_id", "keeper", turn.alias("went")))
+        settled = now.drop("went") if settled is None else settled.unionByName(now.drop("went"))
+        for end in ("source", "target"):
+            left = left.join(now.select(F.col("topic_id").alias(f"{end}_id"), F.col("went").alias(f"{end}_went")), f"{end}_id", "left")
+        gone = [F.coalesce(F.col(f"{end}_went") <= turn, F.lit(False)) for end in ("source", "target")]
+        left = cut(left.filter(~gone[0] & ~gone[1]).drop("source_went", "target_went"))
+    ids = topics.select("topic_id")
+    out = ids.withColumn("keeper", F.col("topic_id")) if settled is None else ids.join(settled, "topic_id", "left").withColumn("keeper", F.coalesce("keeper", "topic_id"))
+    return out.select(F.col("topic_id").cast("bigint").alias("topic_id"), F.col("keeper").cast("bigint").alias("keeper"))
 
 
 def extract_topics(vectors: DataFrame, cluster: str, vector_col: str) -> DataFrame:
