@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import json
 
 import pytest
@@ -211,3 +213,19 @@ def test_job_status(spark):
     engine.jobs.start("a")
     engine.jobs.start("b")
     assert [tuple(r) for r in engine.scheduler_status().select("name", "run_count", "skipped", "is_paused").collect()] == [("a", 1, 0, False), ("b", 0, 1, True)]
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0] * 50, [float(k * k % 37) for k in range(101)], [10.0**k for k in range(-300, 300, 7)] + [float("inf"), float("-inf"), float("nan")], [1e308, -1e308, 0.0, 5e-324, 1.0, 1.0]])
+@pytest.mark.parametrize("buckets", [4, 4096])
+def test_percentiles_by_refinement_equal_sorting(spark, values, buckets):
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    order = sorted(v for v in values if v == v)
+    n = len(order)
+    assert evaluate.order_statistics(rows, "v", range, buckets) == order
+    assert evaluate.percentile_nearest(rows, "v", 90, buckets).first().value == order[math.floor(0.9 * (n - 1) + 0.5)]
+
+
+def test_percentiles_between_values(spark):
+    rows = spark.createDataFrame([(v,) for v in (1, 2, 3, 10)], "v int")
+    assert evaluate.percentiles_linear(rows, "v").first().asDict() == pytest.approx({"p50": 2.5, "p90": 7.9, "p99": 9.79})
+    assert evaluate.percentiles_linear(rows.filter("false"), "v").first().asDict() == {"p50": None, "p90": None, "p99": None}

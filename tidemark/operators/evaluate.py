@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable, Sequence
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def percentile_nearest(rows: DataFrame, value: str, p: float, buckets: int = 4096) -> DataFrame:
-    """The value at rank round(p / 100 x (n - 1)) of those that aren't null.
+def order_statistics(rows: DataFrame, value: str, ranks: Callable[[int], Sequence[int]], buckets: int = 4096) -> list[Any]:
+    """The values at ranks (from 0, given the number of values) in ascending order; nulls and NaN take no part.
 
-    Values are counted by bucket of equal width; only the bucket that the rank lies in is put in order.
+    Each round counts the values of the narrowest range known for each rank by buckets of equal width, with the least
+    and the greatest of each bucket, and goes on inside the bucket that the rank lies in, until that holds one value.
+    Nothing is sorted, and the driver gets at most ``buckets`` rows a rank and round. Ends have buckets of their
+    own, so each round narrows a range however values are spread.
     """
-    values = rows.select(F.col(value).alias("value")).filter("value IS NOT NULL")
-    ends = F.broadcast(values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")))  # one row
-    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).crossJoin(ends).withColumns({"bucket": bucket, "place": F.round(F.lit(p / 100.0) * (F.col("total") - 1))})
-    per = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("place").alias("place"))
-    upto = per.withColumn("upto", F.sum("n").over(Window.orderBy("bucket")))  # a row a bucket
-    hit = upto.filter(F.col("upto") > F.col("place")).orderBy("bucket").limit(1).select("bucket", (F.col("upto") - F.col("n")).alias("before"))
-    inside = counts.join(F.broadcast(hit), "bucket")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("value")))
-    return inside.filter(F.col("upto") > F.col("place")).agg(F.min("value").alias("value"))
-
-
-def percentiles_linear(rows: DataFrame, value: str) -> DataFrame:
-    """p50, p90 and p99 by linear interpolation."""
-    return rows.agg(*(F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 90, 99)))
+    values = rows.select(F.col(value).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    total, lo, hi = values.agg(F.count(F.lit(1)), F.min("value"), F.max("value")).first()
+    wanted = list(ranks(total)) if total else []
+    ranges = {r: (lo, hi, 0) for r in wanted}  # least, greatest, and how many values lie before
+    while open_ := {x for x in ranges.values() if x[0] != x[1]}:
+        ends = sorted(open_)
+        at = F.lit(None).cast("int")
+        inside = F.lit(None).cast("int")
+        for k, (lo, hi, _) in enumerate(ends):
+            v, a, b = (c.cast("double") / 2 for c in (F.col("value"), F.lit(lo), F.lit(hi)))
+            share = (v - a) / (b - a) * (buckets - 2)
+            middle = F.when(F.isnan(share), 1).otherwise(1 + F.least(F.floor(share), F.lit(buckets - 3))).cast("int")
+            here = F.col("value").between(F.lit(lo), F.lit(hi))
+            at = F.when(here, k).otherwise(at)
+            inside = F.when(here, F.when(F.col("value") == F.lit(lo), 0).when(F.col("value") == F.lit(hi), buckets - 1).otherwise(middle)).otherwise(inside)
+        counts = values.select("value", at.alias("at"), inside.alias("bucket")).filter("at IS NOT NULL").groupBy("at", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        found: dict[int, list] = {}
+        for r in sorted(counts.collect()):  # buckets x ranks at most
+            found.setdefault(r["at"], []).append(r)
+        for rank, (lo, hi, before) in list(ranges.items()):
+            if lo == hi:
+                continue
+            for r in found[ends.index((lo, hi, before))]:
+                if rank < before + r["n"]:
+                    ranges[rank] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+    return [ranges[r][0] for r in wanted]
+
+
+def percentile_nearest(rows: DataFrame, value: str, p: float, buckets: int = 4096) -> DataFrame:
+    """The value at rank round(p / 100 x (n - 1)), half up, of those that aren't null; null if there is none."""
+    found = order_statistics(rows, value, lambda n: [math.floor(p / 100.0 * (n - 1) + 0.5)], buckets)
+    return rows.sparkSession.createDataFrame([(found[0] if found else None,)], f"value {dict(rows.dtypes)[value]}")
+
+
+def percentiles_linear(rows: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
+    """p50, p90 and p99 by linear interpolation between the two values next to the rank; null if there is none."""
+    places: list[float] = []
+
+    def ranks(n: int) -> list[int]:
+        places.extend(p / 100 * (n - 1) for p in (50, 90, 99))
+        return [r for x in places for r in (math.floor(x), math.ceil(x))]
+
+    found = [float(x) for x in order_statistics(rows, value, ranks, buckets)]
+    between = [(found[2 * k] + (found[2 * k + 1] - found[2 * k]) * (x - math.floor(x)) if x % 1 else found[2 * k]) for k, x in enumerate(places)] or [None] * 3
+    return rows.sparkSession.createDataFrame([tuple(between)], "p50 double, p90 double, p99 double")
 
 
 def accuracy(rows: DataFrame, hit: Column) -> DataFrame:

@@ -14,7 +14,8 @@ from ..operators.indexes import WordIndex
 from ..operators.indexing import catch_up, consumed, rebuild
 from ..operators.journal import Journal
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import gate, ingest
+from ..streaming.outbox import follow, followed
 from . import jobs, router
 from .catalogue import _ASOF_MS, _EV, _FACTS, _SALIENCE, _SEGMENTS, _TOKENS, _TURNS, _VEC, AS_OF, SEARCH, _bm25_sql, _query_vector, as_of, doc_facts, doc_nodes, facts, ms, query, r6, scratch, word_index
 
@@ -340,19 +341,27 @@ def grip_extract(spark: SparkSession, sf: str) -> DataFrame:
 # Indexing.
 
 
-@query("outbox_indexing", "SELECT 'bm25' AS name, 149 AS last_sequence, 150 AS processed_count, 0 AS left_over UNION ALL SELECT 'other', 149, 50, 0")
+_HIT = f"list_has_any(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), [{', '.join(repr(w) for w in SEARCH.split())}])"
+
+
+@query(
+    "outbox_indexing",
+    f"""WITH d AS (SELECT doc_id, {_HIT} AND doc_id % 10 <> 9 AS hit FROM documents)
+    SELECT 'bm25' AS name, max(doc_id) AS last_sequence, count(*) AS processed_count, 0 AS left_over, count(*) FILTER (hit) AS n_found FROM d
+    UNION ALL SELECT 'other', max(doc_id), count(*) FILTER (doc_id > 99), 0, count(*) FILTER (hit AND doc_id > 99) FROM d""",
+)
 def outbox_indexing(spark: SparkSession, sf: str) -> DataFrame:
-    """Two word indexes, one ahead of the other, caught up over an outbox of 150 entries by batches of 60."""
+    """Two word indexes, one ahead of the other, caught up over an entry for each document in four batches; a tenth are removals."""
     docs = tables.read(spark, sf, "documents").select("doc_id", "text")
-    outbox = spark.range(150).select(F.col("id").alias("seq"), F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 9, "remove").otherwise("add").alias("action"))
+    outbox = docs.select(F.col("doc_id").alias("seq"), "doc_id", F.when(F.col("doc_id") % 10 == 9, "remove").otherwise("add").alias("action"))
     folder = scratch(spark, "outbox")
     j = Journal(spark, f"{folder}/journal")
     j.put("checkpoint-other", {"last_sequence": 99, "processed_count": 0})
     both = {"bm25": WordIndex(spark, f"{folder}/bm25", buckets=2, spread=1), "other": WordIndex(spark, f"{folder}/other", buckets=2, spread=1)}
-    catch_up(outbox, docs, both, j, batch=60)
+    catch_up(outbox, docs, both, j, batch=outbox.count() // 4 + 1)
     left = consumed(outbox, list(both), j).count()
-    rows = [(n, held["last_sequence"], held["processed_count"], left) for n in both if (held := j.get(f"checkpoint-{n}"))]
-    return spark.createDataFrame(rows, "name string, last_sequence int, processed_count int, left_over int")
+    rows = [(n, held["last_sequence"], held["processed_count"], left, x.search(SEARCH).count()) for n, x in both.items() if (held := j.get(f"checkpoint-{n}"))]
+    return spark.createDataFrame(rows, "name string, last_sequence bigint, processed_count bigint, left_over int, n_found bigint")
 
 
 _CHANGED = "ch AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' nation nation' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"
@@ -621,6 +630,42 @@ def stream_ingest_once(spark: SparkSession, sf: str) -> DataFrame:
     return _ran(spark, ingest.gated(ingest.once(ingest.valid(s.union(s))))).select("event_id", "gate")
 
 
+_GATED = f"""{_EV}, g AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+      CASE WHEN event_type = 'error' THEN 'structural' WHEN strlen(text) < 15 THEN 'short_text' WHEN embedding IS NULL THEN 'no_embedding' ELSE 'compare' END AS gate
+      FROM ev LEFT JOIN embeddings ON vec_id = event_id % 100 AND vec_id % 20 <> 7),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM g WHERE gate = 'compare'),
+    f AS (SELECT user_id, event_id, k, [e] AS held, CAST(NULL AS DOUBLE) AS similarity, false AS deduplicated FROM o WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, CASE WHEN s > 0.3 THEN held WHEN len(held) < 16 THEN list_append(held, e) ELSE list_append(held[2:], e) END, s, s > 0.3
+        FROM (SELECT o.user_id, o.event_id, o.k, o.e, f.held, list_max(list_transform(f.held, lambda h: list_inner_product(h, o.e))) AS s FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) n)"""
+
+
+@query("stream_novelty_gate", f"WITH RECURSIVE {_GATED} SELECT g.event_id, gate, round(similarity, 6) AS similarity, coalesce(deduplicated, false) AS deduplicated, 1 AS created, 2 AS arrivals FROM g LEFT JOIN f ON f.event_id = g.event_id")
+def stream_novelty_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, each arriving twice, through the gate: buffers of 16 vectors a user, with every reason to pass among them."""
+    folder = scratch(spark, "gated")
+    e = tables.events(spark, sf).withColumn("event_type", F.when(F.col("event_type") == "error", "session_end").otherwise(F.col("event_type")))
+    v = tables.read(spark, sf, "embeddings").filter("vec_id < 100 AND vec_id % 20 <> 7").select(F.col("vec_id").alias("__v"), "embedding")
+    e.join(v, F.col("event_id") % 100 == F.col("__v"), "left").select("event_id", "ts", "user_id", "event_type", "text", "embedding").write.parquet(folder)
+    s = ingest.read_stream(spark, folder, "event_id bigint, ts timestamp, user_id bigint, event_type string, text string, embedding array<float>", files_per_batch=1000)
+    with gate.keyed_state(spark):
+        out = _ran(spark, gate.ingest(s.union(s), "user_id", Dedup(threshold=0.3, min_text_bytes=15, buffer=16)))
+    decided = out.groupBy("event_id").agg(F.max("gate").alias("gate"), F.max("similarity").alias("similarity"), F.bool_or("deduplicated").alias("deduplicated"), F.count_if("created").cast("int").alias("created"), F.count(F.lit(1)).cast("int").alias("arrivals"))
+    return decided.withColumn("similarity", r6("similarity"))
+
+
+@query("outbox_stream", f"WITH ob AS (SELECT * FROM documents WHERE doc_id % 10 <> 3 OR doc_id % 20 = 3), {_bm25_sql('ob', 'doc_id', SEARCH)} SELECT doc_id, round(score, 6) AS score, (SELECT count(*) + count(*) FILTER (doc_id % 10 = 3) + count(*) FILTER (doc_id % 20 = 3) FROM documents) AS processed_count FROM bm")
+def outbox_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents added through the outbox, some removed, and some of these added again, by four batches; then a search."""
+    docs, folder = tables.read(spark, sf, "documents").select("doc_id", "text"), scratch(spark, "outbox")
+    n = F.lit(10_000_000_000)
+    steps = [("doc_id % 2 = 0", "add", 0), ("doc_id % 2 = 1", "add", 1), ("doc_id % 10 = 3", "remove", 2), ("doc_id % 20 = 3", "add", 3)]
+    for keep, action, k in steps:
+        docs.filter(keep).select((F.col("doc_id") + n * k).alias("seq"), "doc_id", F.lit(action).alias("action")).coalesce(1).write.mode("append").parquet(f"{folder}/entries")
+    index, journal = WordIndex(spark, f"{folder}/words", buckets=8), Journal(spark, f"{folder}/journal")
+    follow(ingest.read_stream(spark, f"{folder}/entries", "seq bigint, doc_id bigint, action string"), docs, {"words": index}, journal, f"{folder}/checkpoint")
+    return index.search(SEARCH).select("doc_id", r6("score").alias("score"), F.lit(followed(journal, "words")["processed_count"]).cast("bigint").alias("processed_count"))
+
+
 @query("stream_segments", f"WITH RECURSIVE {_EV}, o AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, CAST({_TOKENS} AS BIGINT) AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM ev), f AS (SELECT event_id, user_id, ms, k, tokens AS used, 0 AS segment_no FROM o WHERE k = 1 UNION ALL SELECT o.event_id, o.user_id, o.ms, o.k, CASE WHEN o.ms - f.ms > 1800000 OR f.used + o.tokens > 4000 THEN o.tokens ELSE f.used + o.tokens END, CASE WHEN o.ms - f.ms > 1800000 OR f.used + o.tokens > 4000 THEN f.segment_no + 1 ELSE f.segment_no END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, CAST(segment_no AS INT) AS segment_no FROM f")
 def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments by gap and token budget, kept as state by user."""
