@@ -121,3 +121,45 @@ def test_density_clusters_of_few_or_equal_points():
     assert density_clusters(np.zeros((2, 2)), 3).tolist() == [-1, -1]
     assert density_clusters(np.zeros((6, 2)), 3).tolist() == [-1] * 6
     assert density_clusters(np.empty((0, 2)), 3).tolist() == []
+
+
+def test_compaction_makes_cells_anew_and_tuning_finds_how_many_to_read(spark, tmp_path):
+    """Cells follow the number of vectors; the tuned number gives the recall that brute force confirms for all vectors as queries."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 12))
+    x = centres[rng.integers(0, 20, 500)] + 0.5 * rng.normal(size=(500, 12))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "v"), cells=3)
+    for part in ("vec_id < 250", "vec_id >= 250"):
+        index.add(rows.filter(part))
+        index.commit()
+    index.remove(rows.filter("vec_id >= 490"))
+    index.commit()
+    assert len(index.centroids) == 3
+    index.compact()
+    assert len(index.centroids) == 22
+    assert len(index.manifest["segments"]) == 1
+    got = index.tune(k=10, recall=0.95, queries=490)
+    assert got >= 0.95
+    again = VectorIndex(spark, str(tmp_path / "v"))
+    assert again.probes == index.probes < 22
+    u = x[:490] / np.linalg.norm(x[:490], axis=1, keepdims=True)
+    near = u @ u.T
+    np.fill_diagonal(near, -2)
+    best = np.argsort(-near, axis=1)[:, :10]
+    cell = {r.vec_id: r.bucket for r in again._buckets(None).select("vec_id", "bucket").collect()}
+    order = np.argsort(-(u @ again.centroids.T), axis=1)[:, : again.probes]
+    recall = np.mean([cell[int(b)] in order[k] for k in range(490) for b in best[k]])
+    assert recall == pytest.approx(got)
+    query = x[5].tolist()
+    assert again.search(query, 5, again.probes).first().vec_id == 5
+    again.add(rows.filter("vec_id >= 490"))
+    again.commit()
+    assert again.search(x[495].tolist(), 1).first().vec_id == 495
+
+
+def test_compacting_and_tuning_an_empty_index(spark, tmp_path):
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.compact()
+    assert index.tune() == 1.0
+    assert index.search([1.0], 3).count() == 0

@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_words, words
@@ -120,13 +120,17 @@ class _Segments:
     def _publish(self, segments: list[dict], number: int, deletes: dict, retired: Sequence[str] = ()) -> None:
         """Put the manifest; only then the folders that the one before last needed go."""
         gone, names = self.manifest["retired"], {s["name"] for s in segments}
-        manifest = {"last": number, "segments": segments, "deletes": {k: v for k, v in deletes.items() if names & set(v)}, "retired": list(retired)}
+        manifest = {"last": number, "segments": segments, "deletes": {k: v for k, v in deletes.items() if names & set(v)}, "retired": list(retired)} | self._more()
         self.version = self.journal.put("manifest", manifest, self.version + 1)
         self.manifest = manifest
         for name in gone:
             for table in ("documents", self.table):
                 self.journal.delete(f"{table}/segment={name}")
 
+    def _more(self) -> dict:
+        """What else an index keeps in the manifest."""
+        return {}
+
     def _due(self) -> list[str] | None:
         """Segments of one size class, if there are ``fanout`` of them."""
         tiers: dict[int, list[str]] = {}
@@ -326,34 +330,49 @@ class WordIndex(_Segments):
 class VectorIndex(_Segments):
     """Vectors in cells around centroids. A search reads the cells nearest to the query; with all cells it is exact.
 
-    Centroids come from spherical k-means over at most ``sample`` vectors of the first commit, chosen by hash; every
-    vector is indexed. Vectors that are null, zero or not finite are left out.
+    Centroids come from spherical k-means over at most ``sample`` vectors, chosen by hash, of the first commit and again of
+    all at each ``compact``, which makes as many cells as the root of the number of vectors, up to ``most``. So the
+    vectors that a search of some cells reads grow with that root. Every vector is indexed; those that are null, zero or
+    not finite are left out. ``tune`` measures how many cells give a wanted recall.
     """
 
     content, table = "embedding", "vectors"
 
-    def __init__(self, spark: SparkSession, folder: str, id_col: str = "vec_id", cells: int = 16, sample: int = 20_000, spread: int = 2, fanout: int = 8) -> None:
+    def __init__(self, spark: SparkSession, folder: str, id_col: str = "vec_id", cells: int = 16, sample: int = 20_000, spread: int = 2, fanout: int = 8, most: int = 4096) -> None:
+        self.cells, self.sample, self.spread, self.most = cells, sample, spread, most
         super().__init__(spark, folder, id_col, fanout)
-        self.spread = spread
-        self.cells, self.sample = cells, sample
-        held = self.journal.get("centroids")
-        self.centroids = None if held is None else np.array(held["rows"])
+
+    def reload(self) -> None:
+        super().reload()
+        #: Cells that ``tune`` found to be enough; None before.
+        self.probes: int | None = self.manifest.get("probes")
+        self.trained: str | None = self.manifest.get("centroids")
+        self.centroids = None if self.trained is None else np.array(self.journal.get(self.trained)["rows"])
+
+    def _more(self) -> dict:
+        return {"centroids": self.trained, "probes": self.probes}
+
+    def clear(self) -> None:
+        self.trained = self.centroids = self.probes = None
+        super().clear()
 
     def _nothing(self) -> dict[str, Column]:
         return {"embedding": F.lit(None).cast("array<double>")}
 
-    def _train(self, rows: DataFrame) -> np.ndarray:
+    def _train(self, rows: DataFrame, cells: int) -> None:
+        """Centroids of the rows, kept under a name that only the manifest makes valid."""
         some = rows.filter("embedding IS NOT NULL").orderBy(F.xxhash64(self.id_col)).limit(self.sample).select("embedding").collect()
         x = np.array([r[0] for r in some], dtype=np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = x[np.linspace(0, len(x) - 1, min(self.cells, len(x))).astype(int)]
+        centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
         for _ in range(8):
             near = (x @ centres.T).argmax(axis=1)
             sums = np.zeros_like(centres)
             np.add.at(sums, near, x)
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
-        return centres
+        self.centroids, self.trained, self.probes = centres, f"centroids-{uuid.uuid4().hex[:12]}", None
+        self.journal.put(self.trained, {"rows": centres.tolist()})
 
     def _write(self, name: str, pending: DataFrame) -> list[int]:
         rows = pending.withColumn("embedding", as_doubles(F.col("embedding")))
@@ -364,8 +383,11 @@ class VectorIndex(_Segments):
         if stored.isEmpty():
             return []
         if self.centroids is None:
-            self.centroids = self._train(stored)
-            self.journal.put("centroids", {"rows": self.centroids.tolist()})
+            self._train(stored, self.cells)
+        return self._place(name, stored)
+
+    def _place(self, name: str, stored: DataFrame) -> list[int]:
+        """Write a segment's vectors by cell."""
         centres, id_col = self.centroids, self.id_col
 
         def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,7 +400,65 @@ class VectorIndex(_Segments):
         return self._written_buckets(name)
 
     def _deal(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.cells * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
+        return rows.repartition(len(self.centroids) * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
+
+    def compact(self) -> None:
+        """Merge all segments into one, with centroids and cells made anew."""
+        names = [s["name"] for s in self.manifest["segments"]]
+        live = sum(s["live"] for s in self.manifest["segments"])
+        if not live:
+            return
+        number = self.manifest["last"] + 1
+        name, path = self._name(number), f"{self.folder}/documents/segment="
+        self._alive(self._documents(names)).filter(F.col(self.content).isNotNull()).drop("segment").write.mode("overwrite").parquet(path + name)
+        stored = self.spark.read.parquet(path + name)
+        before = self.trained
+        self._train(stored, min(self.most, max(self.cells, math.isqrt(live))))
+        entry = self._entry(name, self._place(name, stored))
+        try:
+            self._publish([entry], number, self.manifest["deletes"], names)
+        except Exception:
+            self.reload()  # another writer's commit stands, with its cells
+            raise
+        if before:
+            self.journal.delete(before)
+
+    def tune(self, k: int = 10, recall: float = 0.95, queries: int = 256) -> float:
+        """Keep in ``probes`` the least number of nearest cells that give the recall at k, and return the recall they give.
+
+        At most ``queries`` stored vectors, chosen by hash, are compared with all others in one pass, in which each batch
+        gives its k best; where the exact neighbours lie tells the recall of every number of cells.
+        """
+        rows = self._buckets(None)
+        if rows is None:
+            return 1.0
+        held = self._alive(rows).select(self.id_col, "embedding", "bucket")
+        asked = held.orderBy(F.xxhash64(self.id_col, F.lit(1)), self.id_col).limit(queries).collect()  # a bounded sample
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        ids, q, id_col = np.array([r[0] for r in asked]), unit(np.array([r[1] for r in asked])), self.id_col
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if b.empty:
+                    continue
+                near = unit(np.stack(b["embedding"].to_numpy())) @ q.T
+                near[b[id_col].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-near, axis=0, kind="stable")[:k]
+                asked_by = np.broadcast_to(np.arange(len(q)), top.shape).ravel()
+                yield pd.DataFrame({"q": asked_by, "score": near[top.ravel(), asked_by], "id": b[id_col].to_numpy()[top.ravel()], "bucket": b["bucket"].to_numpy()[top.ravel()]})
+
+        found = map_batches(held, best, f"q int, score double, id {dict(held.dtypes)[id_col]}, bucket int").filter("score > double('-infinity')")
+        nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+        exact = found.withColumn("nth", nth).filter(F.col("nth") <= k).select("q", "bucket").collect()  # k rows a query
+        if not exact:
+            return 1.0
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        depth = np.sort([place[r["q"], r["bucket"]] for r in exact])
+        need = depth[max(0, math.ceil(recall * len(depth)) - 1)] + 1
+        self.probes = int(need)
+        self._publish(self.manifest["segments"], self.manifest["last"], self.manifest["deletes"], ())
+        return float((depth < need).mean())
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
         """id and score of the k nearest live vectors in the ``probes`` nearest cells (all: None)."""

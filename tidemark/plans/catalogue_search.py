@@ -52,6 +52,20 @@ from .catalogue import (
 # Vector index.
 
 
+@query("vector_index_compacted", f"WITH {_VEC} SELECT vec_id, round({_COS}, 6) AS score FROM v, q WHERE vec_id % 7 <> 3 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_index_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Three commits, one of them of removals, and a compaction that makes the cells anew; a search of all cells by a new reader."""
+    e, folder = tables.read(spark, sf, "embeddings").select("vec_id", "embedding"), scratch(spark, "vectors")
+    index = VectorIndex(spark, folder, cells=2)
+    for k in range(2):
+        index.add(e.filter(F.col("vec_id") % 2 == k))
+        index.commit()
+    index.remove(e.filter("vec_id % 7 = 3"))
+    index.commit()
+    index.compact()
+    return VectorIndex(spark, folder).search(_query_vector(spark, sf), 10).withColumn("score", r6("score"))
+
+
 @query("vector_index_search", f"WITH {_VEC} SELECT vec_id, round({_COS}, 6) AS score FROM v, q WHERE vec_id % 10 <> 5 AND vec_id <> 0 ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def vector_index_search(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors in cells, some replaced, some removed, and a search of all cells by a reader that opens the index anew."""
