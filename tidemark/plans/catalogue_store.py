@@ -566,13 +566,13 @@ def composite_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stale_filter",
-    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings ORDER BY vec_id LIMIT 100), m AS (SELECT max(vec_id) AS newest FROM v),
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), m AS (SELECT max(vec_id) AS newest FROM v),
     g AS (SELECT DISTINCT a.vec_id FROM v a JOIN v b ON b.vec_id > a.vec_id AND list_inner_product(a.e, b.e) >= 0.3)
     SELECT v.vec_id AS doc_id, round((1 - 0.3 * (1 - exp(-(newest - v.vec_id) / 14.0))) * CASE WHEN g.vec_id IS NOT NULL THEN 0.85 ELSE 1 END, 6) AS score FROM v LEFT JOIN g USING (vec_id), m""",
 )
 def stale_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Decay by day, then one penalty for results that a newer similar one replaces."""
-    e = tables.read(spark, sf, "embeddings").orderBy("vec_id").limit(100).select(F.col("vec_id").alias("doc_id"), "embedding")
+    e = tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = e.select("doc_id", F.lit(1.0).alias("score"), F.timestamp_millis(F.col("doc_id") * 86_400_000).alias("ts"), F.lit("observation").alias("memory_kind"))
     found = ranking.stale_filter(rows, e, Staleness(supersession_similarity=0.3))
     return found.select("doc_id", r6("score").alias("score"))

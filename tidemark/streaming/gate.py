@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -35,8 +36,7 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 class _Gate(StatefulProcessor):
     """State of a key: the ids seen, each until the watermark has passed it by ``idle_ms``, and the last accepted vectors.
 
-    The buffer is a map from slot to vector and a count of what went in, so an event changes one slot of it and
-    not the whole. A timer clears a key that has been idle.
+    Both are lists that a trigger reads and writes once a key. A timer clears a key that has been idle.
     """
 
     def __init__(self, config: Dedup, idle_ms: int) -> None:
@@ -44,36 +44,35 @@ class _Gate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "slot int", "v array<double>")
-        self.seen = handle.getMapState("seen", "event_id string", "ms bigint")
-        self.count = handle.getValueState("count", "n bigint, last bigint")
+        self.held = handle.getListState("held", "v array<double>")
+        self.seen = handle.getListState("seen", "event_id string, ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(rows)).sort_values(["ms", "event_id"], ignore_index=True)  # what one trigger brings for a key
-        n, last = self.count.get() if self.count.exists() else (0, -1)
-        width = self.config.buffer
-        slots = {int(k[0]): np.asarray(v[0], dtype=np.float64) for k, v in self.held.iterator()} if n else {}
+        seen = {name: ms for name, ms in self.seen.get()} if self.seen.exists() else {}
+        held = deque((np.asarray(v[0], dtype=np.float64) for v in self.held.get()) if self.held.exists() else (), maxlen=self.config.buffer)
         out: list[tuple] = []
-        new: set[str] = set()
+        accepted = False
         for event, ms, gate, v in zip(given["event_id"].tolist(), given["ms"].tolist(), given["gate"].tolist(), given["v"], strict=True):
             name = str(event)
-            if name in new or self.seen.containsKey((name,)):
+            if name in seen:
                 out.append((event, False, gate, None, False))
                 continue
-            new.add(name)
-            self.seen.updateValue((name,), (ms,))
-            last = max(last, ms)
+            seen[name] = ms
             score, duplicate = None, False
             if gate == "compare":
                 x = np.asarray(v, dtype=np.float64)
-                score = max((float(h @ x) for h in slots.values()), default=None)
+                score = max((float(h @ x) for h in held), default=None)
                 duplicate = score is not None and score > self.config.threshold
                 if not duplicate:
-                    slots[n % width] = x
-                    self.held.updateValue((n % width,), (x.tolist(),))
-                    n += 1
+                    held.append(x)
+                    accepted = True
             out.append((event, True, gate, score, duplicate))
-        self.count.update((n, last))
+        last = max(seen.values())
+        oldest = timerValues.getCurrentWatermarkInMs() - self.idle_ms
+        self.seen.put([(name, ms) for name, ms in seen.items() if ms >= oldest or ms == last])
+        if accepted:
+            self.held.put([(x.tolist(),) for x in held])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(last + self.idle_ms)
@@ -83,7 +82,7 @@ class _Gate(StatefulProcessor):
         yield done
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        for state in (self.held, self.seen, self.count):
+        for state in (self.held, self.seen):
             state.clear()
         return iter(())
 
@@ -96,7 +95,7 @@ def ingest(events: DataFrame, key: str, config: Dedup = Dedup(), delay: str = "1
 
     Structural events, short ones and those without a vector pass uncompared, for the first reason that holds. The others are compared with the key's
     last ``config.buffer`` accepted vectors; one that is too similar is stored but not to be indexed, and doesn't enter the buffer.
-    An id that comes again isn't created. Events without id, time, type or key are invalid and left out. The events that a trigger
+    An id that comes again isn't created, unless the watermark has passed its event by ``idle_ms``. Events without id, time, type or key are invalid and left out. The events that a trigger
     brings for a key are taken by time and id, and are held by one task: ``maxFilesPerTrigger`` or the like bounds them. A key
     with no event for ``idle_ms`` loses its state when the watermark says so. Start the query inside :func:`keyed_state`.
     """
