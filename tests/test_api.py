@@ -39,6 +39,8 @@ def test_browsing(engine):
     month = engine.tables["nodes"].filter("level = 'month'").first().node_id
     weeks = engine.browse_toc(month, size=2).collect()
     assert len(weeks) == 2 and all(r.has_more for r in weeks)
+    behind = engine.browse_toc(month, weeks[-1].token, size=2).collect()
+    assert behind and min(r.start_time for r in behind) > max(r.start_time for r in weeks)
     assert engine.search_children(month, "the week").count() >= 1
     assert engine.search_node(month, "january").count() >= 1
     assert engine.list_agents().count() == 5

@@ -28,6 +28,27 @@ def test_page_knows_whether_more_follows(spark):
     assert store.next_token(2, 2, True) == "4"
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_pages_by_key_give_each_row_once(spark, size):
+    rows = [(None, 1), (None, 2), (0.1, 7), (0.1, 3), (0.1, 5), (1e300, 4), (float("nan"), 6)]
+    table = spark.createDataFrame(rows, "x double, id int").withColumn("ts", F.when(F.col("id") != 2, F.timestamp_micros(F.lit(1_700_000_000_000_001))))
+    seen, token, more = [], None, True
+    while more:
+        got = store.page_after(table, ["ts", "x", "id"], token, size).collect()
+        seen += [r.id for r in got]
+        token, more = got[-1].token, got[-1].has_more
+    assert seen == [2, 1, 3, 5, 7, 4, 6]
+    assert store.page_after(table, ["ts", "x", "id"], token, size).count() == 0
+    with pytest.raises(ValueError, match="3 values"):
+        store.page_after(table, ["id"], token)
+
+
+def test_a_token_reaches_the_scan(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    plan = store.page_after(rows, ["ts", "event_id"], '["2024-01-05 00:00:00", "5"]')._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts" in plan
+
+
 def test_gap_that_equals_the_limit_does_not_split(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1_800_000), (3, 3_600_001)], "event_id int, ms long").select(F.lit("k").alias("k"), "event_id", F.timestamp_millis("ms").alias("ts"), F.lit(1).cast("long").alias("tokens"))
     assert [r.segment_no for r in segments.by_gap(rows, "k").orderBy("event_id").collect()] == [0, 0, 1]

@@ -63,7 +63,8 @@ class Engine:
         return store.lookup(self._of("nodes"), "node_id", node_id)
 
     def browse_toc(self, parent: str, token: str | None = None, size: int = 20) -> DataFrame:
-        return store.page(self._of("nodes").filter(F.col("parent_id") == parent), ["start_time", "node_id"], int(token or 0), size)
+        """A page of child nodes; the ``token`` of its last row asks for the next one."""
+        return store.page_after(self._of("nodes").filter(F.col("parent_id") == parent), ["start_time", "node_id"], token, size)
 
     def search_node(self, node_id: str, query: str, fields: Sequence[str] = (), limit: int = 10) -> DataFrame:
         return toc.node_search(self.get_node(node_id), text.query_terms(query), fields).orderBy(F.desc("score")).limit(limit)

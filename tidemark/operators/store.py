@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,39 @@ def page(rows: DataFrame, order: list, offset: int = 0, size: int = 20) -> DataF
     return numbered.withColumn("has_more", more).filter(F.col("position") <= size)
 
 
+def _past(column: str, kind: str, value: str | None) -> tuple[Column, Column]:
+    """Whether a column lies behind a token's value in rising order, in which nulls come first, and whether it equals it."""
+    c = F.col(column)
+    if value is None:
+        return c.isNotNull(), c.isNull()
+    at = F.timestamp_micros(F.lit(int(value))) if kind == "timestamp" else F.lit(value).cast(kind)
+    return c > at, c == at
+
+
+def page_after(rows: DataFrame, order: Sequence[str], token: str | None = None, size: int = 20) -> DataFrame:
+    """The page behind the row that a token names, with has_more and each row's own token.
+
+    The last row's token asks for the next page. It names key values, not a count of rows, so a late page costs what the
+    first one costs: its bounds are literals that reach the scan, and rows that come or go meanwhile neither repeat
+    nor hide others. ``order`` has to be unique together, as rows equal to the token's row are behind it for good.
+    """
+    kinds = dict(rows.dtypes)
+    if token is not None:
+        values = json.loads(token)
+        if len(values) != len(order):
+            raise ValueError(f"a token of {len(values)} values for an order of {len(order)}")
+        behind, level = F.lit(False), F.lit(True)
+        for k, (c, v) in enumerate(zip(order, values, strict=True)):
+            more, same = _past(c, kinds[c], v)
+            behind, level = behind | (level & more), level & same
+            if k == 0:
+                first = more | same
+        rows = rows.filter(first & behind)  # the first column's bound alone lets row groups be skipped
+    texts = [F.unix_micros(c).cast("string") if kinds[c] == "timestamp" else F.col(c).cast("string") for c in order]
+    found = page(rows, list(order), 0, size).drop("position")
+    return found.withColumn("token", F.to_json(F.array(*texts)))
+
+
 def next_token(offset: int, size: int, has_more: bool) -> str | None:
     return str(offset + size) if has_more else None
 

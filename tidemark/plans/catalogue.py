@@ -142,6 +142,17 @@ def events_page_has_more(spark: SparkSession, sf: str) -> DataFrame:
     return store.page(tables.events(spark, sf), ["ts", "event_id"], 40, 20).select("event_id", "position", "has_more")
 
 
+@query("events_pages_by_key", "SELECT page, event_id, has_more FROM (SELECT CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 400 AS INT) AS page, event_id, (SELECT count(*) FROM events) > 400 * (1 + (row_number() OVER (ORDER BY ts, event_id) - 1) // 400) AS has_more FROM events) WHERE page < 3")
+def events_pages_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three pages of all events, each asked for by the token of the row before it."""
+    e, token, pages = tables.events(spark, sf), None, []
+    for k in range(3):
+        pages.append(store.page_after(e, ["ts", "event_id"], token, 400).select(F.lit(k).alias("page"), "event_id", "has_more", "token"))
+        last = pages[-1].agg(F.max_by("token", F.struct(F.get_json_object("token", "$[0]").cast("bigint"), "event_id"))).first()[0]  # one row
+        token = last if last is not None else token
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).drop("token")
+
+
 @query("prefix_scan", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_type, 'PROMO') OR p_name LIKE 'a%'")
 def prefix_scan(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.read(spark, sf, "part")

@@ -292,6 +292,23 @@ def rollup_days(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("node_id", "title", F.size("bullets").alias("n_bullets"))
 
 
+@query(
+    "rollup_job",
+    f"""WITH {_EV}, {_SEGMENT_NODES}, dy AS (SELECT date_trunc('day', s) AS d, count(*) AS n FROM sn WHERE s < TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT 'toc:day:' || strftime(d, '%Y-%m-%d') AS node_id, 'Summary of ' || n || ' child summaries' AS title FROM dy
+    UNION ALL SELECT 'toc:week:' || isoyear(d) || '-W' || lpad(CAST(week(d) AS VARCHAR), 2, '0'), 'Summary of ' || count(*) || ' child summaries' FROM dy GROUP BY 1""",
+)
+def rollup_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments rolled up by the day job on the 10th, again at once, and on the 20th, and their days by the week job on the 28th."""
+    folder, below = scratch(spark, "rollup"), _segment_nodes(spark, sf)
+    j = Journal(spark, f"{folder}/journal")
+    for at in ("2024-01-10 01:00:00", "2024-01-10 01:00:00", "2024-01-20 01:00:00"):
+        jobs.roll_up(below, folder, "day", F.lit(at).cast("timestamp"), j)
+    days = jobs.rolled_up(spark, folder, "day", j)
+    jobs.roll_up(days, folder, "week", F.lit("2024-01-28 02:00:00").cast("timestamp"), j)
+    return days.select("node_id", "title").unionByName(jobs.rolled_up(spark, folder, "week", j).select("node_id", "title"))
+
+
 @query(
     "summary_of_children",
     f"""WITH {_TURNS}, k AS (SELECT conv_id, turn, text, list_sort(list_distinct(string_split(lower(text), ' '))) AS w FROM tu)
@@ -477,6 +494,18 @@ def bm25_retention(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.prune_counts(doc_facts(spark, sf), as_of(), Retention.words())
 
 
+@query("prune_job", f"WITH {_FACTS} SELECT doc_id, level FROM fx WHERE text IS NOT NULL AND NOT coalesce(ms < {_ASOF_MS} - CAST(CASE level WHEN 'segment' THEN 30 WHEN 'grip' THEN 30 WHEN 'day' THEN 180 WHEN 'week' THEN 1825 END AS BIGINT) * 86400000, false)")
+def prune_job(spark: SparkSession, sf: str) -> DataFrame:
+    """What a word index of all documents still holds after its prune job has run twice, by a reader that opens it anew."""
+    facts, folder = doc_facts(spark, sf), scratch(spark, "prune")
+    index = WordIndex(spark, folder, buckets=4)
+    index.add(facts.select("doc_id", "text"))
+    index.commit()
+    for _ in range(2):
+        jobs.prune(index, facts, as_of(), Retention.words())
+    return WordIndex(spark, folder, buckets=4).live().select("doc_id").join(facts.select("doc_id", "level"), "doc_id")
+
+
 @query("compaction", "SELECT event_id, value FROM events")
 def compaction(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "compaction")
