@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tidemark import cli
 from tidemark.api import Engine
 from tidemark.functions.embedding import HashingEmbedder, embed, index_missing
 from tidemark.operators import topics
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, catalogue_search
 from tidemark.plans.jobs import Jobs
 from tidemark.sources import tables
 
@@ -89,3 +90,11 @@ def test_topic_updates(spark):
     found = {r.topic_id: r.node_count for r in topics.mention(rows, said).collect()}
     assert found == {1: 5, 2: 1}
     assert topics.resurrect(rows, [2]).filter("status = 'active'").count() == 2
+
+
+def test_ingest_query_adds_events_whose_shifted_id_is_stored(spark, tmp_path):
+    """Ids that reach past the shift, as in a table of millions of events."""
+    rows = [(i, datetime(2024, 1, 5), 1, "view", float(i % 97), "{}") for i in (1, 2, 5, 1000001, 1000003, 1000005, 2000001)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalogue_search.api_ingest(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted((i + 1000000, v) for i, _, _, _, v, _ in rows if i % 2 == 1)

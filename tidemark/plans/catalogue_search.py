@@ -370,10 +370,12 @@ def api_get_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("api_ingest", "SELECT event_id + 1000000 AS event_id, value FROM events WHERE event_id % 2 = 1")
 def api_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """What an insert adds: new ids once, stored ones not."""
+    """What an insert adds: new ids once, stored ones not. Stored events get even ids and new ones odd ids, so no new one is stored, however many there are."""
     e = tables.events(spark, sf)
-    fresh = e.filter("event_id % 2 = 1").withColumn("event_id", F.col("event_id") + 1000000)
-    return _engine(spark, sf).ingest(e.filter("event_id % 5 = 0").unionByName(fresh).unionByName(fresh)).select("event_id", "value")
+    stored = e.withColumn("event_id", 2 * F.col("event_id"))
+    fresh = e.filter("event_id % 2 = 1").withColumn("event_id", 2 * (F.col("event_id") + 1000000) + 1)
+    added = Engine(spark, {"events": stored}, as_of()).ingest(stored.filter("event_id % 10 = 0").unionByName(fresh).unionByName(fresh))
+    return added.select(F.shiftright("event_id", 1).alias("event_id"), "value")
 
 
 @query("api_teleport", f"WITH d AS (SELECT * FROM documents WHERE doc_id % 3 = 1), {_bm25_sql('d', 'doc_id', SEARCH)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
