@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from datetime import datetime
 
 import pytest
@@ -98,3 +99,13 @@ def test_ingest_query_adds_events_whose_shifted_id_is_stored(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     found = catalogue_search.api_ingest(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((i + 1000000, v) for i, _, _, _, v, _ in rows if i % 2 == 1)
+
+
+def test_texts_whose_hashed_words_cancel_have_length_1(spark):
+    place = lambda w: (zlib.crc32(w.encode()) % 64, zlib.crc32(w.encode()) >> 31)
+    names = {place(w): w for w in (f"w{k}" for k in range(2000))}
+    plus, minus = next((names[p, 1], names[p, 0]) for p in range(64) if (p, 0) in names and (p, 1) in names)
+    texts = [f"{plus} {minus}", f"{minus} {plus} {plus} {minus}", "\t\n", "\u00a0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(embed(F.col("text"), HashingEmbedder(64)).alias("e")).collect()
+    assert [round(sum(x * x for x in r.e), 9) for r in rows] == [1.0] * 4
+    assert not HashingEmbedder(64).embed(["", "  "]).any()

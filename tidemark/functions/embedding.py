@@ -28,7 +28,11 @@ class Summariser(Protocol):
 
 
 class HashingEmbedder:
-    """Words hashed to signed places: needs no model, and equal texts have equal vectors."""
+    """Words hashed to signed places: needs no model, and equal texts have equal vectors.
+
+    A text whose words cancel, or that has white space other than spaces alone, gets the place of the whole text; an
+    empty one, or one of spaces, has no direction and stays 0.
+    """
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
@@ -41,6 +45,8 @@ class HashingEmbedder:
             for word in text.lower().split():
                 h = zlib.crc32(word.encode())
                 row[h % self.dimension] += 1 if h & 0x80000000 else -1
+            if text.strip(" ") and not row.any():
+                row[zlib.crc32(text.lower().encode()) % self.dimension] = 1
         sizes = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, sizes, out=out, where=sizes > 0)
 
