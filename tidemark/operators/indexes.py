@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_words, words
 from ..functions.vectors import as_doubles
 from ..shipping import map_batches
-from . import search
+from . import packs, search
 from .journal import Journal
 from .wordquery import Boolean, Phrase, any_of, parsed, phrases
 
@@ -107,7 +107,7 @@ class _Segments:
             return old, deletes
         ids = self.spark.read.parquet(f"{self.folder}/documents/segment={entry['name']}").select(self.id_col)
         within = self._documents(near).filter(F.col(self.id_col).between(entry["low"], entry["high"]) & F.col(self.content).isNotNull())
-        dead = self._alive(within).join(ids, self.id_col, "left_semi").select(self.id_col, "segment", *self.summed)
+        dead = self._alive(within, near).join(ids, self.id_col, "left_semi").select(self.id_col, "segment", *self.summed)
         path = f"{self.folder}/deleted/segment={entry['name']}"
         dead.withColumnRenamed("segment", "dead_in").write.mode("overwrite").parquet(path)
         rows = self.spark.read.parquet(path).groupBy("dead_in").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in self.summed)).collect()  # a row a segment
@@ -142,10 +142,10 @@ class _Segments:
         """One segment of the live rows of some."""
         number = self.manifest["last"] + 1
         name = self._name(number)
-        self._alive(self._documents(names)).filter(F.col(self.content).isNotNull()).drop("segment").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
+        self._alive(self._documents(names), names).filter(F.col(self.content).isNotNull()).drop("segment").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
         rows = self._buckets(None, names)
         if rows is not None:
-            self._deal(self._alive(rows).drop("segment")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{self.table}/segment={name}")
+            self._remake(rows, names).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{self.table}/segment={name}")
         entry = self._entry(name, self._written_buckets(name))
         self._publish([*(s for s in self.manifest["segments"] if s["name"] not in names), entry], number, self.manifest["deletes"], names)
 
@@ -177,11 +177,16 @@ class _Segments:
         paths = [f"{self.folder}/documents/segment={s['name']}" for s in self.manifest["segments"] if names is None or s["name"] in names]
         return self.spark.read.option("basePath", f"{self.folder}/documents").parquet(*paths) if paths else None
 
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        """Rows (with segment) that no later commit has deleted; where nothing is deleted, there is no join."""
-        if not self.manifest["deletes"]:
+    def _deletes(self, names: Sequence[str] | None = None) -> list[str]:
+        """The delete vectors that concern some segments (all: None)."""
+        return [n for n, hit in self.manifest["deletes"].items() if names is None or set(names) & set(hit)]
+
+    def _alive(self, rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+        """Rows (with segment) of some segments that no later commit has deleted; where nothing is deleted, there is no join."""
+        hit = self._deletes(names)
+        if not hit:
             return rows
-        dead = self.spark.read.parquet(*(f"{self.folder}/deleted/segment={n}" for n in self.manifest["deletes"]))
+        dead = self.spark.read.parquet(*(f"{self.folder}/deleted/segment={n}" for n in hit))
         return rows.join(dead.select(self.id_col, F.col("dead_in").alias("segment")), [self.id_col, "segment"], "left_anti")
 
     def live(self) -> DataFrame:
@@ -207,8 +212,8 @@ class _Segments:
     def _write(self, name: str, pending: DataFrame) -> list[int]:
         raise NotImplementedError
 
-    def _deal(self, rows: DataFrame) -> DataFrame:
-        """Rows with bucket, dealt out and sorted as they are written."""
+    def _remake(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        """The live rows of some segments' buckets, as a merged segment has them."""
         raise NotImplementedError
 
     def _written_buckets(self, name: str) -> list[int]:
@@ -221,12 +226,13 @@ class _Segments:
 class WordIndex(_Segments):
     """BM25 over postings with positions, of one or several fields. A search reads the buckets of its terms only.
 
-    ``buckets`` bounds the folders; ``spread`` is the number of files of a bucket, so that the postings of a word that
-    every document has are written by several tasks. ``fields`` are the columns that are indexed; a document without
+    A task packs the words of its own texts, so nothing is shuffled, and a file holds a row for each word of a pack.
+    ``buckets`` bounds the folders; a bucket has ``spread`` files, or one for each ``share`` bytes of words where that is
+    more, so that tasks stay of one size however many texts a commit has. ``fields`` are the columns that are indexed; a document without
     any of them is not in the index.
     """
 
-    content, table = "dl", "postings"
+    content, table, share = "dl", "postings", 16 << 20
 
     def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32, spread: int = 2, fields: Sequence[str] | None = None, fanout: int = 8) -> None:
         self.fields, self.buckets, self.spread = tuple(fields or (text_col,)), buckets, spread
@@ -249,17 +255,28 @@ class WordIndex(_Segments):
         whole = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)) for n in lengths))
         sized = held.select(self.id_col, F.when(F.coalesce(*lengths).isNotNull(), whole).alias("dl"), *(F.coalesce(n, F.lit(0)).alias(c) for n, c in zip(lengths, self.summed)))
         sized.sort(self.id_col).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
-        each = [held.select(self.id_col, F.lit(k).alias("field"), F.size(w).cast("bigint").alias("dl"), F.posexplode(w).alias("at", "term")) for k, w in enumerate(split)]
-        placed = reduce(DataFrame.unionByName, each).withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread))).repartition(self.buckets * self.spread, "bucket", "part")
-        # grouped where the rows are: the keys hold those that they were dealt by
-        counts = placed.groupBy("bucket", "part", "term", self.id_col, "field", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions")).drop("part")
-        counts.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
+        self._laid(packs.of_words(self._few(held, staged), self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
         self.journal.delete(f"staged/{name}")
         return self._written_buckets(name)
 
-    def _deal(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread))).sortWithinPartitions("bucket", "term")
+    def _few(self, rows: DataFrame, *folders: str) -> DataFrame:
+        """Rows of folders in as many tasks as their bytes ask for."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+        size = sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+        return rows.coalesce(max(self.spread, -(-size // self.share)))
+
+    @staticmethod
+    def _laid(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions("bucket", "term")
+
+    def _remake(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Packs go over as they are; where documents of these segments are deleted, their postings are taken out and the others packed again."""
+        few = self._few(rows, *(f"{self.folder}/postings/segment={n}" for n in names if any(s["name"] == n and s["buckets"] for s in self.manifest["segments"])))
+        if not self._deletes(names):
+            return self._laid(few.drop("segment"))
+        single = self._alive(packs.postings(few, self.id_col, "segment"), names)
+        return self._laid(packs.of_postings(single, self.id_col))
 
     def _query(self, query: str | Sequence[str] | Phrase | Boolean) -> Phrase | Boolean:
         if isinstance(query, str):
@@ -288,7 +305,7 @@ class WordIndex(_Segments):
         spots = {(p, k): None for p in leaves for k in range(len(self.fields)) if p.field is None or at[p.field] == k}
         single = {(w, k): f"__{n}" for n, (w, k) in enumerate(dict.fromkeys((w, k) for p, k in spots for w in p.words))}
         placed = {(w, k) for p, k in spots if len(p.words) > 1 for w in p.words}
-        hits = self._alive(rows.filter(F.col("term").isin(*terms)).select("term", self.id_col, "field", "dl", "positions", "segment"))
+        hits = self._alive(packs.postings(rows.filter(F.col("term").isin(*terms)), self.id_col, "segment"))
 
         def here(w: str, k: int) -> Column:
             return (F.col("term") == w) & (F.col("field") == k)
@@ -399,7 +416,11 @@ class VectorIndex(_Segments):
         self._deal(stored.join(placed, id_col)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/vectors/segment={name}")
         return self._written_buckets(name)
 
+    def _remake(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        return self._deal(self._alive(rows, names).drop("segment"))
+
     def _deal(self, rows: DataFrame) -> DataFrame:
+        """Rows with bucket, dealt out as they are written."""
         return rows.repartition(len(self.centroids) * self.spread, "bucket", F.pmod(F.xxhash64(self.id_col), F.lit(self.spread)))
 
     def compact(self) -> None:
