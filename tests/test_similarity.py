@@ -54,6 +54,42 @@ def test_newest_similar_equals_the_definition(spark):
     assert len(found) == len(wanted)
 
 
+@pytest.mark.parametrize(("threshold", "keyed"), [(0.3, True), (0.9, True), (0.9, False), (0.9999, False)])
+def test_newest_similar_beyond_the_newest_rows(spark, monkeypatch, threshold, keyed):
+    """Most rows, some and few find theirs among the last ones of their key; the others meet the rest."""
+    monkeypatch.setattr(similarity, "NEWEST", 10)
+    rows = _vectors(300, 0.15, 5)
+    wanted = {}
+    for (a, b), _ in _brute(rows, threshold, keyed).items():
+        for x, y in ((a, b), (b, a)):
+            if rows[y][2] > rows[x][2]:
+                wanted[x] = max(wanted.get(x, (-1, -1)), (rows[y][2], y))
+    found = similarity.newest_similar(spark.createDataFrame(rows, KINDS), threshold, "id", "v", "ts", "k" if keyed else None, block=16).collect()
+    assert {r.id: r.newer for r in found} == {x: y for x, (_, y) in wanted.items()}
+
+
+def test_even_vectors_visit_no_cells(spark):
+    """Where a threshold leaves most cells in reach, rows are not copied into them."""
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    rows = spark.createDataFrame([(0, k, k, v.tolist()) for k, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "k int, id int, o int, v array<double>")
+    assert similarity._celled(rows, 0.3, 4).count() == 600
+
+
+def test_steps_of_blocks_find_what_one_product_finds(spark, monkeypatch):
+    """Blocks of several steps, alone and with others."""
+    import pandas as pd
+
+    monkeypatch.setattr(similarity, "STEP", 7)
+    v = [np.array(x) for x in np.random.default_rng(7).normal(size=(40, 4))]
+    p = pd.DataFrame({"id": range(40), "v": v})
+    pairs = lambda a, b, s, alone: pd.DataFrame([(i, j) for x, i in enumerate(a["id"]) for y, j in enumerate(b["id"]) if s[x, y] >= 0 and (x < y or not alone)], columns=["a", "b"])
+    whole = np.stack(v) @ np.stack(v).T >= 0
+    alone = similarity._by_steps(pairs, p, p, True)
+    assert sorted(zip(alone.a, alone.b)) == [(i, j) for i in range(40) for j in range(i + 1, 40) if whole[i, j]]
+    two = similarity._by_steps(pairs, p[:25], p[25:], False)
+    assert sorted(zip(two.a, two.b)) == [(i, j) for i in range(25) for j in range(25, 40) if whole[i, j]]
+
+
 def test_most_similar_earlier_equals_the_definition(spark):
     rows = _vectors(200, 0.3, 4)
     wanted = {}
