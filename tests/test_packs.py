@@ -4,6 +4,8 @@ import pyarrow as pa
 
 from tidemark.operators import packs, search
 from tidemark.operators.indexes import WordIndex
+from tidemark.operators.indexing import catch_up
+from tidemark.operators.journal import Journal
 
 TEXTS = [(k, None if k % 11 == 5 else " ".join(f"w{(k * j) % 13}" for j in range(k % 9)), f"t{k % 3} w1") for k in range(60)]
 
@@ -45,3 +47,13 @@ def test_tasks_of_a_commit_grow_with_its_words(spark, tmp_path, monkeypatch):
     index.compact()
     now = docs.filter("doc_id % 7 <> 3 AND doc_id % 5 <> 1").union(docs.filter("doc_id % 5 = 1").selectExpr("doc_id", "'w1 w2'")).filter("text IS NOT NULL")
     assert index.search("w1 w3").orderBy("doc_id").collect() == search.bm25(now, "w1 w3").orderBy("doc_id").collect()
+
+
+def test_a_batch_of_the_outbox_takes_all_entries_of_its_last_number(spark, tmp_path):
+    """None is left behind the checkpoint for good, whatever the batch."""
+    docs = spark.createDataFrame([(k, "w1") for k in range(6)], "doc_id long, text string")
+    outbox = spark.createDataFrame([(1, 0, "add"), (2, 1, "add"), (2, 2, "add"), (2, 3, "add"), (3, 4, "add"), (4, 4, "remove")], "seq long, doc_id long, action string")
+    index, journal = WordIndex(spark, str(tmp_path / "w"), buckets=1, spread=1), Journal(spark, str(tmp_path / "j"))
+    catch_up(outbox, docs, {"w": index}, journal, batch=2)
+    assert sorted(r.doc_id for r in index.search("w1").collect()) == [0, 1, 2, 3]
+    assert journal.get("checkpoint-w") == {"last_sequence": 4, "processed_count": 6}

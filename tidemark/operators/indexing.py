@@ -22,20 +22,22 @@ def consume(outbox: DataFrame, documents: DataFrame, indexes: Mapping[str, Updat
     """
     held = {name: journal.get(f"checkpoint-{name}") or {"last_sequence": -1, "processed_count": 0} for name in indexes}
     start = min(c["last_sequence"] for c in held.values())
-    window = outbox.filter(F.col("seq") > start).orderBy("seq").limit(batch)
-    top, n = window.agg(F.max("seq"), F.count(F.lit(1))).first()
-    if not n:
+    ahead = outbox.filter(F.col("seq") > start).orderBy("seq").limit(batch).agg(F.max("seq")).first()[0]
+    if ahead is None:
         return 0
+    window = outbox.filter((F.col("seq") > start) & (F.col("seq") <= ahead)).select("seq", id_col, "action").persist()  # a range, which every task reads for itself
+    top, n = ahead, window.count()
     for name, index in indexes.items():
         mine = window.filter((F.col("seq") > held[name]["last_sequence"]) & (F.col("seq") <= top))
         last = mine.groupBy(id_col).agg(F.max_by("action", "seq").alias("action"))  # the last action of an id counts
         taken = mine.count()
         if not taken:
             continue
-        index.add(documents.join(F.broadcast(last.filter("action = 'add'").select(id_col)), id_col, "left_semi"))  # a batch is bounded
+        index.add(documents.join(last.filter("action = 'add'").select(id_col), id_col, "left_semi"))
         index.remove(last.filter("action = 'remove'").select(id_col))
         index.commit()
         journal.put(f"checkpoint-{name}", {"last_sequence": top, "processed_count": held[name]["processed_count"] + taken})
+    window.unpersist()
     return n
 
 
