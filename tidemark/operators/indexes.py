@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_words, words
+from ..functions.text import between_ends, query_words, split_words
 from ..functions.vectors import as_doubles
 from ..shipping import map_batches
 from . import packs, search
@@ -46,8 +46,8 @@ class _Segments:
     the merge, when searches begun before it are over.
     """
 
-    #: Column that tells a row with content from a removal, columns whose sums a segment keeps, and the table in buckets.
-    content, summed, table = "", (), ""
+    #: Column that tells a row with content from a removal, columns whose sums a segment keeps, columns that tell where a row lies in the table in buckets, and that table.
+    content, summed, placed, table = "", (), (), ""
 
     def __init__(self, spark: SparkSession, folder: str, id_col: str, fanout: int = 8) -> None:
         self.spark, self.folder, self.id_col, self.fanout = spark, folder, id_col, fanout
@@ -107,7 +107,7 @@ class _Segments:
             return old, deletes
         ids = self.spark.read.parquet(f"{self.folder}/documents/segment={entry['name']}").select(self.id_col)
         within = self._documents(near).filter(F.col(self.id_col).between(entry["low"], entry["high"]) & F.col(self.content).isNotNull())
-        dead = self._alive(within, near).join(ids, self.id_col, "left_semi").select(self.id_col, "segment", *self.summed)
+        dead = self._alive(within, near).join(ids, self.id_col, "left_semi").select(self.id_col, "segment", *self.placed, *self.summed)
         path = f"{self.folder}/deleted/segment={entry['name']}"
         dead.withColumnRenamed("segment", "dead_in").write.mode("overwrite").parquet(path)
         rows = self.spark.read.parquet(path).groupBy("dead_in").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in self.summed)).collect()  # a row a segment
@@ -220,19 +220,20 @@ class _Segments:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.table}/segment={name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+        found = (int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+        return sorted(b for b in found if b != packs.DOCUMENTS)
 
 
 class WordIndex(_Segments):
     """BM25 over postings with positions, of one or several fields. A search reads the buckets of its terms only.
 
-    A task packs the words of its own texts, so nothing is shuffled, and a file holds a row for each word of a pack.
-    ``buckets`` bounds the folders; a bucket has ``spread`` files, or one for each ``share`` bytes of words where that is
-    more, so that tasks stay of one size however many texts a commit has. ``fields`` are the columns that are indexed; a document without
+    A task splits and packs the words of its own texts in one pass, so nothing is shuffled or written twice, and a file holds a row
+    for each word of a pack. A commit has as many tasks as its rows have; ``buckets`` bounds the folders. A merge has ``spread``
+    tasks, or one for each ``share`` bytes where that is more. ``fields`` are the columns that are indexed; a document without
     any of them is not in the index.
     """
 
-    content, table, share = "dl", "postings", 16 << 20
+    content, placed, table, share = "dl", ("pack",), "postings", 16 << 20
 
     def __init__(self, spark: SparkSession, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32, spread: int = 2, fields: Sequence[str] | None = None, fanout: int = 8) -> None:
         self.fields, self.buckets, self.spread = tuple(fields or (text_col,)), buckets, spread
@@ -246,17 +247,21 @@ class WordIndex(_Segments):
         return {f: F.lit(None).cast("string") for f in self.fields}
 
     def _write(self, name: str, pending: DataFrame) -> list[int]:
-        """Texts are split once; documents and postings are written from the words."""
-        staged = f"{self.folder}/staged/{name}"
-        split = {f"w{k}": F.when(F.col(f).isNotNull(), words(F.col(f))) for k, f in enumerate(self.fields)}
-        pending.select(self.id_col, *(c.alias(w) for w, c in split.items())).write.mode("overwrite").parquet(staged)
-        held = self.spark.read.parquet(staged)
-        lengths = [F.when(F.col(w).isNotNull(), F.size(w).cast("bigint")) for w in split]
+        """Texts are split once, into packs and rows of documents; the table of documents is made of the latter."""
+        path, id_type = f"{self.folder}/postings/segment={name}", dict(pending.dtypes)[self.id_col]
+        split = [split_words(F.col(f)).alias(f"w{k}") for k, f in enumerate(self.fields)]
+        rows = pending.select(self.id_col, *split).select(self.id_col, *(between_ends(F.col(f"w{k}")).alias(f"w{k}") for k in range(len(split))))
+        self._laid(packs.of_words(rows, self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        told = f"{path}/bucket={packs.DOCUMENTS}"
+        if self.journal.exists(f"postings/segment={name}/bucket={packs.DOCUMENTS}"):
+            held = self.spark.read.schema(packs.kinds(id_type)).parquet(told)
+        else:
+            held = self.spark.createDataFrame([], packs.kinds(id_type))
+        lengths = [F.col(f"w{k}") for k in range(len(split))]
         whole = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)) for n in lengths))
-        sized = held.select(self.id_col, F.when(F.coalesce(*lengths).isNotNull(), whole).alias("dl"), *(F.coalesce(n, F.lit(0)).alias(c) for n, c in zip(lengths, self.summed)))
+        sized = packs.documents(held, self.id_col, len(split)).select(self.id_col, "pack", F.when(F.coalesce(*lengths).isNotNull(), whole).alias("dl"), *(F.coalesce(n, F.lit(0)).alias(c) for n, c in zip(lengths, self.summed)))
         sized.sort(self.id_col).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={name}")
-        self._laid(packs.of_words(self._few(held, staged), self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
-        self.journal.delete(f"staged/{name}")
+        self.journal.delete(f"postings/segment={name}/bucket={packs.DOCUMENTS}")
         return self._written_buckets(name)
 
     def _few(self, rows: DataFrame, *folders: str) -> DataFrame:
@@ -271,12 +276,13 @@ class WordIndex(_Segments):
         return rows.sortWithinPartitions("bucket", "term")
 
     def _remake(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Packs go over as they are; where documents of these segments are deleted, their postings are taken out and the others packed again."""
-        few = self._few(rows, *(f"{self.folder}/postings/segment={n}" for n in names if any(s["name"] == n and s["buckets"] for s in self.manifest["segments"])))
-        if not self._deletes(names):
-            return self._laid(few.drop("segment"))
-        single = self._alive(packs.postings(few, self.id_col, "segment"), names)
-        return self._laid(packs.of_postings(single, self.id_col))
+        """Packs go over as they are; where documents of these segments are deleted, their postings are taken out of them."""
+        hit = self._deletes(names)
+        if not hit:
+            paths = [f"{self.folder}/postings/segment={n}" for n in names if any(s["name"] == n and s["buckets"] for s in self.manifest["segments"])]
+            return self._laid(self._few(rows.drop("segment"), *paths))
+        dead = self.spark.read.parquet(*(f"{self.folder}/deleted/segment={n}" for n in hit)).filter(F.col("dead_in").isin(*names))
+        return self._laid(packs.without(rows, dead, self.id_col))
 
     def _query(self, query: str | Sequence[str] | Phrase | Boolean) -> Phrase | Boolean:
         if isinstance(query, str):

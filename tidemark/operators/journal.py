@@ -67,6 +67,10 @@ class Journal:
         out.close()
         return mine
 
+    def exists(self, name: str) -> bool:
+        path = self._path(name)
+        return self._store(path).exists(path)
+
     def delete(self, name: str) -> None:
         path = self._path(name)
         self._store(path).delete(path, True)

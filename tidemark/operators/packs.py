@@ -1,7 +1,12 @@
-"""Postings in packs: a row for each word of many documents, made inside tasks, so that no word of a text is shuffled."""
+"""Postings in packs: a row for each word of many documents, made inside tasks, so that no word of a text is shuffled.
+
+A pack has a number of its own. Fields, lengths and positions of a row travel as bytes of numbers of variable length, which
+Spark moves without looking into them; the documents of a pack are one more row, in the bucket :data:`DOCUMENTS`.
+"""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,10 +24,112 @@ PACK = 1_000_000
 BATCH = 16 << 20
 #: Columns of a posting, each an array in a pack.
 ARRAYS = ("ids", "fields", "dls", "positions")
+#: The bucket that the rows of documents come in.
+DOCUMENTS = -1
+
+
+def kinds(id_type: str) -> str:
+    """Columns of packs in Spark."""
+    return f"pack bigint, bucket int, term string, ids array<{id_type}>, coded binary"
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 as bytes of seven bits each, lowest first, all but a number's last with the high bit; and where each begins, and the end."""
+    size, over = np.ones(len(values), dtype=np.int64), values >> 7
+    while over.any():
+        size += over > 0
+        over = over >> 7
+    begins = np.append(0, np.cumsum(size))
+    out = np.empty(begins[-1], dtype=np.uint8)
+    left, at, more = values, begins[:-1], size
+    while len(left):
+        out[at] = (left & 127) | np.where(more > 1, 128, 0)
+        some = more > 1
+        left, at, more = left[some] >> 7, at[some] + 1, more[some] - 1
+    return out, begins
+
+
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of :func:`_varints`, and where each begins."""
+    ends = np.flatnonzero(data < 128)
+    begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    values = (data[begins] & 127).astype(np.int64)
+    some, k = np.flatnonzero(ends > begins), 1
+    while len(some):
+        values[some] |= (data[begins[some] + k] & 127).astype(np.int64) << (7 * k)
+        k += 1
+        some = some[ends[some] >= begins[some] + k]
+    return values, begins
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes, cut at ``ends`` (the first one is 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, and where each row begins, and the end."""
+    ends = np.frombuffer(coded.buffers()[1], dtype=np.int32)[coded.offset : coded.offset + len(coded) + 1]
+    held = coded.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8)[ends[0] : ends[-1]] if held is not None else np.empty(0, dtype=np.uint8)
+    return data, (ends - ends[0]).astype(np.int64)
+
+
+def _places(n: np.ndarray, tf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the fields of each posting and each position stand among numbers: a row of n postings has n fields, n lengths, n frequencies and then all positions."""
+    first, count = np.cumsum(n) - n, np.append(0, np.cumsum(tf))
+    head = np.repeat(begin - first, n) + np.arange(n.sum())
+    base = np.repeat(begin + 3 * n - count[first], n) + count[:-1]
+    return head, np.repeat(base - count[:-1], tf) + np.arange(count[-1])
+
 
+def _coded(pack: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """A pack as it travels, with its number."""
+    ids, positions = pack.column(2), pack.column(5).flatten()
+    n = np.asarray(pc.list_value_length(ids), dtype=np.int64)
+    tf = np.asarray(pc.list_value_length(positions), dtype=np.int64)
+    at = np.asarray(positions.flatten(), dtype=np.int64)
+    count = np.append(0, np.cumsum(tf))
+    many = np.append(0, np.cumsum(3 * n + np.diff(count[np.append(0, np.cumsum(n))])))  # numbers of rows
+    head, place = _places(n, tf, many[:-1])
+    gaps = np.diff(at, prepend=0)
+    gaps[count[:-1]] = at[count[:-1]]
+    values, wide = np.empty(many[-1], dtype=np.int64), np.repeat(n, n)
+    values[head], values[head + wide], values[head + 2 * wide], values[place] = pack.column(3).flatten(), pack.column(4).flatten(), tf, gaps
+    data, begins = _varints(values)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, dtype=np.int64)), pack.column(0), pack.column(1), ids, _binary(data, begins[many])], names=["pack", "bucket", "term", "ids", "coded"])
 
-def _kinds(id_type: str) -> str:
-    return f"bucket int, term string, ids array<{id_type}>, fields array<int>, dls array<bigint>, positions array<array<int>>"
+
+def _plain(bucket: pa.Array, term: pa.Array, ids: pa.Array, coded: pa.Array) -> pa.RecordBatch:
+    """The pack (bucket, term, ids, fields, dls, positions) that :func:`_coded` was made of."""
+    n = np.asarray(pc.list_value_length(ids), dtype=np.int64)
+    data, rows = _bytes(coded)
+    values, begins = _numbers(data)
+    begin, wide, first = np.searchsorted(begins, rows[:-1]), np.repeat(n, n), np.append(0, np.cumsum(n))
+    tf = values[np.repeat(begin - first[:-1], n) + np.arange(n.sum()) + 2 * wide]
+    head, place = _places(n, tf, begin)
+    count = np.append(0, np.cumsum(tf))
+    upto = np.append(0, np.cumsum(values[place]))
+    at = upto[1:] - np.repeat(upto[count[:-1]], tf)
+    columns = [ids.flatten(), pa.array(values[head], pa.int32()), pa.array(values[head + wide], pa.int64()), _lists(count, pa.array(at, pa.int32()))]
+    return _packed(bucket, term, first[:-1], columns)
+
+
+def _without(pack: pa.RecordBatch, gone: pa.Array) -> pa.RecordBatch:
+    """A pack without the postings of some documents, and without words that are left with none."""
+    columns = [pack.column(k).flatten() for k in range(2, 6)]
+    kept = ~np.asarray(pc.is_in(columns[0], value_set=gone.cast(columns[0].type)))
+    row = np.repeat(np.arange(len(pack)), np.asarray(pc.list_value_length(pack.column(2)), dtype=np.int64))[kept]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, dtype=np.int64)
+    at, which = pa.array(row[first]), pa.array(np.flatnonzero(kept))
+    return _packed(pack.column(0).take(at), pack.column(1).take(at), first, [c.take(which) for c in columns])
+
+
+def _documents(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """One row of the documents of a pack, whose numbers are the words of each field and 1, or 0 where a field is null."""
+    sizes = [np.asarray(pc.fill_null(pc.add(pc.list_value_length(rows.column(k)), 1), 0), dtype=np.int64) for k in range(1, rows.num_columns)]
+    data, _ = _varints(np.stack(sizes, axis=1).ravel())
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([DOCUMENTS], pa.int32()), pa.array([None], pa.string()), _lists(np.array([0, len(rows)]), rows.column(0)), pa.array([data.tobytes()], pa.binary())], names=["pack", "bucket", "term", "ids", "coded"])
 
 
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -74,13 +181,13 @@ def _of_postings(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.RecordBatch]:
-    """The rows again, in pieces of about :data:`PACK` words or postings, but whole rows."""
+    """The rows again, in pieces of about :data:`PACK` words or postings, but whole rows; a row without words counts as one."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
         size = np.ones(len(b), dtype=np.int64)
         if words:
-            size = sum(np.asarray(pc.fill_null(pc.list_value_length(b.column(k)), 0), dtype=np.int64) for k in range(1, b.num_columns))
+            size = np.maximum(sum(np.asarray(pc.fill_null(pc.list_value_length(b.column(k)), 0), dtype=np.int64) for k in range(1, b.num_columns)), 1)
         ends, start = np.cumsum(size), 0
         while start < len(b):
             before = ends[start - 1] if start else 0
@@ -89,9 +196,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
             n += int(ends[stop - 1] - before)
             start = stop
             if start < len(b) or n >= PACK:
-                yield from _whole(held) if n else ()
+                yield from _whole(held)
                 held, n = [], 0
-    if n:
+    if held:
         yield from _whole(held)
 
 
@@ -107,29 +214,67 @@ def _begin(rows: DataFrame) -> None:
 
 
 def of_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packs (bucket, term, ids, fields, dls, positions) of rows of an id and an array of words for each field."""
+    """Packs (see :func:`kinds`) of rows of an id and an array of words for each field, and their documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, True):
-            yield _of_words(piece, buckets)
+            number = uuid.uuid4().int >> 65
+            yield _documents(piece, number)
+            if any(pc.any(pc.greater(pc.list_value_length(piece.column(k)), 0)).as_py() for k in range(1, piece.num_columns)):
+                yield _coded(_of_words(piece, buckets), number)
 
     _begin(rows)
-    return rows.mapInArrow(pack, _kinds(rows.dtypes[0][1]))
+    return rows.mapInArrow(pack, kinds(rows.dtypes[0][1]))
+
+
+def documents(packs: DataFrame, id_col: str, fields: int) -> DataFrame:
+    """id, pack, and the words of each field (w0, w1, ...; null where it is null) of each document, from rows of documents."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            n = np.asarray(pc.list_value_length(b.column(1)), dtype=np.int64)
+            values = _numbers(_bytes(b.column(2))[0])[0].reshape(-1, fields)
+            sizes = [pa.array(values[:, k] - 1, pa.int64(), mask=values[:, k] == 0) for k in range(fields)]
+            yield pa.RecordBatch.from_arrays([b.column(1).flatten(), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), n))), *sizes], names=names)
+
+    _begin(packs)
+    names = [id_col, "pack", *(f"w{k}" for k in range(fields))]
+    kind = dict(packs.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    return packs.select("pack", "ids", "coded").mapInArrow(unpack, f"{id_col} {kind}, pack bigint, {', '.join(f'w{k} bigint' for k in range(fields))}")
 
 
 def postings(packs: DataFrame, id_col: str, *more: str) -> DataFrame:
     """A row for each posting: ``more``, bucket, term, id, field, dl and positions."""
-    each = F.explode(F.arrays_zip(*ARRAYS)).alias("p")
-    named = (F.col(f"p.{c}").alias(name) for c, name in zip(ARRAYS, (id_col, "field", "dl", "positions"), strict=True))
-    return packs.select(*more, "bucket", "term", each).select(*more, "bucket", "term", *named)
+    names = [*more, "bucket", "term", id_col, "field", "dl", "positions"]
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                plain = _plain(*b.columns[len(more) :])
+                of = pa.array(np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(plain.column(2)), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in range(len(more) + 2)), *(plain.column(k).flatten() for k in range(2, 6))], names=names)
 
-def of_postings(rows: DataFrame, id_col: str) -> DataFrame:
-    """Packs of single postings, as far as they lie in one task."""
+    _begin(packs)
+    types = dict(packs.dtypes)
+    kind = types["ids"].removeprefix("array<").removesuffix(">")
+    made = {c: types[c] for c in (*more, "bucket", "term")} | {id_col: kind, "field": "int", "dl": "bigint", "positions": "array<int>"}
+    return packs.select(*more, "bucket", "term", "ids", "coded").mapInArrow(unpack, ", ".join(f"{c} {t}" for c, t in made.items()))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, False):
-            yield _of_postings(piece)
 
-    _begin(rows)
-    return rows.select("bucket", "term", id_col, "field", "dl", "positions").mapInArrow(pack, _kinds(dict(rows.dtypes)[id_col]))
+def without(packs: DataFrame, dead: DataFrame, id_col: str) -> DataFrame:
+    """Packs without the postings of dead documents (id and pack). Packs meet their dead whole and in bytes, so no posting travels alone."""
+    id_type = dict(dead.dtypes)[id_col]
+
+    def keep(pack: pa.Table, gone: pa.Table) -> pa.Table:
+        one = pack.combine_chunks()
+        if len(gone) == 0 or len(one) == 0:
+            return one
+        b = one.to_batches()[0]
+        left = _without(_plain(*b.columns[1:]), gone.combine_chunks().column(1).combine_chunks())
+        return pa.Table.from_batches([_coded(left, b.column(0)[0].as_py())]) if len(left) else one.slice(0, 0)
+
+    _begin(packs)
+    held = packs.select("pack", "bucket", "term", "ids", "coded").groupBy("pack")
+    return held.cogroup(dead.select("pack", id_col).groupBy("pack")).applyInArrow(keep, kinds(id_type))
