@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import between_ends, query_words, split_words
+from ..functions.text import query_words, spaced_words
 from ..functions.vectors import as_doubles
 from ..shipping import map_batches
 from . import packs, search
@@ -249,8 +249,8 @@ class WordIndex(_Segments):
     def _write(self, name: str, pending: DataFrame) -> list[int]:
         """Texts are split once, into packs and rows of documents; the table of documents is made of the latter."""
         path, id_type = f"{self.folder}/postings/segment={name}", dict(pending.dtypes)[self.id_col]
-        split = [split_words(F.col(f)).alias(f"w{k}") for k, f in enumerate(self.fields)]
-        rows = pending.select(self.id_col, *split).select(self.id_col, *(between_ends(F.col(f"w{k}")).alias(f"w{k}") for k in range(len(split))))
+        split = [spaced_words(F.col(f)).alias(f"w{k}") for k, f in enumerate(self.fields)]
+        rows = pending.select(self.id_col, *split)
         self._laid(packs.of_words(rows, self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
         told = f"{path}/bucket={packs.DOCUMENTS}"
         if self.journal.exists(f"postings/segment={name}/bucket={packs.DOCUMENTS}"):

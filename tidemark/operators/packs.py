@@ -35,17 +35,22 @@ def kinds(id_type: str) -> str:
 
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 0 as bytes of seven bits each, lowest first, all but a number's last with the high bit; and where each begins, and the end."""
-    size, over = np.ones(len(values), dtype=np.int64), values >> 7
-    while over.any():
-        size += over > 0
-        over = over >> 7
+    size, more = np.ones(len(values), dtype=np.int64), np.flatnonzero(values > 127)
+    over = values[more] >> 7
+    while len(more):
+        size[more] += 1
+        more, over = more[over > 127], over[over > 127] >> 7
     begins = np.append(0, np.cumsum(size))
     out = np.empty(begins[-1], dtype=np.uint8)
-    left, at, more = values, begins[:-1], size
+    out[begins[:-1]] = values & 127
+    more = np.flatnonzero(size > 1)
+    left, at, size = values[more] >> 7, begins[more], size[more]
     while len(left):
-        out[at] = (left & 127) | np.where(more > 1, 128, 0)
-        some = more > 1
-        left, at, more = left[some] >> 7, at[some] + 1, more[some] - 1
+        out[at] |= 128
+        at = at + 1
+        out[at] = left & 127
+        some = size > 2
+        left, at, size = left[some] >> 7, at[some], size[some] - 1
     return out, begins
 
 
@@ -105,7 +110,7 @@ def _plain(bucket: pa.Array, term: pa.Array, ids: pa.Array, coded: pa.Array) ->
     n = np.asarray(pc.list_value_length(ids), dtype=np.int64)
     data, rows = _bytes(coded)
     values, begins = _numbers(data)
-    begin, wide, first = np.searchsorted(begins, rows[:-1]), np.repeat(n, n), np.append(0, np.cumsum(n))
+    begin, wide, first = np.append(0, np.cumsum(data < 128))[rows[:-1]], np.repeat(n, n), np.append(0, np.cumsum(n))
     tf = values[np.repeat(begin - first[:-1], n) + np.arange(n.sum()) + 2 * wide]
     head, place = _places(n, tf, begin)
     count = np.append(0, np.cumsum(tf))
@@ -115,14 +120,45 @@ def _plain(bucket: pa.Array, term: pa.Array, ids: pa.Array, coded: pa.Array) ->
     return _packed(bucket, term, first[:-1], columns)
 
 
+def _left(pack: pa.RecordBatch, gone: pa.Array) -> pa.RecordBatch:
+    """A pack as it travels without the postings of some documents, and without words that are left with none.
+
+    A posting's numbers don't depend on those of others, so the bytes of the rest stay as they are and only frequencies are read.
+    """
+    ids, (data, rows) = pack.column(3), _bytes(pack.column(4))
+    n, held = np.asarray(pc.list_value_length(ids), dtype=np.int64), ids.flatten()
+    kept = ~np.asarray(pc.is_in(held, value_set=gone.cast(held.type)))
+    if kept.all():
+        return pack
+    last = data < 128
+    ends = np.flatnonzero(last)
+    begins = np.append(0, ends + 1)
+    begin, first = np.append(0, np.cumsum(last))[rows[:-1]], np.append(0, np.cumsum(n))
+    head, wide = np.repeat(begin - first[:-1], n) + np.arange(first[-1]), np.repeat(n, n)
+    which = head + 2 * wide
+    tf, some, k = (data[begins[which]] & 127).astype(np.int64), np.flatnonzero(begins[which] < ends[which]), 1
+    while len(some):
+        at = begins[which[some]] + k
+        tf[some] |= (data[at] & 127).astype(np.int64) << (7 * k)
+        some, k = some[at < ends[which[some]]], k + 1
+    numbers = np.ones(len(ends), dtype=bool)
+    numbers[head], numbers[head + wide], numbers[which] = kept, kept, kept
+    positions = np.ones(len(ends), dtype=bool)
+    positions[head] = positions[head + wide] = positions[which] = False
+    numbers[positions] = np.repeat(kept, tf)
+    stays = np.repeat(numbers, np.diff(begins))
+    many = np.add.reduceat(kept, first[:-1], dtype=np.int64)
+    full = np.flatnonzero(many)
+    coded = _binary(data[stays], np.append(0, np.append(0, np.cumsum(stays))[rows[1:]][full]))
+    at = pa.array(full)
+    left = _lists(np.append(0, np.cumsum(many[full])), held.filter(pa.array(kept)))
+    return pa.RecordBatch.from_arrays([*(pack.column(c).take(at) for c in range(3)), left, coded], names=pack.schema.names)
+
+
 def _without(pack: pa.RecordBatch, gone: pa.Array) -> pa.RecordBatch:
-    """A pack without the postings of some documents, and without words that are left with none."""
-    columns = [pack.column(k).flatten() for k in range(2, 6)]
-    kept = ~np.asarray(pc.is_in(columns[0], value_set=gone.cast(columns[0].type)))
-    row = np.repeat(np.arange(len(pack)), np.asarray(pc.list_value_length(pack.column(2)), dtype=np.int64))[kept]
-    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, dtype=np.int64)
-    at, which = pa.array(row[first]), pa.array(np.flatnonzero(kept))
-    return _packed(pack.column(0).take(at), pack.column(1).take(at), first, [c.take(which) for c in columns])
+    """:func:`_left` of a plain pack."""
+    left = _left(_coded(pack, 0), gone)
+    return _plain(*left.columns[1:]) if len(left) else pack.slice(0, 0)
 
 
 def _documents(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
@@ -142,26 +178,49 @@ def _packed(bucket: pa.Array, term: pa.Array, first: np.ndarray, columns: list[p
     return pa.RecordBatch.from_arrays([bucket, term, *(_lists(ends, c) for c in columns)], names=["bucket", "term", *ARRAYS])
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places of keys (32 bits, none negative) in order, equal ones as they came; by 16 bits at a time, which are sorted without comparisons."""
+    low = np.argsort(keys.astype(np.uint16), kind="stable")
+    high = (keys[low] >> 16).astype(np.uint16)
+    return low[np.argsort(high, kind="stable")] if high.any() else low
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of texts that have spaces between them (:func:`~tidemark.functions.text.spaced_words`), found in the bytes of all."""
+    data, ends = _bytes(texts)
+    inside = data != 32
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    some = ends[:-1][ends[:-1] < len(data)]
+    begin[some] = inside[some]  # a text begins a word, whatever the one before ends with
+    letters = data[inside]
+    offsets = np.append(np.flatnonzero(begin[inside]), len(letters)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(letters))
+    upto = pa.array(np.searchsorted(np.flatnonzero(begin), ends), pa.int32())
+    return pa.ListArray.from_arrays(upto, words, mask=texts.is_null() if texts.null_count else None)
+
+
 def _of_words(rows: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """The pack of documents (id, and an array of words for each field)."""
-    n, flat, doc, field, at, dl, sizes = len(rows), [], [], [], [], [], []
+    n, flat, doc, field, at, sizes = len(rows), [], [], [], [], []
     for k in range(1, rows.num_columns):
         w = rows.column(k)
-        size = np.asarray(pc.fill_null(pc.list_value_length(w), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.list_value_length(w), 0), dtype=np.int32)
         flat.append(pc.list_flatten(w).cast(pa.string()))
-        doc.append(np.repeat(np.arange(n), size))
+        doc.append(np.repeat(np.arange(n, dtype=np.int32), size))
         field.append(np.full(size.sum(), k - 1, dtype=np.int32))
-        at.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        at.append(np.arange(size.sum(), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size))
         sizes.append(size)
-    words = pa.concat_arrays(flat).dictionary_encode()
+    words = (flat[0] if len(flat) == 1 else pa.concat_arrays(flat)).dictionary_encode()
     terms, codes = words.dictionary, np.asarray(words.indices)
-    of = np.array([zlib.crc32(t.encode()) % buckets for t in terms.to_pylist()], dtype=np.int32)
-    sort = np.asarray(pc.sort_indices(pa.table({"b": of, "t": terms}), [("b", "ascending"), ("t", "ascending")]))
+    of = (np.fromiter(map(zlib.crc32, terms.cast(pa.binary()).to_numpy(zero_copy_only=False)), dtype=np.int64, count=len(terms)) % buckets).astype(np.int32)
+    sort = np.asarray(pc.sort_indices(terms)).astype(np.int64)
+    sort = sort[_order(of[sort])]
     place = np.empty(len(sort), dtype=np.int32)
     place[sort] = np.arange(len(sort), dtype=np.int32)
     key = place[codes]
-    order = np.argsort(key, kind="stable")  # inside a word by field, document and position, as they came
-    key, doc, field, at = key[order], np.concatenate(doc)[order], np.concatenate(field)[order], np.concatenate(at)[order]
+    order = _order(key)  # inside a word by field, document and position, as they came
+    key, doc, field, at = (x[order] for x in (key, *map(np.concatenate, (doc, field, at))))
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (field[1:] != field[:-1])
     first = np.flatnonzero(new)
@@ -214,10 +273,11 @@ def _begin(rows: DataFrame) -> None:
 
 
 def of_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packs (see :func:`kinds`) of rows of an id and an array of words for each field, and their documents."""
+    """Packs (see :func:`kinds`) of rows of an id and, for each field, the words of a text with spaces between them; and their documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, True):
+        split = (pa.RecordBatch.from_arrays([b.column(0), *map(_words, b.columns[1:])], names=b.schema.names) for b in batches if len(b))
+        for piece in _pieces(split, True):
             number = uuid.uuid4().int >> 65
             yield _documents(piece, number)
             if any(pc.any(pc.greater(pc.list_value_length(piece.column(k)), 0)).as_py() for k in range(1, piece.num_columns)):
@@ -271,9 +331,8 @@ def without(packs: DataFrame, dead: DataFrame, id_col: str) -> DataFrame:
         one = pack.combine_chunks()
         if len(gone) == 0 or len(one) == 0:
             return one
-        b = one.to_batches()[0]
-        left = _without(_plain(*b.columns[1:]), gone.combine_chunks().column(1).combine_chunks())
-        return pa.Table.from_batches([_coded(left, b.column(0)[0].as_py())]) if len(left) else one.slice(0, 0)
+        left = _left(one.to_batches()[0], gone.combine_chunks().column(1).combine_chunks())
+        return pa.Table.from_batches([left]) if len(left) else one.slice(0, 0)
 
     _begin(packs)
     held = packs.select("pack", "bucket", "term", "ids", "coded").groupBy("pack")
