@@ -215,7 +215,7 @@ class Engine:
         """The word index made anew from documents with levels; documents and errors."""
         if self.words is None:
             raise LookupError("no word index")
-        return indexing.rebuild(self._of("documents").select("doc_id", "text", "level"), self.words, least=least)
+        return indexing.rebuild(self._of("documents").select("doc_id", "text", "level"), self.words, least=least, folder=self.words.folder)
 
     def scheduler_status(self) -> DataFrame:
         return self.jobs.status(self.spark)

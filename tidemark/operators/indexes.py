@@ -36,6 +36,12 @@ class Updater(Protocol):
     def commit(self) -> int: ...
 
 
+def dealt(rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows as they are; but by the hash of their ids, in tasks of about one size, if a task has over 1.5 times a core's share of them, as it has of a file with one row group."""
+    r = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    return rows.hint("rebalance", id_col) if r["n"] and r["most"] > 1.5 * r["n"] / rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 class _Segments:
     """Segments, live rows and pending changes of one index.
 
@@ -250,7 +256,7 @@ class WordIndex(_Segments):
         """Texts are split once, into packs and rows of documents; the table of documents is made of the latter."""
         path, id_type = f"{self.folder}/postings/segment={name}", dict(pending.dtypes)[self.id_col]
         split = [spaced_words(F.col(f)).alias(f"w{k}") for k, f in enumerate(self.fields)]
-        rows = self._dealt(pending.select(self.id_col, *self.fields)).select(self.id_col, *split)
+        rows = dealt(pending.select(self.id_col, *self.fields), self.id_col).select(self.id_col, *split)
         self._laid(packs.of_words(rows, self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
         told = f"{path}/bucket={packs.DOCUMENTS}"
         if self.journal.exists(f"postings/segment={name}/bucket={packs.DOCUMENTS}"):
@@ -264,12 +270,6 @@ class WordIndex(_Segments):
         self.journal.delete(f"postings/segment={name}/bucket={packs.DOCUMENTS}")
         return self._written_buckets(name)
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows as they are; but by the hash of their ids, in tasks of about one size, if a task has over 1.5 times a core's share of them, as it has of a file with one row group."""
-        r = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
-        fair = (r["n"] or 0) / self.spark.sparkContext.defaultParallelism
-        return rows.hint("rebalance", self.id_col) if r["n"] and r["most"] > 1.5 * fair else rows
-
     def _few(self, rows: DataFrame, *folders: str) -> DataFrame:
         """Rows of folders in as many tasks as their bytes ask for."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexes import Updater
+from .indexes import Updater, dealt
 from .journal import Journal
 from .lifecycle import ORDER
 from .store import outbox_truncated
@@ -58,22 +59,47 @@ def consumed(outbox: DataFrame, names: list[str], journal: Journal) -> DataFrame
     return outbox_truncated(outbox, min(done, default=-1))
 
 
-def rebuild(documents: DataFrame, index: Updater, progress: Callable[[str, int, int], None] = lambda level, done, errors: None, least: str | None = None, continue_on_error: bool = True) -> tuple[int, int]:
+def rebuild(
+    documents: DataFrame,
+    index: Updater,
+    progress: Callable[[str, int, int], None] = lambda level, done, errors: None,
+    least: str | None = None,
+    continue_on_error: bool = True,
+    folder: str | None = None,
+    id_col: str = "doc_id",
+) -> tuple[int, int]:
     """All documents (with level) into a cleared index, level by level, with progress after each; documents and errors.
 
-    ``least`` keeps its level and those above it.
+    ``least`` keeps its level and those above it. With ``folder``, which all machines share, documents are read once and lie there
+    by level until the rebuild ends, or stay there if a commit failed, whose rows the index still has pending. Without it, or where
+    some document can't be read, each level reads them all.
     """
     index.clear()
+    levels = ORDER if least is None else ORDER[ORDER.index(least) :]
+    journal, name = None if folder is None else Journal(documents.sparkSession, folder), f"rebuild-{uuid.uuid4().hex}"
     done = errors = 0
-    for level in ORDER if least is None else ORDER[ORDER.index(least) :]:
-        rows = documents.filter(F.col("level") == level).drop("level")
-        try:
-            index.add(rows)
-            index.commit()
-            done += rows.count()
-        except Exception:  # one level's failure is counted and reported, as the caller asked
-            if not continue_on_error:
-                raise
-            errors += 1
-        progress(level, done, errors)
+    pending = False
+    try:
+        if journal is not None:
+            try:
+                dealt(documents.filter(F.col("level").isin(*levels)), id_col).write.partitionBy("level").parquet(f"{folder}/{name}")
+                documents, pending = documents.sparkSession.read.schema(documents.schema).parquet(f"{folder}/{name}"), True
+            except Exception:  # a document that can't be read is its own level's error
+                if not continue_on_error:
+                    raise
+        for level in levels:
+            rows = documents.filter(F.col("level") == level).drop("level")
+            try:
+                index.add(rows)
+                index.commit()
+                done += rows.count()
+            except Exception:  # one level's failure is counted and reported, as the caller asked
+                if not continue_on_error:
+                    raise
+                errors += 1
+            progress(level, done, errors)
+        pending = pending and errors > 0
+    finally:
+        if journal is not None and not pending:
+            journal.delete(name)
     return done, errors

@@ -484,7 +484,7 @@ def index_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """The word index of days and above made anew, with the progress that was told."""
     told: list[tuple[str, int, int]] = []
     index = WordIndex(spark, scratch(spark, "rebuild"), buckets=4)
-    rebuild(doc_facts(spark, sf).select("doc_id", "text", "level"), index, lambda *x: told.append(x), least="day")
+    rebuild(doc_facts(spark, sf).select("doc_id", "text", "level"), index, lambda *x: told.append(x), least="day", folder=index.folder)
     return spark.createDataFrame(told, "level string, done int, errors int")
 
 
