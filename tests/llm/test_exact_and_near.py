@@ -180,6 +180,34 @@ def test_large_groups_are_linked_through_blocks(spark):
     assert found == brute_force(dict(rows), config)
 
 
+def test_copies_are_found_however_many_share_their_words(spark):
+    """Two of 160 words replaced: by counts all are near copies of the base, by TF-IDF the shared shingles weigh little in so large a group."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(160)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for k in rng.choice(160, 2, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(f"y{i}_{k}" for k in range(160))) for i in range(60)]
+    found = {r.doc_id: r.class_id for r in near_groups(frame(spark, rows)).collect()}
+    assert {found[i] for i in range(120)} == {119}
+    assert all(found[i] == i for i in range(200, 260))
+
+
+def test_samples_of_counts_estimate_the_similarity_by_counts():
+    rng = np.random.default_rng(7)
+    draws = near_dedup._draws(512)
+    for n in (3, 60, 400):
+        words = rng.integers(0, 1 << 32, n).astype(np.uint32)
+        both = [np.unique(rng.choice(words, n), return_counts=True) for _ in range(2)]
+        begin = np.array([0, len(both[0][0])])
+        found = near_dedup.count_samples(np.concatenate([x for x, _ in both]), np.concatenate([c for _, c in both]), begin, draws)
+        a, b = ((x, c.astype(float), float(c.sum())) for x, c in both)
+        assert (found[0] == found[1]).mean() == pytest.approx(near_dedup.similarity(a, b), abs=0.07)
+
+
 def test_near_groups_edge_cases(spark):
     same = "one two three four five six seven eight nine ten"
     rows = [(1, same), (2, same.upper()), (3, same.replace(" ", ", ")), (4, None), (5, ""), (6, "..."), (7, "hi"), (8, "hi"), (9, "hi there"), (None, "zz"), (10, "a b c d e f g " * 30_000), (11, "a b c d e f g " * 30_000)]

@@ -1,4 +1,4 @@
-"""Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
+"""Near-duplicate detection: improved consistent weighted sampling over TF-IDF shingles, banded and verified, and MinHash over their counts.
 
 A text is the multiset of its shingles, five words each. A shingle weighs its count in the text times its inverse
 document frequency, 1 + ln((1 + N) / (1 + df)), where df is the exact number of different texts with the shingle's 56-bit hash.
@@ -6,6 +6,11 @@ Packs of texts send their different hashes to ranges of hashes as arrays; each r
 pack, so a frequent shingle is one number of each pack and no row. Texts whose samples agree in a band are candidates,
 and candidates are linked if their weighted Jaccard similarity is at least the threshold.
 
+The more copies a text has, the more frequent are the shingles that they share, and the less these weigh beside the few
+that each copy has alone. So in large groups of copies TF-IDF alone would tell copies apart, and the more the larger the
+group is. Counts don't depend on other texts: they have bands of their own, and a pair whose weighted Jaccard similarity
+by counts is at least the threshold is linked as well.
+
 Buckets are never expanded into rows of pairs. First each text is compared with one leader of its buckets. Components of
 those links then leave texts that are apart from others in a bucket; these are compared with the others in blocks of
 bounded size, inside the task: the vectors of every pair, those with the most agreeing samples first, but of no pair that
@@ -29,18 +34,19 @@ from .durable import durable, look_up, parts, row_key, rows_with_keys, ship, swe
 
 @dataclass(frozen=True)
 class NearConfig:
-    """Words of a shingle, similarity of a link, bands and samples of a band, bits of a :class:`Frequencies` sketch (not used by the query), and texts of a block."""
+    """Words of a shingle, similarity of a link, bands by TF-IDF, bands by counts and samples of a band, bits of a :class:`Frequencies` sketch (not used by the query), and texts of a block."""
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 14
+    count_bands: int = 14
     band_samples: int = 4
     sketch_bits: int = 18
     block: int = 256
 
     @property
     def samples(self) -> int:
-        return self.bands * self.band_samples
+        return (self.bands + self.count_bands) * self.band_samples
 
 
 _U = np.uint64
@@ -226,19 +232,29 @@ def document_frequencies(packs: DataFrame, config: NearConfig, ranges: int) -> D
 Weighed = tuple[np.ndarray, np.ndarray, float]
 
 
-def packed(shingle: np.ndarray, weights: np.ndarray) -> bytes:
-    """A text's different shingles and their weights as bytes. To compare texts, 32 bits of a hash are kept."""
+def packed(shingle: np.ndarray, weights: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """A text's different shingles, their weights and their counts (1 by default) as bytes. To compare texts, 32 bits of a hash are kept."""
     short = (shingle >> _U(24)).astype(np.uint32)
     first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
-    return np.uint32(len(first)).tobytes() + short[first].tobytes() + zlib.compress(np.add.reduceat(weights, first).tobytes(), 1)
+    counts = np.add.reduceat(np.ones(len(short), np.int64) if counts is None else counts, first)
+    tail = b"" if (counts == 1).all() else zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+    return np.uint32(len(first)).tobytes() + short[first].tobytes() + zlib.compress(np.add.reduceat(weights, first).tobytes(), 1) + tail
 
 
-def opened(data: bytes | pa.Buffer) -> Weighed:
-    """What :func:`packed` was given, and the sum of the weights."""
+def opened_both(data: bytes | pa.Buffer) -> tuple[Weighed, Weighed]:
+    """The shingles that :func:`packed` was given by their weights, and by their counts, each with its sum."""
     data = memoryview(data)
     end = 4 + 4 * int(np.frombuffer(data[:4], dtype=np.uint32)[0])
-    weights = np.frombuffer(zlib.decompress(data[end:]), dtype=np.float64)
-    return np.frombuffer(data[4:end], dtype=np.uint32), weights, float(weights.sum())
+    shingle, inflate = np.frombuffer(data[4:end], dtype=np.uint32), zlib.decompressobj()
+    weights = np.frombuffer(inflate.decompress(data[end:]), dtype=np.float64)
+    tail = inflate.unused_data
+    counts = np.frombuffer(zlib.decompress(tail), dtype=np.uint32).astype(np.float64) if tail else np.ones(len(shingle))
+    return (shingle, weights, float(weights.sum())), (shingle, counts, float(counts.sum()))
+
+
+def opened(data: bytes | pa.Buffer) -> Weighed:
+    """The shingles and weights that :func:`packed` was given, and the sum of the weights."""
+    return opened_both(data)[0]
 
 
 def weights_of(packs: DataFrame, found: DataFrame, texts: int, config: NearConfig) -> DataFrame:
@@ -252,7 +268,7 @@ def weights_of(packs: DataFrame, found: DataFrame, texts: int, config: NearConfi
                 df = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in pieces])
                 weights = np.concatenate(counts) * (1 + np.log((1 + texts) / (1 + df[np.unique(joined, return_inverse=True)[1]])))
                 ends = np.cumsum([len(x) for x in own]).tolist()
-                rows = [(rids[16 * k : 16 * k + 16], packed(x, weights[end - len(x) : end])) for k, (x, end) in enumerate(zip(own, ends, strict=True))]
+                rows = [(rids[16 * k : 16 * k + 16], packed(x, weights[end - len(x) : end], n)) for k, (x, n, end) in enumerate(zip(own, counts, ends, strict=True))]
                 for k in range(0, len(rows), 256):
                     some = rows[k : k + 256]
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.binary()), pa.array([x for _, x in some], pa.binary())], ["rid", "vector"])
@@ -322,6 +338,26 @@ def samples(shingle: np.ndarray, weights: np.ndarray, begin: np.ndarray, draws:
     return out
 
 
+def count_samples(shingle: np.ndarray, counts: np.ndarray, begin: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Like :func:`samples`, of counts: a sample is the least hash of a shingle's first, second, ... occurrence, so two texts agree in it with the probability of their weighted Jaccard similarity by counts."""
+    times = counts.astype(np.int64)
+    ends = np.cumsum(times)
+    nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
+    wide = _mix(np.repeat(shingle.astype(np.uint64), times) + nth.astype(np.uint64) * _U(_GOLD))
+    begin = (ends - times)[begin]
+    sizes = np.diff(np.append(begin, len(wide)))
+    out = np.full((len(begin), len(draws)), ~_U(0), dtype=np.uint64)
+    # Texts are told apart by where they begin, so a part of all occurrences can hold some of them, whole.
+    cuts = [0]
+    while cuts[-1] < len(begin):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + _AT_ONCE))))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first, last = int(begin[a]), int(begin[b - 1] + sizes[b - 1])
+        for k in range(len(draws)):
+            out[a:b, k] = np.minimum.reduceat((wide[first:last] ^ draws[k]) * _U(_BASE), begin[a:b] - first)
+    return _mix(out)
+
+
 def weighed(vector: np.ndarray, known: Frequencies) -> Weighed:
     """Different shingles of a sorted vector, their weights, and the sum of these."""
     shingle, count = np.unique(vector, return_counts=True)
@@ -341,13 +377,23 @@ def similarity(a: Weighed, b: Weighed) -> float:
     return shared / whole if whole else 0.0
 
 
+def linked(a: tuple[Weighed, Weighed], b: tuple[Weighed, Weighed], threshold: float) -> bool:
+    """Whether two texts (see :func:`opened_both`) are at least so similar by weights or by counts."""
+    for x, y in zip(a, b, strict=True):
+        if min(x[2], y[2]) >= threshold * max(x[2], y[2]) and similarity(x, y) >= threshold:  # what is shared is no more than the lesser sum
+            return True
+    return False
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, known: Frequencies) -> float:
-    """Weighted Jaccard similarity of two sorted shingle vectors."""
-    return similarity(weighed(a, known), weighed(b, known))
+    """Weighted Jaccard similarity of two sorted shingle vectors by TF-IDF or by counts, whichever is larger."""
+    counts = [(x, n.astype(np.float64), float(n.sum())) for x, n in (np.unique(v, return_counts=True) for v in (a, b))]
+    return max(similarity(weighed(a, known), weighed(b, known)), similarity(*counts))
 
 
 def _signed(vectors: DataFrame, config: NearConfig) -> DataFrame:
-    """rid, keys (a 64-bit hash for each band) and signature (32 bits of each sample)."""
+    """rid, keys (a 64-bit hash for each band, those by counts last) and signature (32 bits of each sample)."""
+    bands = config.bands + config.count_bands
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = worker_state("near dedup signatures", lambda: _draws(config.samples))
@@ -356,16 +402,18 @@ def _signed(vectors: DataFrame, config: NearConfig) -> DataFrame:
             while k < b.num_rows:
                 texts, first, held = [], k, 0
                 while k < b.num_rows and held < 1 << 19:
-                    texts.append(opened(b["vector"][k].as_buffer()))
-                    held += len(texts[-1][0]) * 4
+                    texts.append(opened_both(b["vector"][k].as_buffer()))
+                    held += len(texts[-1][0][0]) * 4
                     k += 1
-                sizes = np.array([len(x) for x, _, _ in texts])
-                found = samples(np.concatenate([x for x, _, _ in texts]), np.concatenate([w for _, w, _ in texts]), np.cumsum(sizes) - sizes, draws)
-                key = np.zeros((len(texts), config.bands), dtype=np.uint64)
+                sizes = np.array([len(w[0]) for w, _ in texts])
+                shingle, begin, by_weight = np.concatenate([w[0] for w, _ in texts]), np.cumsum(sizes) - sizes, config.bands * config.band_samples
+                found = [samples(shingle, np.concatenate([w[1] for w, _ in texts]), begin, draws[:by_weight]), count_samples(shingle, np.concatenate([n[1] for _, n in texts]), begin, draws[by_weight:])]
+                found = np.concatenate(found, axis=1)
+                key = np.zeros((len(texts), bands), dtype=np.uint64)
                 for s in range(config.band_samples):
                     key = key * _U(_BASE) + found[:, s :: config.band_samples]
-                key = _mix(key + np.arange(config.bands, dtype=np.uint64) * _U(_GOLD)).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * config.bands, pa.int32()), pa.array(key.ravel()))
+                key = _mix(key + np.arange(bands, dtype=np.uint64) * _U(_GOLD)).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(key.ravel()))
                 low = found.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([b["rid"].slice(first, k - first), keys, pa.array([x.tobytes() for x in low], pa.binary())], ["rid", "keys", "signature"])
 
@@ -373,7 +421,7 @@ def _signed(vectors: DataFrame, config: NearConfig) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a-b whose weighted Jaccard similarity is at least the threshold."""
+    """The pairs a-b whose weighted Jaccard similarity, by weights or by counts, is at least the threshold."""
     nodes = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = durable(vectors.join(nodes, "rid"))
     rows = pairs.join(needed.select(F.col("rid").alias("a"), F.col("vector").alias("va")), "a").join(needed.select(F.col("rid").alias("b"), F.col("vector").alias("vb")), "b")
@@ -381,7 +429,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b["va"], b["vb"]
-            good = [similarity(opened(left[k].as_buffer()), opened(right[k].as_buffer())) >= threshold for k in range(b.num_rows)]
+            good = [linked(opened_both(left[k].as_buffer()), opened_both(right[k].as_buffer()), threshold) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return durable(rows.select("a", "b", "va", "vb").mapInArrow(verify, "a binary, b binary"))
@@ -413,7 +461,7 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
 
     def compare(held: list[tuple], sent: list[tuple], band: int) -> Iterator[pa.RecordBatch]:
         rids, labels, marks, vectors = zip(*held, strict=True)
-        table = np.frombuffer(b"".join(marks), dtype=np.uint32).reshape(len(held), config.bands, config.band_samples)
+        table = np.frombuffer(b"".join(marks), dtype=np.uint32).reshape(len(held), -1, config.band_samples)
         root: dict[bytes, bytes] = {}
 
         def find(x: bytes) -> bytes:
@@ -423,23 +471,23 @@ def _apart(signed: DataFrame, bands: DataFrame, labels: DataFrame, vectors: Data
             return x
 
         left, right = [], []
-        ready: dict[int, Weighed] = {}
+        ready: dict[int, tuple[Weighed, Weighed]] = {}
 
-        def of(k: int) -> Weighed:
+        def of(k: int) -> tuple[Weighed, Weighed]:
             if k not in ready:
-                ready[k] = opened(vectors[k])
+                ready[k] = opened_both(vectors[k])
             return ready[k]
 
         for rid, label, mark, vector in sent:
-            same = table == np.frombuffer(mark, dtype=np.uint32).reshape(config.bands, config.band_samples)
+            same = table == np.frombuffer(mark, dtype=np.uint32).reshape(-1, config.band_samples)
             agree = same.sum(axis=(1, 2))
             first = same.all(axis=2).argmax(axis=1) == band
             near = np.flatnonzero(first)
             if not len(near):
                 continue
-            mine = opened(vector)
+            mine = opened_both(vector)
             for k in near[np.argsort(-agree[near], kind="stable")].tolist():
-                if find(label) != find(labels[k]) and similarity(mine, of(k)) >= config.threshold:
+                if find(label) != find(labels[k]) and linked(mine, of(k), config.threshold):
                     root[find(label)] = find(labels[k])
                     left.append(rid)
                     right.append(rids[k])
