@@ -54,6 +54,16 @@ def test_newest_similar_equals_the_definition(spark):
     assert len(found) == len(wanted)
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_newest_similar_orders_by_any_time(spark, kind):
+    """Times beyond those of pandas (2262 on) and microseconds count, in the newest rows and in the rest."""
+    rows = spark.createDataFrame([(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(12)], "id int, v array<double>")
+    for days, step in ((106_745, 86_400_000_000), (2_900_000, 86_400_000_000), (-200_000, 1), (0, 1)):
+        timed = rows.withColumn("ts", F.timestamp_micros(F.col("id") * step + F.lit(days * 86_400_000_000)).cast(kind))
+        found = similarity.newest_similar(timed, 0.9, "id", "v", "ts", block=4).collect()
+        assert {r.id: r.newer for r in found} == {k: 10 + k % 2 for k in range(10)}
+
+
 @pytest.mark.parametrize(("threshold", "keyed"), [(0.3, True), (0.9, True), (0.9, False), (0.9999, False)])
 def test_newest_similar_beyond_the_newest_rows(spark, monkeypatch, threshold, keyed):
     """Most rows, some and few find theirs among the last ones of their key; the others meet the rest."""

@@ -39,6 +39,17 @@ def _given(rows: DataFrame, key: str | None, id_col: str, vector: str, order: st
     return rows.select(k.alias("k"), *cols).filter("k IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL")
 
 
+def _in_order(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with microseconds in place of times in the order: pandas holds the years 1678 to 2261 only."""
+    kind, o = dict(rows.dtypes)[order], F.col(order)
+    if kind == "timestamp":
+        return rows.withColumn(order, F.unix_micros(o))
+    if kind == "timestamp_ntz":
+        seconds = F.unix_date(o.cast("date")).cast("long") * 86_400 + F.hour(o) * 3600 + F.minute(o) * 60
+        return rows.withColumn(order, seconds * 1_000_000 + (F.extract(F.lit("SECOND"), o) * 1_000_000).cast("long"))
+    return rows
+
+
 def _celled(given: DataFrame, threshold: float | None, block: int) -> DataFrame:
     """k, cell, home, id, o, v: each row in its own cell, and as a visitor in those where a link may wait."""
     whole = given.select("k", F.lit(0).alias("cell"), F.lit(True).alias("home"), "id", "o", "v")
@@ -170,6 +181,7 @@ def newest_similar(rows: DataFrame, threshold: float, id_col: str, vector: str,
         return last(a, b, s) if alone else pd.concat([last(a, b, s), last(b, a, s.T)])
 
     schema = "k {k}, id {id}, o {o}, newer {id}"
+    rows = _in_order(rows, order)
     given = cut(_given(rows, key, id_col, vector, order))
     if key is None:
         newest = given.orderBy(F.desc("o"), F.desc("id")).limit(NEWEST)
