@@ -5,6 +5,7 @@ import math
 import json
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.api import Engine
@@ -115,6 +116,19 @@ def test_density_clusters_leave_noise(spark):
     assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, -1), (8, -1)}
 
 
+def test_density_clusters_part_by_part_equal_those_of_whole_blocks(spark, monkeypatch):
+    """Blocks, one of them without a name, over many parts: ids that repeat and equal points too."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(260, 3)) + rng.choice([-6, 0, 6], (260, 3))
+    x[5] = x[6]
+    rows = [(k if k != 40 else 41, v.tolist(), (None, "a", "b")[min(k % 5, 2)]) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id int, v array<double>, b string")
+    wanted = sorted(tuple(r) for r in topics.cluster_by_density(frame, "id", "v", "b").collect())
+    monkeypatch.setattr(topics, "PART", 12)
+    assert sorted(tuple(r) for r in topics.cluster_by_density(frame, "id", "v", "b").collect()) == wanted
+    assert len({c for _, c in wanted}) > 8
+
+
 def test_retention_spares_protected_levels_and_missing_times(spark):
     as_of = F.lit("2024-02-01").cast("timestamp")
     rows = spark.createDataFrame([(1, "segment", "2020-01-01"), (2, "year", "2000-01-01"), (3, "day", None)], "id int, level string, t string").withColumn("ts", F.col("t").cast("timestamp"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -11,7 +13,8 @@ def _core_distances(x: np.ndarray, k: int) -> np.ndarray:
     size = (x * x).sum(axis=1)
     for a in range(0, len(x), 512):
         d = size[a : a + 512, None] + size[None, :] - 2 * (x[a : a + 512] @ x.T)
-        out[a : a + 512] = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0))
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[a : a + 512] = np.sqrt(((x[a : a + 512, None, :] - x[near]) ** 2).sum(axis=2)).max(axis=1)
     return out
 
 
@@ -38,10 +41,67 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     count; the whole is no cluster. Fewer points than ``least`` are all noise.
     """
     n = len(x)
-    labels = np.full(n, -1)
     if n < max(least, 2):
-        return labels
-    edges = _spanning_tree(x, _core_distances(x, min(least, n)))
+        return np.full(n, -1)
+    return labels_of_tree(_spanning_tree(x, _core_distances(x, min(least, n))), n, least)
+
+
+def least_edges(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of the edges of the least spanning tree of a matrix of distances."""
+    n = len(d)
+    best, source, outside = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
+    best[0], outside[0] = np.inf, False
+    left = np.empty(n - 1, int)
+    right = np.empty(n - 1, int)
+    for k in range(n - 1):
+        at = int(best.argmin())
+        left[k], right[k] = source[at], at
+        outside[at] = False
+        nearer = (d[at] < best) & outside
+        np.copyto(best, d[at], where=nearer)
+        source[nearer] = at
+        best[at] = np.inf
+    return left, right
+
+
+def least_of_edges(left: np.ndarray, right: np.ndarray, d: np.ndarray, n: int) -> list[tuple[float, int, int]]:
+    """What :func:`_spanning_tree` gives for n points, from given edges among which are those of all least spanning trees."""
+    order = np.argsort(d, kind="stable")
+    left, right, d = left[order], right[order], d[order]
+    root, near = list(range(n)), [[] for _ in range(n)]
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    bounds = [0, *(np.flatnonzero(d[1:] != d[:-1]) + 1).tolist(), len(d)]
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        kept = [(a, b) for a, b in zip(left[begin:end].tolist(), right[begin:end].tolist(), strict=True) if find(a) != find(b)]
+        for a, b in kept:
+            root[find(b)] = find(a)
+            near[a].append((float(d[begin]), b))
+            near[b].append((float(d[begin]), a))
+    # The order in which points join, and from which one, decides between equal distances.
+    waiting, inside, out, at, turn = [], [False] * n, [], 0, 0
+    inside[0] = True
+    for _ in range(n - 1):
+        for x, b in near[at]:
+            if not inside[b]:
+                heapq.heappush(waiting, (x, b, turn, at))
+        turn += 1
+        x, b, _, a = heapq.heappop(waiting)
+        while inside[b]:
+            x, b, _, a = heapq.heappop(waiting)
+        inside[b], at = True, b
+        out.append((x, a, b))
+    return sorted(out)
+
+
+def labels_of_tree(edges: list[tuple[float, int, int]], n: int, least: int) -> np.ndarray:
+    """:func:`density_clusters` of n points from the edges of their spanning tree, by distance."""
+    labels = np.full(n, -1)
     parts: dict[int, tuple[int, int, float]] = {}
     size, top = dict.fromkeys(range(n), 1), list(range(n))
     root = list(range(n))
@@ -58,15 +118,16 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
         size[n + step] = size[top[p]] + size[top[q]]
         root[q], top[p] = p, n + step
 
-    def points(node: int) -> list[int]:
-        todo, out = [node], []
-        while todo:
-            k = todo.pop()
-            if k < n:
-                out.append(k)
-            else:
-                todo += parts[k][:2]
-        return out
+    # Points in the order of the tree: a node's are side by side, from ``begin`` on.
+    begin = {n + len(edges) - 1: 0}
+    for node in range(n + len(edges) - 1, n - 1, -1):
+        a, b = parts[node][:2]
+        begin[a] = begin[node]
+        begin[b] = begin[node] + size[a]
+    place = np.array([begin[k] for k in range(n)])
+
+    def points(node: int) -> slice:
+        return slice(begin[node], begin[node] + size[node])
 
     parent, born, mass, owner = [-1], [0.0], [0.0], np.zeros(n, int)
     todo = [(n + len(edges) - 1, 0)]
@@ -97,22 +158,10 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     for c in range(len(parent) - 1, 0, -1):
         chosen[c] = mass[c] >= below[c]
         below[parent[c]] += max(mass[c], below[c])
+    above, best = [False] * len(parent), [-1] * len(parent)
     for c in range(1, len(parent)):  # parents come first
-        if _above(parent, chosen, c):
-            chosen[c] = False
-    for k in range(n):
-        c = owner[k]
-        while c > 0 and not chosen[c]:
-            c = parent[c]
-        labels[k] = c if c > 0 else -1
+        above[c] = above[parent[c]] or bool(chosen[parent[c]])
+        chosen[c] &= not above[c]
+        best[c] = c if chosen[c] else best[parent[c]]
+    labels[:] = np.array(best)[owner[place]]
     return labels
-
-
-def _above(parent: list[int], chosen: np.ndarray, c: int) -> bool:
-    """Whether a cluster above is chosen."""
-    c = parent[c]
-    while c > 0:
-        if chosen[c]:
-            return True
-        c = parent[c]
-    return False

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Topics
-from ..functions.density import density_clusters
+from ..functions.density import density_clusters, labels_of_tree, least_edges, least_of_edges
 from ..functions.scoring import importance
 from ..functions.text import clean_label, keyword_words, label_confidence, label_from_keywords, topic_words
 from ..functions.vectors import centroids, cosine
@@ -20,6 +20,10 @@ from .rounds import cut
 from .similarity import pairs
 
 
+#: Rows of a part of a block; larger blocks than two of them are clustered part by part.
+PART = 2048
+
+
 def term_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf, df and score: TF-IDF over groups: count / total terms of the group x (ln((n + 1) / (df + 1)) + 1), with n texts."""
     tokens = docs.select(key, topic_words(F.col(text)).alias("w")).withColumn("__doc", F.monotonically_increasing_id())
@@ -56,20 +60,84 @@ def labels(scores: DataFrame, key: str, config: Topics = Topics()) -> DataFrame:
 def cluster_by_density(vectors: DataFrame, id_col: str, vector_col: str, block: str, config: Topics = Topics()) -> DataFrame:
     """id and cluster (the least id in it; -1: noise) by hierarchical density clustering inside each block.
 
-    A task holds one block, and clusters don't cross blocks; a block with fewer rows than the smallest cluster is noise.
+    Clusters don't cross blocks; a block with fewer rows than the smallest cluster is noise. A task holds the vectors of two
+    parts of a block, ``PART`` each: every edge of the block's spanning tree is in the tree of some two parts. Only edges of these trees, and those
+    to a point's nearest ones, which may tie with them, meet in one task for each block, which has no vectors.
     """
     least = config.min_cluster
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
+    def named(rows: pd.DataFrame, found: np.ndarray) -> pd.DataFrame:
         ids = rows["id"].to_numpy()
-        found = density_clusters(np.stack(rows["v"].to_numpy()), least)
-        first = {c: ids[found == c].min() for c in set(found.tolist()) - {-1}}
-        return pd.DataFrame({"id": ids, "cluster": [first.get(c, -1) for c in found.tolist()]})
+        first = pd.Series(ids).groupby(found).min()
+        return pd.DataFrame({"id": ids, "cluster": np.where(found == -1, -1, first.reindex(found).to_numpy())})
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "row"], ignore_index=True)
+        return named(rows, density_clusters(np.stack(rows["v"].to_numpy()).astype(np.float64), least))
 
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(block).alias("b")).filter("v IS NOT NULL")
-    return rows.groupBy("b").applyInPandas(lambda p: cluster(p[["id", "v"]]), "id bigint, cluster bigint").withColumnRenamed("id", id_col)
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(block).alias("b")).filter("v IS NOT NULL")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    large = rows.groupBy(F.col("b").alias("c")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter(F.col("parts") > 2)
+    schema = "id bigint, cluster bigint"
+    small = rows.join(large, F.col("b").eqNullSafe(F.col("c")), "left_anti").groupBy("b").applyInPandas(lambda p: cluster(p[["id", "row", "v"]]), schema)
+    large = cut(large)
+    if large.isEmpty():
+        return small.withColumnRenamed("id", id_col)
+    # Numbers stand for blocks, which may be null.
+    named_blocks = cut(large.withColumn("k", F.monotonically_increasing_id()))
+    rows = rows.join(named_blocks, F.col("b").eqNullSafe(F.col("c"))).select("k", "row", "id", "v", "parts", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("at"))
+    rows = cut(rows)
+
+    def stacked(p: pd.DataFrame) -> np.ndarray:
+        return np.stack(p["v"].to_numpy()).astype(np.float64)
+
+    def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0)
+
+    def nearest(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = p["i"].iat[0], p["j"].iat[0]
+        sides = [(p, p)] if i == j else [(p[p["at"] == i], p[p["at"] == j]), (p[p["at"] == j], p[p["at"] == i])]
+        out = [pd.DataFrame({"row": np.empty(0, np.int64), "near": []})]
+        for a, b in sides:
+            if len(a) and len(b):
+                x, y = stacked(a), stacked(b)
+                near = np.argpartition(squares(x, y), min(least, len(y)) - 1, axis=1)[:, : min(least, len(y))]
+                d = np.sort(np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(axis=2)), axis=1)
+                out.append(pd.DataFrame({"row": a["row"].to_numpy(), "near": list(d)}))
+        return pd.concat(out)
+
+    def tree(p: pd.DataFrame) -> pd.DataFrame:
+        x, core, row = stacked(p), p["core"].to_numpy(), p["row"].to_numpy()
+        d = np.sqrt(squares(x, x))
+        tied = np.nonzero((d <= core[:, None] * (1 + 1e-9)) & (core[:, None] > 0))
+        np.maximum(d, core[:, None], out=d)
+        np.maximum(d, core[None, :], out=d)
+        a, b = (np.concatenate(c) for c in zip(least_edges(d), tied, strict=True))
+        a, b = a[a != b], b[a != b]
+        exact = np.maximum(np.sqrt(((x[a] - x[b]) ** 2).sum(axis=1)), np.maximum(core[a], core[b]))
+        return pd.DataFrame({"k": p["k"].iat[0], "a": row[a], "b": row[b], "d": exact})
+
+    def meet(some: DataFrame, alone: bool) -> DataFrame:
+        each = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return (each if alone else each.filter("other <> at")).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("parts", "other", "id").groupBy("k", "i", "j")
+
+    found = meet(rows, True).applyInPandas(nearest, "row bigint, near array<double>")
+    core = found.groupBy("row").agg(F.element_at(F.array_sort(F.flatten(F.collect_list("near"))), least).alias("core"))
+    edges = meet(rows.join(cut(core), "row"), False).applyInPandas(tree, "k bigint, a bigint, b bigint, d double")
+
+    def whole(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["id", "row"], ignore_index=True)
+        order = np.argsort(points["row"].to_numpy())
+        at = lambda c: order[np.searchsorted(points["row"].to_numpy()[order], edges[c].to_numpy())]
+        a, b = at("a"), at("b")
+        both = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": edges["d"].to_numpy()}).drop_duplicates(["a", "b"])
+        kept = least_of_edges(both["a"].to_numpy(), both["b"].to_numpy(), both["d"].to_numpy(), len(points))
+        return named(points, labels_of_tree(kept, len(points), least))
+
+    of_large = rows.select("k", "id", "row").groupBy("k").cogroup(edges.groupBy("k")).applyInPandas(whole, schema)
+    return small.unionByName(of_large).withColumnRenamed("id", id_col)
 
 
 class TopicLabeler(Protocol):
@@ -192,7 +260,7 @@ def merged(topics: DataFrame, keepers: DataFrame) -> DataFrame:
 
 def extraction_cycle(docs: DataFrame, as_of: Column, id_col: str, block: str, vector_col: str = "embedding", text: str = "text", labeler: TopicLabeler | None = None, config: Topics = Topics()) -> tuple[DataFrame, DataFrame]:
     """Topics and links out of documents with vectors and times: cluster, centre, name, weigh and link."""
-    clustered = docs.join(cluster_by_density(docs, id_col, vector_col, block, config), id_col).filter("cluster <> -1")
+    clustered = docs.join(cut(cluster_by_density(docs, id_col, vector_col, block, config)), id_col).filter("cluster <> -1")
     made = extract_topics(clustered, "cluster", vector_col)
     seen = clustered.groupBy(F.col("cluster").alias("topic_id")).agg(F.max("ts").alias("last_mentioned_at"))
     names = label_clusters(clustered, "cluster", labeler, config, text).withColumnRenamed("cluster", "topic_id")
