@@ -196,3 +196,20 @@ def test_visible_words_match_a_plain_parser():
         plain.feed(source)
         plain.close()
         assert html_layout.extract_text(source).split() == plain.words
+
+
+def test_audited_queries_find_the_beam_and_all_others_are_searched_once(spark, monkeypatch):
+    """A beam that is too narrow doubles for the audited queries only, and each query gets the answers of the last beam."""
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 24)))], "vec_id long, embedding array<double>")
+    calls, search = [], neighbours.search_graph
+
+    def counted(nodes, graph, queries, config, where=None):
+        calls.append((queries.count(), config.beam))
+        return search(nodes, graph, queries, config, where)
+
+    monkeypatch.setattr(neighbours, "search_graph", counted)
+    found = neighbours.nearest(rows, config=neighbours.GraphConfig(neighbours=4, reverse=2, rounds=1, orders=1, block=32, beam=8, step=4, entries=4, part_nodes=400, recall=0.99, audited=6)).collect()
+    assert sorted({r.query_id for r in found}) == list(range(0, 1500, 50))
+    assert all(n == 6 for n, _ in calls[:-1]) and len(calls) > 2
+    assert calls[-1] == (24, calls[-2][1])

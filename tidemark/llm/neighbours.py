@@ -306,16 +306,12 @@ _STATE = "qid long, kind int, unit binary, ids binary, scores binary, done binar
 _NAMES = [c.split()[0] for c in _STATE.split(", ")]
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """qid and ids (nodes, best first) of the beam that a greedy search ends with, for ``queries`` (qid, unit, start: a node or null)."""
+def placed_graph(nodes: DataFrame, graph: DataFrame, config: GraphConfig = GraphConfig()) -> tuple[DataFrame, np.ndarray]:
+    """The graph as searches read it, dealt out to its partitions, and the names of these."""
     spark = nodes.sparkSession
     ship(spark)
-    n = _parts(nodes, config)  # a query sends at most one message a round to a partition
+    n = _parts(nodes, config)
     labels = _labels(spark, n)
-    sample = _sample(nodes, config.entries, -1)
-    entry_ids = np.array([r["nid"] for r in sample], dtype=np.int64)
-    entry_units = np.stack([np.frombuffer(r["unit"], np.float32) for r in sample]) if sample else np.empty((0, 1), np.float32)
-    entries = spark.sparkContext.broadcast((entry_ids, entry_units))
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,7 +321,18 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config:
     none = lambda kind: F.lit(None).cast(kind)
     placed = placed.select("part", F.lit(0).alias("kind"), "nid", "unit", none("float").alias("least"), F.col("links").alias("score"), none("binary").alias("expand"))
     # The graph is dealt out once; a union with messages that are dealt out alike keeps it where it is.
-    placed = durable_by(placed, "part", n)
+    return durable_by(placed, "part", n), labels
+
+
+def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, config: GraphConfig = GraphConfig(), where: tuple[DataFrame, np.ndarray] | None = None) -> DataFrame:
+    """qid and ids (nodes, best first) of the beam that a greedy search ends with, for ``queries`` (qid, unit, start: a node or null). ``where``: :func:`placed_graph`, if it is there already."""
+    spark = nodes.sparkSession
+    placed, labels = where or placed_graph(nodes, graph, config)
+    n = len(labels)  # a query sends at most one message a round to a partition
+    sample = _sample(nodes, config.entries, -1)
+    entry_ids = np.array([r["nid"] for r in sample], dtype=np.int64)
+    entry_units = np.stack([np.frombuffer(r["unit"], np.float32) for r in sample]) if sample else np.empty((0, 1), np.float32)
+    entries = spark.sparkContext.broadcast((entry_ids, entry_units))
     stays = spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
 
     def state_row(qid: int, unit: bytes, ids: np.ndarray, scores: np.ndarray, done: np.ndarray, pending: np.ndarray) -> tuple:
@@ -476,17 +483,22 @@ def _recall(beams: DataFrame, audit: dict[int, np.ndarray], kept: int) -> float:
 
 
 def _searched(nodes: DataFrame, queries: DataFrame, k: int, config: GraphConfig) -> DataFrame:
-    """The beams of the queries, as wide as the audit's recall demands."""
+    """The beams of the queries, as wide as the audit's recall demands. The audited queries find the width, so all others are searched once."""
     nodes = nodes.select("nid", "unit")
     graph, count = build_graph(nodes, config), nodes.count()
     audit = _audit(nodes, queries, k, config.audited)
-    while True:
-        beams = search_graph(nodes, graph, queries, config)
-        if not audit or (reached := _recall(beams, audit, 4 * k + 4)) >= config.recall:
-            return beams
+    where = placed_graph(nodes, graph, config)
+    some = queries.join(F.broadcast(nodes.sparkSession.createDataFrame([(q,) for q in audit], "qid long")), "qid", "left_semi")
+    while audit:
+        beams = search_graph(nodes, graph, some, config, where)
+        if (reached := _recall(beams, audit, 4 * k + 4)) >= config.recall:
+            break
         if config.beam >= count and config.entries >= min(count, _MOST_ENTRIES):
             raise RuntimeError(f"recall {reached:.3f} of {len(audit)} audited queries is below {config.recall}")
         config = replace(config, beam=2 * config.beam, step=2 * config.step, entries=max(config.entries, min(2 * config.entries, _MOST_ENTRIES)))
+    rest = queries.join(some.select("qid"), "qid", "left_anti")
+    others = search_graph(nodes, graph, rest, config, where)
+    return beams.unionByName(others) if audit else others
 
 
 def nearest(vectors: DataFrame, is_query: Callable[[], object] | None = None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", config: GraphConfig = GraphConfig()) -> DataFrame:
